@@ -82,7 +82,8 @@ def exact_duplicates(
         F.min(F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").alias("keep_id"))).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    groups = groups.select(F.col("recipe").alias("of"), "first.keep_id", "group_size")
+    # written, so that both sides of the join are shuffled for it and a group of very many copies can be split
+    groups = Stored(groups.select(F.col("recipe").alias("of"), "first.keep_id", "group_size"), "groups").df
     return recipes.join(groups, F.col("recipe") == F.col("of")).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -36,7 +36,8 @@ def repeated(units: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, version, removed: places of the lines that go, for documents that lose any."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
     firsts = units.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = units.withColumn("place", place).join(firsts.select("a", "b", "first"), ["a", "b"]).where("place <> first")
+    firsts = Stored(firsts.select("a", "b", "first"), "firsts").df  # so that the join can split a very common line
+    later = units.withColumn("place", place).join(firsts, ["a", "b"]).where("place <> first")
     later = later.select("doc_id", "version", "pos", "words").distinct()
     own = Window.partitionBy("doc_id", "version")
     later = later.withColumn("run", F.col("pos") - F.row_number().over(own.orderBy("pos")))

@@ -60,5 +60,5 @@ def token_counts(
 
     new = map_lists(texts, make, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version))
     new.write.mode("append").partitionBy("tokenizer").parquet(cache)
-    counts = cached(spark, cache, version)
+    counts = Stored(cached(spark, cache, version), "counts").df  # so that the join can split a text of very many copies
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
