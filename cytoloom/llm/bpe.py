@@ -14,12 +14,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ from .arrowmap import map_lists
 #: Symbols from which a heap replaces the scan.
 LONG = 96
 #: Words (and as many space-delimited chunks) whose ids a process keeps; beyond it starts anew.
-KEPT = 300_000
+KEPT = 120_000
 NONE = 1 << 60
 
 #: The pre-tokenisation of the byte-level format (the vocabulary file only names it).
@@ -43,22 +42,41 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-#: White space around a single space, or at the end: only there does the split of a text
-#: differ from the splits of its chunks, each with the space before it.
-TANGLED = re.compile(r"\s \s|\s\Z|[\x1c-\x1f]")
+#: White space other than the space and the line feed.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: Separators that Python but not the vocabularies' patterns take for white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def tangled(text: str) -> bool:
+    """Whether the split of a text may differ from the splits of its chunks, each with the space before it:
+    only next to longer or other white space, or at a space at the end."""
+    return "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in OTHER_SPACE)
 
 
 class Words(dict):
-    """Ids of words, made when first asked for."""
+    """Ids of words as little-endian bytes, made when first asked for.
+
+    Two generations: when the young one is full it becomes the old one, and
+    words that are asked for again come back from there, so frequent words stay.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = ids = self.encode(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
 
 class RankBpe:
     def __init__(self, path: str):
@@ -80,7 +98,8 @@ class RankBpe:
         self.split = regex.compile(pattern, regex.V1).findall
         self.lowers = spec["normalizer"] is not None
         self.words = Words(self.encode_word)
-        self.spaced = Words(lambda chunk: tuple(self.pieces_of(" " + chunk)))
+        lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
+        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk))
         self.pieces: list[bytes] = [b""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for token, i in self.vocab.items():
             word = token.removesuffix(self.suffix) if self.suffix else token
@@ -93,14 +112,15 @@ class RankBpe:
         """NFC and lower case, character by character, for vocabularies that have it; their split drops white space."""
         if not self.lowers:
             return text
-        text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> bytes:
         chars = [self.symbol[b] for b in word.encode()]
         chars[-1] += self.suffix
         parts = [self.vocab[c] for c in chars]
-        return tuple((self.scan if len(parts) < LONG else self.heap)(parts))
+        return np.array((self.scan if len(parts) < LONG else self.heap)(parts), "<u4").tobytes()
 
     def scan(self, parts: list[int]) -> list[int]:
         merges, none = self.merges, (NONE, 0)
@@ -136,34 +156,38 @@ class RankBpe:
                     heapq.heappush(queue, (merges[pair][0], x, *pair))
         return [p for p, live in zip(parts, alive) if live]
 
-    def pieces_of(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.words.__getitem__, self.split(text)))
+    def pieces_of(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
-    def plain(self, text: str) -> Iterator[int]:
+    def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, chunk by chunk where that is the same."""
         text = self.normalise(text)
-        if TANGLED.search(text):
+        if self.suffix:
+            if any(c in text for c in SEPARATORS):
+                return self.pieces_of(text)
+            return b"".join(map(self.chunks.__getitem__, text.split()))
+        if tangled(text):
             return self.pieces_of(text)
         first, *chunks = text.split(" ")
-        return chain(self.pieces_of(first), chain.from_iterable(map(self.spaced.__getitem__, chunks)))
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text; strings of special tokens become those, nothing is added."""
-        for kept in (self.words, self.spaced):
-            if len(kept) > KEPT:
-                kept.clear()
-        if self.special_at is None or not any(token in text for token in self.special):
-            return list(self.plain(text))
-        ids, start = [], 0
+        return self.pieces_of(first) + b"".join(map(self.chunks.__getitem__, chunks))
+
+    def packed(self, text: str) -> bytes:
+        """Ids of the text as little-endian unsigned 32-bit numbers; strings of special tokens become those, nothing is added."""
+        self.words.age()
+        self.chunks.age()
+        if not any(token in text for token in self.special):
+            return self.plain(text)
+        out, start = [], 0
         for m in self.special_at.finditer(text):
-            ids.extend(self.plain(text[start : m.start()]))
-            ids.append(self.special[m[0]])
+            out += [self.plain(text[start : m.start()]), self.special[m[0]].to_bytes(4, "little")]
             start = m.end()
-        ids.extend(self.plain(text[start:]))
-        return ids
+        return b"".join([*out, self.plain(text[start:])])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def count(self, text: str) -> int:
-        return len(self.encode(text))
+        return len(self.packed(text)) // 4
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

@@ -10,7 +10,6 @@ holds and sends is bounded by the capacity, not by the number of documents.
 from __future__ import annotations
 
 import zlib
-from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -113,16 +112,15 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut at ``capacity``."""
 
     def make():
-        encoder = bpe.load(path)
+        encoder, end = bpe.load(path), end_id.to_bytes(4, "little")
 
         def step(ids_of, texts):
             out = [], [], [], [], []
             for doc, text in zip(ids_of, texts):
-                ids = array("I", encoder.encode(text or ""))
-                ids.append(end_id)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    for column, value in zip(out, (doc, piece, start, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes()))):
+                ids = encoder.packed(text or "") + end
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    for column, value in zip(out, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
             return out
 

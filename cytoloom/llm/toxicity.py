@@ -29,7 +29,7 @@ BEGINNINGS = (4, 5, 6, 8)
 #: Precision on toxic rows, in their share of the corpus, that tells a strong from a weak lexicon.
 STRONG, WEAK = 0.95, 0.8
 #: Chunks whose hits a process keeps.
-KEPT = 300_000
+KEPT = 120_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: A seed lexicon of English insults.
