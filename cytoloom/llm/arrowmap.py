@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows a function gets at once, so that its own arrays stay small.
 AT_ONCE = 2_000
+#: Sizes of the batches that executors exchange with Python, in place of Spark's defaults; a session's own settings are left alone.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Long texts make large batches; a task holds a few at a time, inside and outside the JVM's heap."""
+    for name, (default, small) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, small)
 
 
 def map_lists(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """``make()`` runs once a task and returns a function from the lists of ``df``'s columns
     to a tuple of equally long lists or arrays, the columns of ``schema``."""
+    bound_batches(df.sparkSession)
     out = T.StructType.fromDDL(schema)
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
-from .sampling import sample
+from .sampling import draw, smallest
 
 ORDER = 4
 #: Labelled rows a language that a model is fitted on.
@@ -188,7 +188,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model fitted on at most ``rows`` rows a language that are not held out; a quarter as many more calibrate it."""
     known = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     known = known.select(F.col(f"`{lang_col}`").alias("class"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("string").alias("key"))
-    found, _ = sample(known, rows + rows // 4, F.col("key"))
+    drawn, _ = draw(known, rows + rows // 4, F.col("key"))
+    found = smallest(drawn, rows + rows // 4)
     fit, rest = {}, {}
     for k, (text, lang) in enumerate(found):
         (rest if k % 5 == 4 else fit).setdefault(lang, []).append(text)

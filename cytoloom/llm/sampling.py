@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 GRAIN = 1 << 20
 
 
-def sample(rows: DataFrame, most: int, key: Column) -> tuple[list[tuple], Counter]:
-    """At most ``most`` rows a class of (text, class), those of the smallest hashes of ``key``, and the rows there are of each class.
-
-    Rows are drawn on the executors, twice ``most`` a class in expectation, and
-    the smallest hashes of those are kept.
-    """
+def draw(rows: DataFrame, most: int, key: Column) -> tuple[DataFrame, Counter]:
+    """Of rows with a column ``class``, about ``most`` to twice as many a class by a hash of ``key``, in column ``h``;
+    and how many rows there are of each class. Nothing is shuffled but the counts."""
     there = Counter({r[0]: r[1] for r in rows.groupBy("class").count().collect()})
     rows = rows.withColumn("h", F.pmod(F.xxhash64(key), F.lit(GRAIN)))
-    draw = F.lit(False)
+    taken = F.lit(False)
     for c, n in there.items():
-        draw |= (F.col("class") == F.lit(c)) & (F.col("h") < min(GRAIN, 2 * most * GRAIN // n + GRAIN // n + 1))
+        taken |= (F.col("class") == F.lit(c)) & (F.col("h") < min(GRAIN, 2 * most * GRAIN // n + 1))
+    return rows.where(taken), there
+
+
+def smallest(drawn: DataFrame, most: int) -> list[tuple]:
+    """(text, class) of the ``most`` smallest hashes of each class among drawn rows of class, h, text."""
     kept = defaultdict(list)
-    for r in rows.where(draw).select("class", "h", "text").collect():
+    for r in drawn.select("class", "h", "text").collect():
         kept[r[0]].append((r[1], r[2]))
-    return [(t, c) for c in sorted(kept) for _, t in sorted(kept[c])[:most]], there
+    return [(t, c) for c in sorted(kept) for _, t in sorted(kept[c])[:most]]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
-from .sampling import sample
+from .sampling import draw, smallest
 
 #: Labelled rows a class that voters and classifier are fitted on.
 ROWS = 1_500
@@ -187,9 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A classifier fitted on at most ``rows`` labelled rows a class that are not held out."""
     known = labels.where(F.col(f"`{label_col}`").isin(0, 1) & ~held_out(id_col))
     known = known.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("class"))
-    texts = docs.where(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("text"))
-    joined = known.join(texts, F.col("__id") == F.col("__doc")).select("class", F.coalesce("text", F.lit("")).alias("text"), F.col("__id").cast("string").alias("key"))
-    found, there = sample(joined, rows, F.col("key"))
+    drawn, there = draw(known, rows, F.col("__id").cast("string"))
+    # at most about 4 x rows ids, whatever the input: small enough to broadcast, so that no text is shuffled
+    drawn = F.broadcast(drawn.select("__id", "class", "h"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    found = smallest(texts.join(drawn, F.col("__doc") == F.col("__id")), rows)
     return Toxicity(found, there)
 
 
