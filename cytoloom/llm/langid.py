@@ -107,18 +107,23 @@ class KneserNey:
         at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
         return np.where(self.key[at] == h, at, len(self.key))
 
-    def costs(self, words: list[str]) -> np.ndarray:
-        """Nats of each word in each language, its end mark included."""
-        hashes, place, word = grams(words, self.order)
+    def nats(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cost of each character behind the begin mark, a column a language, and its place in its word."""
+        hashes, place, _ = grams(words, self.order)
         scored = np.flatnonzero(place >= 1)
         p = np.full((len(scored), len(self.langs)), 1 / 65536, np.float32)
         context = np.full(len(place) + 1, self.find(np.zeros(1, np.uint64))[0])  # of no characters
         for h in hashes:
             at = self.find(h)
-            p = self.prob[at[scored]] + self.back[context[scored]] * p
+            longer = self.prob[at[scored]] + self.back[context[scored]] * p
+            p = np.where((h[scored] > 0)[:, None], longer, p)
             context = np.r_[len(self.key), at]  # [i]: the gram that ends before character i
-        begin = np.flatnonzero(place[scored] == 1)
-        return np.add.reduceat(-np.log(np.maximum(p, 1e-12)), begin, axis=0)
+        return -np.log(np.maximum(p, 1e-12)), place[scored]
+
+    def costs(self, words: list[str]) -> np.ndarray:
+        """Nats of each word in each language, its end mark included."""
+        nats, place = self.nats(words)
+        return np.add.reduceat(nats, np.flatnonzero(place == 1), axis=0)
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """Sets, from rows not fitted on, what cost a language still accepts and how sharp scores are."""

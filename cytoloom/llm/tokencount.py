@@ -37,7 +37,8 @@ def token_counts(
     one, of the smallest id, is encoded, and its count appended to the Parquet
     folder ``cache``; only its text is shuffled, by digest and id, so a text
     with any number of copies makes no large task. Two runs that append the
-    same digest do no harm. Null ids are ids; repeated rows give repeated
+    same digest do no harm; nor do rows that repeat both id and text, each of
+    which is encoded. Null ids are ids; repeated rows give repeated
     rows; other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -58,7 +59,7 @@ def token_counts(
         encoder = bpe.load(path)
         return lambda digests, texts: (digests, [encoder.count(t) for t in texts])
 
-    new = map_lists(texts, make, "digest binary, n_tokens long").withColumn("tokenizer", F.lit(version))
-    new.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    new = map_lists(texts, make, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     counts = Stored(cached(spark, cache, version), "counts").df  # so that the join can split a text of very many copies
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
