@@ -67,6 +67,14 @@ def ring_counts(
     return pairs.groupBy(image, F.col("c_" + cell_id).alias(cell_id), F.col("n_" + phenotype).alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"))
 
 
+def phenotype_rings(cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, image: str = "slide_id", phenotype: str = "phenotype") -> DataFrame:
+    """(image, phenotype, neighbor, ring, n): pairs of an image by the phenotypes of both and the ring, summed before anything is shuffled."""
+    slim = cells.select(image, "x", "y", phenotype)
+    pairs = band_pairs(slim, slim, max(radii), image, keep=[phenotype], keep_neighbor=[phenotype])
+    pairs = pairs.withColumn("ring", ring_of(F.col("d2"), radii, closed)).where("ring IS NOT NULL")
+    return pairs.groupBy(image, F.col("c_" + phenotype).alias(phenotype), F.col("n_" + phenotype).alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"))
+
+
 def wide_counts(counts: DataFrame, radii: list[float], phenotypes: list[str], cell_id: str = "cell_id", image: str = "slide_id") -> DataFrame:
     """Ring counts as one column a phenotype and ring, ``<phenotype> in (r0, r1]``, 0 where there is none."""
     label = F.lit(None).cast("string")

@@ -32,10 +32,7 @@ RINGS = "CASE WHEN d2 > 0 AND d2 <= 625 THEN 0 WHEN d2 > 625 AND d2 <= 2500 THEN
 
 @query(f"WITH {PAIRS} SELECT slide_id, cp AS phenotype, np AS neighbor, CAST({RINGS} AS INT) AS ring, count(*) AS n FROM pairs WHERE {RINGS} IS NOT NULL GROUP BY ALL")
 def neighbor_rings(spark, sf):
-    c = cells(spark, sf)
-    counts = spatial.ring_counts(c, RADII)
-    own = c.select("slide_id", "cell_id", "phenotype").distinct()
-    return counts.join(own, ["slide_id", "cell_id"]).groupBy("slide_id", "phenotype", "neighbor", "ring").agg(F.sum("n").alias("n"))
+    return spatial.phenotype_rings(cells(spark, sf), RADII)
 
 
 @query(f"WITH {PAIRS} SELECT slide_id, c AS cell_id, np AS neighbor, CAST({RINGS} AS INT) AS ring, count(*) AS n FROM pairs WHERE {RINGS} IS NOT NULL GROUP BY ALL")
