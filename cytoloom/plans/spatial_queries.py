@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import annotations, density2d, interaction, phenotype, profiles, radial, spatial
+from ..operators import annotations, density2d, interaction, phenotype, profiles, radial, spatial, tissue
 from .fixtures import CELLS, SPECIES, cells, table
 from .registry import query
 
@@ -342,3 +342,18 @@ def asymmetric_entries(spark, sf):
 def normal_cdf(spark, sf):
     z = spark.createDataFrame([(-6.0,), (-1.96,), (0.0,), (1.0,), (3.5,)], "z double")
     return z.select("z", F.round(numeric.normal_cdf(F.col("z")), 9).alias("p"))
+
+
+@query()
+def tissue_ellipses(spark, sf):
+    return tissue.ellipses(cells(spark, sf), 100.0)
+
+
+@query()
+def tissue_ring_shares(spark, sf):
+    return tissue.ring_shares(cells(spark, sf).select("slide_id", "cell_id", "x", "y"), [25.0, 50.0], 100.0, 0.2)
+
+
+@query()
+def synthetic_rois(spark, sf):
+    return tissue.synthetic_rois(spark, [0.001, 0.01], 300, 0.5)

@@ -233,3 +233,35 @@ def test_empty_tables(spark):
     assert spatial.ring_counts(none, [0.0, 5.0]).count() == 0
     assert spatial.assign_rois(none, 50.0, 10.0).count() == 0
     assert interaction.poisson_test(none, 5.0, ["slide_id"]).count() == 0
+
+
+def test_ellipse_of_a_disc_and_shares(spark):
+    from cytoloom.operators import tissue
+
+    r = np.random.default_rng(0)
+    t, d = r.uniform(0, 2 * np.pi, 900), np.sqrt(r.uniform(0, 1, 900))
+    x, y = 300 + 200 * d * np.cos(t), 250 + 120 * d * np.sin(t)
+    rows = [(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))] + [(1, 900, 300.0, 250.0), (1, 901, 520.0, 250.0), (2, 1, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "slide_id int, cell_id int, x double, y double")
+    found = {e.slide_id: e for e in tissue.ellipses(df, 60.0).collect()}
+    assert abs(found[1].cx - 300) < 15 and abs(found[1].cy - 250) < 15 and found[2].a is None
+    got = {c.cell_id: c.ratios for c in tissue.ring_shares(df.where("slide_id = 1"), [10.0, 30.0], 60.0).collect()}
+    assert got[900] == [1.0, 1.0] and got[901][0] < 0.3
+    assert [len(o) for o in tissue.ring_offsets([25, 50])] == [2109, 6052]
+
+
+def test_hull_holds_all_points():
+    from cytoloom.operators import tissue
+
+    p = np.random.default_rng(2).integers(0, 30, (200, 2)).astype(float)
+    corner = p[tissue.hull(p)]
+    for a, b in zip(corner, np.roll(corner, -1, axis=0)):
+        assert ((b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) >= 0).all()
+
+
+@pytest.mark.parametrize("doubling, rows", [(0, 90), (1, 120), (2, 60)])
+def test_synthetic_rois(spark, doubling, rows):
+    from cytoloom.operators import tissue
+
+    df = tissue.synthetic_rois(spark, [0.01], 90, 0.5, doubling)
+    assert df.count() == rows and df.agg(F.max("x")).first()[0] <= math.sqrt(90 / 0.01)
