@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,6 +32,9 @@ LONG = 96
 #: Words (and as many space-delimited chunks) whose ids a process keeps; beyond it starts anew.
 KEPT = 120_000
 NONE = 1 << 60
+#: Bits of a symbol's id beside its merge's rank.
+BITS = 24
+MASK = (1 << BITS) - 1
 
 #: The pre-tokenisation of the byte-level format (the vocabulary file only names it).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,12 +92,19 @@ class RankBpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.symbol = byte_symbols()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.merges[self.vocab[left], self.vocab[right]] = rank, self.vocab[left + right]
+        self.first = [self.vocab[c] for c in self.symbol]
+        self.last = [self.vocab[c + self.suffix] for c in self.symbol]
+        none: dict[int, int] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        #: By the left symbol and the right one: rank and merged symbol in one number, so that the least is the next to merge.
+        self.after = [none] * (1 + max([*self.vocab.values(), *self.special.values()]))
+        for rank, merge in enumerate(model["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            a = self.vocab[left]
+            if self.after[a] is none:
+                self.after[a] = {}
+            self.after[a][self.vocab[right]] = rank << BITS | self.vocab[left + right]
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)
         self.split = regex.compile(pattern, regex.V1).findall
@@ -100,7 +112,7 @@ class RankBpe:
         self.words = Words(self.encode_word)
         lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
         self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk))
-        self.pieces: list[bytes] = [b""] * (1 + max([*self.vocab.values(), *self.special.values()]))
+        self.pieces: list[bytes] = [b""] * len(self.after)
         for token, i in self.vocab.items():
             word = token.removesuffix(self.suffix) if self.suffix else token
             self.pieces[i] = bytes(self.byte_of[c] for c in word) + (b" " if word != token else b"")
@@ -117,43 +129,46 @@ class RankBpe:
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
     def encode_word(self, word: str) -> bytes:
-        chars = [self.symbol[b] for b in word.encode()]
-        chars[-1] += self.suffix
-        parts = [self.vocab[c] for c in chars]
-        return np.array((self.scan if len(parts) < LONG else self.heap)(parts), "<u4").tobytes()
+        data = word.encode()
+        parts = [self.first[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        ids = array("I", (self.scan if len(parts) < LONG else self.heap)(parts))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def scan(self, parts: list[int]) -> list[int]:
-        merges, none = self.merges, (NONE, 0)
-        ranks = [merges.get(pair, none)[0] for pair in zip(parts, parts[1:])]
+        after = self.after
+        ranks = [after[a].get(b, NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             at = ranks.index(least)
-            parts[at : at + 2] = [merges[parts[at], parts[at + 1]][1]]
-            del ranks[at]
+            parts[at] = merged = least & MASK
+            del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = merges.get((parts[at - 1], parts[at]), none)[0]
+                ranks[at - 1] = after[parts[at - 1]].get(merged, NONE)
             if at < len(ranks):
-                ranks[at] = merges.get((parts[at], parts[at + 1]), none)[0]
+                ranks[at] = after[merged].get(parts[at + 1], NONE)
         return parts
 
     def heap(self, parts: list[int]) -> list[int]:
-        n, merges = len(parts), self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n, after = len(parts), self.after
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
-        queue = [(merges[p][0], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        queue = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := after[a].get(b)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            if not alive[i] or parts[i] != a or (j := after[i]) >= n or parts[j] != b:
+            rank, i, a, b = heapq.heappop(queue)
+            if not alive[i] or parts[i] != a or (j := right[i]) >= n or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = merges[a, b][1], False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (pair := (parts[x], parts[y])) in merges:
-                    heapq.heappush(queue, (merges[pair][0], x, *pair))
+            parts[i], alive[j], right[i] = rank & MASK, False, right[j]
+            if right[j] < n:
+                left[right[j]] = i
+            for x, y in ((left[i], i), (i, right[i])):
+                if x >= 0 and y < n and (rank := after[parts[x]].get(parts[y])) is not None:
+                    heapq.heappush(queue, (rank, x, parts[x], parts[y]))
         return [p for p, live in zip(parts, alive) if live]
 
     def pieces_of(self, text: str) -> bytes:
