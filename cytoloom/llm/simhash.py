@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a binary trie self-join.
 
 Fingerprints are first made distinct. Two that differ in at most k bits agree
-wholly in one of k+1 blocks of their bits, so each goes to one bucket a block
-and its partners meet it there. A bucket is a binary trie over the remaining
+wholly in all but k of any n blocks of their bits, so each goes to one bucket
+for every choice of n-k blocks, and its partners meet it there. n grows from
+k+1 with the number of fingerprints, so that buckets stay small. A bucket is a binary trie over the remaining
 bits: pairs of its nodes are traversed together, differing bits accumulate,
 and a pair goes when they exceed the budget. Since classes and not pairs are
 wanted, the budget is raised from one bit up, links found join their leaves,
@@ -15,10 +16,12 @@ trie as a second key and go to each pair of sub-tries within the budget.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
@@ -69,12 +72,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_lists(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`")), make, f"doc_id {kind}, fp long")
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of budget + 1 blocks that cover 64 bits."""
-    cuts = [64 * k // (budget + 1) for k in range(budget + 2)]
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of n blocks that cover 64 bits."""
+    cuts = [64 * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def enough_blocks(fingerprints: int, budget: int, large: int = LARGE) -> int:
+    """The fewest blocks at which even buckets of so many fingerprints hold a quarter of ``large`` at most; 2 (budget + 2) in any case."""
+    n = budget + 1
+    while n < 2 * (budget + 2) and fingerprints / 2.0 ** (64 * (n - budget) // n) > large / 4:
+        n += 1
+    return n
+
+
 class Classes:
     """Union-find over 0..n-1 by repeated pointer jumping on arrays; the label is the smallest member."""
 
@@ -182,24 +193,30 @@ def pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[n
     return a[of] + nth // wide[of], c[of] + nth % wide[of]
 
 
-def bucket_edges(distinct: DataFrame, budget: int, large: int = LARGE) -> DataFrame:
+def bucket_edges(distinct: DataFrame, budget: int, large: int = LARGE, n_blocks: int | None = None) -> DataFrame:
     """src, dst: for each bucket, edges from members to the smallest of their class there."""
     spark = distinct.sparkSession
-    rotated = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft(F.col("fp"), 64 - shift - width), 64 - width).alias("key"))
-        for k, (shift, width) in enumerate(blocks(budget))
-    ]
-    rows = distinct.select("fp", F.explode(F.array(*rotated)).alias("b")).select("fp", "b.block", "b.key")
+    places = blocks(n_blocks or enough_blocks(distinct.count(), budget, large))
+    choices = list(combinations(range(len(places)), len(places) - budget))
+
+    def bits(k: int, most: int = 64) -> Column:
+        shift, width = places[k]
+        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << min(width, most)) - 1).cast("bigint"))
+
+    keyed, following = [], F.lit(0).cast("bigint")
+    for block, chosen in enumerate(choices):
+        key = F.lit(0).cast("bigint")
+        for k in chosen:
+            key = F.shiftleft(key, places[k][1]).bitwiseOR(bits(k))
+        keyed.append(F.struct(F.lit(block).alias("block"), key.alias("key")))
+        # the second key of a split bucket: bits of a block that is not its key, so that near copies spread
+        following = F.when(F.col("block") == block, bits(next(k for k in range(len(places)) if k not in chosen), SPLIT)).otherwise(following)
+    rows = distinct.select("fp", F.explode(F.array(*keyed)).alias("b")).select("fp", "b.block", "b.key")
     hot = rows.groupBy("block", "key").count().where(F.col("count") > large).select("block", "key", F.lit(True).alias("hot"))
     rows = rows.join(hot, ["block", "key"], "left")
-    # the second key of a split bucket: bits of the block that follows, so that near copies spread
-    following = [shift for shift, _ in [*blocks(budget)[1:], blocks(budget)[0]]]
-    sub = F.lit(0)
-    for k, shift in enumerate(following):
-        sub = F.when(F.col("block") == k, F.shiftrightunsigned("fp", shift).bitwiseAND((1 << SPLIT) - 1)).otherwise(sub)
     near = [[y for y in range(1 << SPLIT) if (x ^ y).bit_count() <= budget] for x in range(1 << SPLIT)]
     table = F.array(*[F.array(*[F.lit(min(x, y) << SPLIT | max(x, y)) for y in ys]) for x, ys in enumerate(near)])
-    rows = rows.withColumn("sub", F.when(F.col("hot"), table[sub.cast("int")]).otherwise(F.array(F.lit(-1))))
+    rows = rows.withColumn("sub", F.when(F.col("hot"), table[following.cast("int")]).otherwise(F.array(F.lit(-1))))
     rows = rows.select("fp", "block", "key", F.explode("sub").alias("sub"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(parts, "block", "key", "sub")

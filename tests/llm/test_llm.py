@@ -403,11 +403,17 @@ def test_trie_join_equals_all_pairs(spark):
     base = 0x0F0F_1234_5678_9ABC
     v = np.unique(np.array([base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in r.integers(0, 64, (300, 2))], np.uint64))
     fps = spark.createDataFrame([(simhash.signed(int(x)),) for x in v], "fp long")
-    for large in (5, 10_000):
-        found = components.components(simhash.bucket_edges(fps, 4, large))
+    for large, n in ((5, 5), (10_000, 5), (10_000, 7), (5, 6)):
+        found = components.components(simhash.bucket_edges(fps, 4, large, n))
         assert found.select("component").distinct().count() == 1 and found.count() == len(v)
 
 
+def test_blocks_grow_with_the_fingerprints():
+    assert [simhash.enough_blocks(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11)] == [5, 5, 6, 6, 7, 7]
+    for n in range(5, 13):
+        assert sum(w for _, w in simhash.blocks(n)) == 64
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "src long, dst long")
     got = {r.node: r.component for r in components.components(edges).collect()}
