@@ -76,10 +76,10 @@ def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float =
     @F.pandas_udf("left double, right double")
     def tails(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
         rows = []
+        log_fact = np.r_[0.0, np.cumsum(np.log(np.arange(1, int(n.max() if len(n) else 0) + 1)))]
         for a, m, q in zip(k, n, p):
             i = np.arange(m + 1)
-            logs = np.array([math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1) for j in i]) + i * math.log(max(q, 1e-300)) + (m - i) * math.log(max(1 - q, 1e-300))
-            mass = np.exp(logs)
+            mass = np.exp(log_fact[m] - log_fact[i] - log_fact[m - i] + i * math.log(max(q, 1e-300)) + (m - i) * math.log(max(1 - q, 1e-300)))
             rows.append((min(1.0, mass[: a + 1].sum()), min(1.0, mass[a:].sum())))
         return pd.DataFrame(rows, columns=["left", "right"])
 
