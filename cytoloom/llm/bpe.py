@@ -30,7 +30,7 @@ from .arrowmap import map_lists
 #: Symbols from which a heap replaces the scan.
 LONG = 96
 #: Words (and as many space-delimited chunks) whose ids a process keeps; beyond it starts anew.
-KEPT = 220_000
+KEPT = 300_000
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
