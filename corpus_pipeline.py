@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoloom.llm import exact, lines, packing, simhash, toxicity
+from cytoloom.llm import exact, lines, packing, similar, toxicity
 from cytoloom.llm.queries import vocabulary
 from cytoloom.llm.shared import Stored
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of texts that share 0.8 or more of their shingles of five words."""
+    return similar.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,19 +38,28 @@ SPLIT = 4
 AT_ONCE = 1 << 18
 
 
-def simhash(text: str | None, words: int = WORDS, seed: int = 42) -> int:
-    """64 bits: each set if set in over half of the XXH64 hashes of the word shingles; 0 without words."""
+def shingle_digests(text: str | None, words: int, seed: int = 42) -> bytes:
+    """XXH64 of each word shingle in order, 8 bytes each, repeats included; a shorter text is one shingle."""
     parts = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return b""
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_digest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return digest(joined, seed)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(parts) - words + 1].tolist()
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())])
+    return b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())])
+
+
+def simhash(text: str | None, words: int = WORDS, seed: int = 42) -> int:
+    """64 bits: each set if set in over half of the XXH64 hashes of the word shingles; 0 without words."""
+    return majority(shingle_digests(text, words, seed))
+
+
+def majority(hashes: bytes) -> int:
+    """Bits set in over half of the hashes of 8 bytes each."""
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(bits), 1 << 14):
