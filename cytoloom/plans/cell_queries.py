@@ -235,6 +235,14 @@ def channel_pivot(spark, sf):
     return summaries.pivot_first(lines, ["l_orderkey"], "l_linenumber", ["q"], [1, 2])
 
 
+@query()
+def channel_pivot_all(spark, sf):
+    """``channel_pivot`` with every channel there is; its SQL has two."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    channels = sorted(r[0] for r in lines.select("l_linenumber").distinct().collect() if r[0] is not None)
+    return summaries.pivot_first(lines, ["l_orderkey"], "l_linenumber", ["q"], channels)
+
+
 @query("""WITH g AS (SELECT l_orderkey, count(DISTINCT o_orderstatus) AS a, count(DISTINCT l_partkey) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
     SELECT 'o_orderstatus' AS "column", max(a) <= 1 AS repeated FROM g UNION ALL SELECT 'l_partkey', max(b) <= 1 FROM g""")
 def repeated_columns(spark, sf):
@@ -288,6 +296,14 @@ def one_hot(spark, sf):
     return summaries.one_hot(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", ["Brand#1", "Brand#2"]).drop("p_brand")
 
 
+@query()
+def one_hot_all(spark, sf):
+    """``one_hot`` of every brand there is; its SQL has two."""
+    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    brands = naming.natural_sorted([r[0] for r in part.select("p_brand").distinct().collect() if r[0] is not None])
+    return summaries.one_hot(part, "p_brand", brands).drop("p_brand")
+
+
 @query(f"WITH {CELLS} SELECT cell_id, CASE WHEN mr = 1 THEN '+' ELSE '-' END AS \"Phenotype R\", CASE WHEN mo = 1 THEN '+' ELSE '-' END AS \"Phenotype O\" FROM cells")
 def class_one_hot(spark, sf):
     c = cells(spark, sf).select("cell_id", F.concat_ws(": ", F.when(phenotype.positive("Phenotype R"), "R"), F.when(phenotype.positive("Phenotype O"), "O"), F.lit("Other")).alias("Class"))
@@ -488,6 +504,12 @@ def colour_index(spark, sf):
     return cells(spark, sf).where("quantity IN (5, 10, 20, 30, 45)").select("cell_id", numeric.colour_index(F.col("quantity"), 10.0, 40.0, 256).alias("colour"))
 
 
+@query("""SELECT (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS cell_id, CAST(round_even((least(greatest(l_quantity, 10.0), 40.0) - 10.0)::DOUBLE / 30.0::DOUBLE * 255, 0) AS INT) AS colour FROM lineitem""")
+def colour_index_all(spark, sf):
+    """``colour_index`` of every cell; its SQL has five quantities."""
+    return cells(spark, sf).select("cell_id", numeric.colour_index(F.col("quantity"), 10.0, 40.0, 256).alias("colour"))
+
+
 @query("SELECT s_suppkey, s_name[length('Supplier#') + 1 :] AS tail FROM supplier")
 def common_affixes(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name"))

@@ -51,6 +51,14 @@ def wide_ring_counts(spark, sf):
     return spatial.wide_counts(spatial.ring_counts(cells(spark, sf), [0.0, 25.0]), [0.0, 25.0], ["RF", "NO"])
 
 
+@query()
+def wide_ring_counts_all(spark, sf):
+    """``wide_ring_counts`` of every phenotype there is; its SQL has two."""
+    c = cells(spark, sf)
+    names = sorted(r[0] for r in c.select("phenotype").distinct().collect() if r[0] is not None)
+    return spatial.wide_counts(spatial.ring_counts(c, [0.0, 25.0]), [0.0, 25.0], names)
+
+
 @query(f"WITH {PAIRS} SELECT slide_id, c AS src, n AS dst, round(sqrt(d2), 6) AS distance FROM pairs WHERE d2 <= 225 AND c <> n")
 def radius_graph(spark, sf):
     return _rounded(spatial.radius_graph(cells(spark, sf), 15.0), "distance")

@@ -5,7 +5,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from cytoloom.plans import spatial_queries
+from cytoloom.plans import cell_queries, spatial_queries
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def scattered(spark):
@@ -28,3 +30,29 @@ def test_far_neighbours_are_kept(spark, monkeypatch):
         want |= {(a.slide_id, a.cell_id, i, round(d**0.5, 6), k + 1) for k, (d, i) in enumerate(near)}
     got = {(r.slide_id, r.src, r.dst, r.distance, r["rank"]) for r in spatial_queries.spatial_knn_all(spark, "").collect()}
     assert got == want
+
+
+def test_all_channels_are_pivoted(spark):
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").collect()
+    want = {}
+    for r in lines:
+        k = (r.l_orderkey, f"q{r.l_linenumber}")
+        want[k] = max(r.l_quantity, want.get(k, r.l_quantity))
+    out = cell_queries.channel_pivot_all(spark, FOLDER).collect()
+    assert {(r.l_orderkey, c): v for r in out for c, v in r.asDict().items() if c != "l_orderkey" and v is not None} == want
+    assert len(out) == len({r.l_orderkey for r in lines})
+
+
+def test_all_brands_and_phenotypes_are_encoded(spark):
+    brands = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()}
+    for r in cell_queries.one_hot_all(spark, FOLDER).collect():
+        assert [c for c, v in r.asDict().items() if c != "p_partkey" and v == 1] == [brands[r.p_partkey]]
+    wide = spatial_queries.wide_ring_counts_all(spark, FOLDER).collect()
+    long = spatial_queries.neighbor_ring_counts(spark, FOLDER).where("ring = 0").collect()
+    assert {(r.slide_id, r.cell_id, c[:2], v) for r in wide for c, v in r.asDict().items() if " in " in c and v} == {(r.slide_id, r.cell_id, r.neighbor, r.n) for r in long}
+
+
+def test_every_cell_has_a_colour(spark):
+    got = cell_queries.colour_index_all(spark, FOLDER)
+    assert got.where("colour IS NOT NULL").count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    assert got.select("colour").distinct().count() == 31
