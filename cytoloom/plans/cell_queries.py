@@ -394,11 +394,18 @@ def cluster_means_long(spark, sf):
 @query("""WITH long AS (SELECT label, u.k AS feature, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, range(1, 9) u(k)), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM long)
     SELECT CAST(feature - 1 AS INT) AS feature, label, round(sum(rk), 3) AS rank_sum, count(*) AS n FROM r GROUP BY 1, 2""")
 def wilcoxon_ranks(spark, sf):
+    return _rounded(statistics.rank_sums(_long(spark, sf, 8), "feature", "label", "v").select("feature", "label", "rank_sum", "n"), "rank_sum", digits=3)
+
+
+@query()
+def wilcoxon_ranks_all(spark, sf):
+    """``wilcoxon_ranks`` of all dimensions; its SQL has eight."""
     return _rounded(statistics.rank_sums(_long(spark, sf), "feature", "label", "v").select("feature", "label", "rank_sum", "n"), "rank_sum", digits=3)
 
 
-def _long(spark, sf, k=8):
-    e = table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, k)).alias("feature", "v"))
+def _long(spark, sf, k=None):
+    """A row a value, of the first k dimensions or all."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, k) if k else F.col("embedding")).alias("feature", "v"))
     return e.withColumn("v", F.col("v").cast("double"))
 
 
@@ -428,7 +435,16 @@ def softmax_membership(spark, sf):
     return _rounded(statistics.softmax_membership(e, "vec_id", ["a", "b"], "label"), "probability")
 
 
-def _features(spark, sf, k=6):
+@query()
+def softmax_membership_all(spark, sf):
+    """``softmax_membership`` by all dimensions; its SQL has two."""
+    df, names = _features(spark, sf)
+    return _rounded(statistics.softmax_membership(df, "vec_id", names, "label"), "probability")
+
+
+def _features(spark, sf, k=None):
+    """The first k dimensions as columns, or all, and their names."""
+    k = k or table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
     return table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(k)]), [f"f{i}" for i in range(k)]
 
 
@@ -446,7 +462,7 @@ def approximate_knn(spark, sf):
 @query()
 def k_means_elbow(spark, sf):
     df, names = _features(spark, sf)
-    return spark.createDataFrame(clustering.elbow(df, names, range(1, 5), tries=1), "k int, wcss double")
+    return spark.createDataFrame(clustering.elbow(df, names, range(1, 5), tries=50), "k int, wcss double")
 
 
 @query()
@@ -463,6 +479,14 @@ def feature_matrix(spark, sf):
     return _rounded(out.select("vec_id", *names), *names)
 
 
+@query()
+def feature_matrix_all(spark, sf):
+    """``feature_matrix`` of all dimensions; its SQL has two."""
+    df, names = _features(spark, sf)
+    out, _ = clustering.feature_matrix(df.withColumns({n: F.abs(n) for n in names}), names, normalise=True, log=True, scale=True)
+    return _rounded(out.select("vec_id", *names), *names)
+
+
 @query()
 def graph_communities(spark, sf):
     knn = clustering.nearest_neighbors(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)

@@ -5,6 +5,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np
+
+from cytoloom.operators import clustering
 from cytoloom.plans import cell_queries, spatial_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,3 +59,38 @@ def test_every_cell_has_a_colour(spark):
     got = cell_queries.colour_index_all(spark, FOLDER)
     assert got.where("colour IS NOT NULL").count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     assert got.select("colour").distinct().count() == 31
+
+
+def vectors(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").orderBy("vec_id").collect()
+    return [r.vec_id for r in rows], np.array([r.label for r in rows]), np.array([r.embedding for r in rows], float)
+
+
+def test_all_dimensions_are_ranked_and_tested(spark):
+    _, labels, v = vectors(spark)
+    got = {(r.feature, r.label): r.rank_sum for r in cell_queries.wilcoxon_ranks_all(spark, FOLDER).collect()}
+    ranks = np.array([[np.mean([(c < x).sum() + 1, (c <= x).sum()]) for x in c] for c in v.T]).T
+    assert got == {(f, g): round(float(ranks[labels == g, f].sum()), 3) for f in range(v.shape[1]) for g in set(labels.tolist())}
+    assert {r.feature for r in cell_queries.wilcoxon_test(spark, FOLDER).select("feature").distinct().collect()} == set(range(v.shape[1]))
+
+
+def test_all_dimensions_make_memberships_matrix_and_components(spark):
+    ids, labels, v = vectors(spark)
+    names = sorted(set(labels.tolist()))
+    e = np.exp(v @ np.array([v[labels == g].mean(0) for g in names]).T)
+    want = e / e.sum(1, keepdims=True)
+    got = {(r.vec_id, r.cluster): r.probability for r in cell_queries.softmax_membership_all(spark, FOLDER).collect()}
+    assert len(got) == want.size and all(abs(got[i, g] - want[a, b]) < 2e-6 for a, i in enumerate(ids) for b, g in enumerate(names))
+    n = np.log1p(np.abs(v) / np.abs(v).sum(1, keepdims=True))
+    n = (n - n.mean(0)) / n.std(0, ddof=1)
+    rows = np.array([list(r)[1:] for r in cell_queries.feature_matrix_all(spark, FOLDER).orderBy("vec_id").collect()])
+    assert np.allclose(rows, n, atol=2e-6)
+    xy = np.array([list(r)[1:] for r in cell_queries.pca_embedding(spark, FOLDER).orderBy("vec_id").collect()])
+    assert np.allclose(np.sort(xy.var(0, ddof=1))[::-1], np.linalg.eigvalsh(np.cov(v.T))[::-1][:2], rtol=1e-6)
+
+
+def test_elbow_uses_all_dimensions_and_fifty_starts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(clustering, "elbow", lambda df, names, ks, **more: seen.update(names=names, **more) or [(1, 0.0)])
+    cell_queries.k_means_elbow(spark, FOLDER)
+    assert len(seen["names"]) == 64 and seen["tries"] == 50
