@@ -541,6 +541,14 @@ def common_affixes(spark, sf):
     return s.select("s_suppkey", F.expr(f"substring(s_name, {len(whole) + 1})").alias("tail"))
 
 
+@query("""WITH e AS (SELECT min(s_name) AS a, max(s_name) AS b, min(reverse(s_name)) AS y, max(reverse(s_name)) AS z, min(length(s_name)) AS least, count(DISTINCT s_name) AS names FROM supplier),
+    l AS (SELECT names, least, (SELECT count(*) FROM range(1, 1000) t(k) WHERE k <= least AND a[1:k] = b[1:k]) AS p, (SELECT count(*) FROM range(1, 1000) t(k) WHERE k <= least AND y[1:k] = z[1:k]) AS s FROM e)
+    SELECT s_suppkey, CASE WHEN names = 1 THEN s_name ELSE s_name[p + 1 : length(s_name) - least(s, least - p)] END AS tail FROM supplier, l""")
+def common_affixes_all(spark, sf):
+    """``common_affixes`` by what all names begin and end with; its SQL strips a constant."""
+    return naming.strip_common_affixes(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("tail")), "tail")
+
+
 @query("SELECT DISTINCT phenotype, count(*) OVER (PARTITION BY phenotype) AS n FROM (SELECT concat(l_returnflag, l_linestatus) AS phenotype FROM lineitem)")
 def categorical_histogram(spark, sf):
     return summaries.value_counts(cells(spark, sf), "phenotype").select(F.col("value").alias("phenotype"), "n")

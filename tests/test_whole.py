@@ -94,3 +94,10 @@ def test_elbow_uses_all_dimensions_and_fifty_starts(spark, monkeypatch):
     monkeypatch.setattr(clustering, "elbow", lambda df, names, ks, **more: seen.update(names=names, **more) or [(1, 0.0)])
     cell_queries.k_means_elbow(spark, FOLDER)
     assert len(seen["names"]) == 64 and seen["tries"] == 50
+
+
+def test_affixes_come_from_all_names(spark, monkeypatch):
+    names = ["Supplier#0001-x", "Supp#02-x", "Suppl-x"]
+    df = spark.createDataFrame(list(enumerate(names)), "s_suppkey long, s_name string")
+    monkeypatch.setattr(cell_queries, "table", lambda *a: df)
+    assert {r.s_suppkey: r.tail for r in cell_queries.common_affixes_all(spark, "").collect()} == {0: "lier#0001", 1: "#02", 2: "l"}
