@@ -14,22 +14,23 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     Alternates large-star and small-star steps until they change nothing; each
     turns the edges into stars around smaller nodes and is written out, so the
     number of rounds grows with the logarithm of the longest chain. Nodes'
-    minima are pre-aggregated, and the joins that follow are plain equi-joins,
-    which adaptive execution splits where one node has many edges.
+    minima are aggregated map-side and written before they are joined back:
+    both sides of a join are then shuffled for it alone, and adaptive execution
+    can split a node of very many edges. No edges give no rows.
     """
     kept = Stored(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), label)
     before = None
     while True:
         both = kept.df.unionByName(kept.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = Stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), label)
+        large = both.where("v > u").join(least.df, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = Stored(large.where("u <> v").distinct(), label)
-        low = large.df.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.df.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.where("u <> v").unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        low = Stored(large.df.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"), label)
+        small = large.df.join(low.df, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.where("u <> v").unionByName(low.df.select(F.col("w").alias("u"), F.col("m").alias("v")))
         after = Stored(small.distinct(), label)
-        kept.drop()
-        large.drop()
+        for table in (kept, least, large, low):
+            table.drop()
         kept = after
         n = kept.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n == before:

@@ -4,8 +4,9 @@ A text is reduced to its recipe: it is cut where its own content says so, every
 chunk becomes an identifier, and two texts are equal when their ordered lists
 of identifiers are. Identifiers are hashes that one distributed pass over the
 distinct chunks has verified: no two different chunks carry the same. If some
-did, the identifiers are widened and verified again. Long texts are so moved
-at most once, as distinct chunks; all later steps move 16 bytes a chunk.
+did, the identifiers are widened and verified again. So texts are moved once,
+as distinct chunks; later steps move 16 bytes a chunk, and of the documents
+that go only the ids.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stored
+from .shared import Stored, result, scratch, without
 
 #: White space that equality ignores.
 SPACE = " \t\n\x0b\x0c\r"
 
-#: A chunk ends behind a vowel pair and consonant, or a digit and a letter, that stand
-#: at least ``LEAST`` characters into it, and after ``MOST`` characters at the latest.
-LEAST, MOST = 192, 4096
-CHUNKS = rf"(?s).{{{LEAST},{MOST - 3}}}?(?:[aeiou]{{2}}[b-df-hj-np-tv-z]|[0-9][a-z])|.{{1,{MOST}}}"
+#: Chunks are cut in the bytes of UTF-8, so that texts of any script are cut by their content: a chunk ends behind a
+#: byte of ``HEAD``, one to three others and a byte of ``TAIL`` that stand at least ``LEAST`` bytes into it, one place in
+#: 21 where bytes are random, and after ``MOST`` bytes at the latest.
+LEAST, MOST = 224, 4096
+HEAD, TAIL = ("".join(rf"\x{b:02x}" for b in range(256) if b % 8 == rest) for rest in (5, 3))
+CHUNKS = rf"(?s).{{{LEAST},{MOST - 5}}}?[{HEAD}].{{1,3}}[{TAIL}]|.{{1,{MOST}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -32,8 +35,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Array of consecutive chunks; joined, they are the text."""
-    return F.regexp_extract_all(text, F.lit(CHUNKS), 0)
+    """Array of consecutive chunks, a character for each byte; joined, they are the bytes of the text."""
+    return F.regexp_extract_all(F.decode(text.cast("binary"), "ISO-8859-1"), F.lit(CHUNKS), 0)
 
 
 def identifier(chunk: Column, width: int, bits: int = 64) -> Column:
@@ -45,6 +48,7 @@ def identifier(chunk: Column, width: int, bits: int = 64) -> Column:
 def collides(texts: DataFrame, width: int, bits: int = 64) -> bool:
     """Whether two different chunks of ``texts.norm`` share an identifier."""
     each = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk"))
+    each = each.select(F.encode("chunk", "ISO-8859-1").alias("chunk"))
     distinct = each.select(identifier(F.col("chunk"), width, bits).alias("id"), "chunk").distinct()
     return not distinct.groupBy("id").count().where("count > 1").isEmpty()
 
@@ -68,6 +72,11 @@ def exact_duplicates(
     count each towards group_size and have the same verdict. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
+    with scratch():
+        return result(grouped(docs, id_col, text_col, width, bits), "exact")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("raw"))
     rows = rows.withColumn("norm", normalised(F.col("raw")))
     width = verified_width(rows.select("norm"), width, bits)
@@ -75,7 +84,7 @@ def exact_duplicates(
         "doc_id",
         F.coalesce(F.char_length("raw"), F.lit(0)).alias("points"),
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-        F.flatten(F.transform(chunks(F.col("norm")), lambda c: identifier(c, width, bits))).alias("recipe"),
+        F.flatten(F.transform(chunks(F.col("norm")), lambda c: identifier(F.encode(c, "ISO-8859-1"), width, bits))).alias("recipe"),
     )
     recipes = Stored(recipes, "recipes").df
     groups = recipes.groupBy("recipe").agg(
@@ -90,6 +99,6 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay; rows of one id are one document."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs`` that stay, whatever their columns are called; rows of one id are one document."""
+    with scratch():
+        return without(docs, grouped(docs, id_col, text_col, 2, 64), id_col)

@@ -1,85 +1,100 @@
-"""Substring deduplication by line hashing.
-
-Units are lines. Their white space is collapsed and their letters lowered,
-128 bits of hash stand for what is left, and of all units with one digest the
-earliest, by document id and place, stays. Further ones go if the run of
-consecutive repeated lines they belong to has at least ``LEAST`` words, so a
-short line amid a long repeated passage goes with it and a one-word sentence
-that many documents happen to share stays.
+"""Substring deduplication by hashing lines and their sentences.
+
+Units are lines, cut further behind the ends of sentences, so that a passage
+repeats even where the rest of its line differs. Their white space is
+collapsed and their letters lowered, 128 bits of hash stand for what is left,
+and of all units with one digest the earliest, by document id and place, stays.
+Further ones go if the run of consecutive repeated units they belong to has at
+least ``LEAST`` words in units of ``TELLING`` words or more: a short sentence
+amid a long repeated passage goes with it, and no number of short sentences
+that many documents happen to share makes a passage.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
-from .shared import Stored
+from .shared import Stored, beside, result, scratch
 
-#: Words of a run of repeated lines from which it goes.
-LEAST = 5
+#: Words of a run of repeated units from which it goes, and words from which a unit counts towards them.
+LEAST, TELLING = 25, 5
+#: A unit, its white space and line end included: units joined are the text. In the syntax that Java, RE2 and Python share.
+UNIT = r"""[^\n]*?(?:[.!?…]["'”’»)\]]{0,3}[ \t\r\f\x0b]+|[。！？]|\n)|[^\n]+"""
+#: A word: a character of a script without spaces between words, or a run of others.
+WORD = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]|[^ \x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]+"
+SPLIT = re.compile(UNIT)
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\x{A0}\x{0B}]+", " "))
+def normalised(unit: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(unit), r"[\s\x{A0}\x{0B}]+", " "))
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, version, pos, words, a, b of the lines of doc_id, text, version that hold words."""
-    lines = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("unit", normalised(F.col("line"))).where("unit <> ''")
-    words = F.size(F.split("unit", " "))
-    return lines.select("doc_id", "version", "pos", words.alias("words"), F.xxhash64("unit").alias("a"), F.xxhash64(F.lit(1), "unit").alias("b"))
+    """doc_id, version, pos (among the units with words), at (among all), words, a, b of the units of doc_id, text, version that hold words."""
+    found = F.filter(
+        F.transform(F.regexp_extract_all("text", F.lit(UNIT), 0), lambda unit, at: F.struct(at.alias("at"), normalised(unit).alias("unit"))),
+        lambda x: x["unit"] != "",
+    )
+    rows = docs.select("doc_id", "version", F.posexplode(found).alias("pos", "x")).select("doc_id", "version", "pos", "x.at", "x.unit")
+    return rows.select("doc_id", "version", "pos", "at", F.regexp_count("unit", F.lit(WORD)).alias("words"), F.xxhash64("unit").alias("a"), F.xxhash64(F.lit(1), "unit").alias("b"))
 
 
-def repeated(units: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, version, removed: places of the lines that go, for documents that lose any."""
+def repeated(units: DataFrame, least: int = LEAST, telling: int = TELLING) -> DataFrame:
+    """doc_id, version, removed: places of the units that go, for documents that lose any."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "pos")
     firsts = units.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = Stored(firsts.select("a", "b", "first"), "firsts").df  # so that the join can split a very common line
+    firsts = Stored(firsts.select("a", "b", "first"), "firsts").df  # so that the join can split a very common unit
     later = units.withColumn("place", place).join(firsts, ["a", "b"]).where("place <> first")
-    later = later.select("doc_id", "version", "pos", "words").distinct()
+    later = later.select("doc_id", "version", "pos", "at", "words").distinct()
     own = Window.partitionBy("doc_id", "version")
     later = later.withColumn("run", F.col("pos") - F.row_number().over(own.orderBy("pos")))
-    later = later.withColumn("in_run", F.sum("words").over(Window.partitionBy("doc_id", "version", "run"))).where(F.col("in_run") >= least)
-    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("pos")).alias("removed"))
+    weight = F.when(F.col("words") >= telling, F.col("words")).otherwise(0)
+    later = later.withColumn("in_run", F.sum(weight).over(Window.partitionBy("doc_id", "version", "run"))).where(F.col("in_run") >= least)
+    return later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list("at")).alias("removed"))
 
 
 def cut(text: str, removed: list[int] | None) -> tuple[str, list[dict]]:
-    """The text without those lines, and where they stood in it: code points from start up to end, line ends left out."""
+    """The text without those units, and where they stood in it: code points from start up to end."""
     if not removed:
         return text, []
     gone, kept, spans, at = set(removed), [], [], 0
-    for pos, line in enumerate(text.split("\n")):
-        if pos not in gone:
-            kept.append(line)
-        elif spans and spans[-1]["end"] == at - 1:
-            spans[-1]["end"] = at + len(line)
+    for k, unit in enumerate(SPLIT.findall(text)):
+        if k not in gone:
+            kept.append(unit)
+        elif spans and spans[-1]["end"] == at:
+            spans[-1]["end"] = at + len(unit)
         else:
-            spans.append({"start": at, "end": at + len(line)})
-        at += len(line) + 1
-    return "\n".join(kept), spans
+            spans.append({"start": at, "end": at + len(unit)})
+        at += len(unit)
+    return "".join(kept), spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, spans: str = "removed_spans") -> DataFrame:
-    """``docs`` with repeated lines removed from their texts, and where they were as array<struct<start,end>>.
-
-    All columns are carried. Null text stays null and loses nothing. Null ids
-    rank last. Rows of one id with different texts are ranked by a hash of
-    those; rows that repeat id and text are one document and lose the same.
-    Documents that lose all lines stay, with empty text. An empty table gives
-    an empty result. ``spans`` must not be a column already.
+    """``docs`` with repeated passages removed from their texts, and where they were as array<struct<start,end>>.
+
+    All columns are carried, whatever their names. Null text stays null and
+    loses nothing. Null ids rank last. Rows of one id with different texts are
+    ranked by a hash of those; rows that repeat id and text are one document
+    and lose the same. Documents that lose all stay, with empty text. Units
+    without words are passed over: they neither repeat nor end a run, and
+    stay. An empty table gives an empty result. ``spans`` must not be a column
+    already.
     """
     if spans in docs.columns:
         raise ValueError(f"there is a column {spans}")
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = repeated(Stored(units(rows.withColumn("version", F.xxhash64("text"))), "units").df, least)
-    found = found.select(F.col("doc_id").alias("__of"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
-    version = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    joined = docs.join(
-        found.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__of")) & (version == F.col("__version")), "left"
-    ).select(*[F.col(f"`{c}`") for c in docs.columns], "__removed")
-    at = docs.columns.index(text_col)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    with scratch():
+        rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+        found = repeated(Stored(units(rows.withColumn("version", F.xxhash64("text"))), "units").df, least)
+        found = beside(result(found.select(F.col("doc_id").alias("of"), "version", "removed"), "repeats"), F.size("removed"))
+    # columns go by number meanwhile, so that no name clashes with what is joined
+    numbered = docs.select(*[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(docs.columns)], F.xxhash64(text).alias("key"))
+    at, of = docs.columns.index(text_col), docs.columns.index(id_col)
+    joined = numbered.join(found, F.col(f"`{of}`").eqNullSafe(F.col("of")) & (F.col("key") == F.col("version")), "left").drop("key", "of", "version")
 
     def make():
         def step(*columns):

@@ -92,19 +92,26 @@ ORACLE_SQL = {
             FROM rows)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM groups""",
     "op7_line_dedup": r"""
-        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '%UNIT%') AS units FROM documents),
         units AS (
-            SELECT doc_id, pos, lines[pos] AS line,
-                   trim(regexp_replace(lower(lines[pos]), '[\s\x{A0}\x{0B}]+', ' ', 'g')) AS unit,
-                   1 + coalesce(sum(length(lines[pos]) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS start
-            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM docs)),
-        ranked AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS later FROM units),
-        islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, later ORDER BY pos) AS run FROM ranked),
-        sized AS (SELECT *, sum(len(string_split(unit, ' '))) OVER (PARTITION BY doc_id, later, run) AS words FROM islands),
-        marked AS (SELECT *, later AND words >= 5 AS gone FROM sized),
-        spans AS (SELECT doc_id, run, min(start) AS a, max(start + length(line)) AS b FROM marked WHERE gone GROUP BY doc_id, run),
+            SELECT doc_id, pos, units[pos] AS unit_text,
+                   trim(regexp_replace(lower(units[pos]), '[\s\x{A0}\x{0B}]+', ' ', 'g')) AS unit,
+                   coalesce(sum(length(units[pos])) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM (SELECT doc_id, units, unnest(range(1, len(units) + 1)) AS pos FROM docs)),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS later,
+                   row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, len(regexp_extract_all(unit, '%WORD%')) AS words
+            FROM units WHERE unit <> ''),
+        islands AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, later ORDER BY nth) AS run FROM ranked),
+        sized AS (SELECT *, sum(CASE WHEN words >= 5 THEN words ELSE 0 END) OVER (PARTITION BY doc_id, later, run) AS in_run FROM islands),
+        gone AS (SELECT doc_id, pos, start, start + length(unit_text) AS stop FROM sized WHERE later AND in_run >= 25),
+        edges AS (SELECT *, CASE WHEN lag(stop) OVER (PARTITION BY doc_id ORDER BY start) = start THEN 0 ELSE 1 END AS opens FROM gone),
+        numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM edges),
+        spans AS (SELECT doc_id, span, min(start) AS a, max(stop) AS b FROM numbered GROUP BY doc_id, span),
         lost AS (SELECT doc_id, sum(b - a) AS n_removed, string_agg(a::BIGINT || '-' || b::BIGINT, ';' ORDER BY a) AS removed FROM spans GROUP BY doc_id),
-        kept AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY doc_id)
-        SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, length(text)::BIGINT AS n_chars, text
-        FROM kept LEFT JOIN lost USING (doc_id)""",
+        kept AS (
+            SELECT doc_id, string_agg(unit_text, '' ORDER BY pos) AS text
+            FROM units WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM gone) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, length(coalesce(text, ''))::BIGINT AS n_chars, coalesce(text, '') AS text
+        FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""".replace("%UNIT%", lines.UNIT.replace("'", "''")).replace("%WORD%", lines.WORD),
 }

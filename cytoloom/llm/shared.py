@@ -1,7 +1,8 @@
 """Tables in the folder that the driver and all executors share.
 
 Cutting lineage means writing Parquet there and reading it back, so a lost
-executor loses nothing that was finished.
+executor loses nothing that was finished. Operators work inside ``scratch()``,
+so that only what their results still read stays on disk.
 """
 
 from __future__ import annotations
@@ -10,14 +11,21 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Lists of the tables made in the ``scratch()`` blocks that are open.
+OPEN: list[list[Stored]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a local folder for a local master and an error for any other."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,14 +47,57 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 class Stored:
-    """A table written to the shared folder: ``df`` reads it, ``drop()`` deletes it."""
+    """A table written to the shared folder: ``df`` reads it, ``drop()`` deletes it.
+
+    One made inside ``scratch()`` goes at the end of that, unless it is to last;
+    one that lasts goes when the process ends.
+    """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, lasting: bool = False):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, label)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if OPEN and not lasting:
+            OPEN[-1].append(self)
         atexit.register(delete, self.spark, self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables stored inside that are not to last are deleted at the end."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for table in OPEN.pop():
+            table.drop()
+
+
+def result(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to last, so that what it was made from can go."""
+    return Stored(df, label, lasting=True).df
+
+
+#: Bytes of a table that may be broadcast, as its rows and values are counted.
+BROADCAST = 16 << 20
+
+
+def beside(table: DataFrame, values: Column | None = None) -> DataFrame:
+    """``table`` with the hint to join it to a much larger one: broadcast if its size, counted first, is bounded,
+    else the side that a shuffled join holds in memory, so that the larger one is not sorted. ``values``: numbers in a row's arrays."""
+    n, more = table.agg(F.count(F.lit(1)), F.sum(values if values is not None else F.lit(0))).first()
+    return table.hint("broadcast" if 32 * n + 8 * (more or 0) <= BROADCAST else "shuffle_hash")
+
+
+def without(docs: DataFrame, verdicts: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id has a true ``kept`` in ``verdicts`` (doc_id, kept); the columns as they are.
+
+    Only the ids that go are written and joined. While they are few, texts stay where they are.
+    """
+    gone = verdicts.groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("gone")
+    gone = beside(result(gone, "gone"))
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["gone"]), "left_anti")

@@ -10,8 +10,10 @@ wanted, the budget is raised from one bit up, links found join their leaves,
 and node pairs whose leaves all are of one class already go too; a bucket
 emits at most one edge a member, so a group of near copies makes no square.
 
-Buckets that hold too many are split: their members take the next bits of the
-trie as a second key and go to each pair of sub-tries within the budget.
+Buckets of more members than a task should traverse are dealt into even parts
+by a hash, as many as their size asks for, and every pair of parts is a bucket
+of its own: bits of the trie would leave a group of near copies mostly in one
+part, and none of their sub-tries is too far from another to be pruned.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
 from .components import components
-from .shared import Stored
+from .shared import Stored, result, scratch, without
 
 WORDS = 4
 BUDGET = 4
-#: Members of a bucket beyond which it is split.
-LARGE = 4_096
-#: Bits of the second key of a split bucket.
-SPLIT = 4
+#: Members that even buckets hold on average at most, and those beyond which a bucket is split.
+EVEN, LARGE = 1_024, 16_384
+#: Rows that a task should take in.
+ROWS = 500_000
 #: Node pairs expanded at once.
 AT_ONCE = 1 << 18
 
@@ -87,10 +89,10 @@ def blocks(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def enough_blocks(fingerprints: int, budget: int, large: int = LARGE) -> int:
-    """The fewest blocks at which even buckets of so many fingerprints hold a quarter of ``large`` at most; 2 (budget + 2) in any case."""
+def enough_blocks(fingerprints: int, budget: int, most: int = EVEN) -> int:
+    """The fewest blocks at which even buckets of so many fingerprints hold ``most`` at most; 2 (budget + 2) in any case."""
     n = budget + 1
-    while n < 2 * (budget + 2) and fingerprints / 2.0 ** (64 * (n - budget) // n) > large / 4:
+    while n < 2 * (budget + 2) and fingerprints / 2.0 ** (64 * (n - budget) // n) > most:
         n += 1
     return n
 
@@ -203,42 +205,42 @@ def pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[n
 
 
 def bucket_edges(distinct: DataFrame, budget: int, large: int = LARGE, n_blocks: int | None = None) -> DataFrame:
-    """src, dst: for each bucket, edges from members to the smallest of their class there."""
-    spark = distinct.sparkSession
-    places = blocks(n_blocks or enough_blocks(distinct.count(), budget, large))
+    """src, dst: for each bucket, edges from members to the smallest of their class there. ``distinct`` (fp) must be stored."""
+    spark, there = distinct.sparkSession, distinct.count()
+    places = blocks(n_blocks or enough_blocks(there, budget))
     choices = list(combinations(range(len(places)), len(places) - budget))
 
-    def bits(k: int, most: int = 64) -> Column:
+    def bits(k: int) -> Column:
         shift, width = places[k]
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << min(width, most)) - 1).cast("bigint"))
+        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
-    keyed, following = [], F.lit(0).cast("bigint")
+    keyed = []
     for block, chosen in enumerate(choices):
         key = F.lit(0).cast("bigint")
         for k in chosen:
             key = F.shiftleft(key, places[k][1]).bitwiseOR(bits(k))
         keyed.append(F.struct(F.lit(block).alias("block"), key.alias("key")))
-        # the second key of a split bucket: bits of a block that is not its key, so that near copies spread
-        following = F.when(F.col("block") == block, bits(next(k for k in range(len(places)) if k not in chosen), SPLIT)).otherwise(following)
     rows = distinct.select("fp", F.explode(F.array(*keyed)).alias("b")).select("fp", "b.block", "b.key")
-    hot = rows.groupBy("block", "key").count().where(F.col("count") > large).select("block", "key", F.lit(True).alias("hot"))
+    counts = rows.groupBy("block", "key").count().where(F.col("count") > large)
+    hot = Stored(counts.select("block", "key", F.ceil(F.col("count") * 2 / large).cast("long").alias("parts")), "hot").df
     rows = rows.join(hot, ["block", "key"], "left")
-    near = [[y for y in range(1 << SPLIT) if (x ^ y).bit_count() <= budget] for x in range(1 << SPLIT)]
-    table = F.array(*[F.array(*[F.lit(min(x, y) << SPLIT | max(x, y)) for y in ys]) for x, ys in enumerate(near)])
-    rows = rows.withColumn("sub", F.when(F.col("hot"), table[following.cast("int")]).otherwise(F.array(F.lit(-1))))
-    rows = rows.select("fp", "block", "key", F.explode("sub").alias("sub"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(parts, "block", "key", "sub")
+    parts, own = F.coalesce("parts", F.lit(1).cast("long")), F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1).cast("long")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda other: F.least(own, other) * parts + F.greatest(own, other))
+    rows = rows.select("fp", "block", "key", F.explode(pair).alias("sub"))
+    more = hot.agg(F.sum(F.col("parts") * F.col("parts") * large)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, (there * len(choices) + more) // ROWS)
+    rows = rows.repartition(tasks, "block", "key", "sub")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
         fp = table["fp"].to_numpy().view(np.uint64)
-        key = (table["block"].to_numpy().astype(np.int64) << 52) + (table["sub"].to_numpy().astype(np.int64) + 1 << 40) + table["key"].to_numpy().astype(np.int64)
-        order = np.lexsort((fp, key))
-        fp, key = fp[order], key[order]
-        of = trie_classes(key, fp, budget)
+        by = [table[c].to_numpy() for c in ("sub", "key", "block")]
+        order = np.lexsort((fp, *by))
+        fp, by = fp[order], [x[order] for x in by]
+        bucket = np.cumsum(np.r_[False, np.any([x[1:] != x[:-1] for x in by], axis=0)])
+        of = trie_classes(bucket, fp, budget)
         edge = of != np.arange(len(of))
         yield pa.RecordBatch.from_arrays([pa.array(fp[edge].view(np.int64)), pa.array(fp[of[edge]].view(np.int64))], names=["src", "dst"])
 
@@ -254,19 +256,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of null ids only has a null component_id). Repeated rows give repeated
     rows; other columns are not read; an empty table gives an empty result.
     """
+    with scratch():
+        return result(components_of(docs, id_col, text_col, budget, words, large), "near")
+
+
+def components_of(docs: DataFrame, id_col: str, text_col: str, budget: int, words: int, large: int) -> DataFrame:
     rows = Stored(fingerprints(docs, id_col, text_col, words), "fingerprints").df
     owners = Stored(rows.groupBy("fp").agg(F.min("doc_id").alias("own")), "owners").df
-    edges = bucket_edges(owners.select("fp"), budget, large)
-    found = components(edges)
+    found = components(bucket_edges(owners.select("fp"), budget, large))
     members = owners.join(found, F.col("fp") == F.col("node"), "left").select("fp", "own", F.coalesce("component", "fp").alias("component"))
     members = Stored(members, "members").df
-    least = members.groupBy("component").agg(F.min("own").alias("component_id"))
-    labels = members.join(least, "component").select(F.col("fp").alias("of"), "component_id")
+    # what is aggregated is written before it is joined back, so that the joins can split a very large component or fingerprint
+    least = Stored(members.groupBy("component").agg(F.min("own").alias("component_id")), "least").df
+    labels = Stored(members.join(least, "component").select(F.col("fp").alias("of"), "component_id"), "labels").df
     return rows.join(labels, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of their component; rows of null id stay only where no other is near."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    with scratch():
+        found = components_of(docs, id_col, text_col, BUDGET, WORDS, LARGE)
+        return without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), id_col)

@@ -8,6 +8,7 @@ no budget of bits finds all of these, so the rest is found by prefixes: in any
 order of all shingles, two near sets share one among the first
 n - ceil(0.8 n) + 1 of each. Frequent shingles come last in that order, so that
 few texts meet in a bucket. Texts that are in one class already are not paired.
+Only prefixes are stored; whole sets are made again for the texts of pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
 from .components import components
-from .shared import Stored
+from .shared import Stored, beside, result, scratch, without
 from .simhash import BUDGET, bucket_edges, majority, shingle_digests, signed
 
 WORDS = 5
@@ -31,8 +32,6 @@ SIMILARITY = 0.8
 SAMPLE, FREQUENT = 20_000, 100_000
 #: Pairs formed at once, and rows of prefixes that a task should hold.
 AT_ONCE, ROWS = 1 << 20, 2_000_000
-#: Nodes of pairs that are broadcast at most.
-BROADCAST = 1_000_000
 
 
 def shingle_set(digests: bytes) -> np.ndarray:
@@ -58,41 +57,59 @@ def frequent_shingles(docs: DataFrame, words: int) -> list[int]:
     return [r.h for r in reversed(found.orderBy(F.desc("count"), "h").limit(FREQUENT).collect())]
 
 
+def node_of(shingles: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(shingles.tobytes()))
+
+
 def shingle_rows(docs: DataFrame, words: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """doc_id, node (digest of the set), fp, size, head (its prefix), rest: all members, frequent ones last."""
+    """doc_id, key, node (digest of the set), fp, size, head: the set's prefix when frequent ones come last."""
     names = np.array(frequent, np.int64)
     by_value = np.argsort(names)
     names = names[by_value]
 
-    def arrange(s: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray) -> np.ndarray:
+        n = len(s) - least_common(len(s), similarity) + 1
         if not len(names):
-            return s
+            return s[:n]
         at = np.minimum(np.searchsorted(names, s), len(names) - 1)
         known = names[at] == s
-        return np.r_[s[~known], s[known][np.argsort(by_value[at[known]])]]
+        rare = s[~known]
+        return rare[:n] if len(rare) >= n else np.r_[rare, s[known][np.argsort(by_value[at[known]])][: n - len(rare)]]
 
     def make():
-        def step(ids, texts):
-            nodes, fps, sizes, heads, rests = [], [], [], [], []
+        def step(ids, keys, texts):
+            nodes, fps, sizes, heads = [], [], [], []
             for t in texts:
                 digests = shingle_digests(t, words)
                 s = shingle_set(digests)
-                nodes.append(signed(xxhash.xxh64_intdigest(s.tobytes())))
+                nodes.append(node_of(s))
                 fps.append(signed(majority(digests)) if digests else 0)
                 sizes.append(len(s))
-                s, prefix = arrange(s), len(s) - least_common(len(s), similarity) + 1
-                heads.append(s[:prefix])
-                rests.append(s[prefix:])
-            return ids, nodes, fps, sizes, heads, rests
+                heads.append(prefix(s))
+            return ids, keys, nodes, fps, sizes, heads
 
         return step
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_lists(docs, make, f"doc_id {kind}, node long, fp long, size int, head array<long>, rest array<long>")
+    return map_lists(docs.select("doc_id", "key", "text"), make, f"doc_id {kind}, key long, node long, fp long, size int, head array<long>")
+
+
+def whole_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node, s: the sets of shingles of the texts."""
+
+    def make():
+        def step(texts):
+            sets = [shingle_set(shingle_digests(t, words)) for t in texts]
+            return [node_of(s) for s in sets], sets
+
+        return step
+
+    return map_lists(docs.select("text"), make, "node long, s array<long>")
 
 
 def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """a, b: nodes of two classes that share a shingle of their prefixes and whose sizes and places there allow the similarity."""
+    rows = Stored(rows, "prefixes").df
     wanted = rows.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, wanted // ROWS)
     keyed = rows.select("node", "class", "size", F.posexplode("head").alias("at", "h")).repartition(parts, "h")
@@ -129,14 +146,13 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
     """src, dst: the pairs whose whole sets are so similar."""
     pairs = Stored(pairs.where("a <> b"), "pairs").df
-    there = Stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "paired").df
-    if there.count() <= BROADCAST:  # else all sets would be shuffled
-        there = F.broadcast(there)
-    sets = rows.join(there, "node", "left_semi").select("node", F.concat("head", "rest").alias("s"))
-    sets = Stored(sets.dropDuplicates(["node"]), "sets").df
+    there = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = rows.select("node", "key").join(there, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    keys = beside(Stored(keys.select("key").distinct(), "paired").df)
+    sets = Stored(whole_sets(docs.join(keys, "key", "left_semi"), words).dropDuplicates(["node"]), "sets").df
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -146,27 +162,33 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, component_id of each row: the smallest doc_id reachable over pairs of at least the similarity.
 
     Texts without words are alike; null is empty text. A null id is passed over
-    in the minimum, repeated rows give repeated rows.
+    in the minimum, repeated rows give repeated rows, other columns are not
+    read, an empty table gives an empty result.
     """
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with scratch():
+        return result(classes_of(docs, id_col, text_col, similarity, words, budget), "near-copies")
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int, budget: int) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     rows = Stored(shingle_rows(docs, words, similarity, frequent_shingles(docs, words)), "shingles").df
     first = Stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints").df
-    same = rows.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    same = rows.select("fp", "node").distinct().join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = bucket_edges(first.select("fp"), budget).distinct()
     found = found.join(first.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
-    edges = Stored(verified(same.union(found).distinct(), rows, similarity), "near").df
+    edges = Stored(verified(same.union(found).distinct(), docs, rows, similarity, words), "near").df
     classes = components(edges).withColumnRenamed("component", "class")
-    apart = rows.select("node", "size", "head").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    more = verified(prefix_pairs(apart, similarity), rows, similarity)
-    classes = components(Stored(edges.union(more), "near").df)
-    members = rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    members = Stored(members, "members").df
-    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    apart = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("head").alias("head")).join(classes, "node", "left")
+    more = verified(prefix_pairs(apart.withColumn("class", F.coalesce("class", "node")), similarity), docs, rows, similarity, words)
+    classes = Stored(components(Stored(edges.union(more), "near").df), "classes").df
+    members = Stored(rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "members").df
+    least = Stored(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least").df
     return members.join(least, "component").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of their component; rows of null id stay only where no other is near."""
-    found = near_copies(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    with scratch():
+        found = classes_of(docs, id_col, text_col, SIMILARITY, WORDS, BUDGET)
+        return without(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), id_col)

@@ -49,10 +49,10 @@ def test_stage_finds_all_pairs_of_the_similarity(spark):
 
 def test_prefixes_alone_find_all_pairs(spark):
     texts = [t for seed in range(6) for t in altered(seed, 12)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long")
     rows = similar.shingle_rows(df, 5, 0.8, similar.frequent_shingles(df, 5)).cache()
     node = {r.doc_id: r.node for r in rows.collect()}
-    got = {(r.src, r.dst) for r in similar.verified(similar.prefix_pairs(rows.withColumnRenamed("doc_id", "class"), 0.8), rows, 0.8).collect()}
+    got = {(r.src, r.dst) for r in similar.verified(similar.prefix_pairs(rows.withColumnRenamed("doc_id", "class"), 0.8), df, rows, 0.8, 5).collect()}
     sets = [shingles(t) for t in texts]
     assert got == {tuple(sorted((node[a], node[b]))) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])}
 
