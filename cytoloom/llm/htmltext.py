@@ -39,7 +39,11 @@ BAD = frozenset(
 )
 TAGS = ("p", "div", "section", "article", "main", "body", "html", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "#text")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Where the search for an open p stops.
+HOLDS_P = ("td", "th", "table", "button", "object", "caption")
+
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPLIT = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -70,14 +74,64 @@ def tokens_of(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Index behind the tag whose attributes start at ``at``. Quotes count behind an equals sign; one that nothing closes does not.
+
+    ``last``: the last place of either quote in the page, so that no search for a closing one fails at length.
+    """
+    while m := STOP.search(page, at):
+        k = m.start()
+        if page[k] == ">":
+            return k + 1
+        before = k - 1
+        while page[before].isspace():
+            before -= 1
+        at = page.index(page[k], k + 1) + 1 if page[before] == "=" and k < last[page[k]] else k + 1
+    return len(page)
+
+
+class Open:
+    """The open elements, with the places of each tag and of blocks among them, so that no search walks through all."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.links = [root], [0], 0
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if not node.inline:
+            self.blocks.append(len(self.stack))
+        self.links += node.tag == "a"
+        self.stack.append(node)
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost element of one of the tags, 0 if there is none."""
+        return max((found[-1] for t in tags if (found := self.places.get(t))), default=0)
+
+    def close(self, k: int) -> None:
+        """Ends the element at place ``k`` and all within."""
+        while len(self.stack) > k:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if not node.inline:
+                self.blocks.pop()
+            self.links -= node.tag == "a"
+
+    @property
+    def block(self) -> Node:
+        return self.stack[self.blocks[-1]]
+
+
 def parse(page: str) -> Node:
-    """Tree of block elements; text, inline elements' included, in #text leaves below the blocks."""
+    """Tree of block elements; text, inline elements' included, in #text leaves below the blocks. Linear in the page."""
     root = Node("#root", None)
-    at, stack, link = root, [root], 0
-    end, pos, n = 0, 0, len(page)
+    open_ = Open(root)
+    last = {quote: page.rfind(quote) for quote in "\"'"}
+    done, pos, n = 0, 0, len(page)
 
     def text(piece: str) -> None:
-        if not piece or at.silent or stack[-1].silent:
+        at = open_.block
+        if not piece or at.silent or open_.stack[-1].silent:
             return
         leaf = at.kids[-1] if at.kids and at.kids[-1].tag == "#text" else None
         if leaf is None:
@@ -87,65 +141,49 @@ def parse(page: str) -> Node:
             at.kids.append(leaf)
         piece = entities.unescape(piece)
         leaf.parts.append(piece)
-        if link:
+        if open_.links:
             leaf.links += len(piece)
 
-    def close(k: int) -> None:
-        nonlocal at, link
-        for node in stack[k:]:
-            link -= node.tag == "a"
-        if any(not node.inline for node in stack[k:]):
-            at = next(x for x in reversed(stack[:k]) if not x.inline)
-        del stack[k:]
-
-    while pos < n:
-        m = TOKEN.search(page, pos)
+    while (start := page.find("<", pos)) >= 0:
+        mark = page[start + 1 : start + 2]
+        m = NAME.match(page, start + 1)
+        if m is None and mark not in ("!", "?"):
+            pos = start + 1  # a lone < is text
+            continue
+        text(page[done:start])
         if m is None:
-            break
-        text(page[end : m.start()])
-        end = pos = m.end()
-        if m[2] is None:
+            ends = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(ends, start + 2)
+            done = pos = n if end < 0 else end + len(ends)
             continue
-        tag = m[2].lower()
+        done = pos = tag_end(page, m.end(), last)
+        tag, given = m[2].lower(), page[m.end() : pos].removesuffix(">")
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if not stack[k].inline and tag not in BLOCK:
-                    break  # an inline end tag does not end a block
+            k = open_.nearest((tag,))
+            if k and (tag in BLOCK or open_.blocks[-1] <= k):  # an inline end tag does not end a block
+                open_.close(k)
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in ("td", "th", "table", "button", "object", "caption"):
-                    break
+        if tag in ENDS_P and (k := open_.nearest(("p",))) > open_.nearest(HOLDS_P):
+            open_.close(k)
         if tag in ENDS:
             ended, beyond = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ended:
-                    close(k)
-                    break
-                if stack[k].tag in beyond:
-                    break
+            if (k := open_.nearest(ended)) > open_.nearest(beyond):
+                open_.close(k)
+        at = open_.block
         if tag in VOID:
             text(" " if tag in ("br", "wbr", "hr", "img") else "")
             if tag == "hr":
                 at.kids.append(Node("hr", at))
             continue
         inline = tag not in BLOCK and tag not in SILENT
-        node = Node(tag, at, frozenset() if inline else tokens_of(m[3]), inline)
+        node = Node(tag, at, frozenset() if inline else tokens_of(given), inline)
         if not inline:
             at.kids.append(node)
-            at = node
-        stack.append(node)
-        link += tag == "a"
-        if tag in RAW and not (m[3] or "").rstrip().endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, end)
-            end = pos = stop.start() if stop else n
-    text(page[end:])
+        open_.push(node)
+        if tag in RAW and not given.rstrip().endswith("/"):
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
+            done = pos = stop.start() if stop else n
+    text(page[done:])
     return root
 
 
@@ -307,7 +345,7 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, set[str]]]:
         return " ".join(r.choices(stock, k=r.randint(a, b)))
 
     def sentence() -> str:
-        return words(1, 18).capitalize() + r.choice([".", ".", ".", "?", "!", ".***"])
+        return words(1, 18).capitalize() + r.choice([".", ".", ".", "?", "!"])
 
     def prose(a: int = 1, b: int = 8) -> str:
         return " ".join(sentence() for _ in range(r.randint(a, b)))
@@ -330,7 +368,8 @@ def sample_pages(n: int, seed: int = 7) -> list[tuple[str, set[str]]]:
         if kind == "header":
             tag = r.choice(["header", "div"])
             start = named(tag, "masthead", "site-header", "topbar") if tag == "div" else "<header>"
-            return start + f"<{r.choice(['p', 'div', 'h2'])}>{words(1, 6)}</{'p'}>" * (r.random() < 0.3) + f"<a href='/'>{words(1, 3)}</a><p>{words(2, 8)}</p></{tag}>"
+            own = r.choice(["p", "div", "h2"])
+            return start + f"<{own}>{words(1, 6)}</{own}>" * (r.random() < 0.3) + f"<a href='/'>{words(1, 3)}</a><p>{words(2, 8)}</p></{tag}>"
         if kind == "ad":
             return f'<div class="{r.choice(["ad", "ads", "advert", "sponsored", "promo banner", "ad-slot"])}">{r.choice([prose(1, 2), f"<p>{prose(1, 2)}</p>", f"<a href=#>{words(2, 8)}</a>"])}</div>'
         if kind == "cookie":

@@ -127,6 +127,8 @@ class KneserNey:
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """Sets, from rows not fitted on, what cost a language still accepts and how sharp scores are."""
+        if not self.langs:
+            return
         scorer, costs, truth = Scorer(self), [], []
         for k, lang in enumerate(self.langs):
             own = np.array([scorer.entropy(t) for t in texts.get(lang, []) if letters(t)]).reshape(-1, len(self.langs))
@@ -190,7 +192,11 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> KneserNey:
-    """A model fitted on at most ``rows`` rows a language that are not held out; a quarter as many more calibrate it."""
+    """A model fitted on at most ``rows`` rows a language that are not held out; a quarter as many more calibrate it.
+
+    At most ``sampling.CLASSES`` languages, those with the most rows, are learned, from texts of at most
+    ``sampling.LONGEST`` characters. Without any such row the model knows no language.
+    """
     known = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     known = known.select(F.col(f"`{lang_col}`").alias("class"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("string").alias("key"))
     drawn, _ = draw(known, rows + rows // 4, F.col("key"))

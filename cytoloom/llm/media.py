@@ -28,17 +28,23 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         m = TOKEN.match(data, at)
         if not m:
             raise ValueError("header cut short")
+        if not m[1].isdigit() or len(m[1]) > 9:
+            raise ValueError("bad number in the header")
         head.append(int(m[1]))
         at = m.end()
     width, height, top = head[0], head[1], head[2] if len(head) > 2 else 1
     if not 0 < top < 65536:
         raise ValueError("bad maximum")
+    if width * height > 8 * len(data):
+        raise ValueError("fewer samples than the header tells")
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
     kind_of = np.dtype(np.uint8 if top < 256 else ">u2")
     if kind == b"P1":
         flat = np.frombuffer(re.sub(rb"#[^\n]*|\s", b"", data[at:]), np.uint8) - 48
     elif kind in (b"P2", b"P3"):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split(), dtype=np.int64)
+        flat = np.array([min(int(x), 65536) for x in re.sub(rb"#[^\n]*", b"", data[at:]).split()], dtype=np.int64)
+        if len(flat) and not 0 <= flat.min() <= flat.max() <= top:
+            raise ValueError("a sample beyond the maximum")
     elif kind == b"P4":
         rows = np.frombuffer(data, np.uint8, height * (-(-width // 8)), at + 1).reshape(height, -1)
         flat = np.unpackbits(rows, axis=1)[:, :width].reshape(-1)
@@ -65,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("unsupported BMP")
     stride = (width * bits + 31) // 32 * 4
+    if width <= 0 or start + stride * abs(height) > len(data):
+        raise ValueError("fewer samples than the header tells")
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     if bits >= 24:
         out = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
@@ -125,20 +133,32 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(pixels: np.ndarray, size: int = 32) -> list[tuple[int, int, bytes]]:
-    """(row, column, NPY bytes) of an image resized to a multiple of ``size`` no larger than needed to hold it."""
+def tiles(pixels: np.ndarray, size: int = 32) -> list[tuple[int, int, bytes, str]]:
+    """(row, column, NPY bytes, difference hash) of an image resized to a multiple of ``size`` no larger than needed to hold it."""
     down, across = (max(1, -(-n // size)) for n in pixels.shape[:2])
-    channels = [area_resize(c.astype(float), down * size, across * size) for c in np.atleast_3d(pixels).transpose(2, 0, 1)]
+    channels = [area_resize(c, down * size, across * size) for c in np.atleast_3d(pixels).transpose(2, 0, 1)]
     whole = np.clip(np.rint(np.stack(channels, axis=-1)), 0, 255).astype(np.uint8)
-    return [(r, c, npy(whole[r * size : (r + 1) * size, c * size : (c + 1) * size])) for r in range(down) for c in range(across)]
+    parts = [(r, c, whole[r * size : (r + 1) * size, c * size : (c + 1) * size]) for r in range(down) for c in range(across)]
+    return [(r, c, npy(tile), difference_hash(grey(tile))) for r, c, tile in parts]
+
+
+def features_of(blob: bytes, tile: int = 32) -> tuple[np.ndarray, str, list[dict]]:
+    """The decoded pixels of an encoded image, its difference hash and its tiles; ValueError where it can't be read."""
+    try:
+        pixels = decode_image(blob)
+    except (IndexError, OverflowError) as e:
+        raise ValueError(str(e)) from e
+    if not pixels.size:
+        raise ValueError("no pixels")
+    return pixels, difference_hash(grey(pixels)), [dict(zip(("row", "col", "npy", "hash"), t)) for t in tiles(pixels, tile)]
 
 
 def media_features(images: DataFrame, id_col: str = "id", bytes_col: str = "data", tile: int = 32) -> DataFrame:
-    """id, height, width, feature (difference hash), tiles array<struct<row, col, npy>>, error of encoded images.
+    """id, height, width, feature (difference hash), tiles array<struct<row, col, npy, hash>>, error of encoded images.
 
     Bytes that are null, empty or no image this module reads give nulls, no
     tiles and the reason in error; repeated rows give repeated rows; other
-    columns are not read.
+    columns are not read; an empty table gives an empty result.
     """
 
     def make():
@@ -146,11 +166,9 @@ def media_features(images: DataFrame, id_col: str = "id", bytes_col: str = "data
             out = ids, [], [], [], [], []
             for blob in blobs:
                 try:
-                    pixels = decode_image(blob or b"")
-                    if not pixels.size:
-                        raise ValueError("no pixels")
-                    found = *pixels.shape[:2], difference_hash(grey(pixels)), [dict(zip(("row", "col", "npy"), t)) for t in tiles(pixels, tile)], None
-                except (ValueError, IndexError) as e:
+                    pixels, feature, parts = features_of(blob or b"", tile)
+                    found = *pixels.shape[:2], feature, parts, None
+                except ValueError as e:
                     found = None, None, None, [], str(e)
                 for column, value in zip(out[1:], found):
                     column.append(value)
@@ -159,32 +177,50 @@ def media_features(images: DataFrame, id_col: str = "id", bytes_col: str = "data
         return step
 
     kind = dict(images.dtypes)[id_col]
-    rows = images.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{bytes_col}`"))
-    return map_lists(rows, make, f"id {kind}, height int, width int, feature string, tiles array<struct<row:int,col:int,npy:binary>>, error string")
+    rows = images.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{bytes_col}`").alias("data"))
+    return map_lists(rows, make, f"id {kind}, height int, width int, feature string, tiles array<struct<row:int,col:int,npy:binary,hash:string>>, error string")
 
 
-def text_picture(text: str | None) -> tuple[int, bytes, bytes]:
-    """Length of the UTF-8 text, the P6 image that stores it padded with spaces, and the payload read back from that."""
+def text_picture(text: str | None) -> tuple[int, bytes]:
+    """Length of the UTF-8 text, and the image that stores it padded with spaces: P6 of ASCII texts, else 24-bit BMP."""
     data = (text or "").encode()
     padded = data + b" " * (-len(data) % (3 * WIDTH) if data else 3 * WIDTH)
-    stored = encode_ppm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH, 3))
-    return len(data), stored, decode_netpbm(stored).tobytes()
+    pixels = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH, 3)
+    return len(data), encode_ppm(pixels) if data.isascii() else encode_bmp(pixels)
+
+
+def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, data: texts stored losslessly as images. Null text is empty text, one row of spaces."""
+
+    def make():
+        def step(ids, texts):
+            stored = [text_picture(t) for t in texts]
+            return ids, [n for n, _ in stored], [d for _, d in stored]
+
+        return step
+
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return map_lists(rows, make, f"doc_id {kind}, n_bytes long, data binary")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored losslessly as P6 images: sizes, digests and the difference hash of what is read back.
+    """Texts stored losslessly as images: sizes and digests of what is read back, its difference hash and its NPY tiles' number and digest.
 
     Null text is empty text, one row of spaces. Null ids, repeated rows and
-    equal texts each give a row. Other columns are not read.
+    equal texts each give a row. Other columns are not read. An empty table
+    gives an empty result.
     """
 
     def make():
         def step(ids, texts):
-            out = ids, [], [], [], [], [], [], []
+            out = ids, [], [], [], [], [], [], [], [], []
             for text in texts:
-                n, stored, payload = text_picture(text)
-                pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-                found = n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(grey(pixels))
+                n, stored = text_picture(text)
+                pixels, feature, parts = features_of(stored)
+                payload = pixels.tobytes()
+                written = hashlib.sha256(b"".join(t["npy"] for t in parts)).hexdigest()
+                found = n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(parts), written
                 for column, value in zip(out[1:], found):
                     column.append(value)
             return out
@@ -192,5 +228,5 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return step
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`"))
-    return map_lists(rows, make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return map_lists(rows, make, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles int, tiles_sha256 string")

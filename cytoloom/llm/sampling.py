@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAIN = 1 << 20
+#: Classes at most, those with the most rows, and characters of a text that is drawn at most.
+CLASSES, LONGEST = 1_000, 100_000
 
 
 def draw(rows: DataFrame, most: int, key: Column) -> tuple[DataFrame, Counter]:
     """Of rows with a column ``class``, about ``most`` to twice as many a class by a hash of ``key``, in column ``h``;
     and how many rows there are of each class. Nothing is shuffled but the counts."""
-    there = Counter({r[0]: r[1] for r in rows.groupBy("class").count().collect()})
+    counts = rows.groupBy("class").count().orderBy(F.desc("count"), "class").limit(CLASSES)
+    there = Counter({r[0]: r[1] for r in counts.collect()})
     rows = rows.withColumn("h", F.pmod(F.xxhash64(key), F.lit(GRAIN)))
     taken = F.lit(False)
     for c, n in there.items():
@@ -22,8 +25,9 @@ def draw(rows: DataFrame, most: int, key: Column) -> tuple[DataFrame, Counter]:
 
 
 def smallest(drawn: DataFrame, most: int) -> list[tuple]:
-    """(text, class) of the ``most`` smallest hashes of each class among drawn rows of class, h, text."""
+    """(text, class) of the ``most`` smallest hashes of each class among drawn rows of class, h, text; one text a hash,
+    so that an id that repeats does not add to what is collected, and none beyond ``LONGEST``."""
     kept = defaultdict(list)
-    for r in drawn.select("class", "h", "text").collect():
+    for r in drawn.where(F.char_length("text") <= LONGEST).groupBy("class", "h").agg(F.min("text").alias("text")).collect():
         kept[r[0]].append((r[1], r[2]))
     return [(t, c) for c in sorted(kept) for _, t in sorted(kept[c])[:most]]

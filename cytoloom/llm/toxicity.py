@@ -188,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(f"`{label_col}`").isin(0, 1) & ~held_out(id_col))
     known = known.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("class"))
     drawn, there = draw(known, rows, F.col("__id").cast("string"))
-    # at most about 4 x rows ids, whatever the input: small enough to broadcast, so that no text is shuffled
-    drawn = F.broadcast(drawn.select("__id", "class", "h"))
+    # at most about 4 x rows distinct ids, whatever the input: small enough to broadcast, so that no text is shuffled
+    drawn = F.broadcast(drawn.select("__id", "class", "h").distinct())
     texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = smallest(texts.join(drawn, F.col("__doc") == F.col("__id")), rows)
     return Toxicity(found, there)

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -157,6 +158,9 @@ def test_language_edges(odd, empty):
     assert out[0].lang_pred == out[1].lang_pred == out[3].lang_pred == "und" and out[4].lang_pred in ("en", "de")
     assert langid.identify(empty, model).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, langid.KneserNey({})).collect()} == {"und"}
+    for docs in (empty, odd.withColumn("lang", F.lit(None).cast("string"))):
+        assert {r.lang_pred for r in langid.identify(odd, langid.train(docs)).collect()} == {"und"}
+    assert langid.identify(odd, langid.train(odd)).count() == odd.count()
 
 
 # pages
@@ -194,6 +198,55 @@ def test_page_texts(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+#: Written by hand, unlike the pages that the model is trained on.
+HAND_WRITTEN = [
+    (
+        """<!doctype html><html lang="en"><head><meta charset=utf-8><title>How bread rises</title><style>p{color:red}</style></head><body>
+        <div id="top"><a href="/">The Kitchen Gazette</a><ul class="menu"><li><a href="/a">Recipes</a></li><li><a href="/b">Tools</a></li><li><a href="/c">About us</a></li></ul></div>
+        <div class="post"><h1>How bread rises</h1><p>Yeast eats sugar and gives off gas. The gas is caught in a web of <em>gluten</em>, which stretches as the dough is worked.</p>
+        <p>A warm room speeds this up; a cold one slows it down &mdash; but slow dough tastes better.</p><h2>What to watch for</h2><ul><li>The dough should double in size.</li><li>A finger mark should fill slowly.</li></ul></div>
+        <div id="comments"><h3>3 comments</h3><div class="comment"><b>Ann</b><p>Mine never doubles. What am I doing wrong here?</p></div></div>
+        <div class="footer">&copy; 2019 The Kitchen Gazette. All rights reserved.</div></body></html>""",
+        ["How bread rises", "Yeast eats sugar and gives off gas. The gas is caught in a web of gluten, which stretches as the dough is worked.", "A warm room speeds this up; a cold one slows it down — but slow dough tastes better.", "What to watch for", "The dough should double in size.", "A finger mark should fill slowly."],
+        ["Recipes", "Mine never doubles", "All rights reserved", "3 comments", "color:red"],
+    ),
+    (
+        """<body><header><h2>City News</h2><nav><a href=1>Local</a> <a href=2>Sport</a></nav></header><div class="cookie-banner"><p>We use cookies to make this site work. By going on you accept them.</p><button>Accept</button></div>
+        <main><article><h1>Bridge to close for repairs</h1><p>The old bridge over the river will close on Monday, the council said.<p>Work is to last for six weeks. Buses will go by another road, and people on foot may cross by boat.
+        <aside class="related"><h4>Read more</h4><ul><li><a href=3>Ten years of the bridge in pictures</a></li><li><a href=4>New bus times</a></li></ul></aside><blockquote><p>We know that this is hard for shops on the bank.</p></blockquote></article></main>
+        <form action=/subscribe><p>Get our letter every week.</p><input name=mail><button>Sign up</button></form><footer><p>Contact the desk by post or by phone.</p></footer>""",
+        ["Bridge to close for repairs", "The old bridge over the river will close on Monday, the council said.", "Work is to last for six weeks. Buses will go by another road, and people on foot may cross by boat.", "We know that this is hard for shops on the bank."],
+        ["cookies", "Read more", "Sign up", "our letter", "Contact the desk", "Sport"],
+    ),
+]
+
+
+@pytest.mark.parametrize("page,wanted,unwanted", HAND_WRITTEN)
+def test_pages_written_by_hand(page, wanted, unwanted):
+    (text,) = htmltext.extract_all([page], htmltext.trained())
+    assert text.split("\n") == wanted and not any(u in text for u in unwanted)
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    pages = ["<div>" * 100_000 + "x", "<a " * 100_000 + '"', "<span></i>" * 50_000, "<p>" * 50_000, "<!" * 100_000, "<" * 200_000, "<p a='" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<table><tr><td><p>" * 10_000, "<p x=" + " " * 100_000 + '"' * 50_000]
+    htmltext.extract_all(pages, htmltext.trained())
+    assert time.time() - began < 60
+
+
+def test_quotes_that_nothing_closes_leave_no_markup():
+    page = "<article><p class=\"x>Hello there, this is a long text with words in it.</p><p title='it>And here is <b id=\">more of it, with other words.</b></p></article>"
+    (text,) = htmltext.extract_all([page], htmltext.trained())
+    assert text == "Hello there, this is a long text with words in it.\nAnd here is more of it, with other words."
+
+
+def test_pages_repeated_long_and_with_other_columns(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {k} of a long page, which has a good many words in it.</p>" for k in range(3000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "y"), (2, None, "<p>", "z")], "page_id long, url string, html string, text string")
+    out = htmltext.main_text(df).collect()
+    assert len(out) == 3 and out[0] == out[1] and len(out[0].text.split("\n")) == 3000 and (out[2].url, out[2].text) == (None, "")
+
+
 # toxicity
 
 
@@ -397,18 +450,57 @@ def test_resize_is_the_area_mean():
     assert media.area_resize(image, 4, 3) == pytest.approx(fine.reshape(4, 6, 3, 10).mean(axis=(1, 3)))
 
 
+def slow_resize(image, height, width):
+    """Area means pixel by pixel."""
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            top, left, low, right = i * image.shape[0] / height, j * image.shape[1] / width, (i + 1) * image.shape[0] / height, (j + 1) * image.shape[1] / width
+            total = 0.0
+            for y in range(int(top), min(image.shape[0], int(np.ceil(low - 1e-12)))):
+                for x in range(int(left), min(image.shape[1], int(np.ceil(right - 1e-12)))):
+                    total += image[y, x] * (min(low, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+            out[i, j] = total / ((low - top) * (right - left))
+    return out
+
+
 def test_media_columns(spark, odd, empty):
+    forms = set()
     for r in media.text_media(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
         data = text_of(r).encode()
         payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r.media_sha256 == hashlib.sha256(media.text_picture(r.text)[1]).hexdigest()
+        stored = media.text_picture(r.text)[1]
+        forms.add(stored[:2])
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and r.media_bytes == len(stored)
+        if len(payload) > 2_000:
+            continue
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(float)
+        small = np.round(slow_resize(pixels @ [0.299, 0.587, 0.114], 8, 9), 6)
+        assert r.feature == f"{int(''.join(str(int(a < b)) for row in small for a, b in zip(row, row[1:])), 2):016x}"
+        whole = np.rint(np.stack([slow_resize(pixels[:, :, k], 32 * -(-len(pixels) // 32), 64) for k in range(3)], axis=-1)).astype(np.uint8)
+        written = []
+        for at in range(0, len(whole), 32):
+            for left in (0, 32):
+                out = io.BytesIO()
+                np.save(out, whole[at : at + 32, left : left + 32])
+                written.append(out.getvalue())
+        assert (r.n_tiles, r.tiles_sha256) == (len(written), hashlib.sha256(b"".join(written)).hexdigest())
+    assert forms == {b"P6", b"BM"}
     assert media.text_media(empty).count() == 0
+
+
+def test_image_tables(spark, odd):
     rgb = np.random.default_rng(0).integers(0, 256, (40, 70, 3), dtype=np.uint8)
-    images = spark.createDataFrame([(1, bytearray(media.encode_bmp(rgb))), (2, bytearray(b"x")), (3, None), (4, bytearray(media.encode_ppm(rgb)))], "id int, data binary")
+    bad = [b"x", None, b"", b"P5 99999999999999999999999 1 255 ", b"P5 9 9999999 255 ab", b"P2 2 1 255 1 99999999999999999999999", b"P2 2 1 255 1 -4", b"P6 2 2 255 abc", b"BM" + bytes(60), b"BM" + b"\xff" * 60, b"P4"]
+    images = spark.createDataFrame([(1, bytearray(media.encode_bmp(rgb))), (4, bytearray(media.encode_ppm(rgb))), *[(10 + k, None if b is None else bytearray(b)) for k, b in enumerate(bad)]], "id int, data binary")
     out = {r.id: r for r in media.media_features(images).collect()}
-    assert out[1].feature == out[4].feature and len(out[1].tiles) == 6 and out[2].error and out[3].feature is None
-    assert np.load(io.BytesIO(out[1].tiles[0].npy)).shape == (32, 32, 3)
+    assert out[1].feature == out[4].feature and len(out[1].tiles) == 6
+    assert np.load(io.BytesIO(out[1].tiles[0].npy)).shape == (32, 32, 3) and len(out[1].tiles[5].hash) == 16
+    assert all(out[10 + k].error and out[10 + k].feature is None and not out[10 + k].tiles for k in range(len(bad)))
+    assert media.media_features(images.limit(0)).count() == 0
+    stored = {r.id: (r.feature, len(r.tiles)) for r in media.media_features(media.text_images(odd), "doc_id").collect()}
+    assert stored == {r.doc_id: (r.feature, r.n_tiles) for r in media.text_media(odd).collect()}
 
 
 # simhash
