@@ -29,8 +29,9 @@ from .arrowmap import map_lists
 
 #: Symbols from which a heap replaces the scan.
 LONG = 96
-#: Words (and as many space-delimited chunks) whose ids a process keeps; beyond it starts anew.
-KEPT = 300_000
+#: Bytes of words and ids (and as many of space-delimited chunks) in a generation of a process's cache, what an entry takes
+#: beside them, and characters of a word beyond which it is not kept.
+KEPT, ENTRY, LONGEST = 64 << 20, 200, 256
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
@@ -62,26 +63,28 @@ def tangled(text: str) -> bool:
 class Words(dict):
     """Ids of words as little-endian bytes, made when first asked for.
 
-    Two generations: when the young one is full it becomes the old one, and
-    words that are asked for again come back from there, so frequent words stay.
+    Two generations of bounded size: when the young one is full it becomes the
+    old one, and words that are asked for again come back from there, so
+    frequent words stay.
     """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.size = encode, {}, 0
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self.encode(word)
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
+        if self.size > KEPT:
+            self.old, self.size = dict(self), 0
+            self.clear()
         self[word] = ids
+        self.size += len(word) + len(ids) + ENTRY
         return ids
 
-    def age(self) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-
 
 class RankBpe:
     def __init__(self, path: str):
@@ -188,8 +191,6 @@ class RankBpe:
 
     def packed(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit numbers; strings of special tokens become those, nothing is added."""
-        self.words.age()
-        self.chunks.age()
         if not any(token in text for token in self.special):
             return self.plain(text)
         out, start = [], 0

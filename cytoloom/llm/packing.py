@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .arrowmap import map_lists
-from .shared import Stored
+from .shared import Stored, result, scratch
 
 
 def two_closest(lengths: list[int], left: dict[int, int], room: int) -> tuple[int, int]:
@@ -135,37 +135,41 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` with sequence_id and offset; sequences have no gaps before their end.
 
     Needs a long column ``length`` from 1 to ``capacity``; the others are only
-    carried. Pieces that are alike in every column are interchangeable. Pieces
-    of one length are ranked in buckets whose number follows the number of
-    rows, so a length that a third of the pieces share makes no large task.
+    carried, whatever their names. Pieces of one length are ranked in buckets
+    whose number follows the number of rows; a random number written beside
+    each piece deals them, so neither a length that a third of the pieces
+    share nor a row that repeats as often makes a large task. The result is
+    written. No pieces give no rows.
     """
-    pieces = Stored(pieces, "pieces").df
-    buckets = max(64, pieces.count() // 50_000)
-    names = [c for c in pieces.columns]
-    pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
-    counts = Stored(pieces.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n")), "lengths").df
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    places = Places(plan(histogram, capacity))
-    before = Window.partitionBy("length").orderBy("__bucket")
-    firsts = counts.select("length", "__bucket", (F.sum("n").over(before) - F.col("n")).alias("__first"))
-    within = Window.partitionBy("length", "__bucket").orderBy(*names)
-    ranked = pieces.withColumn("__nth", F.row_number().over(within)).join(firsts, ["length", "__bucket"])
-    ranked = ranked.select(*names, (F.col("__first") + F.col("__nth") - 1).alias("__rank"))
+    names, kinds = pieces.columns, dict(pieces.dtypes)
     at = names.index("length")
-
-    def make():
-        def step(*columns):
-            sequence, offset = places.find(np.array(columns[at], np.int64), np.array(columns[-1], np.int64))
-            return *columns[:-1], sequence, offset
-
-        return step
-
-    kinds = dict(pieces.dtypes)
-    return map_lists(ranked, make, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id long, offset long")
+    with scratch():
+        # columns go by number meanwhile, so that no name clashes with the new ones
+        numbered = pieces.select(*[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(names)], F.rand().alias("salt"))
+        dealt = Stored(numbered, "pieces").df
+        buckets = max(64, dealt.count() // 50_000)
+        dealt = dealt.withColumn("bucket", F.floor(F.col("salt") * buckets)).withColumn("length", F.col(f"`{at}`"))
+        counts = Stored(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths").df
+        histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+        places = Places(plan(histogram, capacity))
+        before = Window.partitionBy("length").orderBy("bucket")
+        firsts = counts.select("length", "bucket", (F.sum("n").over(before) - F.col("n")).alias("first"))
+        within = Window.partitionBy("length", "bucket").orderBy("salt", *[str(k) for k in range(len(names))])
+        ranked = dealt.withColumn("nth", F.row_number().over(within)).join(firsts, ["length", "bucket"])
+        ranked = ranked.select(*[F.col(f"`{k}`") for k in range(len(names))], (F.col("first") + F.col("nth") - 1).alias("rank"))
+
+        def make():
+            def step(*columns):
+                sequence, offset = places.find(np.array(columns[at], np.int64), np.array(columns[-1], np.int64))
+                return *columns[:-1], sequence, offset
+
+            return step
+
+        return result(map_lists(ranked, make, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", sequence_id long, offset long"), "packed")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """All documents in sequences of at most ``capacity`` tokens.
+    """All documents in sequences of at most ``capacity`` tokens, as a written table.
 
     Null text is empty text, one end id. Null ids, repeated rows and equal
     texts each get a place of their own. Other columns are not read. An empty

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cytoloom.llm import bpe, components, exact, htmltext, langid, lines, media, packing, queries, shared, similar, simhash, tokencount, toxicity
 
@@ -76,8 +77,6 @@ def test_exact_of_nothing(empty):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_bpe_equals_the_library(name):
-    from tokenizers import Tokenizer
-
     mine, theirs = bpe.RankBpe(queries.vocabulary(name)), Tokenizer.from_file(queries.vocabulary(name))
     r = random.Random(5)
     stock = list("abcXYZ  \n\t\r\x0b\x1c\x85\xa0'sd0١²½Σσςİßé中😀​_-.,!<|>") + ["<|endoftext|>", " the", "'re", "é"]
@@ -96,15 +95,20 @@ def test_scan_and_heap_agree():
 
 
 def test_caches_age(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT", 2)
+    monkeypatch.setattr(bpe, "KEPT", 2 * bpe.ENTRY)
     b = bpe.RankBpe(queries.vocabulary("byte_bpe_50k.json"))
     first = [b.encode(t) for t in ("one two three four", "five six seven", "one two nine")]
     assert [b.encode(t) for t in ("one two three four", "five six seven", "one two nine")] == first
+    b.encode(" ".join(f"w{k}" for k in range(1000)) + " " + "z" * 10_000)  # in one text
+    assert len(b.words) < 9 and len(b.words.old) < 9 and max(map(len, b.chunks)) < 300
 
 
 def test_bpe_columns(odd, empty):
     path = queries.vocabulary("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
     for r in bpe.round_trip_digests(odd, path).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        ids = theirs.encode(text_of(r), add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(text_of(r).encode()).hexdigest()
     back = bpe.texts_of(bpe.token_ids(odd, path), path)
     assert sorted(r.text for r in back.collect()) == sorted(text_of(r) for r in odd.collect())
@@ -116,11 +120,14 @@ def test_bpe_columns(odd, empty):
 
 def test_counts_and_cache(spark, odd, empty, tmp_path):
     path, cache = queries.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
-    b = bpe.load(path)
-    want = sorted((str(r.doc_id), len(text_of(r).encode()), b.count(text_of(r)), b.count(text_of(r)) > 512) for r in odd.collect())
-    for _ in range(2):
-        assert sorted((str(r.doc_id), *r[1:]) for r in tokencount.token_counts(odd, path, cache).collect()) == want
-    assert spark.read.parquet(cache).count() == len({text_of(r) for r in odd.collect()})
+    theirs = Tokenizer.from_file(path)
+    count = lambda text: len(theirs.encode(text, add_special_tokens=False).ids)
+    copies = odd.unionByName(odd.where("doc_id > 2").withColumn("doc_id", F.col("doc_id") + 100)).unionByName(odd.where("doc_id > 2").withColumn("doc_id", F.col("doc_id") + 200))
+    others = spark.createDataFrame([(k, f"text number {k}") for k in range(300, 340)], "doc_id long, text string")
+    for docs in (others, odd, copies, others):  # few copies, repeated rows, more copies than texts, nothing new
+        want = sorted((str(r.doc_id), len(text_of(r).encode()), count(text_of(r)), count(text_of(r)) > 512) for r in docs.collect())
+        assert sorted((str(r.doc_id), *r[1:]) for r in tokencount.token_counts(docs, path, cache).collect()) == want
+    assert spark.read.parquet(cache).count() == len({text_of(r) for r in odd.collect()}) + 40
     assert tokencount.token_counts(empty, path, f"file://{tmp_path}/other").count() == 0
 
 
@@ -427,6 +434,9 @@ def test_packing_edges(odd, empty):
     rows = packing.pack_documents(odd, path, 64).collect()
     check_packed(rows, 64)
     assert sum(r.piece == 0 for r in rows) == odd.count()
+    same = odd.sparkSession.createDataFrame([(7, "bucket", "salt", 1, 2, 3)] * 500, "length long, bucket string, salt string, rank int, nth int, first int")
+    out = packing.pack(same, 64)
+    assert out.drop("sequence_id", "offset").dtypes == same.dtypes and check_packed(out.collect(), 64) == 56
     assert packing.pack_documents(empty, path).count() == 0
 
 
