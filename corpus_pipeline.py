@@ -1,4 +1,4 @@
-"""A corpus pipeline of the text operators: toxic documents, exact and near copies and repeated lines go, what is left is packed."""
+"""A corpus pipeline of the text operators: toxic documents, exact and near copies and repeated passages go, what is left is packed."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cytoloom.llm import exact, lines, packing, similar, toxicity
 from cytoloom.llm.queries import vocabulary
-from cytoloom.llm.shared import Stored
+from cytoloom.llm.shared import Stored, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one has; n_chars follows the text."""
+    """All documents, without passages that an earlier one has; n_chars follows the text."""
     cut = lines.remove_repeats(docs, spans="__spans")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
@@ -51,10 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on the documents, each written to the shared folder and read again."""
+    """The stages one after another on the documents, each written to the shared folder and read again; only the last one's table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = Stored(docs, name.replace(" ", "-")).df
+    with scratch():
+        for name, stage in STAGES:
+            docs = Stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), lasting=name == STAGES[-1][0]).df
     return docs
