@@ -78,6 +78,9 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+#: DuckDB SQL for a text with chr(1) where its units end.
+MARKED = r"regexp_replace(regexp_replace(coalesce(text, ''), '([.!?…])([ \t\r\f\x{0B}\x{A0}])', '\1' || chr(1) || '\2', 'g'), '[\n。！？]', '\0' || chr(1), 'g')"
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -92,7 +95,7 @@ ORACLE_SQL = {
             FROM rows)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM groups""",
     "op7_line_dedup": r"""
-        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '%UNIT%') AS units FROM documents),
+        WITH docs AS (SELECT doc_id, string_split(%MARKED%, chr(1)) AS units FROM documents),
         units AS (
             SELECT doc_id, pos, units[pos] AS unit_text,
                    trim(regexp_replace(lower(units[pos]), '[\s\x{A0}\x{0B}]+', ' ', 'g')) AS unit,
@@ -100,7 +103,7 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, units, unnest(range(1, len(units) + 1)) AS pos FROM docs)),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS later,
-                   row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, len(regexp_extract_all(unit, '%WORD%')) AS words
+                   row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, len(string_split(unit, ' ')) + len(regexp_extract_all(unit, '%UNSPACED%')) AS words
             FROM units WHERE unit <> ''),
         islands AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, later ORDER BY nth) AS run FROM ranked),
         sized AS (SELECT *, sum(CASE WHEN words >= 5 THEN words ELSE 0 END) OVER (PARTITION BY doc_id, later, run) AS in_run FROM islands),
@@ -113,5 +116,5 @@ ORACLE_SQL = {
             SELECT doc_id, string_agg(unit_text, '' ORDER BY pos) AS text
             FROM units WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM gone) GROUP BY doc_id)
         SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, length(coalesce(text, ''))::BIGINT AS n_chars, coalesce(text, '') AS text
-        FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""".replace("%UNIT%", lines.UNIT.replace("'", "''")).replace("%WORD%", lines.WORD),
+        FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""".replace("%MARKED%", MARKED).replace("%UNSPACED%", lines.UNSPACED),
 }

@@ -286,24 +286,11 @@ def test_toxicity_edges(spark, odd, empty):
 
 def sentences(text):
     """The units of a text, found without the operator's pattern."""
-    out, at, k = [], 0, 0
-    while k < len(text):
-        end = k + 1
-        if text[k] in ".!?…":
-            closers = end
-            while closers < len(text) and closers - end < 3 and text[closers] in "\"')]”’»":
-                closers += 1
-            blanks = closers
-            while blanks < len(text) and text[blanks] in " \t\r\f\x0b":
-                blanks += 1
-            if blanks > closers:
-                out.append(text[at:blanks])
-                at = k = blanks
-                continue
-        if text[k] in "\n。！？":
-            out.append(text[at:end])
-            at = end
-        k += 1
+    out, at = [], 0
+    for k, c in enumerate(text):
+        if c in "\n。！？\x01" or c in ".!?…" and text[k + 1 : k + 2] in tuple(" \t\r\f\x0b\xa0"):
+            out.append(text[at : k + 1])
+            at = k + 1
     return [*out, text[at:]] if at < len(text) else out
 
 
