@@ -8,7 +8,12 @@ no budget of bits finds all of these, so the rest is found by prefixes: in any
 order of all shingles, two near sets share one among the first
 n - ceil(0.8 n) + 1 of each. Frequent shingles come last in that order, so that
 few texts meet in a bucket. Texts that are in one class already are not paired.
-Only prefixes are stored; whole sets are made again for the texts of pairs.
+
+Pairs are then compared by parity sketches: each member flips one bit of a
+sketch of about as many bits as the set has members, so two sketches differ in
+at most as many bits as the sets in members. What sketches cannot rule out is
+verified on the whole sets, which are made again for the texts of those pairs;
+only prefixes and sketches are stored.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Documents of the sample that tells frequent shingles, and the most shingles it may name. They only set the order.
 SAMPLE, FREQUENT = 20_000, 100_000
+#: Bits of a sketch, at least and at most.
+NARROW, WIDE = 64, 1 << 16
 #: Pairs formed at once, and rows of prefixes that a task should hold.
 AT_ONCE, ROWS = 1 << 20, 2_000_000
 
@@ -61,8 +68,23 @@ def node_of(shingles: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(shingles.tobytes()))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the members in each of as many cells as there are members, up to a power of two."""
+    bits = min(WIDE, max(NARROW, 1 << (max(len(shingles), 1) - 1).bit_length()))
+    return np.packbits(np.bincount(shingles.astype(np.uint64) % np.uint64(bits), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def possible(a: bytes, b: bytes, sizes: int, similarity: float) -> bool:
+    """Whether sets of these sketches and of so many members in all may be so similar."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) != len(y):  # the wider one folds: a cell is then one of its members modulo half as many
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= sizes * (1 - similarity) / (1 + similarity) + 1e-9
+
+
 def shingle_rows(docs: DataFrame, words: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """doc_id, key, node (digest of the set), fp, size, head: the set's prefix when frequent ones come last."""
+    """doc_id, key, node (digest of the set), fp, size, sketch, head: the set's prefix when frequent ones come last."""
     names = np.array(frequent, np.int64)
     by_value = np.argsort(names)
     names = names[by_value]
@@ -78,20 +100,21 @@ def shingle_rows(docs: DataFrame, words: int, similarity: float, frequent: list[
 
     def make():
         def step(ids, keys, texts):
-            nodes, fps, sizes, heads = [], [], [], []
+            nodes, fps, sizes, sketches, heads = [], [], [], [], []
             for t in texts:
                 digests = shingle_digests(t, words)
                 s = shingle_set(digests)
                 nodes.append(node_of(s))
                 fps.append(signed(majority(digests)) if digests else 0)
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 heads.append(prefix(s))
-            return ids, keys, nodes, fps, sizes, heads
+            return ids, keys, nodes, fps, sizes, sketches, heads
 
         return step
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_lists(docs.select("doc_id", "key", "text"), make, f"doc_id {kind}, key long, node long, fp long, size int, head array<long>")
+    return map_lists(docs.select("doc_id", "key", "text"), make, f"doc_id {kind}, key long, node long, fp long, size int, sketch binary, head array<long>")
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -108,8 +131,10 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes of two classes that share a shingle of their prefixes and whose sizes and places there allow the similarity."""
-    rows = Stored(rows, "prefixes").df
+    """a, b: nodes of two classes that share a shingle of their prefixes and whose sizes and places there allow the similarity.
+
+    ``rows``: node, class, size, head; those of one node count once, but are better not repeated.
+    """
     wanted = rows.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, wanted // ROWS)
     keyed = rows.select("node", "class", "size", F.posexplode("head").alias("at", "h")).repartition(parts, "h")
@@ -143,21 +168,42 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             pair = np.unique(np.c_[np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "a long, b long").distinct()
+    return keyed.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
     """src, dst: the pairs whose whole sets are so similar."""
-    pairs = Stored(pairs.where("a <> b"), "pairs").df
+    nodes = rows.groupBy("node").agg(F.min(F.struct("size", "sketch")).alias("of"))
+    pairs = Stored(pairs.where("a <> b").distinct(), "pairs").df
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("of.size").alias(f"{end}_size"), F.col("of.sketch").alias(f"{end}_sketch")), end)
+
+    def make():
+        def step(a, b, a_sizes, a_sketches, b_sizes, b_sketches):
+            left = [k for k in range(len(a)) if possible(a_sketches[k], b_sketches[k], a_sizes[k] + b_sizes[k], similarity)]
+            return [a[k] for k in left], [b[k] for k in left]
+
+        return step
+
+    pairs = Stored(map_lists(pairs.select("a", "b", "a_size", "a_sketch", "b_size", "b_sketch"), make, "a long, b long"), "possible").df
     there = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = rows.select("node", "key").join(there, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    keys = beside(Stored(keys.select("key").distinct(), "paired").df)
-    sets = Stored(whole_sets(docs.join(keys, "key", "left_semi"), words).dropDuplicates(["node"]), "sets").df
+    keys = rows.select("node", "key").join(beside(Stored(there, "paired").df), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    keys = beside(Stored(keys.select("key").distinct(), "keys").df)
+    # one shuffle by node, which both joins read; the second moves a set for each pair
+    sets = whole_sets(docs.join(keys, "key", "left_semi"), words).groupBy("node").agg(F.first("s").alias("s"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def once_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (stored, with a column rid), one of each node. While few repeat one they alone are moved."""
+    first = rows.groupBy("node").agg(F.min("rid").alias("first"))
+    others = rows.select("node", "rid").join(first, "node").where("rid <> first").select(F.col("rid").alias("other"))
+    others = Stored(others, "others").df
+    return rows.join(beside(others), F.col("rid") == F.col("other"), "left_anti")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """doc_id, component_id of each row: the smallest doc_id reachable over pairs of at least the similarity.
 
@@ -172,15 +218,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, words: int, budget: int) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    rows = Stored(shingle_rows(docs, words, similarity, frequent_shingles(docs, words)), "shingles").df
+    rows = shingle_rows(docs, words, similarity, frequent_shingles(docs, words)).withColumn("rid", F.monotonically_increasing_id())
+    rows = Stored(rows, "shingles").df
     first = Stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints").df
     same = rows.select("fp", "node").distinct().join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = bucket_edges(first.select("fp"), budget).distinct()
     found = found.join(first.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
-    edges = Stored(verified(same.union(found).distinct(), docs, rows, similarity, words), "near").df
-    classes = components(edges).withColumnRenamed("component", "class")
-    apart = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("head").alias("head")).join(classes, "node", "left")
-    more = verified(prefix_pairs(apart.withColumn("class", F.coalesce("class", "node")), similarity), docs, rows, similarity, words)
+    edges = Stored(verified(same.union(found), docs, rows, similarity, words), "near").df
+    classes = Stored(components(edges).where("node <> component").withColumnRenamed("component", "class"), "first-classes").df
+    apart = once_each(rows).select("node", "size", "head").join(beside(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    more = verified(prefix_pairs(apart, similarity), docs, rows, similarity, words)
     classes = Stored(components(Stored(edges.union(more), "near").df), "classes").df
     members = Stored(rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "members").df
     least = Stored(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least").df

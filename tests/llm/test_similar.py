@@ -7,6 +7,7 @@ import sys
 sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))]
 
 import corpus_pipeline
+import numpy as np
 from test_llm import ODD, roots
 
 from cytoloom.llm import similar, simhash
@@ -62,3 +63,24 @@ def test_null_ids_repeated_rows_and_no_rows(spark):
     kept = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in similar.drop_near_copies(df).collect())
     assert kept == [(False, 0, "a"), (False, 0, "b c"), (True, 2, ""), (True, 4, "A"), (True, 4, "A")]
     assert similar.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_sketches_never_rule_out_what_is_similar():
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.choice([1, 2, 5, 60, 130, 300, 1000])
+        base = [rng.getrandbits(63) for _ in range(n)]
+        other = base[: rng.randint(0, n)] + [rng.getrandbits(63) for _ in range(rng.randint(0, max(1, n // 3)))]
+        a, b = set(base), set(other)
+        x, y = (similar.sketch(np.array(sorted(s), np.int64)) for s in (a, b))
+        if near(a, b):
+            assert similar.possible(x, y, len(a) + len(b), 0.8)
+    a, b = ({rng.getrandbits(63) for _ in range(300)} for _ in range(2))
+    assert not similar.possible(*(similar.sketch(np.array(sorted(s), np.int64)) for s in (a, b)), 600, 0.8)
+
+
+def test_plans_keep_texts_in_place(spark):
+    """Documents that go are few: no exchange of texts."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = similar.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
