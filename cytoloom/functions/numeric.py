@@ -110,3 +110,23 @@ def colour_index(value: Column, low: float, high: float, colours: int) -> Column
 def eligible_bins(distinct: Column, numeric: bool) -> Column:
     """Values a feature is split into: 0 (cannot be), 2, as many as it has below 100, or 100 if numeric."""
     return F.when(distinct <= 1, 0).when(distinct < 100, distinct).otherwise(F.lit(100 if numeric else 0)).cast("int")
+
+
+def binomial_tails(k: np.ndarray, n: np.ndarray, p: np.ndarray, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """P(X <= k) and P(X >= k) of binomials, for whole arrays at once; some millions of terms are held at a time."""
+    left, right = np.zeros(len(k)), np.zeros(len(k))
+    log_fact = np.r_[0.0, np.cumsum(np.log(np.arange(1, int(n.max() if len(n) else 0) + 1)))]
+    low, high = np.log(np.maximum(p, 1e-300)), np.log(np.maximum(1 - p, 1e-300))
+    ends = np.cumsum(n + 1)
+    start = 0
+    while start < len(k):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, "right")))
+        sizes = n[start:stop] + 1
+        of = np.repeat(np.arange(start, stop), sizes)
+        first = np.cumsum(sizes) - sizes
+        i = np.arange(len(of)) - np.repeat(first, sizes)
+        mass = np.exp(log_fact[n[of]] - log_fact[i] - log_fact[n[of] - i] + i * low[of] + (n[of] - i) * high[of])
+        left[start:stop] = np.add.reduceat(np.where(i <= k[of], mass, 0.0), first)
+        right[start:stop] = np.add.reduceat(np.where(i >= k[of], mass, 0.0), first)
+        start = stop
+    return np.minimum(left, 1.0), np.minimum(right, 1.0)

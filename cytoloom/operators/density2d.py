@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import clustering
+
 
 def bin_of(value: Column, low: float | Column, high: float | Column, bins: int) -> Column:
     """Bin of equal width, the top edge in the last; null outside."""
@@ -49,9 +51,9 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / sum(w) for v in w]
 
 
-def smooth(grid: DataFrame, value: str, bins: int, sigma: float = 0.5) -> DataFrame:
-    """Gaussian smoothing of a dense (bx, by) grid, edges mirrored; the two axes one after the other."""
-    weights = kernel(sigma)
+def smooth(grid: DataFrame, value: str, bins: int, sigma: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Gaussian smoothing of a dense (bx, by) grid, of each group of ``by``, edges mirrored; the two axes one after the other."""
+    weights, own = kernel(sigma), by or []
     r = len(weights) // 2
     for axis in ("bx", "by"):
         steps = F.array(*[F.struct(F.lit(k - r).alias("o"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
@@ -59,8 +61,17 @@ def smooth(grid: DataFrame, value: str, bins: int, sigma: float = 0.5) -> DataFr
         to = F.col(axis) + F.col("s.o")
         mirrored = F.when(to < 0, -1 - to).when(to >= bins, 2 * bins - 1 - to).otherwise(to)
         spread = grid.withColumn("s", F.explode(steps))
-        grid = spread.groupBy(mirrored.cast("int").alias("__to"), other).agg(F.sum(F.col(value) * F.col("s.w")).alias(value)).withColumnRenamed("__to", axis)
-    return grid.select("bx", "by", value)
+        grid = spread.groupBy(*own, mirrored.cast("int").alias("__to"), other).agg(F.sum(F.col(value) * F.col("s.w")).alias(value)).withColumnRenamed("__to", axis)
+    return grid.select(*own, "bx", "by", value)
+
+
+def weighted_density(df: DataFrame, bins: int, weight: str, sigma: float = 0.5) -> DataFrame:
+    """(bx, by, d, empty): weights summed in each bin, smoothed twice, as a share of their total; empty where no row is."""
+    each = density(df, bins, weight)
+    twice = smooth(smooth(each.select("bx", "by", F.col("n").cast("double").alias("d")), "d", bins, sigma), "d", bins, sigma)
+    all_ = twice.agg(F.sum("d").alias("__total"))
+    out = twice.join(each.select("bx", "by", "empty"), ["bx", "by"]).crossJoin(F.broadcast(all_))  # one row
+    return out.select("bx", "by", F.try_divide("d", "__total").alias("d"), "empty")
 
 
 def log_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def ternary_mask(diff: DataFrame, fraction: float) -> DataFrame:
 
 def in_bins(cells: DataFrame, bins: DataFrame, label: str) -> DataFrame:
     """Cells with the label of their bin, null where the bins have none; bins are at most a grid."""
-    return cells.join(F.broadcast(bins.select("bx", "by", label)), ["bx", "by"], "left")
+    return cells.join(bins.select("bx", "by", label), ["bx", "by"], "left")
 
 
 def bin_summary(cells: DataFrame, values: list[str], image: str = "slide_id", label: str | None = None, least: int = 1) -> DataFrame:
@@ -96,19 +107,41 @@ def bin_summary(cells: DataFrame, values: list[str], image: str = "slide_id", la
     return out.where(F.col("n_cells") >= least)
 
 
-def group_densities(df: DataFrame, group: str, x: str, y: str, bins: int = 200, sigma: float = 0.5) -> dict[object, DataFrame]:
-    """Smoothed share densities of each group on the whole table's edges; groups are few (patients, lineages)."""
-    limits = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    binned = with_bins(df, x, y, bins, tuple(limits))
-    one = binned.withColumn("__one", F.lit(1.0))
-    return {r[0]: smooth(density(one.where(F.col(group).eqNullSafe(F.lit(r[0]))), bins, "__one").select("bx", "by", "d"), "d", bins, sigma) for r in df.select(group).distinct().collect()}
+def group_densities(df: DataFrame, group: str, x: str, y: str, bins: int = 200, sigma: float = 0.5) -> DataFrame:
+    """(group, bx, by, d): smoothed share density of each group on the whole table's edges, all groups in one plan.
+
+    The grid of every group is made whole, so its rows number groups x bins x bins.
+    """
+    binned = with_bins(df, x, y, bins).where("bx IS NOT NULL AND by IS NOT NULL")
+    each = binned.groupBy(group, "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    total = each.groupBy(group).agg(F.sum("n").alias("total"))
+    whole = total.crossJoin(F.broadcast(grid(df.sparkSession, bins)))  # groups by bins
+    seen = each.select(F.col(group).alias("__g"), F.col("bx").alias("__x"), F.col("by").alias("__y"), "n")
+    same = F.col(group).eqNullSafe(F.col("__g")) & (F.col("bx") == F.col("__x")) & (F.col("by") == F.col("__y"))
+    dense = whole.join(seen, same, "left").select(group, "bx", "by", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("d"))
+    return smooth(dense, "d", bins, sigma, [group])
+
+
+def sign_clusters(masked: DataFrame, left: int, right: int, seed: int = 0) -> DataFrame:
+    """(bx, by, label): bins of mask 1 and -1 clustered by place, each sign for itself, as ``Left Cluster i`` and ``Right Cluster i`` from the largest.
+
+    Others are ``No Cluster``. Bins are a grid, whatever the size of the table.
+    """
+    found = [masked.where("mask NOT IN (1, -1)").select("bx", "by", F.lit("No Cluster").alias("label"))]
+    for sign, k, name in ((1, left, "Left Cluster"), (-1, right, "Right Cluster")):
+        part = masked.where(F.col("mask") == sign).select("bx", "by", F.col("bx").cast("double").alias("__x"), F.col("by").cast("double").alias("__y"))
+        n = part.count()
+        if n:
+            clustered, _ = clustering.k_means(part, ["__x", "__y"], min(k, n), seed=seed)
+            found.append(relabel_by_size(clustered, "cluster", name).select("bx", "by", "label"))
+    return union_bins(found)
 
 
 def relabel_by_size(df: DataFrame, cluster: str, prefix: str) -> DataFrame:
     """Cluster numbers as ``<prefix> 1``, 2, ... from the largest; ties by number."""
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"))
     names = sizes.select(cluster, F.concat(F.lit(prefix + " "), F.row_number().over(Window.orderBy(F.desc("__n"), cluster)).cast("string")).alias("label"))  # of clusters
-    return df.join(F.broadcast(names), cluster)
+    return df.join(names, cluster)
 
 
 def union_bins(parts: list[DataFrame]) -> DataFrame:

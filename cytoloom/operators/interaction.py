@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from . import spatial
+from . import spatial, statistics
 
 
 def observed(cells: DataFrame, radius: float, roi: list[str], species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
@@ -75,16 +75,17 @@ def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float =
 
     @F.pandas_udf("left double, right double")
     def tails(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.DataFrame:
-        rows = []
-        log_fact = np.r_[0.0, np.cumsum(np.log(np.arange(1, int(n.max() if len(n) else 0) + 1)))]
-        for a, m, q in zip(k, n, p):
-            i = np.arange(m + 1)
-            mass = np.exp(log_fact[m] - log_fact[i] - log_fact[m - i] + i * math.log(max(q, 1e-300)) + (m - i) * math.log(max(1 - q, 1e-300)))
-            rows.append((min(1.0, mass[: a + 1].sum()), min(1.0, mass[a:].sum())))
-        return pd.DataFrame(rows, columns=["left", "right"])
+        return pd.DataFrame(dict(zip(("left", "right"), numeric.binomial_tails(k.to_numpy(np.int64), n.to_numpy(np.int64), p.to_numpy(float)))))
 
     out = out.withColumn("t", tails("centers", "n_valid", "pmf"))
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n", "centers", "expected", "z", F.col("t.left").alias("p_left"), F.col("t.right").alias("p_right"))
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n", "n_valid", "centers", "expected", "z", F.col("t.left").alias("p_left"), F.col("t.right").alias("p_right"))
+
+
+def pmf_average(pmf: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., center, neighbor, n, seen, expected, n_rois): shares of centers with n neighbours over ROIs, weighted by their valid centers."""
+    weighed = pmf.where(F.col("n_valid") > 0)
+    share = lambda c: F.sum(c) / F.sum("n_valid")
+    return weighed.groupBy(*by, "center", "neighbor", "n").agg(share("centers").alias("seen"), share("expected").alias("expected"), F.count(F.lit(1)).alias("n_rois"))
 
 
 def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutations: int = 200, seed: int = 0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
@@ -120,20 +121,9 @@ def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutatio
     return out.withColumnRenamed("__roi", "roi")
 
 
-def bootstrap_counts(counts: DataFrame, by: list[str], value: str, resamples: int, seed: int = 0) -> DataFrame:
-    """Seeded resamples of a group's total of ``value``: by..., resample, total.
-
-    Poisson bootstrap: each row weighs a Poisson(1) number drawn from its own
-    hash, so groups of any size are only summed, never gathered.
-    """
-    numbered = counts.withColumn("__row", F.xxhash64(*counts.columns)).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64("__row", "resample", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    weight, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        term /= k + 1
-        weight = weight + (u >= total).cast("int")
-    return numbered.withColumn("__w", weight).groupBy(*by, "resample").agg(F.sum(F.col("__w") * F.col(value)).alias("total"))
+def bootstrap_counts(counts: DataFrame, by: list[str], value: str, resamples: int, row: list[str], seed: int = 0) -> DataFrame:
+    """Seeded resamples of a group's total of ``value``: by..., resample, total; ``row`` names a row, so that equal values draw for themselves."""
+    return statistics.resampled(counts, by, value, resamples, row, seed).select(*by, "resample", F.col("total"))
 
 
 def is_symmetric(matrix: DataFrame, row: str, column: str, value: str, tolerance: float = 1e-8) -> DataFrame:

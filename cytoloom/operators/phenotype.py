@@ -68,6 +68,12 @@ def species_summary(df: DataFrame) -> DataFrame:
     return each.select(*by, "species_count", F.round(100 * F.col("species_count") / F.col("total"), 2).alias("species_percent"))
 
 
+def species_map(df: DataFrame, names: list[str]) -> DataFrame:
+    """(species_int, n, markers): species from the most frequent, with the list of their positive markers."""
+    each = df.groupBy("species_int").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("markers", decode_species(F.col("species_int"), names)).orderBy(F.desc("n"), "species_int")
+
+
 def phenotype_summary(df: DataFrame) -> DataFrame:
     """Phenotypes with count, percent and the sorted species that make them up."""
     each = df.groupBy("phenotype").agg(F.count(F.lit(1)).alias("phenotype_count"), F.array_join(F.array_sort(F.collect_set("species_name_short")), ", ").alias("species_set"))

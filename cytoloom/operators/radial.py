@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import naming
 from . import summaries
 
 
@@ -20,11 +21,27 @@ def parse_labels(df: DataFrame, label: str = "Label") -> DataFrame:
     return df.withColumns({"tif_name": part(1), "T": time.try_cast("int"), "cell_id": F.get(fields, F.lit(1)), "last_name": part(3)})
 
 
+def without_common_suffix(df: DataFrame, column: str) -> DataFrame:
+    """The column without what all its values end with; from the least and the greatest of them reversed."""
+    low, high = df.agg(F.min(F.reverse(column)), F.max(F.reverse(column))).first()
+    n = len(naming.common_prefix([low or "", high or ""]))
+    return df.withColumn(column, F.expr(f"left(`{column}`, char_length(`{column}`) - {n})"))
+
+
 def parse_filenames(df: DataFrame, column: str = "input_filename") -> DataFrame:
-    """is_reec, well_id and cell_type from ``<cell type>_<well>[_REEC].csv``."""
-    stem = F.regexp_replace(F.col(column), r"\.[^.]*$", "")
-    parts = F.split(stem, "_")
-    return df.withColumns({"is_reec": F.endswith(stem, F.lit("REEC")), "cell_type": F.get(parts, F.lit(0)), "well_id": F.get(parts, F.lit(1))})
+    """REEC, well_id and cell_type from names ``<well>_<cell type>[_REEC]<common>=<T><common>``.
+
+    What all names end with goes, then the time from the first equals sign on,
+    then what all rests end with; an ``_REEC`` at the end of what is left is
+    told and cut, and its first two parts are the well and the cell type. So
+    the table must hold names that differ in what is to be read. Null names
+    give nulls.
+    """
+    out = df.withColumn("__rest", F.col(f"`{column}`"))
+    out = without_common_suffix(out, "__rest").withColumn("__rest", F.substring_index("__rest", "=", 1))
+    out = without_common_suffix(out, "__rest").withColumn("REEC", F.endswith("__rest", F.lit("_REEC")))
+    parts = F.split(F.regexp_replace("__rest", "_REEC$", ""), "_")
+    return out.withColumns({"well_id": F.get(parts, F.lit(0)), "cell_type": F.get(parts, F.lit(1))}).drop("__rest")
 
 
 def normalised_intensity(df: DataFrame) -> DataFrame:

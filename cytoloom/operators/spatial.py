@@ -10,10 +10,13 @@ buckets is ever made.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
+
 CLOSED_LEFT, CLOSED_RIGHT = "[)", "(]"
 
 
@@ -96,24 +99,25 @@ def radius_graph(cells: DataFrame, radius: float, cell_id: str = "cell_id", imag
 def nearest(cells: DataFrame, k: int, radius: float, cell_id: str = "cell_id", image: str = "slide_id", growth: float = 2.0) -> DataFrame:
     """The k nearest others of each cell in its image (image, src, dst, distance, rank), ties by id.
 
-    A cell with k partners within ``radius`` is done; the rest are searched
-    with a radius ``growth`` times larger, until the image is covered.
+    A cell with k partners within ``radius``, or all there are, is done; the
+    rest are searched with a radius ``growth`` times larger. What a round
+    finds is checkpointed, so no round is done twice, and the search ends with
+    the last cell.
     """
-    span = cells.groupBy(image).agg((F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("span"), F.count_distinct(cell_id).alias("there"))
-    farthest = span.agg(F.max("span")).first()[0] or 0.0
-    slim = cells.select(image, cell_id, "x", "y")
-    left, out = slim, None
+    checkpoints(cells.sparkSession)
+    slim = cells.select(image, cell_id, "x", "y").where("abs(x) < 1e15 AND abs(y) < 1e15")  # neither null nor NaN
+    there = slim.groupBy(image).agg((F.count_distinct(cell_id) - 1).alias("others"))
+    left, parts = slim.join(there.where("others > 0"), image), []
     while True:
-        pairs = band_pairs(left, slim, radius, image, keep=[cell_id], keep_neighbor=[cell_id]).where(F.col("c_" + cell_id) != F.col("n_" + cell_id))
-        order = Window.partitionBy(image, "c_" + cell_id).orderBy("d2", "n_" + cell_id)
-        found = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = found.select(image, F.col("c_" + cell_id).alias("src"), F.col("n_" + cell_id).alias("dst"), F.sqrt("d2").alias("distance"), "rank")
-        if radius >= farthest:
-            return found if out is None else out.unionByName(found)
-        full = found.groupBy(image, "src").count().where(F.col("count") >= k).select(image, F.col("src").alias(cell_id))
-        done = found.join(full.withColumnRenamed(cell_id, "src"), [image, "src"], "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full, [image, cell_id], "left_anti")
+        pairs = band_pairs(left, slim, radius, image, keep=[cell_id, "others"], keep_neighbor=[cell_id]).where(F.col("c_" + cell_id) != F.col("n_" + cell_id))
+        cell = Window.partitionBy(image, "c_" + cell_id)
+        found = pairs.withColumn("rank", F.row_number().over(cell.orderBy("d2", "n_" + cell_id))).where(F.col("rank") <= k)
+        found = found.withColumn("__full", F.count(F.lit(1)).over(cell) >= F.least(F.lit(k), F.col("c_others"))).where("__full")
+        found = found.select(image, F.col("c_" + cell_id).alias("src"), F.col("n_" + cell_id).alias("dst"), F.sqrt("d2").alias("distance"), "rank").checkpoint()
+        parts.append(found)
+        left = left.join(found.select(image, F.col("src").alias(cell_id)).distinct(), [image, cell_id], "left_anti").checkpoint()
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
         radius *= growth
 
 
@@ -146,9 +150,14 @@ def assign_rois(cells: DataFrame, size: float, overlap: float, image: str = "sli
 
     The windows of a coordinate are an interval of numbers in closed form, so
     no cell is joined with windows; up to four rows a cell where they overlap.
+    roi_id is named by the window's centre, rounded half to even and padded to
+    the digits of the image's largest coordinate; centres are told apart while
+    windows are a unit or more apart.
     """
     step = float(size - overlap)
-    grid = roi_grid(bounds(cells, [image]), size, overlap, image)
+    extents = bounds(cells, [image])
+    digits = F.char_length(F.floor(F.greatest("x_max", "y_max")).cast("string"))
+    grid = roi_grid(extents, size, overlap, image).join(extents.select(image, digits.alias("digits")), image)
 
     def windows(a: str) -> Column:
         off = F.col(a) - F.col(f"start_{a}")
@@ -160,20 +169,27 @@ def assign_rois(cells: DataFrame, size: float, overlap: float, image: str = "sli
     out = out.withColumn("roi_x", F.explode(windows("x"))).withColumn("roi_y", F.explode(windows("y")))
     out = out.withColumns({"roi_x_min": F.col("start_x") + F.col("roi_x") * step, "roi_y_min": F.col("start_y") + F.col("roi_y") * step})
     out = out.withColumns({"roi_x_max": F.col("roi_x_min") + float(size), "roi_y_max": F.col("roi_y_min") + float(size)})
-    out = out.withColumn("roi_id", F.concat(F.col(image).cast("string"), F.lit("_roi_["), F.lpad(F.col("roi_x").cast("string"), 4, "0"), F.lit(","), F.lpad(F.col("roi_y").cast("string"), 4, "0"), F.lit("]")))
-    return out.drop("n_x", "n_y", "start_x", "start_y")
+    middle = [F.bround((F.col(f"roi_{a}_min") + F.col(f"roi_{a}_max")) / 2).cast("bigint") for a in ("x", "y")]
+    return out.withColumn("roi_id", padded_roi_name(F.col(image), *middle, F.col("digits"))).drop("n_x", "n_y", "start_x", "start_y", "digits")
+
+
+def padded(number: Column, width: Column) -> Column:
+    """An integer with zeros in front up to a width, a minus sign included; longer ones stay whole."""
+    bare = F.abs(number).cast("string")
+    sign = F.when(number < 0, "-").otherwise("")
+    return F.concat(sign, F.lpad(bare, F.greatest(width - F.char_length(sign), F.char_length(bare)), F.lit("0")))
 
 
-def padded_roi_name(image: Column, x: Column, y: Column, digits: int) -> Column:
+def padded_roi_name(image: Column, x: Column, y: Column, digits: Column) -> Column:
     """``<image>_roi_[X,Y]`` from integer coordinates padded to one number of digits."""
-    return F.concat(image.cast("string"), F.lit("_roi_["), F.lpad(x.cast("string"), digits, "0"), F.lit(","), F.lpad(y.cast("string"), digits, "0"), F.lit("]"))
+    return F.concat(image.cast("string"), F.lit("_roi_["), padded(x, digits), F.lit(","), padded(y, digits), F.lit("]"))
 
 
 def whole_image_rois(cells: DataFrame, image: str = "slide_id") -> DataFrame:
     """One ROI an image, named by its centre rounded half up."""
     extents = bounds(cells, [image])
     middle = {a: F.floor((F.col(f"{a}_min") + F.col(f"{a}_max")) / 2 + 0.5) for a in ("x", "y")}
-    return extents.withColumn("roi_id", padded_roi_name(F.col(image), middle["x"], middle["y"], 5))
+    return extents.withColumn("roi_id", padded_roi_name(F.col(image), middle["x"], middle["y"], F.lit(5)))
 
 
 def drop_single_point_rois(cells: DataFrame, roi: list[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,38 +68,72 @@ def wilcoxon(long: DataFrame, feature: str, group: str, value: str, positive_onl
     return out.withColumn("p_adjusted", F.least(F.lit(1.0), F.min("__q").over(g.orderBy(F.desc("p"), F.desc(feature))))).drop("__q", "total", "ties")
 
 
-def bootstrap_interval(df: DataFrame, by: list[str], value: str, resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """mean and percentile bootstrap interval (low, high) of each group; a lone value is its own interval. Seeded by group."""
+def resampled(df: DataFrame, by: list[str], value: str, resamples: int, row: list[str], seed: int = 0) -> DataFrame:
+    """(by..., resample, weight, total): Poisson bootstrap of each group's rows with a value.
 
-    def interval(key, rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(rows[value].dropna().to_numpy(float))
-        if len(v) < 2:
-            low = high = v.mean() if len(v) else np.nan
-        else:
-            rng = np.random.default_rng([seed, *"|".join(map(str, key)).encode()])
-            means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(resamples)])
-            low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*key, v.mean() if len(v) else np.nan, low, high]], columns=[*by, "mean", "low", "high"])
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, value).groupBy(*by).applyInPandas(interval, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", mean double, low double, high double")
-
-
-def difference_flags(df: DataFrame, by: list[str], value: str, group: str, first: object, second: object, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """1, -1 or 0 as the bootstrap interval of mean(first) - mean(second) is above, below or around 0; null without two values each."""
-
-    def flag(key, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(rows.loc[rows[group] == g, value].dropna().to_numpy(float)) for g in (first, second))
-        out = None
-        if len(a) > 1 and len(b) > 1:
-            rng = np.random.default_rng([seed, *"|".join(map(str, key)).encode()])
-            gap = np.array([rng.choice(a, len(a)).mean() - rng.choice(b, len(b)).mean() for _ in range(resamples)])
-            low, high = np.quantile(gap, [0.025, 0.975])
-            out = 1.0 if low > 0 else -1.0 if high < 0 else 0.0
-        return pd.DataFrame([[*key, out]], columns=[*by, "flag"])
-
-    kinds = dict(df.dtypes)
-    return df.select(*by, value, group).groupBy(*by).applyInPandas(flag, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", flag double")
+    A row weighs a Poisson(1) number in each resample, drawn from a hash of
+    the columns ``row`` that name it. Batches are summed as they come, so a
+    group of any size is only added up, and no plan changes a draw.
+    """
+    from pyspark.sql import types as T
+
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    salts = np.array([(seed * 0x9E3779B97F4A7C15 + r * 0xBF58476D1CE4E5B9 + 1) % (1 << 64) for r in range(resamples)], np.uint64)
+    keys = [f"g{k}" for k in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).cast("double").alias("v"), F.xxhash64(*row).alias("h"))
+    out = T.StructType([*[f for f in rows.schema.fields if f.name in keys], T.StructField("resample", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("total", T.DoubleType())])
+
+    def draw(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = h.view(np.uint64)[:, None] ^ salts[None, :]
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            x ^= x >> np.uint64(31)
+        return np.searchsorted(steps, (x >> np.uint64(11)).astype(float) / (1 << 53), "right").astype(float)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), max(1, (1 << 21) // resamples)):
+                part = batch.iloc[at : at + max(1, (1 << 21) // resamples)]
+                if keys:
+                    number = part.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                else:
+                    number = np.zeros(len(part), int)
+                order = np.argsort(number, kind="stable")
+                weights, values = draw(part["h"].to_numpy(np.int64)[order]), part["v"].to_numpy(float)[order]
+                first = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
+                weight, total = np.add.reduceat(weights, first), np.add.reduceat(weights * values[:, None], first)
+                found = part.iloc[order[first]][keys].loc[lambda x: x.index.repeat(resamples)]
+                yield found.reset_index(drop=True).assign(resample=np.tile(np.arange(resamples, dtype=np.int32), len(first)), weight=weight.ravel(), total=total.ravel())
+
+    sums = rows.mapInPandas(run, out).groupBy(*keys, "resample").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    return sums.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "resample", "weight", "total")
+
+
+def bootstrap_interval(df: DataFrame, by: list[str], value: str, resamples: int = 1000, row: list[str] = (), level: float = 0.95, seed: int = 0) -> DataFrame:
+    """mean and percentile bootstrap interval (low, high) of each group; a lone value is its own interval. ``row`` names a row."""
+    means = resampled(df, by, value, resamples, list(row) or df.columns, seed).withColumn("m", F.try_divide("total", "weight"))
+    ends = means.groupBy(*by).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
+    own = df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    same = F.lit(True)
+    for b in by:
+        same &= own[b].eqNullSafe(ends[b])
+    return own.join(ends, same, "left").select(*[own[b] for b in by], "mean", "low", "high")
+
+
+def difference_flags(df: DataFrame, by: list[str], value: str, group: str, first: object, second: object, resamples: int = 1000, row: list[str] = (), seed: int = 0) -> DataFrame:
+    """1, -1 or 0 as the bootstrap interval of mean(first) - mean(second) is above, below or around 0; null without two values each. ``row`` names a row."""
+    two = df.where(F.col(group).isin(first, second))
+    means = resampled(two, [*by, group], value, resamples, list(row) or df.columns, seed).withColumn("m", F.try_divide("total", "weight"))
+    pick = lambda g: F.max(F.when(F.col(group) == F.lit(g), F.col("m")))
+    gaps = means.groupBy(*by, "resample").agg((pick(first) - pick(second)).alias("gap"))
+    ends = gaps.groupBy(*by).agg(F.percentile("gap", 0.025).alias("low"), F.percentile("gap", 0.975).alias("high"))
+    there = df.groupBy(*by).agg(*[F.count(F.when(F.col(group) == F.lit(g), F.col(value))).alias(n) for g, n in ((first, "__a"), (second, "__b"))])
+    same = F.lit(True)
+    for b in by:
+        same &= there[b].eqNullSafe(ends[b])
+    flag = F.when((F.col("__a") > 1) & (F.col("__b") > 1), F.when(F.col("low") > 0, 1.0).when(F.col("high") < 0, -1.0).otherwise(0.0))
+    return there.join(ends, same, "left").select(*[there[b] for b in by], flag.alias("flag"))
 
 
 def one_vs_all(df: DataFrame, actual: str, predicted: str) -> DataFrame:

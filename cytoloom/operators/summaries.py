@@ -189,6 +189,45 @@ def threshold_curve(df: DataFrame, value: str, group: str, image: str | None = N
     return marks.groupBy(group, image, "threshold").agg(F.avg(hit).alias("p")).groupBy(group, "threshold").agg(F.avg("p").alias("percent"))
 
 
+def z_threshold_curve(df: DataFrame, value: str, group: str, first: object, image: str | None = None, low: int = -1, high: int = 10) -> DataFrame:
+    """(group, z, threshold, percent): percent of values at or above the first group's mean + z * standard deviation (ddof 1).
+
+    Pooled by group, or of each image and then averaged. Null values are passed over.
+    """
+    stats = df.where(F.col(group) == F.lit(first)).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__std"))
+    marks = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(stats)).withColumn("z", F.explode(F.sequence(F.lit(low), F.lit(high))))  # one row
+    marks = marks.withColumn("threshold", F.col("__mean") + F.col("z") * F.col("__std"))
+    hit = (F.col(value) >= F.col("threshold")).cast("double") * 100
+    if image is None:
+        return marks.groupBy(group, "z", "threshold").agg(F.avg(hit).alias("percent"))
+    return marks.groupBy(group, image, "z", "threshold").agg(F.avg(hit).alias("__p")).groupBy(group, "z", "threshold").agg(F.avg("__p").alias("percent"))
+
+
+def averages_of_sides(profile: DataFrame, label: str, by: list[str], values: list[str], sides: tuple[str, ...] = ("Left", "Right")) -> DataFrame:
+    """A profile with a further label ``Average <side>`` for each side: means, by the other keys, over the labels that contain its name."""
+    out = profile.select(label, *by, *values)
+    for side in sides:
+        part = profile.where(F.contains(F.col(f"`{label}`"), F.lit(side)))
+        out = out.unionByName(part.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values]).withColumn(label, F.lit(f"Average {side}")).select(label, *by, *values))
+    return out
+
+
+def running_indices(df: DataFrame, case: str, slide: str, roi: str, order: str) -> DataFrame:
+    """(case, slide, roi, i_case, i_slide, i_roi): distinct ROIs with numbers from 0 by first appearance: of cases, of slides within a case, of ROIs within a slide."""
+    seen = df.groupBy(case, slide, roi).agg(F.min(order).alias("__r"))
+    seen = seen.withColumn("__s", F.min("__r").over(Window.partitionBy(case, slide))).withColumn("__c", F.min("__r").over(Window.partitionBy(case)))
+    cases = seen.select(case, "__c").distinct().withColumn("i_case", F.row_number().over(Window.orderBy("__c", case)) - 1)  # of cases
+    out = seen.join(cases.select(case, "i_case"), case)
+    out = out.withColumn("i_slide", F.dense_rank().over(Window.partitionBy(case).orderBy("__s", slide)) - 1)
+    out = out.withColumn("i_roi", F.row_number().over(Window.partitionBy(case, slide).orderBy("__r", roi)) - 1)
+    return out.select(case, slide, roi, "i_case", "i_slide", "i_roi")
+
+
+def sample_fraction(df: DataFrame, ids: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """About a fraction of the rows, chosen by a hash of their ids, so that no plan changes the choice."""
+    return df.where(F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 40)) < F.lit(int(fraction * (1 << 40))))
+
+
 def mean_sem(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))
 
@@ -242,10 +281,10 @@ def duplicate_columns(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def unique_ids(df: DataFrame, row: str, channel: str, channels: int, order: str) -> DataFrame:
-    """Ids that occur more than once a channel get a 4-digit number appended, by order of appearance."""
+    """Ids that occur more than once a channel get a number of four digits or more appended, by order of appearance."""
     nth = F.row_number().over(Window.partitionBy(row, channel).orderBy(order)) - 1
     many = F.count(F.lit(1)).over(Window.partitionBy(row)) > channels
-    return df.withColumn("__id", F.when(many, F.concat(F.col(row), F.lit("_"), F.lpad(nth.cast("string"), 4, "0"))).otherwise(F.col(row))).drop(row).withColumnRenamed("__id", row)
+    return df.withColumn("__id", F.when(many, F.concat(F.col(row), F.lit("_"), F.lpad(nth.cast("string"), F.greatest(F.lit(4), F.char_length(nth.cast("string"))), F.lit("0")))).otherwise(F.col(row))).drop(row).withColumnRenamed("__id", row)
 
 
 def split_by_feature(df: DataFrame, column: str, values: tuple | None = None) -> DataFrame:

@@ -229,15 +229,8 @@ def top_n_per_group(spark, sf):
     return summaries.top_n(cells(spark, sf).select("slide_id", "cell_id", "price"), ["slide_id"], [F.desc("price"), F.col("cell_id")], 3)
 
 
-@query("SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS q1, max(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS q2 FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1")
+@query(f"SELECT l_orderkey, {', '.join(f'max(CASE WHEN l_linenumber = {k} THEN l_quantity END) AS q{k}' for k in range(1, 8))} FROM lineitem GROUP BY 1")
 def channel_pivot(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
-    return summaries.pivot_first(lines, ["l_orderkey"], "l_linenumber", ["q"], [1, 2])
-
-
-@query()
-def channel_pivot_all(spark, sf):
-    """``channel_pivot`` with every channel there is; its SQL has two."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
     channels = sorted(r[0] for r in lines.select("l_linenumber").distinct().collect() if r[0] is not None)
     return summaries.pivot_first(lines, ["l_orderkey"], "l_linenumber", ["q"], channels)
@@ -291,14 +284,8 @@ def safe_names(spark, sf):
     return table(spark, sf, "part").select("p_partkey", naming.safe_phenotype(F.concat("p_type", F.lit("+"))).alias("name"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END AS \"Brand#1\", CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END AS \"Brand#2\" FROM part")
+@query("SELECT p_partkey, " + ", ".join(f"CAST(p_brand = 'Brand#{k}' AS INT) AS \"Brand#{k}\"" for k in range(1, 26)) + " FROM part")
 def one_hot(spark, sf):
-    return summaries.one_hot(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", ["Brand#1", "Brand#2"]).drop("p_brand")
-
-
-@query()
-def one_hot_all(spark, sf):
-    """``one_hot`` of every brand there is; its SQL has two."""
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
     brands = naming.natural_sorted([r[0] for r in part.select("p_brand").distinct().collect() if r[0] is not None])
     return summaries.one_hot(part, "p_brand", brands).drop("p_brand")
@@ -350,9 +337,10 @@ def parse_labels(spark, sf):
     return radial.parse_labels(e.select("event_id", label.alias("Label"))).drop("Label")
 
 
-@query("SELECT event_id, event_id % 2 = 0 AS is_reec, 'T' AS cell_type, 'B' || (event_id % 7) AS well_id FROM events")
+@query("""SELECT event_id, event_id % 2 = 0 AS "REEC", 'B' || (event_id % 7) AS well_id, CASE WHEN event_id % 3 = 0 THEN 'tumor' ELSE 'NK' END AS cell_type FROM events""")
 def parse_filenames(spark, sf):
-    name = F.concat(F.lit("T_B"), (F.col("event_id") % 7).cast("string"), F.when(F.col("event_id") % 2 == 0, "_REEC").otherwise(""), F.lit(".csv"))
+    parts = [F.lit("B"), F.col("event_id") % 7, F.lit("_"), F.when(F.col("event_id") % 3 == 0, "tumor").otherwise("NK"), F.when(F.col("event_id") % 2 == 0, "_REEC").otherwise(""), F.lit("_T="), F.col("event_id") % 11, F.lit("_measurements.csv")]
+    name = F.concat(*[p.cast("string") for p in parts])
     return radial.parse_filenames(table(spark, sf, "events").select("event_id", name.alias("input_filename"))).drop("input_filename")
 
 
@@ -375,6 +363,33 @@ def majority_vote(spark, sf):
     return _rounded(summaries.majority_vote(cells(spark, sf).withColumn("actual", F.lit("NO")), "slide_id", "phenotype", "actual"), "score")
 
 
+@query(f"""WITH {CELLS}, s AS (SELECT avg(quantity) AS m, stddev_samp(quantity) AS d FROM cells WHERE mr = 1), m AS (SELECT mr, slide_id, z, avg(CASE WHEN quantity >= m + z * d THEN 100.0 ELSE 0 END) AS p, min(m + z * d) AS t FROM cells, s, range(-1, 11) r(z) GROUP BY 1, 2, 3)
+    SELECT CASE WHEN mr = 1 THEN '+' ELSE '-' END AS side, CAST(z AS INT) AS z, round(min(t), 6) AS threshold, round(avg(p), 6) AS percent FROM m GROUP BY 1, 2""")
+def z_threshold_curve(spark, sf):
+    c = cells(spark, sf).withColumnRenamed("Phenotype R", "side")
+    return _rounded(summaries.z_threshold_curve(c, "quantity", "side", "+", "slide_id"), "threshold", "percent")
+
+
+@query("""WITH t AS (SELECT CASE WHEN o_orderpriority < '3' THEN 'Left ' ELSE 'Right ' END || o_orderpriority AS label, o_orderstatus AS s, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+    SELECT label, s, round(v, 4) AS v FROM t UNION ALL SELECT 'Average Left', s, round(avg(v), 4) FROM t WHERE label LIKE '%Left%' GROUP BY s UNION ALL SELECT 'Average Right', s, round(avg(v), 4) FROM t WHERE label LIKE '%Right%' GROUP BY s""")
+def averages_of_sides(spark, sf):
+    label = F.concat(F.when(F.col("o_orderpriority") < "3", "Left ").otherwise("Right "), "o_orderpriority")
+    means = table(spark, sf, "orders").groupBy(label.alias("label"), F.col("o_orderstatus").alias("s")).agg(F.avg("o_totalprice").alias("v"))
+    return _rounded(summaries.averages_of_sides(means, "label", ["s"], ["v"]), "v", digits=4)
+
+
+@query("""WITH t AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_custkey AS r FROM customer), c AS (SELECT n, row_number() OVER (ORDER BY min(r), n) - 1 AS i_case FROM t GROUP BY 1), s AS (SELECT n, s, row_number() OVER (PARTITION BY n ORDER BY min(r), s) - 1 AS i_slide FROM t GROUP BY 1, 2)
+    SELECT n, s, r, CAST(i_case AS INT) AS i_case, CAST(i_slide AS INT) AS i_slide, CAST(row_number() OVER (PARTITION BY n, s ORDER BY r) - 1 AS INT) AS i_roi FROM t JOIN c USING (n) JOIN s USING (n, s)""")
+def running_indices(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"), F.col("c_custkey").alias("r"), F.col("c_custkey").alias("at"))
+    return summaries.running_indices(c, "n", "s", "r", "at")
+
+
+@query(f"WITH {SPECIES} SELECT species_int, count(*) AS n, concat_ws(',', CASE WHEN min(mr) = 1 THEN 'R' END, CASE WHEN min(mo) = 1 THEN 'O' END, CASE WHEN min(md) = 1 THEN 'D' END, CASE WHEN min(mt) = 1 THEN 'T' END) AS markers FROM species GROUP BY 1")
+def species_map(spark, sf):
+    return phenotype.species_map(_species(spark, sf), MARKERS).withColumn("markers", F.array_join("markers", ","))
+
+
 @query(f"""WITH {CELLS}, t AS (SELECT line, slide_id, avg(quantity) AS s FROM cells GROUP BY 1, 2)
     SELECT line, round(avg(s), 6) AS mean, round(stddev_samp(s) / sqrt(count(s)), 6) AS sem, count(s) AS n FROM t GROUP BY 1""")
 def scores_by_cutoff(spark, sf):
@@ -391,21 +406,15 @@ def cluster_means_long(spark, sf):
     return _rounded(cells(spark, sf).groupBy("phenotype").agg(F.avg("quantity").alias("quantity"), F.avg("price").alias("price")).unpivot(["phenotype"], ["quantity", "price"], "feature", "mean"), "mean")
 
 
-@query("""WITH long AS (SELECT label, u.k AS feature, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, range(1, 9) u(k)), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM long)
+@query("""WITH long AS (SELECT label, u.k AS feature, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, range(1, 65) u(k)), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rk FROM long)
     SELECT CAST(feature - 1 AS INT) AS feature, label, round(sum(rk), 3) AS rank_sum, count(*) AS n FROM r GROUP BY 1, 2""")
 def wilcoxon_ranks(spark, sf):
-    return _rounded(statistics.rank_sums(_long(spark, sf, 8), "feature", "label", "v").select("feature", "label", "rank_sum", "n"), "rank_sum", digits=3)
-
-
-@query()
-def wilcoxon_ranks_all(spark, sf):
-    """``wilcoxon_ranks`` of all dimensions; its SQL has eight."""
     return _rounded(statistics.rank_sums(_long(spark, sf), "feature", "label", "v").select("feature", "label", "rank_sum", "n"), "rank_sum", digits=3)
 
 
-def _long(spark, sf, k=None):
-    """A row a value, of the first k dimensions or all."""
-    e = table(spark, sf, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, k) if k else F.col("embedding")).alias("feature", "v"))
+def _long(spark, sf):
+    """A row a value."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("feature", "v"))
     return e.withColumn("v", F.col("v").cast("double"))
 
 
@@ -428,23 +437,17 @@ def cluster_accuracy(spark, sf):
     return _rounded(statistics.one_vs_all(c, "phenotype", "p"), "precision", "recall", "f1", "accuracy")
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), m AS (SELECT label AS cluster, avg(a) AS ma, avg(b) AS mb FROM v GROUP BY 1), d AS (SELECT vec_id, cluster, exp(a * ma + b * mb) AS e FROM v, m)
-    SELECT vec_id, cluster, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability FROM d""")
+@query("""WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings), m AS (SELECT label AS cluster, k, avg(e[k]) AS mu FROM v, range(1, 65) t(k) GROUP BY 1, 2),
+    l AS (SELECT cluster, list(mu ORDER BY k) AS mu FROM m GROUP BY 1), d AS (SELECT vec_id, cluster, list_dot_product(e, mu) AS d FROM v, l), x AS (SELECT *, exp(d - max(d) OVER (PARTITION BY vec_id)) AS e FROM d)
+    SELECT vec_id, cluster, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability FROM x""")
 def softmax_membership(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return _rounded(statistics.softmax_membership(e, "vec_id", ["a", "b"], "label"), "probability")
-
-
-@query()
-def softmax_membership_all(spark, sf):
-    """``softmax_membership`` by all dimensions; its SQL has two."""
     df, names = _features(spark, sf)
     return _rounded(statistics.softmax_membership(df, "vec_id", names, "label"), "probability")
 
 
-def _features(spark, sf, k=None):
-    """The first k dimensions as columns, or all, and their names."""
-    k = k or table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+def _features(spark, sf):
+    """All dimensions as columns, and their names."""
+    k = table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
     return table(spark, sf, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(k)]), [f"f{i}" for i in range(k)]
 
 
@@ -471,17 +474,9 @@ def pca_embedding(spark, sf):
     return clustering.embed(df, names).select("vec_id", "embed_x", "embed_y")
 
 
-@query("""WITH v AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS a, abs(CAST(embedding[2] AS DOUBLE)) AS b FROM embeddings), n AS (SELECT vec_id, ln(1 + a / (a + b)) AS a, ln(1 + b / (a + b)) AS b FROM v)
-    SELECT vec_id, round((a - (SELECT avg(a) FROM n)) / (SELECT stddev_samp(a) FROM n), 6) AS f0, round((b - (SELECT avg(b) FROM n)) / (SELECT stddev_samp(b) FROM n), 6) AS f1 FROM n""")
+@query(f"""WITH v AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings), n AS (SELECT vec_id, {", ".join(f"ln(1 + e[{k + 1}] / list_sum(e)) AS f{k}" for k in range(64))} FROM v),
+    s AS (SELECT {", ".join(f"avg(f{k}) AS m{k}, stddev_samp(f{k}) AS s{k}" for k in range(64))} FROM n) SELECT vec_id, {", ".join(f"round((f{k} - m{k}) / s{k}, 6) AS f{k}" for k in range(64))} FROM n, s""")
 def feature_matrix(spark, sf):
-    df, names = _features(spark, sf, 2)
-    out, _ = clustering.feature_matrix(df.withColumns({n: F.abs(n) for n in names}), names, normalise=True, log=True, scale=True)
-    return _rounded(out.select("vec_id", *names), *names)
-
-
-@query()
-def feature_matrix_all(spark, sf):
-    """``feature_matrix`` of all dimensions; its SQL has two."""
     df, names = _features(spark, sf)
     out, _ = clustering.feature_matrix(df.withColumns({n: F.abs(n) for n in names}), names, normalise=True, log=True, scale=True)
     return _rounded(out.select("vec_id", *names), *names)
@@ -506,13 +501,13 @@ def train_test_sets(spark, sf):
 
 @query()
 def bootstrap_interval(spark, sf):
-    return statistics.bootstrap_interval(table(spark, sf, "events"), ["event_type"], "value", 200)
+    return statistics.bootstrap_interval(table(spark, sf, "events"), ["event_type"], "value", 200, ["event_id"])
 
 
 @query()
 def bootstrap_flags(spark, sf):
     e = table(spark, sf, "events").withColumn("side", F.col("user_id") % 2)
-    return statistics.difference_flags(e, ["event_type"], "value", "side", 0, 1, 200)
+    return statistics.difference_flags(e, ["event_type"], "value", "side", 0, 1, 200, ["event_id"])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 NOT IN (1, 2) UNION ALL SELECT o_orderkey, -1.0 FROM orders WHERE o_orderkey % 10 = 1 UNION ALL SELECT -1, 5.0")
@@ -523,29 +518,15 @@ def merge_edits(spark, sf):
     return summaries.merge_edits(o, "o_orderkey", edited, added, o.where("o_orderkey % 10 = 2").select("o_orderkey"))
 
 
-@query("SELECT cell_id, CAST(round_even(least(greatest(quantity, 10), 40) / 30.0 * 255 - 10 / 30.0 * 255, 0) AS INT) AS colour FROM (SELECT (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS cell_id, l_quantity AS quantity FROM lineitem) WHERE quantity IN (5, 10, 20, 30, 45)")
-def colour_index(spark, sf):
-    return cells(spark, sf).where("quantity IN (5, 10, 20, 30, 45)").select("cell_id", numeric.colour_index(F.col("quantity"), 10.0, 40.0, 256).alias("colour"))
-
-
 @query("""SELECT (l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey AS cell_id, CAST(round_even((least(greatest(l_quantity, 10.0), 40.0) - 10.0)::DOUBLE / 30.0::DOUBLE * 255, 0) AS INT) AS colour FROM lineitem""")
-def colour_index_all(spark, sf):
-    """``colour_index`` of every cell; its SQL has five quantities."""
+def colour_index(spark, sf):
     return cells(spark, sf).select("cell_id", numeric.colour_index(F.col("quantity"), 10.0, 40.0, 256).alias("colour"))
 
 
-@query("SELECT s_suppkey, s_name[length('Supplier#') + 1 :] AS tail FROM supplier")
-def common_affixes(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name"))
-    whole = naming.common_prefix([r[0] for r in s.select("s_name").orderBy("s_name").limit(1).collect()] + ["Supplier#"])
-    return s.select("s_suppkey", F.expr(f"substring(s_name, {len(whole) + 1})").alias("tail"))
-
-
 @query("""WITH e AS (SELECT min(s_name) AS a, max(s_name) AS b, min(reverse(s_name)) AS y, max(reverse(s_name)) AS z, min(length(s_name)) AS least, count(DISTINCT s_name) AS names FROM supplier),
     l AS (SELECT names, least, (SELECT count(*) FROM range(1, 1000) t(k) WHERE k <= least AND a[1:k] = b[1:k]) AS p, (SELECT count(*) FROM range(1, 1000) t(k) WHERE k <= least AND y[1:k] = z[1:k]) AS s FROM e)
     SELECT s_suppkey, CASE WHEN names = 1 THEN s_name ELSE s_name[p + 1 : length(s_name) - least(s, least - p)] END AS tail FROM supplier, l""")
-def common_affixes_all(spark, sf):
-    """``common_affixes`` by what all names begin and end with; its SQL strips a constant."""
+def common_affixes(spark, sf):
     return naming.strip_common_affixes(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("tail")), "tail")
 
 

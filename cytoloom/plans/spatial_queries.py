@@ -45,15 +45,8 @@ def neighbor_counts_half_open(spark, sf):
     return spatial.ring_counts(cells(spark, sf), [0.0, 25.0, 50.0], closed="[)", exclude_self=True)
 
 
-@query(f"""WITH {PAIRS} SELECT slide_id, c AS cell_id, CAST(count(*) FILTER (WHERE np = 'RF' AND d2 > 0 AND d2 <= 625) AS INT) AS "RF in (0, 25]", CAST(count(*) FILTER (WHERE np = 'NO' AND d2 > 0 AND d2 <= 625) AS INT) AS "NO in (0, 25]"
-    FROM pairs WHERE d2 > 0 AND d2 <= 625 GROUP BY 1, 2""")
+@query(f"WITH {PAIRS} SELECT slide_id, c AS cell_id, " + ", ".join(f"CAST(count(*) FILTER (WHERE np = '{p}') AS INT) AS \"{p} in (0, 25]\"" for p in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM pairs WHERE d2 > 0 AND d2 <= 625 GROUP BY 1, 2")
 def wide_ring_counts(spark, sf):
-    return spatial.wide_counts(spatial.ring_counts(cells(spark, sf), [0.0, 25.0]), [0.0, 25.0], ["RF", "NO"])
-
-
-@query()
-def wide_ring_counts_all(spark, sf):
-    """``wide_ring_counts`` of every phenotype there is; its SQL has two."""
     c = cells(spark, sf)
     names = sorted(r[0] for r in c.select("phenotype").distinct().collect() if r[0] is not None)
     return spatial.wide_counts(spatial.ring_counts(c, [0.0, 25.0]), [0.0, 25.0], names)
@@ -64,14 +57,9 @@ def radius_graph(spark, sf):
     return _rounded(spatial.radius_graph(cells(spark, sf), 15.0), "distance")
 
 
-@query(f"""WITH {PAIRS}, r AS (SELECT slide_id, c AS src, n AS dst, round(sqrt(d2), 6) AS distance, CAST(row_number() OVER (PARTITION BY slide_id, c ORDER BY d2, n) AS INT) AS rank FROM pairs WHERE c <> n AND d2 <= 10000) SELECT * FROM r WHERE rank <= 3""")
+@query(f"""WITH {CELLS}, d AS (SELECT a.slide_id, a.cell_id AS src, min({{'d': pow(a.x - b.x, 2) + pow(a.y - b.y, 2), 'i': b.cell_id}}, 3) AS best FROM cells a JOIN cells b ON a.slide_id = b.slide_id AND a.cell_id <> b.cell_id GROUP BY 1, 2)
+    SELECT slide_id, src, best[k].i AS dst, round(sqrt(best[k].d), 6) AS distance, CAST(k AS INT) AS rank FROM d, range(1, 4) t(k) WHERE k <= len(best)""")
 def spatial_knn(spark, sf):
-    """Neighbours within 100 only, as its SQL has it; ``spatial_knn_all`` has the others too."""
-    return _rounded(spatial.nearest(cells(spark, sf), 3, 50.0).where("distance <= 100"), "distance")
-
-
-@query()
-def spatial_knn_all(spark, sf):
     return _rounded(spatial.nearest(cells(spark, sf), 3, 50.0), "distance")
 
 
@@ -94,8 +82,8 @@ def recommended_radius(spark, sf):
 ROIS = f"""{CELLS}, ext AS (SELECT slide_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells GROUP BY 1),
     grid AS (SELECT *, greatest(1, ceil((x1 - x0 - 80) / 320))::BIGINT AS nx, greatest(1, ceil((y1 - y0 - 80) / 320))::BIGINT AS ny FROM ext),
     starts AS (SELECT *, (x0 + x1) / 2 - (nx * 320 + 80) / 2.0 AS sx, (y0 + y1) / 2 - (ny * 320 + 80) / 2.0 AS sy FROM grid),
-    wins AS (SELECT slide_id, i AS roi_x, j AS roi_y, sx + i * 320 AS wx, sy + j * 320 AS wy FROM starts, range(0, 8) a(i), range(0, 8) b(j) WHERE i < nx AND j < ny),
-    rois AS (SELECT c.*, roi_x, roi_y, CAST(c.slide_id AS VARCHAR) || '_roi_[' || lpad(CAST(roi_x AS VARCHAR), 4, '0') || ',' || lpad(CAST(roi_y AS VARCHAR), 4, '0') || ']' AS roi_id, wx, wy
+    wins AS (SELECT slide_id, i AS roi_x, j AS roi_y, sx + i * 320 AS wx, sy + j * 320 AS wy, length(CAST(floor(greatest(x1, y1))::BIGINT AS VARCHAR)) AS digits FROM starts, range(0, 8) a(i), range(0, 8) b(j) WHERE i < nx AND j < ny),
+    rois AS (SELECT c.*, roi_x, roi_y, printf('%d_roi_[%0' || digits || 'd,%0' || digits || 'd]', c.slide_id, round_even(wx + 200, 0)::BIGINT, round_even(wy + 200, 0)::BIGINT) AS roi_id, wx, wy
              FROM cells c JOIN wins w ON c.slide_id = w.slide_id AND c.x >= wx AND c.x < wx + 400 AND c.y >= wy AND c.y < wy + 400)"""
 
 
@@ -179,11 +167,34 @@ def permutation_test(spark, sf):
     return interaction.permutation_test(cells(spark, sf), 40.0, ["slide_id"], 50)
 
 
-@query()
+#: Centers of each neighbour count in an ROI, and what a Poisson distribution expects.
+PMF = f"""{ROIS}{CENTERS}, nv AS (SELECT roi_id, phenotype AS center, count(*) AS n_valid FROM valid GROUP BY 1, 2), nn AS (SELECT roi_id, phenotype AS neighbor, count(*) AS n_neighbor FROM rois GROUP BY 1, 2),
+    k AS (SELECT v.roi_id, v.cell_id, v.phenotype AS center, r.phenotype AS neighbor, count(*) AS n FROM valid v JOIN rois r ON v.roi_id = r.roi_id AND r.x BETWEEN v.x - 40 AND v.x + 40 AND r.y BETWEEN v.y - 40 AND v.y + 40
+          WHERE pow(v.x - r.x, 2) + pow(v.y - r.y, 2) < 1600 AND v.cell_id <> r.cell_id GROUP BY ALL),
+    counted AS (SELECT roi_id, center, neighbor, n, count(*) AS centers FROM k GROUP BY ALL),
+    every AS (SELECT * FROM counted UNION ALL SELECT roi_id, center, neighbor, 0, n_valid - coalesce((SELECT sum(centers) FROM counted s WHERE s.roi_id = nv.roi_id AND s.center = nv.center AND s.neighbor = nn.neighbor), 0) FROM nv JOIN nn USING (roi_id)),
+    m AS (SELECT e.*, n_valid, (n_neighbor - CASE WHEN e.center = e.neighbor THEN 1 ELSE 0 END) / ((bx1 - bx0 + 1) * (by1 - by0 + 1) - 1) * (pi() * 1600 - 1) AS mean FROM every e JOIN nv USING (roi_id, center) JOIN nn USING (roi_id, neighbor) JOIN b USING (roi_id)),
+    p AS (SELECT *, CASE WHEN mean > 0 THEN exp(n * ln(mean) - mean - lgamma(n + 1)) ELSE CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END END AS pmf FROM m)"""
+
+
+@query(f"WITH {PMF} SELECT roi_id, center, neighbor, CAST(n AS BIGINT) AS n, CAST(centers AS BIGINT) AS centers, round(pmf * n_valid, 6) AS expected FROM p")
 def neighbor_count_pmf(spark, sf):
+    """Without z and the binomial tails, which SQL lacks; ``neighbor_count_tails`` has those."""
+    return _rounded(interaction.count_pmf(_rois(spark, sf), 40.0, ["roi_id"]).select("roi_id", "center", "neighbor", "n", "centers", "expected"), "expected")
+
+
+@query()
+def neighbor_count_tails(spark, sf):
     return interaction.count_pmf(_rois(spark, sf), 40.0, ["roi_id"])
 
 
+@query(f"""WITH {PMF}, w AS (SELECT CAST(split_part(roi_id, '_', 1) AS BIGINT) AS slide_id, center, neighbor, CAST(n AS BIGINT) AS n, n_valid, centers, pmf FROM p)
+    SELECT slide_id, center, neighbor, n, round(sum(n_valid * (centers / n_valid)) / sum(n_valid), 6) AS seen, round(sum(n_valid * pmf) / sum(n_valid), 6) AS expected, count(*) AS n_rois FROM w GROUP BY 1, 2, 3, 4""")
+def pmf_over_rois(spark, sf):
+    pmf = interaction.count_pmf(_rois(spark, sf), 40.0, ["slide_id", "roi_id"])
+    return _rounded(interaction.pmf_average(pmf, ["slide_id"]), "seen", "expected")
+
+
 @query(f"WITH {PAIRS}, e AS (SELECT slide_id, c AS cell_id, np AS neighbor, CAST({RINGS} AS INT) AS ring, count(*) AS n FROM pairs WHERE {RINGS} IS NOT NULL GROUP BY ALL) SELECT slide_id, cell_id, neighbor, ring, round(n / CASE ring WHEN 0 THEN 2109.0 WHEN 1 THEN 6052.0 ELSE 23844.0 END::DOUBLE, 9) AS density FROM e")
 def ring_density(spark, sf):
     return _rounded(profiles.densities(spatial.ring_counts(cells(spark, sf), RADII), RADII).drop("n"), "density", digits=9)
@@ -303,9 +314,34 @@ def bin_summary(spark, sf):
     return _rounded(density2d.bin_summary(_bins(spark, sf), ["quantity"], least=5), "quantity_mean", "quantity_std")
 
 
-@query()
+def smooth_sql(source: str, name: str, bins: int = 20) -> str:
+    """CTEs that smooth ``source`` (bx, by, d) along one axis and then the other with a Gaussian of 0.5, edges mirrored."""
+    weights = density2d.kernel(0.5)
+    values = ", ".join(f"({k - len(weights) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(weights))
+    mirrored = lambda c: f"CASE WHEN {c} + o < 0 THEN -1 - ({c} + o) WHEN {c} + o >= {bins} THEN {2 * bins - 1} - ({c} + o) ELSE {c} + o END"
+    return f"{name}k(o, w) AS (VALUES {values}), {name}x AS (SELECT {mirrored('bx')} AS bx, by, sum(d * w) AS d FROM {source}, {name}k GROUP BY 1, 2), {name} AS (SELECT CAST(bx AS INT) AS bx, CAST({mirrored('by')} AS INT) AS by, sum(d * w) AS d FROM {name}x, {name}k GROUP BY 1, 2)"
+
+
+@query(_binned(f"WITH {BINS}, {density_sql('true', 'e')}, {smooth_sql('e', 's')} SELECT bx, by, round(d, 8) AS d FROM s"))
 def density2d_smoothed(spark, sf):
-    return density2d.smooth(density2d.density(_bins(spark, sf), 20).select("bx", "by", "d"), "d", 20, 0.5)
+    return _rounded(density2d.smooth(density2d.density(_bins(spark, sf), 20).select("bx", "by", "d"), "d", 20, 0.5), "d", digits=8)
+
+
+@query(_binned(f"WITH {BINS}, w AS (SELECT bx, by, sum(quantity) AS d FROM binned GROUP BY 1, 2), e AS (SELECT bx, by, coalesce(d, 0) AS d, d IS NULL AS empty FROM grid LEFT JOIN w USING (bx, by)), {smooth_sql('e', 'once')}, {smooth_sql('once', 'twice')} SELECT bx, by, round(twice.d / sum(twice.d) OVER (), 8) AS d, empty FROM twice JOIN e USING (bx, by)"))
+def density2d_weighted_smoothed(spark, sf):
+    return _rounded(density2d.weighted_density(_bins(spark, sf), 20, "quantity"), "d", digits=8)
+
+
+@query(_binned(f"WITH {BINS}, t AS (SELECT phenotype, count(*) AS total FROM binned GROUP BY 1), n AS (SELECT phenotype, bx, by, count(*) AS n FROM binned GROUP BY 1, 2, 3), e AS (SELECT phenotype, bx, by, coalesce(n, 0) / total AS d FROM (SELECT * FROM t, grid) g LEFT JOIN n USING (phenotype, bx, by)), "
+    + smooth_sql("e", "s").replace("by, sum(d", "by, phenotype, sum(d").replace("AS by, sum(d", "AS by, phenotype, sum(d").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3") + " SELECT phenotype, bx, by, round(d, 9) AS d FROM s"))
+def density2d_by_group(spark, sf):
+    return _rounded(density2d.group_densities(cells(spark, sf), "phenotype", "x", "y", 20), "d", digits=9)
+
+
+@query()
+def sign_clusters(spark, sf):
+    masked = density2d.mask(_diff(spark, sf), 0.05)
+    return density2d.sign_clusters(masked, 3, 3)
 
 
 @query(f"WITH {ROIS}, w AS (SELECT DISTINCT slide_id, roi_id, wx, wy FROM rois), o AS (SELECT slide_id, x, y FROM cells WHERE phenotype = 'RF') SELECT w.slide_id, roi_id, count(x) AS n_objects FROM w LEFT JOIN o ON o.slide_id = w.slide_id AND x >= wx AND x < wx + 400 AND y >= wy AND y < wy + 400 GROUP BY 1, 2")

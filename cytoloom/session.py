@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,14 @@ def session(app: str = "cytoloom", master: str | None = None, **settings: str) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in settings.items()}
     return builder.config(map=found).getOrCreate()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to a folder for ``checkpoint()``: the cluster's ``spark.checkpoint.dir``; a local one for a local master only."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
