@@ -4,7 +4,8 @@ Distance joins bucket space: the grid's cells are as wide as the largest
 radius, so a cell's partners lie in its own bucket or one of the eight around
 it. Neighbours go to those nine buckets, and an equi-join on (image, bucket)
 does the rest; no image needs to fit a task and no pair beyond the nine
-buckets is ever made.
+buckets is ever made. A table joined to itself makes each pair of two buckets
+once and mirrors it after it is filtered or counted.
 """
 
 from __future__ import annotations
@@ -30,13 +31,19 @@ def ring_of(d2: Column, radii: list[float], closed: str = CLOSED_LEFT) -> Column
     return out
 
 
+#: The bucket itself and those around it; of a table joined to itself half of them do, as each pair of two buckets meets once.
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+
+
 def band_pairs(
-    centers: DataFrame, neighbors: DataFrame, radius: float, image: str = "slide_id", x: str = "x", y: str = "y", keep: list[str] | None = None, keep_neighbor: list[str] | None = None
+    centers: DataFrame, neighbors: DataFrame, radius: float, image: str = "slide_id", x: str = "x", y: str = "y", keep: list[str] | None = None, keep_neighbor: list[str] | None = None, half: bool = False
 ) -> DataFrame:
     """Pairs of one image within ``radius``: the image, center columns ``c_*``, neighbour columns ``n_*`` and d2.
 
     Cells without coordinates pair with none; coincident cells and, where both
-    tables hold it, a cell with itself do.
+    tables hold it, a cell with itself do. With ``half``, for a table and
+    itself, of a pair in two buckets one order is made and ``mirrored`` is true.
     """
     keep = [c for c in centers.columns if c != image] if keep is None else keep
     keep_neighbor = [c for c in neighbors.columns if c != image] if keep_neighbor is None else keep_neighbor
@@ -46,36 +53,46 @@ def band_pairs(
         return F.floor(F.col(c) / side)
 
     left = centers.select(F.col(image).alias("image"), F.col(x).alias("cx"), F.col(y).alias("cy"), bucket(x).alias("gx"), bucket(y).alias("gy"), *[F.col(f"`{c}`").alias("c_" + c) for c in keep])
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in (HALF if half else AROUND)])
     right = neighbors.select(F.col(image).alias("image"), F.col(x).alias("nx"), F.col(y).alias("ny"), F.explode(around).alias("o"), *[F.col(f"`{c}`").alias("n_" + c) for c in keep_neighbor])
-    right = right.withColumns({"gx": F.floor(F.col("nx") / side) + F.col("o.i"), "gy": F.floor(F.col("ny") / side) + F.col("o.j")}).drop("o")
+    mirrored = [((F.col("o.i") != 0) | (F.col("o.j") != 0)).alias("mirrored")] if half else []
+    right = right.select("image", "nx", "ny", (F.floor(F.col("nx") / side) + F.col("o.i")).alias("gx"), (F.floor(F.col("ny") / side) + F.col("o.j")).alias("gy"), *[F.col(f"`n_{c}`") for c in keep_neighbor], *mirrored)
     dx, dy = F.col("cx") - F.col("nx"), F.col("cy") - F.col("ny")
     pairs = left.join(right, ["image", "gx", "gy"]).withColumn("d2", dx * dx + dy * dy)
     return pairs.where(F.col("d2") <= float(radius) ** 2).drop("gx", "gy").withColumnRenamed("image", image)
 
 
 def ring_counts(
-    cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, cell_id: str = "cell_id", image: str = "slide_id", phenotype: str = "phenotype", exclude_self: bool = False
+    cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, cell_id: str = "cell_id", image: str = "slide_id", phenotype: str = "phenotype", exclude_self: bool = False, center: str | None = None
 ) -> DataFrame:
     """(image, cell_id, neighbor phenotype, ring, n) with n > 0: neighbours of each cell by phenotype and ring.
 
     ``(]`` leaves out distance 0, the cell itself and coincident ones; ``[)``
-    counts them, less the cell itself if ``exclude_self``.
+    counts them, less the cell itself if ``exclude_self``. ``center`` names a
+    column for the cell's own phenotype.
     """
     slim = cells.select(image, cell_id, "x", "y", phenotype)
-    pairs = band_pairs(slim, slim, max(radii), image, keep=[cell_id], keep_neighbor=[cell_id, phenotype])
+    pairs = band_pairs(slim, slim, max(radii), image, keep=[cell_id, phenotype], keep_neighbor=[cell_id, phenotype], half=True)
     pairs = pairs.withColumn("ring", ring_of(F.col("d2"), radii, closed)).where("ring IS NOT NULL")
     if exclude_self:
         pairs = pairs.where(F.col("c_" + cell_id) != F.col("n_" + cell_id))
-    return pairs.groupBy(image, F.col("c_" + cell_id).alias(cell_id), F.col("n_" + phenotype).alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"))
+    end = lambda a, b: F.struct(F.col(f"`{a}_{cell_id}`").alias("id"), F.col(f"`{a}_{phenotype}`").alias("own"), F.col(f"`{b}_{phenotype}`").alias("other"))
+    ends = F.explode(F.when(F.col("mirrored"), F.array(end("c", "n"), end("n", "c"))).otherwise(F.array(end("c", "n"))))
+    pairs = pairs.select(image, "ring", ends.alias("e"))
+    own = [F.min("e.own").alias(center)] if center else []
+    return pairs.groupBy(image, F.col("e.id").alias(cell_id), F.col("e.other").alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"), *own)
 
 
 def phenotype_rings(cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, image: str = "slide_id", phenotype: str = "phenotype") -> DataFrame:
     """(image, phenotype, neighbor, ring, n): pairs of an image by the phenotypes of both and the ring, summed before anything is shuffled."""
     slim = cells.select(image, "x", "y", phenotype)
-    pairs = band_pairs(slim, slim, max(radii), image, keep=[phenotype], keep_neighbor=[phenotype])
+    pairs = band_pairs(slim, slim, max(radii), image, keep=[phenotype], keep_neighbor=[phenotype], half=True)
     pairs = pairs.withColumn("ring", ring_of(F.col("d2"), radii, closed)).where("ring IS NOT NULL")
-    return pairs.groupBy(image, F.col("c_" + phenotype).alias(phenotype), F.col("n_" + phenotype).alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"))
+    each = pairs.groupBy(image, F.col("c_" + phenotype).alias("a"), F.col("n_" + phenotype).alias("b"), "ring", "mirrored").agg(F.count(F.lit(1)).alias("n"))
+    end = lambda a, b: F.struct(F.col(a).alias("own"), F.col(b).alias("other"))
+    both = F.explode(F.when(F.col("mirrored"), F.array(end("a", "b"), end("b", "a"))).otherwise(F.array(end("a", "b"))))
+    each = each.select(image, both.alias("e"), "ring", "n")
+    return each.groupBy(image, F.col("e.own").alias(phenotype), F.col("e.other").alias("neighbor"), "ring").agg(F.sum("n").alias("n"))
 
 
 def wide_counts(counts: DataFrame, radii: list[float], phenotypes: list[str], cell_id: str = "cell_id", image: str = "slide_id") -> DataFrame:

@@ -210,9 +210,7 @@ PROFILE = f"""{PAIRS}, d AS (SELECT slide_id, c AS cell_id, min(cp) AS cluster,
 
 
 def _profile(spark, sf):
-    c = cells(spark, sf)
-    own = c.groupBy("slide_id", "cell_id").agg(F.min("phenotype").alias("cluster"))
-    return profiles.cluster_profile(profiles.densities(spatial.ring_counts(c, RADII), RADII).join(own, ["slide_id", "cell_id"]))
+    return profiles.cluster_profile(profiles.densities(spatial.ring_counts(cells(spark, sf), RADII, center="cluster"), RADII))
 
 
 @query(f"WITH {PROFILE} SELECT cluster, neighbor, ring, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM profile")
