@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons and patterns. Lexicons are a short seed list and units
-(whole words and word beginnings, so that inflected or compounded insults of
-any language count) mined from labelled rows in one half and confirmed in the
-other; patterns look at how often and how densely hits occur and at shouting.
-A generative label model estimates from the votes alone each voter's rates of
-firing on toxic and clean rows and the correlations that remain between voters
-given the label; correlated voters share one voice. A linear classifier is
-trained on the posterior labels and its scale set on the labelled rows.
+Voters are many small lexicons and some patterns. Lexicons are a short seed
+list, and units (whole words and word beginnings, so that inflected or
+compounded insults of any language count) mined from labelled rows in one half
+and confirmed in the other, dealt into parts by a hash so that no voter is all
+of them; patterns look at how many, how various and how dense hits are and at
+shouting. A generative label model explains the votes alone: given the label,
+voters form a tree in which each depends on the one it is most correlated
+with, and expectation maximisation estimates their accuracies and those
+dependences together. A linear classifier over hashed words and hit counts is
+trained on the posterior labels, and its scale set on the labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,12 +33,19 @@ BEGINNINGS = (4, 5, 6, 8)
 STRONG, WEAK = 0.95, 0.8
 #: Chunks whose hits a process keeps.
 KEPT = 120_000
+#: Ridge of a hashed word's weight.
+RIDGE = 20.0
 WORD = re.compile(r"[^\W\d_]+")
 
 #: A seed lexicon of English insults.
 SEEDS = frozenset(["idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown"])
 
-LEXICONS = ("seed", "strong word", "weak word", "strong beginning", "weak beginning")
+#: Lexicons that the units of each kind are dealt into.
+PARTS = 4
+KINDS = ("strong word", "weak word", "strong beginning", "weak beginning")
+LEXICONS = ("seed", *(f"{kind} {k}" for kind in KINDS for k in range(PARTS)))
+#: Bits of a hashed word, and of a chunk's number that tell lexicons.
+CELLS, TELLS = 10, 32
 
 
 def lexical(text: str) -> set[str]:
@@ -45,19 +55,22 @@ def lexical(text: str) -> set[str]:
 
 
 class Lexicons:
-    """Which of ``LEXICONS`` a chunk of text has words in, as bits."""
+    """Which of ``LEXICONS`` a chunk of text has words in, as bits, and above ``TELLS`` of those a hash of the chunk's words."""
 
     def __init__(self, strong: set[str] = frozenset(), weak: set[str] = frozenset()):
         self.strong, self.weak = frozenset(strong), frozenset(weak - strong)
+        of = lambda unit, kind: 1 << 1 + kind * PARTS + zlib.crc32(unit.encode()) % PARTS
+        self.word = {u: of(u, 0) for u in self.strong if not u.endswith("-")} | {u: of(u, 1) for u in self.weak if not u.endswith("-")}
+        self.beginning = {u[:-1]: of(u, 2) for u in self.strong if u.endswith("-")} | {u[:-1]: of(u, 3) for u in self.weak if u.endswith("-")}
 
     def bits(self, chunk: str) -> int:
-        out = 0
-        for w in WORD.findall(chunk.lower()):
-            out |= (w in SEEDS) | (w in self.strong) << 1 | (w in self.weak) << 2
+        out, words = 0, WORD.findall(chunk.lower())
+        for w in words:
+            out |= (w in SEEDS) | self.word.get(w, 0)
             for n in BEGINNINGS:
                 if len(w) > n:
-                    out |= (w[:n] + "-" in self.strong) << 3 | (w[:n] + "-" in self.weak) << 4
-        return out
+                    out |= self.beginning.get(w[:n], 0)
+        return out | zlib.crc32(" ".join(words).encode()) % (1 << CELLS) << TELLS
 
 
 class Hits(dict):
@@ -69,28 +82,36 @@ class Hits(dict):
         self[chunk] = bits = self.lexicons.bits(chunk)
         return bits
 
-    def of(self, text: str) -> np.ndarray:
-        """Words in each lexicon and in any, words at all, exclamation runs, share of capitals."""
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks with words of each lexicon and of any, chunks at all, exclamation runs, share of capitals; and the cells of the chunks' words."""
         if len(self) > KEPT:
             self.clear()
         chunks = text.split()
-        found = [b for b in map(self.__getitem__, chunks) if b]
-        capitals = sum(map(str.isupper, chunks)) if text.isupper() or found else 0
-        return np.array([*(sum(b >> k & 1 for b in found) for k in range(len(LEXICONS))), len(found), len(chunks), text.count("!!"), capitals / max(1, len(chunks))], float)
+        all_ = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        found = all_[all_ & ((1 << TELLS) - 1) > 0]
+        capitals = sum(map(str.isupper, chunks)) if text.isupper() or len(found) else 0
+        counts = (found[:, None] >> np.arange(len(LEXICONS)) & 1).sum(axis=0) if len(found) else np.zeros(len(LEXICONS))
+        return np.array([*counts, len(found), len(chunks), text.count("!!"), capitals / max(1, len(chunks))], float), all_ >> TELLS
 
 
 def votes(x: np.ndarray) -> np.ndarray:
     """Voters, a column each, 1 where they fire: the lexicons, then patterns."""
     n = len(LEXICONS)
-    some, words = x[:, n], np.maximum(x[:, n + 1], 1)
-    patterns = [some >= 3, some / words > 0.02, (some >= 1) & (x[:, n + 2] > 0), (some >= 1) & (x[:, n + 3] > 0.3)]
+    some, words, kinds = x[:, n], np.maximum(x[:, n + 1], 1), (x[:, :n] > 0).sum(axis=1)
+    patterns = [some >= 2, some >= 3, kinds >= 2, kinds >= 4, some / words > 0.02, some / words > 0.1, (some >= 1) & (x[:, n + 2] > 0), (some >= 1) & (x[:, n + 3] > 0.3)]
     return np.c_[x[:, :n] > 0, np.array(patterns).T].astype(float)
 
 
-def features(x: np.ndarray) -> np.ndarray:
+def counts_of(x: np.ndarray) -> np.ndarray:
     n = len(LEXICONS)
     words = np.maximum(x[:, n + 1 : n + 2], 1)
-    return np.c_[votes(x), np.log1p(x[:, : n + 1]), np.minimum(x[:, n : n + 1] / words * 20, 3), np.minimum(np.log1p(words), 10) / 10]
+    return np.c_[np.log1p(x[:, : n + 1]), np.minimum(x[:, n : n + 1], 3), np.minimum(x[:, n : n + 1] / words * 20, 3), np.minimum(np.log1p(words), 10) / 10]
+
+
+def features(x: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+    """Hit counts and hashed words of texts; what a linear classifier can read without the label model."""
+    bag = np.array([np.bincount(c, minlength=1 << CELLS) / max(1.0, len(c)) ** 0.5 for c in cells]).reshape(len(cells), 1 << CELLS)
+    return np.c_[counts_of(x), bag]
 
 
 def mine(rows: list[tuple[str, int]], odds: float) -> Lexicons:
@@ -114,37 +135,81 @@ def mine(rows: list[tuple[str, int]], odds: float) -> Lexicons:
 
 
 class LabelModel:
-    """Rates at which voters fire on toxic and clean rows, by expectation maximisation, and their residual correlations."""
+    """Votes given the label as a tree of dependent voters; fitted to votes alone, by expectation maximisation.
+
+    ``table[y, i, u, v]`` is the chance that voter i says v where its parent
+    says u (either where it has none); ``toxic`` and ``clean`` are the rates at
+    which voters fire, ``correlation`` what remains between them given the label.
+    """
 
     def __init__(self, v: np.ndarray, prior: float, rounds: int = 30):
-        self.prior, self.weight = prior, np.ones(v.shape[1])
-        self.toxic, self.clean = np.full(v.shape[1], 0.6), np.full(v.shape[1], 0.05)
-        for _ in range(rounds):
+        n = v.shape[1]
+        self.prior, self.parent = prior, np.full(n, -1)
+        rates = np.array([np.full(n, 0.05), np.full(n, 0.6)])
+        self.table = np.stack([1 - rates, rates], axis=-1)[:, :, None, :].repeat(2, axis=2)
+        for k in range(rounds):
             p = self.posterior(v)
-            self.toxic = np.clip((p @ v + 1) / (p.sum() + 2), 1e-3, 1 - 1e-3)
-            self.clean = np.clip(((1 - p) @ v + 0.1) / ((1 - p).sum() + 2), 1e-3, 1 - 1e-3)
             self.prior = float(np.clip(p.mean(), 0.01, 0.9))
-            rest = v - np.outer(p, self.toxic) - np.outer(1 - p, self.clean)
-            spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            self.correlation = np.clip(rest.T @ rest / len(v) / np.outer(spread, spread), -1, 1)
-            shared = np.abs(self.correlation - np.diag(np.diag(self.correlation)))
-            self.weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(axis=1))
+            both = np.stack([1 - p, p])
+            ones = both @ v
+            pair = np.einsum("yr,ri,rj->yij", both, v, v)  # rows of label y in which i and j fire
+            total = both.sum(axis=1)
+            if k:  # voters first for themselves
+                self.parent = self.tree(pair, ones, total)
+            self.table = self.tables(pair, ones, total)
+            self.clean, self.toxic = (ones + [[0.1], [1.0]]) / (total[:, None] + 2)
+        rest = v - np.outer(p, self.toxic) - np.outer(1 - p, self.clean)
+        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+        self.correlation = np.clip(rest.T @ rest / len(v) / np.outer(spread, spread), -1, 1)
+
+    @staticmethod
+    def joint(pair: np.ndarray, ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """[y, i, j, a, b]: smoothed share of rows of label y in which i says a and j says b."""
+        i, j, t = ones[:, :, None], ones[:, None, :], total[:, None, None]
+        each = np.stack([np.stack([t - i - j + pair, j - pair], axis=-1), np.stack([i - pair, pair], axis=-1)], axis=-2) + 0.25
+        return each / each.sum(axis=(-1, -2), keepdims=True)
+
+    def tree(self, pair: np.ndarray, ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Parents in the tree of largest mutual information given the label; what shares next to none stays for itself."""
+        q = self.joint(pair, ones, total)
+        info = (q * np.log(q / (q.sum(axis=-1, keepdims=True) * q.sum(axis=-2, keepdims=True)))).sum(axis=(-1, -2))
+        info = np.tensordot(total / total.sum(), info, 1)
+        n = len(info)
+        parent, best, of, out = np.full(n, -1), np.full(n, -1.0), np.full(n, -1), np.zeros(n, bool)
+        for _ in range(n):
+            k = int(np.where(out, -np.inf, best).argmax())
+            out[k], parent[k] = True, of[k] if best[k] > 1e-3 else -1
+            nearer = ~out & (info[k] > best)
+            best[nearer], of[nearer] = info[k][nearer], k
+        return parent
+
+    def tables(self, pair: np.ndarray, ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+        q = self.joint(pair, ones, total)
+        rate = (ones + [[0.1], [1.0]]) / (total[:, None] + 2)
+        out = np.stack([1 - rate, rate], axis=-1)[:, :, None, :].repeat(2, axis=2)
+        some = np.flatnonzero(self.parent >= 0)
+        given = q[:, self.parent[some], some]  # what the parent says, then the voter
+        out[:, some] = given / given.sum(axis=-1, keepdims=True)
+        return np.clip(out, 1e-3, 1)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        each = v * np.log(self.toxic / self.clean) + (1 - v) * np.log((1 - self.toxic) / (1 - self.clean))
-        return 1 / (1 + np.exp(-np.clip(each @ self.weight + np.log(self.prior / (1 - self.prior)), -30, 30)))
+        said = v.astype(int)
+        above = np.where(self.parent >= 0, said[:, self.parent], 0)
+        voter = np.arange(v.shape[1])
+        odds = (np.log(self.table[1, voter, above, said]) - np.log(self.table[0, voter, above, said])).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(odds + np.log(self.prior / (1 - self.prior)), -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights, the constant last, for labels between 0 and 1, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights, the constant last, for labels between 0 and 1, by Newton steps; ``ridge`` of all or of each weight."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
-    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
+    penalty = np.r_[np.broadcast_to(ridge, x.shape[1] - 1), 1e-3]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(penalty), x.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -161,21 +226,27 @@ class Toxicity:
         self.weights, self.scale = None, np.array([1.0, 0.0])
         if taken[0] and taken[1]:
             hits = Hits(self.lexicons)
-            x = np.array([hits.of(t) for t, _ in rows])
-            y = np.array([c for _, c in rows], float)
+            x, cells = zip(*[hits.of(t) for t, _ in rows])
+            x, y = np.array(x), np.array([c for _, c in rows], float)
             self.label_model = LabelModel(votes(x), prior=y.mean())
             soft = self.label_model.posterior(votes(x))
-            self.weights = logistic(features(x), soft)
-            margin = np.c_[features(x), np.ones(len(x))] @ self.weights
+            read = features(x, cells)
+            self.weights = logistic(read, soft, np.r_[np.ones(read.shape[1] - (1 << CELLS)), np.full(1 << CELLS, RIDGE)])
+            margin = np.c_[read, np.ones(len(x))] @ self.weights
             self.scale = logistic(margin[:, None], y)
             if self.scale[0] <= 0:
                 self.scale = np.array([1.0, 0.0])
 
     def scores(self, texts: list[str], hits: Hits) -> np.ndarray:
-        x = np.array([hits.of(t) for t in texts]).reshape(len(texts), len(LEXICONS) + 4)
+        few = len(LEXICONS) + 4  # features before the hashed words
+        x, words = np.zeros((len(texts), len(LEXICONS) + 4)), np.zeros(len(texts))
+        bag = np.zeros(1 << CELLS) if self.weights is None else self.weights[few:-1]
+        for k, text in enumerate(texts):
+            x[k], cells = hits.of(text)
+            words[k] = bag[cells].sum() / max(1.0, len(cells)) ** 0.5
         if self.weights is None:  # no labels to learn from: the seed list alone
             return 0.9 * (x[:, 0] > 0) + 0.05
-        margin = np.c_[features(x), np.ones(len(x))] @ self.weights
+        margin = counts_of(x) @ self.weights[:few] + words + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(margin * self.scale[0] + self.scale[1], -30, 30)))
 
 

@@ -271,6 +271,20 @@ def test_toxicity_held_out():
     assert (np.abs(model.label_model.correlation) <= 1).all()
 
 
+def test_label_model_recovers_dependent_voters():
+    """Voters with known rates, one of them twice: the copy adds no weight, and the label is found without labels."""
+    r = np.random.default_rng(2)
+    y = r.random(4000) < 0.3
+    rates = [(0.8, 0.05), (0.7, 0.1), (0.6, 0.02), (0.75, 0.08), (0.5, 0.05)]
+    v = np.array([r.random(len(y)) < np.where(y, a, b) for a, b in rates], float).T
+    model = toxicity.LabelModel(np.c_[v, v[:, 1], v[:, 1]], 0.5)
+    assert ((model.posterior(np.c_[v, v[:, 1], v[:, 1]]) >= 0.5) == y).mean() > 0.93
+    assert np.allclose(model.toxic[:5], [a for a, _ in rates], atol=0.08) and np.allclose(model.clean[:5], [b for _, b in rates], atol=0.05)
+    three = {1, 5, 6}  # the copies hang together
+    assert sum(k in three and model.parent[k] in three for k in three) == 2
+    assert model.correlation[1, 5] > 0.9 > 0.3 > abs(model.correlation[0, 2])
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(k, None if k == 3 else k % 2) for k in range(8)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):
