@@ -9,11 +9,14 @@ order of all shingles, two near sets share one among the first
 n - ceil(0.8 n) + 1 of each. Frequent shingles come last in that order, so that
 few texts meet in a bucket. Texts that are in one class already are not paired.
 
-Pairs are then compared by parity sketches: each member flips one bit of a
-sketch of about as many bits as the set has members, so two sketches differ in
-at most as many bits as the sets in members. What sketches cannot rule out is
-verified on the whole sets, which are made again for the texts of those pairs;
-only prefixes and sketches are stored.
+Texts that meet are compared by parity sketches: each member flips one bit of
+a sketch of a few bits a member, so two sketches differ in at most as many bits
+as the sets in members. Those that meet at one shingle make a run, equal runs
+count once, and a run gives no square of pairs: first a spanning forest of what
+sketches allow, which is verified on the whole sets and joins most classes,
+then what they still allow between different classes. So no link is lost, and
+a group of near copies gives about as many pairs as texts. Whole sets are made
+again for the texts of pairs; only prefixes and sketches are stored.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ SIMILARITY = 0.8
 SAMPLE, FREQUENT = 20_000, 100_000
 #: Bits of a sketch, at least and at most.
 NARROW, WIDE = 64, 1 << 16
-#: Pairs formed at once, and rows of prefixes that a task should hold.
-AT_ONCE, ROWS = 1 << 20, 2_000_000
+#: Rows of prefixes, and of runs with sketches, that a task should hold; members beyond which a run is split.
+ROWS, SKETCHES, LARGE = 2_000_000, 200_000, 4_096
 
 
 def shingle_set(digests: bytes) -> np.ndarray:
@@ -69,8 +72,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the members in each of as many cells as there are members, up to a power of two."""
-    bits = min(WIDE, max(NARROW, 1 << (max(len(shingles), 1) - 1).bit_length()))
+    """Parity of the members in each of two to four cells a member, a power of two."""
+    bits = min(WIDE, max(NARROW, 1 << (2 * max(len(shingles), 1) - 1).bit_length()))
     return np.packbits(np.bincount(shingles.astype(np.uint64) % np.uint64(bits), minlength=bits) & 1 == 1, bitorder="little").tobytes()
 
 
@@ -130,43 +133,106 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_lists(docs.select("text"), make, "node long, s array<long>")
 
 
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b: nodes of two classes that share a shingle of their prefixes and whose sizes and places there allow the similarity.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each number."""
+    x = x.view(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
-    ``rows``: node, class, size, head; those of one node count once, but are better not repeated.
+
+def prefix_runs(rows: DataFrame) -> DataFrame:
+    """run, sub, node: the nodes, of two classes or more, whose prefixes share a shingle; equal runs count once.
+
+    ``rows``: node, class, head; those of one node count once, but are better
+    not repeated. Long runs are dealt into parts that meet two by two.
     """
     wanted = rows.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, wanted // ROWS)
-    keyed = rows.select("node", "class", "size", F.posexplode("head").alias("at", "h")).repartition(parts, "h")
+    keyed = rows.select("node", "class", F.explode("head").alias("h")).repartition(parts, "h")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        h, node, of, size, at = (table[c].to_numpy() for c in ("h", "node", "class", "size", "at"))
-        size, at = size.astype(np.int64), at.astype(np.int64)
-        order = np.lexsort((node, size, h))
-        h, node, of, size, at = (x[order] for x in (h, node, of, size, at))
+        h, node, of = (table[c].to_numpy() for c in ("h", "node", "class"))
+        order = np.lexsort((node, h))
+        h, node, of = (x[order] for x in (h, node, of))
         fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-        h, node, of, size, at = (x[fresh] for x in (h, node, of, size, at))
-        run_of = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+        h, node, of = (x[fresh] for x in (h, node, of))
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        several = (np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts))[run_of]
-        h, node, of, size, at, run_of = (x[several] for x in (h, node, of, size, at, run_of))
-        key = (run_of << 32) + size
-        until = np.searchsorted(key, (run_of << 32) + np.floor(size / similarity + 1e-9).astype(np.int64), "right")
-        many = np.maximum(until - np.arange(len(h)) - 1, 0)
-        ends = np.cumsum(many)
-        total = int(ends[-1]) if len(ends) else 0
-        for low in range(0, total, AT_ONCE):
-            nth = np.arange(low, min(low + AT_ONCE, total))
-            i = np.searchsorted(ends, nth, "right")
-            j = i + 1 + nth - (ends[i] - many[i])
-            most = np.minimum(size[i] - at[i], size[j] - at[j])  # if this is the first shingle they share
-            ok = (of[i] != of[j]) & (most >= (size[i] + size[j]) * (similarity / (1 + similarity)) - 1e-9)
-            i, j = i[ok], j[ok]
-            pair = np.unique(np.c_[np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        sizes = np.diff(np.r_[starts, len(h)])
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mixed(node), starts)
+        several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+        first = np.zeros(len(starts), bool)
+        first[np.flatnonzero(several)[np.unique(sums[several], return_index=True)[1]]] = True
+        keep = np.repeat(first, sizes)
+        name, node, many = np.repeat(sums, sizes)[keep].view(np.int64), node[keep], np.repeat(sizes, sizes)[keep]
+        deals = np.where(many > LARGE, -(-2 * many // LARGE), 1)
+        of_row = np.repeat(np.arange(len(node)), deals)
+        other = np.arange(len(of_row)) - np.repeat(np.cumsum(deals) - deals, deals)
+        own = (mixed(node) % deals.astype(np.uint64)).astype(np.int64)[of_row]
+        sub = np.minimum(own, other) * deals[of_row] + np.maximum(own, other)
+        for at in range(0, len(of_row), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(name[of_row[part]]), pa.array(sub[part]), pa.array(node[of_row[part]])], names=["run", "sub", "node"])
+
+    return keyed.mapInArrow(run, "run long, sub long, node long").distinct()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the narrowest one's width: halves of wider ones are added, so a cell is one of its members modulo fewer."""
+    words = min(map(len, sketches)) // 8
+    out = np.zeros((len(sketches), words), np.uint64)
+    for k, v in enumerate(sketches):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def allowed_pairs(node: np.ndarray, of: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, forest: bool) -> list[tuple[int, int]]:
+    """Pairs of different classes whose sketches allow the similarity; with ``forest`` only those that join two groups."""
+    order = np.lexsort((node, size))
+    node, of, size, sketches = node[order], of[order].copy(), size[order].astype(np.int64), [sketches[k] for k in order]
+    until = np.searchsorted(size, np.floor(size / similarity + 1e-9).astype(np.int64), "right")
+    most, out, at, base, last = (1 - similarity) / (1 + similarity), [], None, 0, 0
+    for i in range(len(node) - 1):
+        j = int(until[i])
+        if j <= i + 1 or (of[i + 1 : j] == of[i]).all():
+            continue
+        if j > last:  # fold anew; within the window sizes, and so widths, differ by a factor of two or so
+            base, last = i, max(j, int(np.searchsorted(size, 2 * size[i], "right")))
+            at = folded(sketches[base:last])
+        bits = np.bitwise_count(at[i + 1 - base : j - base] ^ at[i - base]).sum(axis=1)
+        near = np.flatnonzero((bits <= (size[i + 1 : j] + size[i]) * most + 1e-9) & (of[i + 1 : j] != of[i])) + i + 1
+        if forest and len(near):
+            labels, first = np.unique(of[near], return_index=True)
+            near = near[first]
+            of[np.isin(of, labels)] = of[i]
+        out += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in near]
+    return out
+
+
+def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """a, b: pairs within the runs of what sketches allow; ``nodes``: node, class, size, sketch."""
+    tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, runs.count() // SKETCHES)
+    keyed = runs.join(nodes, "node").select("run", "sub", "node", "class", "size", "sketch").repartition(tasks, "run", "sub")
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        name, sub, node, of, size = (table[c].to_numpy() for c in ("run", "sub", "node", "class", "size"))
+        sketches = table["sketch"].to_pylist()
+        order = np.lexsort((node, sub, name))
+        starts = np.flatnonzero(np.r_[True, (np.diff(name[order]) != 0) | (np.diff(sub[order]) != 0)])
+        found = set()
+        for a, b in zip(starts, np.r_[starts[1:], len(order)]):
+            if b - a > 1:
+                k = order[a:b]
+                found.update(allowed_pairs(node[k], of[k], size[k], [sketches[x] for x in k], similarity, forest))
+        found = np.array(sorted(found), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return keyed.mapInArrow(run, "a long, b long")
 
@@ -225,10 +291,19 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
     found = bucket_edges(first.select("fp"), budget).distinct()
     found = found.join(first.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
     edges = Stored(verified(same.union(found), docs, rows, similarity, words), "near").df
-    classes = Stored(components(edges).where("node <> component").withColumnRenamed("component", "class"), "first-classes").df
-    apart = once_each(rows).select("node", "size", "head").join(beside(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    more = verified(prefix_pairs(apart, similarity), docs, rows, similarity, words)
-    classes = Stored(components(Stored(edges.union(more), "near").df), "classes").df
+    nodes = Stored(once_each(rows).select("node", "size", "sketch", "head"), "nodes").df
+
+    def classed(edges: DataFrame) -> DataFrame:
+        classes = Stored(components(edges).where("node <> component").withColumnRenamed("component", "class"), "classes").df
+        return nodes.join(beside(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+    known = classed(edges)
+    runs = Stored(prefix_runs(known), "runs").df
+    for forest in (True, False):
+        pairs = run_pairs(runs, known.select("node", "class", "size", "sketch"), similarity, forest)
+        edges = Stored(edges.union(verified(pairs, docs, rows, similarity, words)), "near").df
+        known = classed(edges) if forest else known
+    classes = Stored(components(edges), "classes").df
     members = Stored(rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "members").df
     least = Stored(members.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least").df
     return members.join(least, "component").select("doc_id", "component_id")

@@ -8,6 +8,8 @@ sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.p
 
 import corpus_pipeline
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_llm import ODD, roots
 
 from cytoloom.llm import similar, simhash
@@ -48,12 +50,18 @@ def test_stage_finds_all_pairs_of_the_similarity(spark):
     assert got == dict(enumerate(of))
 
 
-def test_prefixes_alone_find_all_pairs(spark):
+@pytest.mark.parametrize("large", [4096, 3])
+def test_prefixes_alone_find_all_pairs(spark, monkeypatch, large):
     texts = [t for seed in range(6) for t in altered(seed, 12)]
     df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long")
     rows = similar.shingle_rows(df, 5, 0.8, similar.frequent_shingles(df, 5)).cache()
     node = {r.doc_id: r.node for r in rows.collect()}
-    got = {(r.src, r.dst) for r in similar.verified(similar.prefix_pairs(rows.withColumnRenamed("doc_id", "class"), 0.8), df, rows, 0.8, 5).collect()}
+    known = rows.select("node", "size", "sketch", "head", F.col("doc_id").alias("class")).dropDuplicates(["node"])
+    monkeypatch.setattr(similar, "LARGE", large)
+    runs = similar.prefix_runs(known)
+    all_, some = (similar.verified(similar.run_pairs(runs, known.drop("head"), 0.8, forest), df, rows, 0.8, 5).collect() for forest in (False, True))
+    got = {(r.src, r.dst) for r in all_}
+    assert {(r.src, r.dst) for r in some} <= got and len(some) < len(got)
     sets = [shingles(t) for t in texts]
     assert got == {tuple(sorted((node[a], node[b]))) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])}
 
@@ -84,3 +92,23 @@ def test_plans_keep_texts_in_place(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     plan = similar.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_groups_of_near_copies_give_no_square_of_pairs(spark):
+    """A base and many texts that are near it, or nearly, and not near each other."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(200), 3 + k % 5):
+            words[at] = f"own{k}x{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long")
+    rows = similar.shingle_rows(df, 5, 0.8, []).cache()
+    known = rows.select("node", "size", "sketch", "head", F.col("node").alias("class"))
+    pairs = similar.run_pairs(similar.prefix_runs(known), known.drop("head"), 0.8, True)
+    assert pairs.distinct().count() < 8 * len(texts)
+    sets = [shingles(t) for t in texts]
+    of = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])])
+    assert {r.doc_id: r.component_id for r in similar.near_copies(df).collect()} == dict(enumerate(of))
