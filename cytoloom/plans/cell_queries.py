@@ -486,7 +486,8 @@ def feature_matrix(spark, sf):
 def graph_communities(spark, sf):
     knn = clustering.nearest_neighbors(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
     edges = clustering.prune_jaccard(clustering.jaccard_edges(clustering.prune_edges(knn)), 1.0)
-    return clustering.merge_small(clustering.communities(edges, 6), edges, 5)
+    labels = clustering.split_large(clustering.communities(edges, 20), edges)
+    return clustering.merge_small(labels, edges, 5)
 
 
 @query()

@@ -102,3 +102,14 @@ def test_bins_of_each_sign_are_clustered_by_place(spark):
 def test_nearest_ends_where_images_are_small(spark):
     df = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 1e6, 0.0), ("b", 3, 5.0, 5.0), ("c", 4, None, 1.0), ("c", 5, float("nan"), 1.0)], "slide_id string, cell_id long, x double, y double")
     assert sorted((r.src, r.dst, r["rank"]) for r in spatial.nearest(df, 3, 10.0).collect()) == [(1, 2, 1), (2, 1, 1)]
+
+
+def test_communities_end_and_large_ones_split(spark):
+    inside = [(a + o, b + o, 1.0 + 0.01 * a) for o in (0, 10) for a in range(5) for b in range(a)]
+    edges = spark.createDataFrame([*inside, *[(k, 10 + k, 0.1) for k in range(5)], *[(100 + k, 100 + k + 1, 0.1) for k in range(2)]], "src long, dst long, w double")
+    found = {r.node: r.community for r in clustering.communities(edges, 20).collect()}
+    assert len({found[k] for k in range(5)}) == len({found[10 + k] for k in range(5)}) == 1
+    whole = spark.createDataFrame([(k, 0) for k in (*range(5), *range(10, 15))] + [(100 + k, 100) for k in range(3)], "node long, community long")
+    parts = {r.node: r.community for r in clustering.split_large(whole, edges).collect()}
+    assert len({parts[k] for k in range(5)}) == len({parts[10 + k] for k in range(5)}) == 1 and parts[0] != parts[10]
+    assert {parts[100 + k] for k in range(3)} == {100}
