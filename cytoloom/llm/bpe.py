@@ -29,9 +29,9 @@ from .arrowmap import map_lists
 
 #: Symbols from which a heap replaces the scan.
 LONG = 96
-#: Bytes of words and ids (and as many of space-delimited chunks) in a generation of a process's cache, what an entry takes
-#: beside them, and characters of a word beyond which it is not kept.
-KEPT, ENTRY, LONGEST = 64 << 20, 200, 256
+#: Bytes of space-delimited chunks and their ids in a generation of a process's cache (a third as many of words, which only
+#: chunks that are not kept ask for), what an entry takes beside them, and characters beyond which none is kept.
+KEPT, ENTRY, LONGEST = 48 << 20, 200, 256
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
@@ -68,9 +68,9 @@ class Words(dict):
     frequent words stay.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, kept: int):
         super().__init__()
-        self.encode, self.old, self.size = encode, {}, 0
+        self.encode, self.kept, self.old, self.size = encode, kept, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > LONGEST:
@@ -78,7 +78,7 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
-        if self.size > KEPT:
+        if self.size > self.kept:
             self.old, self.size = dict(self), 0
             self.clear()
         self[word] = ids
@@ -112,9 +112,9 @@ class RankBpe:
         pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)
         self.split = regex.compile(pattern, regex.V1).findall
         self.lowers = spec["normalizer"] is not None
-        self.words = Words(self.encode_word)
+        self.words = Words(self.encode_word, KEPT // 3)
         lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
-        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk))
+        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk), KEPT)
         self.pieces: list[bytes] = [b""] * len(self.after)
         for token, i in self.vocab.items():
             word = token.removesuffix(self.suffix) if self.suffix else token
