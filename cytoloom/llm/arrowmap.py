@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,3 +38,32 @@ def map_lists(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: s
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
     return df.mapInArrow(run, out)
+
+
+def array_sum(df: DataFrame, make: Callable[[], Callable[..., np.ndarray]], width: int) -> np.ndarray:
+    """``make()`` runs once a task and returns a function from the lists of ``df``'s columns to ``width`` doubles; their sum over all rows.
+
+    Each task gives one array; some are added by other tasks, so that the driver sees about as many as the root of their number.
+    """
+    bound_batches(df.sparkSession)
+
+    def one(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, total = make(), np.zeros(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                total += step(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns))
+        yield one(total)
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                total += np.frombuffer(v)
+        yield one(total)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = df.mapInArrow(first, "v binary").repartition(max(1, int(tasks**0.5))).mapInArrow(then, "v binary").collect()
+    return sum((np.frombuffer(r.v) for r in found), np.zeros(width))

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, htmltext, langid, lines, media, packing, simhash, tokencount, toxicity
+from . import bpe, exact, htmltext, langid, lines, media, negatives, packing, quality, runs, simhash, tokencount, toxicity
 from .arrowmap import map_lists
 from .shared import new_path
 
@@ -73,8 +73,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in a tenth of the texts, by h = crc32(doc_id), the words from one on repeat the first of them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("concat_ws(' ', transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]))")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts, a tenth of them made periodic; the longest run, and digests of all runs and of what is left of the text."""
+    found = runs.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    longest = F.expr("reduce(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (best, r) -> if(best is null or r.length > best.length, r, best))")
+    lines_ = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')))")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines_, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the vectors whose id is divisible by 50; every seventh vector is relabelled first."""
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(vectors, F.pmod("id", F.lit(50)) == 0)
+
+
 def queries() -> dict:
-    every = [op1_exact_dedup, op2_bpe, op3_language_id, op4_html_extraction, op5_token_counts, op6_toxicity, op7_line_dedup, op8_packing, op9_media_columns, op10_simhash]
+    every = [op1_exact_dedup, op2_bpe, op3_language_id, op4_html_extraction, op5_token_counts, op6_toxicity, op7_line_dedup, op8_packing, op9_media_columns, op10_simhash, op11_quality, op12_periodic_runs, op13_hard_negatives]
     return {f.__name__: f for f in every}
 
 
@@ -117,4 +150,42 @@ ORACLE_SQL = {
             FROM units WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM gone) GROUP BY doc_id)
         SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed, length(coalesce(text, ''))::BIGINT AS n_chars, coalesce(text, '') AS text
         FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""".replace("%MARKED%", MARKED).replace("%UNSPACED%", lines.UNSPACED),
+    "op12_periodic_runs": r"""
+        WITH given AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS said,
+                   xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+                       lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT), 4294967295) AS h
+            FROM documents),
+        placed AS (SELECT *, len(said) AS n, h // 10 AS g, CASE WHEN len(said) > 0 THEN (h // 10) % len(said) END AS a FROM given),
+        periodic AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+        docs AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: said[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE said END AS words FROM periodic),
+        words AS (SELECT doc_id, i, words[i + 1] AS word FROM (SELECT doc_id, words, unnest(range(0, len(words))) AS i FROM docs)),
+        equal_ AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+        islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal_),
+        periods AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) >= q),
+        found AS (
+            SELECT doc_id, start, length, q AS period FROM periods r
+            WHERE length >= 12 AND NOT EXISTS (SELECT 1 FROM periods s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start AND s.start + s.length >= r.start + r.length)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM found),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS left_ FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        best AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs,
+                   first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS b
+            FROM found GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+               (1000 * b.length // b.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
+        FROM docs LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_hard_negatives": r"""
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""",
 }
