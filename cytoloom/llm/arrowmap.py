@@ -36,6 +36,7 @@ def map_lists(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: s
             for at in range(0, batch.num_rows, AT_ONCE):
                 columns = step(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+        pa.default_memory_pool().release_unused()  # the process serves other tasks
 
     return df.mapInArrow(run, out)
 

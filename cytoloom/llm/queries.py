@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact, htmltext, langid, lines, media, negatives, packing, quality, runs, simhash, tokencount, toxicity
 from .arrowmap import map_lists
-from .shared import new_path
+from .shared import delete, new_path
 
 
 def vocabulary(name: str) -> str:
@@ -44,7 +44,11 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own, so that what ran before does not change what it does."""
-    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), new_path(spark, "token-counts"))
+    cache = new_path(spark, "token-counts")
+    try:
+        return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), cache)
+    finally:
+        delete(spark, cache)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lists of the tables made in the ``scratch()`` blocks that are open.
-OPEN: list[list[Stored]] = []
+#: Tables made in the ``scratch()`` block that is open, of each thread for itself.
+OPEN: contextvars.ContextVar[list[Stored] | None] = contextvars.ContextVar("open", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,8 +59,9 @@ class Stored:
         self.path = new_path(self.spark, label)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        if OPEN and not lasting:
-            OPEN[-1].append(self)
+        tables = OPEN.get()
+        if tables is not None and not lasting:
+            tables.append(self)
         atexit.register(delete, self.spark, self.path)
 
     def drop(self) -> None:
@@ -69,12 +71,13 @@ class Stored:
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """Tables stored inside that are not to last are deleted at the end."""
-    OPEN.append([])
+    outer = OPEN.set([])
     try:
         yield
     finally:
-        for table in OPEN.pop():
+        for table in OPEN.get():
             table.drop()
+        OPEN.reset(outer)
 
 
 def result(df: DataFrame, label: str) -> DataFrame:

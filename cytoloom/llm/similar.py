@@ -17,6 +17,11 @@ sketches allow, which is verified on the whole sets and joins most classes,
 then what they still allow between different classes. So no link is lost, and
 a group of near copies gives about as many pairs as texts. Whole sets are made
 again for the texts of pairs; only prefixes and sketches are stored.
+
+Shingles that very many prefixes hold are counted before a task loads them. In
+each a text is drawn that all others there are held against, some times over,
+so that groups of near copies become one class and need no more pairs; what
+still has several classes is dealt into parts that meet two by two.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import map_lists
+from .arrowmap import array_sum, map_lists
 from .components import components
 from .shared import Stored, beside, result, scratch, without
 from .simhash import BUDGET, bucket_edges, majority, shingle_digests, signed
@@ -42,6 +47,8 @@ SAMPLE, FREQUENT = 20_000, 100_000
 NARROW, WIDE = 64, 1 << 16
 #: Rows of prefixes, and of runs with sketches, that a task should hold; members beyond which a run is split.
 ROWS, SKETCHES, LARGE = 2_000_000, 200_000, 4_096
+#: Times that the texts of a split shingle are held against a drawn one; cells that shingles are counted in first.
+DRAWS, CELLS = 3, 1 << 18
 
 
 def shingle_set(digests: bytes) -> np.ndarray:
@@ -67,8 +74,18 @@ def frequent_shingles(docs: DataFrame, words: int) -> list[int]:
     return [r.h for r in reversed(found.orderBy(F.desc("count"), "h").limit(FREQUENT).collect())]
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(shingles.tobytes()))
+def node_of(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's number, and another one by which two sets of one number are told apart."""
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return signed(digest >> 64), signed(digest & (1 << 64) - 1)
+
+
+def told_apart(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """Numbers in ``shared`` are made from both; without ``other``."""
+    if shared is None:
+        return rows.drop("other")
+    rows = rows.join(beside(shared), F.col("node") == F.col("shared"), "left")
+    return rows.withColumn("node", F.when(F.col("shared").isNotNull(), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("shared", "other")
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -87,7 +104,7 @@ def possible(a: bytes, b: bytes, sizes: int, similarity: float) -> bool:
 
 
 def shingle_rows(docs: DataFrame, words: int, similarity: float, frequent: list[int]) -> DataFrame:
-    """doc_id, key, node (digest of the set), fp, size, sketch, head: the set's prefix when frequent ones come last."""
+    """doc_id, key, node and other (digests of the set), fp, size, sketch, head: the set's prefix when frequent ones come last."""
     names = np.array(frequent, np.int64)
     by_value = np.argsort(names)
     names = names[by_value]
@@ -103,34 +120,36 @@ def shingle_rows(docs: DataFrame, words: int, similarity: float, frequent: list[
 
     def make():
         def step(ids, keys, texts):
-            nodes, fps, sizes, sketches, heads = [], [], [], [], []
+            nodes, others, fps, sizes, sketches, heads = [], [], [], [], [], []
             for t in texts:
                 digests = shingle_digests(t, words)
                 s = shingle_set(digests)
-                nodes.append(node_of(s))
+                node, other = node_of(s)
+                nodes.append(node)
+                others.append(other)
                 fps.append(signed(majority(digests)) if digests else 0)
                 sizes.append(len(s))
                 sketches.append(sketch(s))
                 heads.append(prefix(s))
-            return ids, keys, nodes, fps, sizes, sketches, heads
+            return ids, keys, nodes, others, fps, sizes, sketches, heads
 
         return step
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_lists(docs.select("doc_id", "key", "text"), make, f"doc_id {kind}, key long, node long, fp long, size int, sketch binary, head array<long>")
+    return map_lists(docs.select("doc_id", "key", "text"), make, f"doc_id {kind}, key long, node long, other long, fp long, size int, sketch binary, head array<long>")
 
 
-def whole_sets(docs: DataFrame, words: int) -> DataFrame:
+def whole_sets(docs: DataFrame, words: int, shared: DataFrame | None = None) -> DataFrame:
     """node, s: the sets of shingles of the texts."""
 
     def make():
         def step(texts):
             sets = [shingle_set(shingle_digests(t, words)) for t in texts]
-            return [node_of(s) for s in sets], sets
+            return *zip(*map(node_of, sets)), sets
 
         return step
 
-    return map_lists(docs.select("text"), make, "node long, s array<long>")
+    return told_apart(map_lists(docs.select("text"), make, "node long, other long, s array<long>"), shared)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -141,44 +160,85 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def heavy_shingles(rows: DataFrame) -> DataFrame | None:
+    """h, n: shingles that more than ``LARGE`` prefixes hold, if any may. Only those in cells of so many are counted one by one."""
+
+    def make():
+        def step(heads):
+            found = np.concatenate([np.zeros(0, np.int64), *(np.array(h, np.int64) for h in heads)])
+            return np.bincount(found & (CELLS - 1), minlength=CELLS)
+
+        return step
+
+    full = np.flatnonzero(array_sum(rows.select("head"), make, CELLS) > LARGE)
+    if not len(full):
+        return None
+    cells = rows.sparkSession.createDataFrame([(int(c),) for c in full], "cell long")
+    held = rows.select(F.explode("head").alias("h")).withColumn("in_cell", F.col("h").bitwiseAND(F.lit(CELLS - 1)))
+    counted = held.join(beside(cells), F.col("in_cell") == F.col("cell"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return Stored(counted.where(F.col("n") > LARGE), "heavy").df
+
+
+def classes_in(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """h, n, several: whether the texts whose prefixes hold a heavy shingle are of several classes."""
+    held = rows.select("class", F.explode("head").alias("h")).join(beside(heavy.select(F.col("h").alias("heavy"), "n")), F.col("h") == F.col("heavy"))
+    return held.groupBy("h").agg(F.first("n").alias("n"), (F.min("class") != F.max("class")).alias("several"))
+
+
+def drawn_pairs(rows: DataFrame, heavy: DataFrame, draw: int) -> DataFrame:
+    """a, b: the texts of each heavy shingle of several classes, each with one that is drawn, if that is of another class."""
+    held = rows.select("node", "class", F.explode("head").alias("h")).join(beside(heavy.select(F.col("h").alias("heavy"))), F.col("h") == F.col("heavy"), "left_semi")
+    held = Stored(held, "held").df  # so that the join below can split a shingle of very many texts
+    drawn = held.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(draw)).alias("lot"), "node", "class")).alias("d"))
+    drawn = Stored(drawn.select(F.col("h").alias("of"), F.col("d.node").alias("one"), F.col("d.class").alias("its")), "drawn").df
+    both = held.join(drawn, F.col("h") == F.col("of")).where("class <> its")
+    return both.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
+
+
 def prefix_runs(rows: DataFrame) -> DataFrame:
-    """run, sub, node: the nodes, of two classes or more, whose prefixes share a shingle; equal runs count once.
+    """run, node: the nodes, of two classes or more, whose prefixes share a shingle; equal runs count once.
 
     ``rows``: node, class, head; those of one node count once, but are better
-    not repeated. Long runs are dealt into parts that meet two by two.
+    not repeated. Shingles of very many texts are dealt into parts, every two
+    of which are a run, before any task loads them.
     """
     wanted = rows.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, wanted // ROWS)
-    keyed = rows.select("node", "class", F.explode("head").alias("h")).repartition(parts, "h")
+    keyed = rows.select("node", "class", F.explode("head").alias("h")).withColumn("sub", F.lit(0).cast("long"))
+    heavy = heavy_shingles(rows)
+    if heavy is not None:
+        deals = classes_in(rows, heavy).select(F.col("h").alias("heavy"), F.when(F.col("several"), F.ceil(2 * F.col("n") / LARGE)).otherwise(0).alias("deals"))
+        keyed = keyed.join(beside(Stored(deals, "deals").df), F.col("h") == F.col("heavy"), "left")
+        other = F.when(F.col("deals").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("deals") > 0, F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))
+        keyed = keyed.withColumn("other", F.explode(other)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("deals")))
+        sub = F.least("own", "other") * F.col("deals") + F.greatest("own", "other")
+        keyed = keyed.select("node", "class", "h", F.coalesce(sub, F.lit(0).cast("long")).alias("sub"))
+    keyed = keyed.repartition(parts, "h", "sub")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        h, node, of = (table[c].to_numpy() for c in ("h", "node", "class"))
-        order = np.lexsort((node, h))
-        h, node, of = (x[order] for x in (h, node, of))
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-        h, node, of = (x[fresh] for x in (h, node, of))
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sizes = np.diff(np.r_[starts, len(h)])
+        h, sub, node, of = (table[c].to_numpy() for c in ("h", "sub", "node", "class"))
+        order = np.lexsort((node, sub, h))
+        h, sub, node, of = (x[order] for x in (h, sub, node, of))
+        begins = (h[1:] != h[:-1]) | (sub[1:] != sub[:-1])
+        fresh = np.r_[True, begins | (node[1:] != node[:-1])]
+        starts = np.r_[True, begins][fresh]
+        node, of = node[fresh], of[fresh]
+        starts = np.flatnonzero(starts)
+        sizes = np.diff(np.r_[starts, len(node)])
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mixed(node), starts)
         several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
         first = np.zeros(len(starts), bool)
         first[np.flatnonzero(several)[np.unique(sums[several], return_index=True)[1]]] = True
         keep = np.repeat(first, sizes)
-        name, node, many = np.repeat(sums, sizes)[keep].view(np.int64), node[keep], np.repeat(sizes, sizes)[keep]
-        deals = np.where(many > LARGE, -(-2 * many // LARGE), 1)
-        of_row = np.repeat(np.arange(len(node)), deals)
-        other = np.arange(len(of_row)) - np.repeat(np.cumsum(deals) - deals, deals)
-        own = (mixed(node) % deals.astype(np.uint64)).astype(np.int64)[of_row]
-        sub = np.minimum(own, other) * deals[of_row] + np.maximum(own, other)
-        for at in range(0, len(of_row), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(name[of_row[part]]), pa.array(sub[part]), pa.array(node[of_row[part]])], names=["run", "sub", "node"])
+        name, node = np.repeat(sums, sizes)[keep].view(np.int64), node[keep]
+        for at in range(0, len(node), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(name[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], names=["run", "node"])
 
-    return keyed.mapInArrow(run, "run long, sub long, node long").distinct()
+    return keyed.mapInArrow(run, "run long, node long").distinct()
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -216,16 +276,16 @@ def allowed_pairs(node: np.ndarray, of: np.ndarray, size: np.ndarray, sketches:
 def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
     """a, b: pairs within the runs of what sketches allow; ``nodes``: node, class, size, sketch."""
     tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, runs.count() // SKETCHES)
-    keyed = runs.join(nodes, "node").select("run", "sub", "node", "class", "size", "sketch").repartition(tasks, "run", "sub")
+    keyed = runs.join(nodes, "node").select("run", "node", "class", "size", "sketch").repartition(tasks, "run")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        name, sub, node, of, size = (table[c].to_numpy() for c in ("run", "sub", "node", "class", "size"))
+        name, node, of, size = (table[c].to_numpy() for c in ("run", "node", "class", "size"))
         sketches = table["sketch"].to_pylist()
-        order = np.lexsort((node, sub, name))
-        starts = np.flatnonzero(np.r_[True, (np.diff(name[order]) != 0) | (np.diff(sub[order]) != 0)])
+        order = np.lexsort((node, name))
+        starts = np.flatnonzero(np.r_[True, np.diff(name[order]) != 0])
         found = set()
         for a, b in zip(starts, np.r_[starts[1:], len(order)]):
             if b - a > 1:
@@ -237,7 +297,7 @@ def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: bool
     return keyed.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, shared: DataFrame | None = None) -> DataFrame:
     """src, dst: the pairs whose whole sets are so similar."""
     nodes = rows.groupBy("node").agg(F.min(F.struct("size", "sketch")).alias("of"))
     pairs = Stored(pairs.where("a <> b").distinct(), "pairs").df
@@ -256,7 +316,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: flo
     keys = rows.select("node", "key").join(beside(Stored(there, "paired").df), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     keys = beside(Stored(keys.select("key").distinct(), "keys").df)
     # one shuffle by node, which both joins read; the second moves a set for each pair
-    sets = whole_sets(docs.join(keys, "key", "left_semi"), words).groupBy("node").agg(F.first("s").alias("s"))
+    sets = whole_sets(docs.join(keys, "key", "left_semi"), words, shared).groupBy("node").agg(F.first("s").alias("s"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -286,11 +346,15 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     rows = shingle_rows(docs, words, similarity, frequent_shingles(docs, words)).withColumn("rid", F.monotonically_increasing_id())
     rows = Stored(rows, "shingles").df
+    shared = rows.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select(F.col("node").alias("shared"))
+    shared = Stored(shared, "shared").df
+    shared = None if shared.isEmpty() else shared
+    rows = told_apart(rows, shared)
     first = Stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints").df
     same = rows.select("fp", "node").distinct().join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
     found = bucket_edges(first.select("fp"), budget).distinct()
     found = found.join(first.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
-    edges = Stored(verified(same.union(found), docs, rows, similarity, words), "near").df
+    edges = Stored(verified(same.union(found), docs, rows, similarity, words, shared), "near").df
     nodes = Stored(once_each(rows).select("node", "size", "sketch", "head"), "nodes").df
 
     def classed(edges: DataFrame) -> DataFrame:
@@ -298,10 +362,17 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
         return nodes.join(beside(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
 
     known = classed(edges)
+    heavy = heavy_shingles(nodes)
+    for draw in range(DRAWS if heavy is not None else 0):
+        heavy = Stored(classes_in(known, heavy).where("several").select("h", "n"), "heavy").df
+        if heavy.isEmpty():
+            break
+        edges = Stored(edges.union(verified(drawn_pairs(known, heavy, draw), docs, rows, similarity, words, shared)), "near").df
+        known = classed(edges)
     runs = Stored(prefix_runs(known), "runs").df
     for forest in (True, False):
         pairs = run_pairs(runs, known.select("node", "class", "size", "sketch"), similarity, forest)
-        edges = Stored(edges.union(verified(pairs, docs, rows, similarity, words)), "near").df
+        edges = Stored(edges.union(verified(pairs, docs, rows, similarity, words, shared)), "near").df
         known = classed(edges) if forest else known
     classes = Stored(components(edges), "classes").df
     members = Stored(rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "members").df

@@ -263,3 +263,46 @@ def test_negatives_of_odd_rows(spark):
     assert negatives.mine(df.limit(0), F.col("id") == 0).collect() == [] and negatives.mine(df, F.col("id") == 77).collect() == []
     zero = spark.createDataFrame([(0, 1, []), (1, 1, []), (2, 2, [])], "vec_id long, label int, embedding array<float>")
     assert {tuple(r) for r in negatives.mine(zero, F.col("id") == 0).collect()} == {(0, 1, 1, 2, 0, 0)}
+
+
+# tables of the shared folder
+
+
+def test_threads_keep_their_own_tables(spark):
+    """A block that ends in one thread leaves what another one still reads."""
+    import threading
+
+    from cytoloom.llm import shared
+
+    started, ended, found = threading.Event(), threading.Event(), []
+
+    def one():
+        with shared.scratch():
+            mine = shared.Stored(spark.range(5).toDF("id"), "one")
+            started.set()
+            ended.wait(60)
+            found.append(mine.df.count())
+        found.append(shared.exists(spark, mine.path))
+
+    t = threading.Thread(target=one)
+    t.start()
+    started.wait(60)
+    with shared.scratch():
+        other = shared.Stored(spark.range(3).toDF("id"), "other")
+        with shared.scratch():
+            inner = shared.Stored(spark.range(2).toDF("id"), "inner")
+        assert not shared.exists(spark, inner.path) and shared.exists(spark, other.path)
+    assert not shared.exists(spark, other.path)
+    ended.set()
+    t.join()
+    assert found == [5, False]
+
+
+def test_the_cache_of_the_query_goes_with_it(spark, monkeypatch):
+    from cytoloom.llm import shared
+
+    paths = []
+    new = queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    assert queries.op5_token_counts(spark, FOLDER).count() > 0
+    assert paths and not any(shared.exists(spark, p) for p in paths)

@@ -112,3 +112,43 @@ def test_groups_of_near_copies_give_no_square_of_pairs(spark):
     sets = [shingles(t) for t in texts]
     of = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])])
     assert {r.doc_id: r.component_id for r in similar.near_copies(df).collect()} == dict(enumerate(of))
+
+
+@pytest.mark.parametrize("large", [4096, 5])
+def test_heavy_shingles_are_drawn_from_and_dealt(spark, monkeypatch, large):
+    """One base, many near copies of it and of each other's ends, and texts of the same frequent shingles that are not near."""
+    monkeypatch.setattr(similar, "LARGE", large)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        for at in rng.sample(range(60), k % 3):
+            words[at] = f"own{k}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:30] + [f"else{k}y{j}" for j in range(k % 9, 12)]) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    of = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])])
+    assert {r.doc_id: r.component_id for r in similar.near_copies(df).collect()} == dict(enumerate(of))
+
+
+def test_drawn_pairs_are_about_as_many_as_texts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LARGE", 10)
+    rows = spark.createDataFrame([(k, k, [7, 100 + k]) for k in range(50)] + [(60, 60, [8])], "node long, class long, head array<long>")
+    heavy = similar.heavy_shingles(rows)
+    assert [tuple(r) for r in heavy.collect()] == [(7, 50)]
+    pairs = similar.drawn_pairs(rows, heavy, 0).collect()
+    assert len(pairs) == 49 and len({r.a for r in pairs} & {r.b for r in pairs}) <= 1
+    assert similar.classes_in(rows.withColumn("class", F.lit(1)), heavy).first().several is False
+
+
+def test_sets_of_one_number_are_told_apart(spark, monkeypatch):
+    """With two bits for a number most texts share theirs."""
+    whole = similar.node_of
+    monkeypatch.setattr(similar, "node_of", lambda s: (whole(s)[0] & 3, whole(s)[1]))
+    texts = [t for seed in range(5) for t in altered(seed, 3)] + ["a", "b", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    of = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if near(sets[a], sets[b])])
+    assert {r.doc_id: r.component_id for r in similar.near_copies(df).collect()} == dict(enumerate(of))
