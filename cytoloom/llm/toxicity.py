@@ -145,7 +145,9 @@ class LabelModel:
     def __init__(self, v: np.ndarray, prior: float, rounds: int = 30):
         n = v.shape[1]
         self.prior, self.parent = prior, np.full(n, -1)
-        rates = np.array([np.full(n, 0.05), np.full(n, 0.6)])
+        fires = v.any(axis=0)
+        # to begin with a voter that fires says toxic, one that never does says nothing
+        rates = np.where(fires, [[0.05], [0.3]], 0.05)
         self.table = np.stack([1 - rates, rates], axis=-1)[:, :, None, :].repeat(2, axis=2)
         for k in range(rounds):
             p = self.posterior(v)
@@ -157,6 +159,7 @@ class LabelModel:
             if k:  # voters first for themselves
                 self.parent = self.tree(pair, ones, total)
             self.table = self.tables(pair, ones, total)
+            self.table[:, ~fires] = 0.5
             self.clean, self.toxic = (ones + [[0.1], [1.0]]) / (total[:, None] + 2)
         rest = v - np.outer(p, self.toxic) - np.outer(1 - p, self.clean)
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
@@ -223,6 +226,7 @@ class Toxicity:
         odds = (there.get(0, 0) / max(1, taken[0])) / max(1e-9, there.get(1, 0) / max(1, taken[1])) if taken[1] else 1.0
         self.lexicons = mine(rows, max(odds, 1e-3)) if rows else Lexicons()
         self.label_model = None
+        self.share = there.get(1, 0) / max(1, there.get(0, 0) + there.get(1, 0))
         self.weights, self.scale = None, np.array([1.0, 0.0])
         if taken[0] and taken[1]:
             hits = Hits(self.lexicons)
@@ -244,8 +248,8 @@ class Toxicity:
         for k, text in enumerate(texts):
             x[k], cells = hits.of(text)
             words[k] = bag[cells].sum() / max(1.0, len(cells)) ** 0.5
-        if self.weights is None:  # no labels to learn from: the seed list alone
-            return 0.9 * (x[:, 0] > 0) + 0.05
+        if self.weights is None:  # no labels of both kinds to learn from: their share is all that is known
+            return np.full(len(texts), self.share)
         margin = counts_of(x) @ self.weights[:few] + words + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(margin * self.scale[0] + self.scale[1], -30, 30)))
 
@@ -271,8 +275,8 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
 
     Null text is empty text, scored like any other. Null ids count as empty for
     held_out. Repeated rows give repeated rows; other columns are not read; an
-    empty table gives an empty result. Without labels of both classes the seed
-    list alone decides.
+    empty table gives an empty result. Without labels of both classes every
+    score is the share of toxic ones among them, 0 without any.
     """
 
     def make():
