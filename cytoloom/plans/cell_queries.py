@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import naming, numeric
-from ..operators import clustering, phenotype, radial, statistics, summaries
+from ..operators import clustering, manifold, modularity, phenotype, radial, statistics, summaries
 from ..sources import formats, readers
 
 from .fixtures import CELLS, MARKERS, SPECIES, cells, table
@@ -484,10 +484,30 @@ def feature_matrix(spark, sf):
 
 @query()
 def graph_communities(spark, sf):
+    return clustering.merge_small(modularity.communities(_shared_graph(spark, sf)), _shared_graph(spark, sf), 5)
+
+
+@query()
+def propagated_communities(spark, sf):
+    """Label propagation on the same graph, large communities split."""
+    edges = _shared_graph(spark, sf)
+    return clustering.merge_small(clustering.split_large(clustering.communities(edges), edges), edges, 5)
+
+
+def _shared_graph(spark, sf):
+    """Neighbours in feature space, pruned by length, weighted by the share of neighbours they have in common."""
     knn = clustering.nearest_neighbors(table(spark, sf, "embeddings"), "vec_id", "embedding", 10)
-    edges = clustering.prune_jaccard(clustering.jaccard_edges(clustering.prune_edges(knn)), 1.0)
-    labels = clustering.split_large(clustering.communities(edges, 20), edges)
-    return clustering.merge_small(labels, edges, 5)
+    return clustering.prune_jaccard(clustering.jaccard_edges(clustering.prune_edges(knn)), 1.0)
+
+
+@query()
+def descended_knn(spark, sf):
+    return _rounded(manifold.descended_neighbors(table(spark, sf, "embeddings"), "vec_id", "embedding", 5), "distance")
+
+
+@query()
+def manifold_embedding(spark, sf):
+    return manifold.fit(table(spark, sf, "embeddings"), "vec_id", "embedding").places
 
 
 @query()

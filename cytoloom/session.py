@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "cytoloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -31,3 +34,24 @@ def checkpoints(spark: SparkSession) -> None:
     if not found and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp())
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder for checkpoints, which goes when the process ends.
+
+    Iterations cut their lineage by this: a checkpoint would carry what the
+    optimiser has inferred about the columns from round to round, and that
+    grows with each.
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
