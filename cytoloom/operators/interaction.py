@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..session import written
 from . import spatial, statistics
 
 
@@ -89,36 +88,44 @@ def pmf_average(pmf: DataFrame, by: list[str]) -> DataFrame:
 
 
 def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutations: int = 200, seed: int = 0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
-    """Neighbourhood enrichment in each ROI: edges between species against shuffled labels, z and normal tail probabilities.
-
-    ROIs of one species or of at most two cells are passed over. The shuffles
-    are seeded by ROI, so results do not depend on the plan.
+    """Neighbourhood enrichment in each ROI: roi..., center, neighbor, edges, z and normal tail probabilities against shuffled labels, and the edges these make on average.
+
+    A shuffle gives each cell the label of the cell whose rank by one hash its
+    own rank by another hash equals, both of (ROI, shuffle, cell); ranks are
+    within an ROI and a shuffle. So labels are permuted and not drawn, no ROI
+    is gathered, and no plan changes a result. A tally a shuffle is all that
+    is kept of its edges. Null labels keep a place of their own and are not
+    reported. ROIs of one species or of at most two cells are passed over; a
+    cell id counts once an ROI.
     """
-    keyed = cells.withColumn("__roi", F.concat_ws("|", *[F.col(c).cast("string") for c in roi]))
-    edges = spatial.radius_graph(keyed.select("__roi", cell_id, "x", "y"), radius, cell_id, "__roi").select("__roi", "src", "dst")
-
-    def test(key, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(nodes["species"].dropna().unique())
-        empty = pd.DataFrame({"__roi": [], "center": [], "neighbor": [], "edges": [], "z": [], "p_left": [], "p_right": []})
-        if len(names) < 2 or len(nodes) <= 2 or links.empty:
-            return empty
-        nodes = nodes.sort_values("id", kind="stable").drop_duplicates("id")
-        code = nodes["species"].map({s: k for k, s in enumerate(names)}).to_numpy()
-        place = {i: k for k, i in enumerate(nodes["id"])}
-        a, b = links["src"].map(place).to_numpy(), links["dst"].map(place).to_numpy()
-        n = len(names)
-        count = lambda c: np.bincount(c[a] * n + c[b], minlength=n * n)
-        rng = np.random.default_rng([seed, *key[0].encode()])
-        null = np.array([count(rng.permutation(code)) for _ in range(permutations)])
-        seen, spread = count(code), null.std(axis=0)
-        z = np.divide(seen - null.mean(axis=0), spread, out=np.full(n * n, np.nan), where=spread > 0)
-        cdf = np.array([0.5 * math.erfc(-v / math.sqrt(2)) if v == v else np.nan for v in z])
-        sf = np.array([0.5 * math.erfc(v / math.sqrt(2)) if v == v else np.nan for v in z])
-        return pd.DataFrame({"__roi": key[0], "center": np.repeat(names, n), "neighbor": np.tile(names, n), "edges": seen, "z": z, "p_left": cdf, "p_right": sf})
-
-    nodes = keyed.select("__roi", F.col(cell_id).alias("id"), F.col(species).alias("species"))
-    out = nodes.groupBy("__roi").cogroup(edges.groupBy("__roi")).applyInPandas(test, "__roi string, center string, neighbor string, edges bigint, z double, p_left double, p_right double")
-    return out.withColumnRenamed("__roi", "roi")
+    keyed = cells.select(F.struct(*roi).alias("__roi"), F.col(cell_id).alias("id"), "x", "y", F.col(species).cast("string").alias("species"))
+    keyed = keyed.groupBy("__roi", "id").agg(F.min(F.struct("x", "y", "species")).alias("c")).select("__roi", "id", "c.x", "c.y", "c.species")
+    there = keyed.groupBy("__roi").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("species").alias("kinds")).where("cells > 2 AND kinds > 1")
+    keyed = written(keyed.join(there.select("__roi"), "__roi", "left_semi"))
+    edges = written(spatial.radius_graph(keyed.select("__roi", "id", "x", "y"), radius, "id", "__roi").select("__roi", "src", "dst"))
+    place = Window.partitionBy("__roi", "shuffle")
+    lot = lambda k: F.xxhash64("__roi", "shuffle", "id", F.lit(seed), F.lit(k))
+    every = keyed.select("__roi", "id", "species", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("shuffle"))
+    shuffled = every.where("shuffle > 0")
+    giving = shuffled.select("__roi", "shuffle", "species", F.row_number().over(place.orderBy(lot(0), "id")).alias("rank"))
+    taking = shuffled.select("__roi", "shuffle", "id", F.row_number().over(place.orderBy(lot(1), "id")).alias("rank"))
+    labels = taking.join(giving, ["__roi", "shuffle", "rank"]).select("__roi", "shuffle", "id", "species")
+    labels = labels.unionByName(every.where("shuffle = 0").select("__roi", "shuffle", "id", "species"))
+    # one row a cell with its labels in all shuffles, so that edges meet them once
+    lists = labels.groupBy("__roi", "id").agg(F.array_sort(F.collect_list(F.struct("shuffle", "species"))).alias("l")).select("__roi", "id", F.col("l.species").alias("l"))
+    lists = written(lists)
+    met = edges.join(lists.select("__roi", F.col("id").alias("src"), F.col("l").alias("a")), ["__roi", "src"]).join(lists.select("__roi", F.col("id").alias("dst"), F.col("l").alias("b")), ["__roi", "dst"])
+    tally = met.select("__roi", F.posexplode(F.arrays_zip("a", "b")).alias("shuffle", "e")).groupBy("__roi", "shuffle", F.col("e.a").alias("center"), F.col("e.b").alias("neighbor")).agg(F.count(F.lit(1)).alias("n"))
+    null, n = F.col("shuffle") > 0, F.col("n").cast("double")
+    stats = tally.where("center IS NOT NULL AND neighbor IS NOT NULL").groupBy("__roi", "center", "neighbor").agg(F.coalesce(F.sum(F.when(~null, F.col("n"))), F.lit(0)).alias("edges"), F.sum(F.when(null, n)).alias("s"), F.sum(F.when(null, n * n)).alias("q"))
+    kinds = keyed.where("species IS NOT NULL").select("__roi", "species").distinct()
+    pairs = kinds.select("__roi", F.col("species").alias("center")).join(kinds.select("__roi", F.col("species").alias("neighbor")), "__roi")
+    pairs = pairs.join(edges.select("__roi").distinct(), "__roi", "left_semi")  # species by species of an ROI that has edges
+    out = pairs.join(stats, ["__roi", "center", "neighbor"], "left").na.fill(0, ["edges"]).na.fill(0.0, ["s", "q"])
+    mean = F.col("s") / permutations
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / permutations - mean * mean))
+    out = out.withColumn("z", F.when(spread > 1e-9, (F.col("edges") - mean) / spread).otherwise(float("nan")))
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "edges", "z", numeric.normal_cdf(F.col("z")).alias("p_left"), numeric.normal_cdf(-F.col("z")).alias("p_right"), mean.alias("expected"))
 
 
 def bootstrap_counts(counts: DataFrame, by: list[str], value: str, resamples: int, row: list[str], seed: int = 0) -> DataFrame:

@@ -71,16 +71,20 @@ def ring_counts(
     counts them, less the cell itself if ``exclude_self``. ``center`` names a
     column for the cell's own phenotype.
     """
-    slim = cells.select(image, cell_id, "x", "y", phenotype)
-    pairs = band_pairs(slim, slim, max(radii), image, keep=[cell_id, phenotype], keep_neighbor=[cell_id, phenotype], half=True)
+    slim = cells.select(image, cell_id, "x", "y", phenotype, F.col(phenotype).alias("own"))
+    if center:  # of rows that share an id the least; known before cells meet, so that pairs are only hashed
+        least = slim.groupBy(image, cell_id).agg(F.min("own").alias("own"))
+        slim = slim.drop("own").join(least, [image, cell_id], "left")
+    carried = [cell_id, phenotype, *(["own"] if center else [])]
+    pairs = band_pairs(slim, slim, max(radii), image, keep=carried, keep_neighbor=carried, half=True)
     pairs = pairs.withColumn("ring", ring_of(F.col("d2"), radii, closed)).where("ring IS NOT NULL")
     if exclude_self:
         pairs = pairs.where(F.col("c_" + cell_id) != F.col("n_" + cell_id))
-    end = lambda a, b: F.struct(F.col(f"`{a}_{cell_id}`").alias("id"), F.col(f"`{a}_{phenotype}`").alias("own"), F.col(f"`{b}_{phenotype}`").alias("other"))
+    end = lambda a, b: F.struct(F.col(f"`{a}_{cell_id}`").alias("id"), *([F.col(f"{a}_own").alias("own")] if center else []), F.col(f"`{b}_{phenotype}`").alias("other"))
     ends = F.explode(F.when(F.col("mirrored"), F.array(end("c", "n"), end("n", "c"))).otherwise(F.array(end("c", "n"))))
     pairs = pairs.select(image, "ring", ends.alias("e"))
-    own = [F.min("e.own").alias(center)] if center else []
-    return pairs.groupBy(image, F.col("e.id").alias(cell_id), F.col("e.other").alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"), *own)
+    own = [F.col("e.own").alias(center)] if center else []
+    return pairs.groupBy(image, F.col("e.id").alias(cell_id), *own, F.col("e.other").alias("neighbor"), "ring").agg(F.count(F.lit(1)).alias("n"))
 
 
 def phenotype_rings(cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, image: str = "slide_id", phenotype: str = "phenotype") -> DataFrame:

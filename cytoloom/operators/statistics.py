@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..session import written
 
 
 def kernel_density(df: DataFrame, value: str, by: list[str], points: int = 500) -> DataFrame:
@@ -32,17 +33,34 @@ def kernel_density(df: DataFrame, value: str, by: list[str], points: int = 500)
     return out.select(*by, (F.col("lo") + F.col("k") * step).alias("x"), (F.coalesce("total", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def rank_sums(long: DataFrame, feature: str, group: str, value: str) -> DataFrame:
+#: Values of a sketch by which a feature is cut into ranges, and the rows that a range should hold.
+SKETCH, RANGE = 10_000, 100_000
+
+
+def rank_sums(long: DataFrame, feature: str, group: str, value: str, rows: int = RANGE) -> DataFrame:
     """(feature, group, rank_sum, n, total, ties): sums of tie-averaged ranks of each group's values within a feature.
 
-    Equal values are counted first, so what a feature's window ranks are its
-    distinct values.
+    Equal values are counted first. A feature's distinct values are cut into
+    ranges of some ``rows`` by a sketch of their quantiles; ranks are counted
+    within a range and lifted by what the ranges below hold, so that no task
+    sees more of a feature than a range. Ranks do not depend on the cuts.
     """
     cells = long.groupBy(feature, value, group).agg(F.count(F.lit(1)).alias("m"))
-    tied = cells.groupBy(feature, value).agg(F.sum("m").alias("t"))
-    below = F.sum("t").over(Window.partitionBy(feature).orderBy(value)) - F.col("t")
-    ranked = tied.withColumn("rank", below + (F.col("t") + 1) / 2)
-    per = ranked.groupBy(feature).agg(F.sum("t").alias("total"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
+    tied = written(cells.groupBy(feature, value).agg(F.sum("m").alias("t")))
+    most = tied.groupBy(feature).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cuts = min(SKETCH, most // rows)
+    own = tied.select(feature, value, "t")
+    if cuts:
+        shares = F.array(*[F.lit((k + 1) / (cuts + 1)) for k in range(cuts)])
+        ends = written(tied.groupBy(feature).agg(F.percentile_approx(value, shares, SKETCH).alias("ends")))  # a row a feature
+        own = own.join(ends, feature).withColumn("part", F.size(F.filter("ends", lambda e: e < F.col(value)))).drop("ends")
+    else:
+        own = own.withColumn("part", F.lit(0))
+    held = own.groupBy(feature, "part").agg(F.sum("t").alias("held"))
+    before = held.withColumn("before", F.sum("held").over(Window.partitionBy(feature).orderBy("part")) - F.col("held")).drop("held")  # of ranges
+    below = F.sum("t").over(Window.partitionBy(feature, "part").orderBy(value)) - F.col("t")
+    ranked = own.join(before, [feature, "part"]).withColumn("rank", F.col("before") + below + (F.col("t") + 1) / 2)
+    per = tied.groupBy(feature).agg(F.sum("t").alias("total"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties"))
     sums = cells.join(ranked.select(feature, value, "rank"), [feature, value]).groupBy(feature, group).agg(F.sum(F.col("rank") * F.col("m")).alias("rank_sum"), F.sum("m").alias("n"))
     return sums.join(per, feature)
 

@@ -244,7 +244,7 @@ def repeated_columns(spark, sf):
 
 
 @query("""WITH t AS (SELECT o_custkey, o_orderkey, o_orderpriority, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS k FROM orders)
-    SELECT o_orderkey, CASE WHEN n > 2 THEN CAST(o_custkey AS VARCHAR) || '_' || lpad(CAST(k AS VARCHAR), 4, '0') ELSE CAST(o_custkey AS VARCHAR) END AS id FROM t""")
+    SELECT o_orderkey, CASE WHEN n > 2 THEN CAST(o_custkey AS VARCHAR) || '_' || printf('%04d', k) ELSE CAST(o_custkey AS VARCHAR) END AS id FROM t""")
 def unique_ids(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderkey", "o_orderpriority")
     return summaries.unique_ids(o, "id", "o_orderpriority", 2, "o_orderkey").select("o_orderkey", "id")

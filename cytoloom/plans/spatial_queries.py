@@ -101,7 +101,7 @@ def roi_grid(spark, sf):
     return spatial.roi_grid(spatial.bounds(cells(spark, sf), ["slide_id"]), 400.0, 80.0)
 
 
-@query(f"WITH {CELLS} SELECT slide_id, slide_id || '_roi_[' || lpad(CAST(floor((min(x) + max(x)) / 2 + 0.5)::BIGINT AS VARCHAR), 5, '0') || ',' || lpad(CAST(floor((min(y) + max(y)) / 2 + 0.5)::BIGINT AS VARCHAR), 5, '0') || ']' AS roi_id FROM cells GROUP BY 1")
+@query(f"WITH {CELLS} SELECT slide_id, slide_id || '_roi_[' || printf('%05d', floor((min(x) + max(x)) / 2 + 0.5)::BIGINT) || ',' || printf('%05d', floor((min(y) + max(y)) / 2 + 0.5)::BIGINT) || ']' AS roi_id FROM cells GROUP BY 1")
 def whole_image_rois(spark, sf):
     return spatial.whole_image_rois(cells(spark, sf)).select("slide_id", "roi_id")
 
@@ -164,7 +164,7 @@ def max_valid_centers(spark, sf):
 
 @query()
 def permutation_test(spark, sf):
-    return interaction.permutation_test(cells(spark, sf), 40.0, ["slide_id"], 50)
+    return interaction.permutation_test(cells(spark, sf), 40.0, ["slide_id"], 50).withColumn("roi", F.col("slide_id").cast("string"))
 
 
 #: Centers of each neighbour count in an ROI, and what a Poisson distribution expects.
@@ -330,7 +330,11 @@ def density2d_weighted_smoothed(spark, sf):
     return _rounded(density2d.weighted_density(_bins(spark, sf), 20, "quantity"), "d", digits=8)
 
 
-@query(_binned(f"WITH {BINS}, t AS (SELECT phenotype, count(*) AS total FROM binned GROUP BY 1), n AS (SELECT phenotype, bx, by, count(*) AS n FROM binned GROUP BY 1, 2, 3), e AS (SELECT phenotype, bx, by, coalesce(n, 0) / total AS d FROM (SELECT * FROM t, grid) g LEFT JOIN n USING (phenotype, bx, by)), "
+#: Bins between the least and the largest coordinates there are.
+EXTENT = BINS.replace("FROM cells WHERE x <= 1000 AND y <= 1000)", "FROM cells, ends)").replace("binned AS (", "ends AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM cells), binned AS (").replace("x * 20 / 1000", "(x - x0) * 20 / (x1 - x0)").replace("y * 20 / 1000", "(y - y0) * 20 / (y1 - y0)")
+
+
+@query(_binned(f"WITH {EXTENT}, t AS (SELECT phenotype, count(*) AS total FROM binned GROUP BY 1), n AS (SELECT phenotype, bx, by, count(*) AS n FROM binned GROUP BY 1, 2, 3), e AS (SELECT phenotype, bx, by, coalesce(n, 0) / total AS d FROM (SELECT * FROM t, grid) g LEFT JOIN n USING (phenotype, bx, by)), "
     + smooth_sql("e", "s").replace("by, sum(d", "by, phenotype, sum(d").replace("AS by, sum(d", "AS by, phenotype, sum(d").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3") + " SELECT phenotype, bx, by, round(d, 9) AS d FROM s"))
 def density2d_by_group(spark, sf):
     return _rounded(density2d.group_densities(cells(spark, sf), "phenotype", "x", "y", 20), "d", digits=9)
