@@ -27,6 +27,7 @@ still has several classes is dealt into parts that meet two by two.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ NARROW, WIDE = 64, 1 << 16
 ROWS, SKETCHES, LARGE = 2_000_000, 200_000, 4_096
 #: Times that the texts of a split shingle are held against a drawn one; cells that shingles are counted in first.
 DRAWS, CELLS = 3, 1 << 18
+#: Pairs of two classes from which a forest takes them for one, forest by forest; 0 for all pairs that are left.
+FORESTS = (1, 8, 0)
 
 
 def shingle_set(digests: bytes) -> np.ndarray:
@@ -196,7 +199,7 @@ def drawn_pairs(rows: DataFrame, heavy: DataFrame, draw: int) -> DataFrame:
 
 
 def prefix_runs(rows: DataFrame) -> DataFrame:
-    """run, node: the nodes, of two classes or more, whose prefixes share a shingle; equal runs count once.
+    """run, node, least: the nodes, of two classes or more, whose prefixes share a shingle, and the smallest of them; equal runs count once.
 
     ``rows``: node, class, head; those of one node count once, but are better
     not repeated. Shingles of very many texts are dealt into parts, every two
@@ -234,11 +237,11 @@ def prefix_runs(rows: DataFrame) -> DataFrame:
         first = np.zeros(len(starts), bool)
         first[np.flatnonzero(several)[np.unique(sums[several], return_index=True)[1]]] = True
         keep = np.repeat(first, sizes)
-        name, node = np.repeat(sums, sizes)[keep].view(np.int64), node[keep]
-        for at in range(0, len(node), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(name[at : at + (1 << 16)]), pa.array(node[at : at + (1 << 16)])], names=["run", "node"])
+        columns = [np.repeat(sums, sizes)[keep].view(np.int64), node[keep], np.repeat(node[starts], sizes)[keep]]
+        for at in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["run", "node", "least"])
 
-    return keyed.mapInArrow(run, "run long, node long").distinct()
+    return keyed.mapInArrow(run, "run long, node long, least long").distinct()
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -250,12 +253,13 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def allowed_pairs(node: np.ndarray, of: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of different classes whose sketches allow the similarity; with ``forest`` only those that join two groups."""
+def allowed_pairs(node: np.ndarray, of: np.ndarray, size: np.ndarray, sketches: list[bytes], similarity: float, forest: int) -> list[tuple[int, int]]:
+    """Pairs of different classes whose sketches allow the similarity; with ``forest`` two classes count as one from so many pairs of theirs on."""
     order = np.lexsort((node, size))
     node, of, size, sketches = node[order], of[order].copy(), size[order].astype(np.int64), [sketches[k] for k in order]
     until = np.searchsorted(size, np.floor(size / similarity + 1e-9).astype(np.int64), "right")
     most, out, at, base, last = (1 - similarity) / (1 + similarity), [], None, 0, 0
+    seen = Counter()
     for i in range(len(node) - 1):
         j = int(until[i])
         if j <= i + 1 or (of[i + 1 : j] == of[i]).all():
@@ -264,19 +268,30 @@ def allowed_pairs(node: np.ndarray, of: np.ndarray, size: np.ndarray, sketches:
             base, last = i, max(j, int(np.searchsorted(size, 2 * size[i], "right")))
             at = folded(sketches[base:last])
         bits = np.bitwise_count(at[i + 1 - base : j - base] ^ at[i - base]).sum(axis=1)
-        near = np.flatnonzero((bits <= (size[i + 1 : j] + size[i]) * most + 1e-9) & (of[i + 1 : j] != of[i])) + i + 1
+        room = (size[i + 1 : j] + size[i]) * most - bits
+        near = np.flatnonzero((room >= -1e-9) & (of[i + 1 : j] != of[i])) + i + 1
         if forest and len(near):
+            near = near[np.argsort(-room[near - i - 1], kind="stable")]  # of a class the likeliest one
             labels, first = np.unique(of[near], return_index=True)
             near = near[first]
+            if forest > 1:
+                both = [(min(int(of[i]), c), max(int(of[i]), c)) for c in labels.tolist()]
+                seen.update(both)
+                labels = labels[[seen[k] >= forest for k in both]]
             of[np.isin(of, labels)] = of[i]
         out += [(int(min(node[i], node[k])), int(max(node[i], node[k]))) for k in near]
     return out
 
 
-def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """a, b: pairs within the runs of what sketches allow; ``nodes``: node, class, size, sketch."""
+def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: int) -> DataFrame:
+    """a, b: pairs within the runs of what sketches allow; ``nodes``: node, class, size, sketch.
+
+    Near copies meet in many runs. Those with one smallest node are of one
+    task, which makes a pair once; they are at most as many as its prefix has
+    shingles.
+    """
     tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, runs.count() // SKETCHES)
-    keyed = runs.join(nodes, "node").select("run", "node", "class", "size", "sketch").repartition(tasks, "run")
+    keyed = runs.join(nodes, "node").select("run", "node", "least", "class", "size", "sketch").repartition(tasks, "least")
 
     def run(batches):
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -370,9 +385,10 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
         edges = Stored(edges.union(verified(drawn_pairs(known, heavy, draw), docs, rows, similarity, words, shared)), "near").df
         known = classed(edges)
     runs = Stored(prefix_runs(known), "runs").df
-    for forest in (True, False):
+    for forest in FORESTS:
         pairs = run_pairs(runs, known.select("node", "class", "size", "sketch"), similarity, forest)
-        edges = Stored(edges.union(verified(pairs, docs, rows, similarity, words, shared)), "near").df
+        new = Stored(verified(pairs, docs, rows, similarity, words, shared), "links").df
+        edges = Stored(edges.union(new), "near").df
         known = classed(edges) if forest else known
     classes = Stored(components(edges), "classes").df
     members = Stored(rows.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "members").df
