@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import naming, numeric
-from ..operators import clustering, manifold, modularity, phenotype, radial, statistics, summaries
+from ..operators import clustering, manifold, modularity, phenotype, profiles, radial, statistics, summaries
 from ..sources import formats, readers
 
 from .fixtures import CELLS, MARKERS, SPECIES, cells, table
@@ -556,19 +556,17 @@ def categorical_histogram(spark, sf):
     return summaries.value_counts(cells(spark, sf), "phenotype").select(F.col("value").alias("phenotype"), "n")
 
 
-@query("SELECT vec_id, round((v - lo) / (hi - lo), 6) AS v FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v, min(CAST(embedding[1] AS DOUBLE)) OVER () AS lo, max(CAST(embedding[1] AS DOUBLE)) OVER () AS hi FROM embeddings)")
-def min_max_scale(spark, sf):
-    from ..operators import profiles
-
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("v"))
-    return _rounded(profiles.min_max(e, ["v"]), "v")
+LONG = "long AS (SELECT vec_id, CAST(u.k - 1 AS INT) AS feature, CAST(embedding[u.k] AS DOUBLE) AS v FROM embeddings, range(1, 65) u(k))"
 
 
-@query("SELECT vec_id, round(ln(0.1 * (v - least(lo, 0)) + 0.1) - ln(0.1 * (lo - least(lo, 0)) + 0.1), 6) AS log_weight FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS v, min(CAST(embedding[1] AS DOUBLE)) OVER () AS lo FROM embeddings)")
-def log_weights(spark, sf):
-    from ..operators import profiles
-
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("v"))
-    return _rounded(profiles.log_weights(e, "v", []).select("vec_id", "log_weight"), "log_weight")
+@query(f"WITH {LONG}, e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM long GROUP BY 1), s AS (SELECT vec_id, feature, (v - lo) / (hi - lo) AS v FROM long JOIN e USING (feature)) SELECT vec_id, feature, round(v, 6) AS v FROM s")
+def min_max_scale(spark, sf):
+    df, names = _features(spark, sf)
+    scaled = profiles.min_max(df.select("vec_id", *names), names)
+    return _rounded(scaled.select("vec_id", F.posexplode(F.array(*names)).alias("feature", "v")), "v")
 
 
+@query(f"WITH {LONG}, e AS (SELECT *, min(v) OVER (PARTITION BY feature) AS lo FROM long) SELECT vec_id, feature, round(ln(0.1 * (v - least(lo, 0)) + 0.1) - ln(0.1 * (lo - least(lo, 0)) + 0.1), 6) AS log_weight FROM e")
+def log_weights(spark, sf):
+    long = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("feature", "v"))
+    return _rounded(profiles.log_weights(long, "v", ["feature"]).select("vec_id", "feature", "log_weight"), "log_weight")
