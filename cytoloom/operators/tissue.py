@@ -81,6 +81,22 @@ def inside(points: np.ndarray, ellipse: np.ndarray) -> np.ndarray:
     return ((c * dx + s * dy) / a) ** 2 + ((s * dx - c * dy) / b) ** 2
 
 
+#: Lattice points that are tried at once.
+AT_ONCE = 1 << 21
+
+
+def inside_counts(centres: np.ndarray, ellipses: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the points around each centre lie in its ellipse; many centres at once, each with an ellipse of its own."""
+    out, step = np.zeros(len(centres)), max(1, AT_ONCE // max(1, len(offsets)))
+    turn = np.stack([np.cos(ellipses[:, 4]), np.sin(ellipses[:, 4])], axis=1)
+    for at in range(0, len(centres), step):
+        part = slice(at, at + step)
+        e, (c, s) = ellipses[part], turn[part].T[:, :, None]
+        dx, dy = (centres[part, k, None] + offsets[None, :, k] - e[:, k, None] for k in (0, 1))
+        out[part] = (((c * dx + s * dy) / e[:, 2, None]) ** 2 + ((s * dx - c * dy) / e[:, 3, None]) ** 2 <= 1).sum(axis=1)
+    return out
+
+
 def fit_ellipse(points: np.ndarray, reach: float) -> np.ndarray:
     """Ellipse of least mean absolute deviation of the ellipse function from 1 along the outline."""
     border = points[outline(points, reach)]
@@ -128,8 +144,9 @@ def ring_shares(cells: DataFrame, radii: list[float], reach: float = 100.0, scal
     def count(batches):
         for batch in batches:
             centre = np.trunc(batch[["x", "y"]].to_numpy(float) * scale)
-            shape = batch[["cx", "cy", "a", "b", "turn"]].to_numpy(float)
-            areas = np.array([[(inside(c + o, np.r_[e[:4] * scale, e[4]]) <= 1).sum() for o in offsets] for c, e in zip(centre, shape)], float).reshape(-1, len(offsets))
+            shape = batch[["cx", "cy", "a", "b", "turn"]].to_numpy(float, copy=True)
+            shape[:, :4] *= scale
+            areas = np.stack([inside_counts(centre, shape, o) for o in offsets], axis=1)
             ratios = areas / np.array([len(o) for o in offsets])
             yield pd.DataFrame({image: batch[image], cell_id: batch[cell_id], "areas": list(areas), "ratios": list(ratios)})
 

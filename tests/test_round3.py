@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cytoloom.operators import interaction, statistics
+from cytoloom.operators import interaction, statistics, tissue
 
 
 @pytest.mark.parametrize("rows", [3, 100_000])
@@ -59,6 +59,17 @@ def test_shuffles_equal_the_closed_form_and_keep_rois_apart(spark):
                 assert found.p_left + found.p_right == pytest.approx(1.0)
 
 
+def test_ring_areas_of_many_cells_equal_those_of_each(monkeypatch):
+    r = np.random.default_rng(4)
+    centres = np.trunc(r.random((60, 2)) * 100)
+    shapes = np.c_[r.random((60, 2)) * 100, r.random((60, 2)) * 40 + 5, r.random(60) * 3]
+    shapes[7] = np.nan
+    monkeypatch.setattr(tissue, "AT_ONCE", 5_000)
+    for offsets in tissue.ring_offsets([8.0, 15.0]):
+        one = [(tissue.inside(c + offsets, e) <= 1).sum() for c, e in zip(centres, shapes)]
+        assert tissue.inside_counts(centres, shapes, offsets).tolist() == one and max(one) > 0
+
+
 def test_entry_without_what_text_operators_need():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
