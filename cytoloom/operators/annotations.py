@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,20 @@ def footprint(rectangles: DataFrame, image: str, tile: int = 256) -> DataFrame:
     return rectangles.where("x1 > x0 AND y1 > y0").withColumn("px", x).withColumn("py", y).select(image, "px", "py").distinct()
 
 
+def footprint_runs(rectangles: DataFrame, image: str) -> DataFrame:
+    """(image, py, start, stop): what whole-number rectangles [x0, x1) x [y0, y1) cover of each row of pixels, as runs that neither overlap nor touch.
+
+    Rows grow with the heights of rectangles, not with their areas; a window
+    holds the rectangles that cross one row of pixels.
+    """
+    rows = rectangles.where("x1 > x0 AND y1 > y0").select(image, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("py"), "x0", "x1")
+    row = Window.partitionBy(image, "py").orderBy("x0", "x1")
+    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.withColumn("opens", F.when(reach.isNull() | (F.col("x0") > reach), 1).otherwise(0))
+    opened = opened.withColumn("run", F.sum("opens").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return opened.groupBy(image, "py", "run").agg(F.min("x0").alias("start"), F.max("x1").alias("stop")).drop("run")
+
+
 def raw_weights(windows: DataFrame, pixels: DataFrame, objects: DataFrame, image: str, radius: float, size: float) -> DataFrame:
     """Of each ROI: valid_area (inset by the radius), int_area, n_objects and covered pixels inside that inset; zeros if it is too small."""
     w = windows.select(image, "roi_id", "roi_x_min", "roi_x_max", "roi_y_min", "roi_y_max").distinct()

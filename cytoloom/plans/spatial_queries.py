@@ -354,7 +354,7 @@ def objects_in_windows(spark, sf):
 @query(f"WITH {CELLS}, r AS (SELECT slide_id, x::BIGINT AS x0, y::BIGINT AS y0 FROM cells WHERE phenotype = 'AF'), p AS (SELECT DISTINCT slide_id, x0 + i AS px, y0 + j AS py FROM r, range(0, 3) a(i), range(0, 2) b(j)) SELECT slide_id, count(*) AS pixels FROM p GROUP BY 1")
 def annotation_footprint(spark, sf):
     r = cells(spark, sf).where("phenotype = 'AF'").select("slide_id", F.col("x").cast("bigint").alias("x0"), F.col("y").cast("bigint").alias("y0")).withColumns({"x1": F.col("x0") + 3, "y1": F.col("y0") + 2})
-    return annotations.footprint(r, "slide_id").groupBy("slide_id").agg(F.count(F.lit(1)).alias("pixels"))
+    return annotations.footprint_runs(r, "slide_id").groupBy("slide_id").agg(F.sum(F.col("stop") - F.col("start")).alias("pixels"))
 
 
 @query(f"WITH {CELLS}, w AS (SELECT slide_id, phenotype, count(*) AS n FROM cells GROUP BY 1, 2), e AS (SELECT slide_id, min(n) AS lo, max(n) AS hi FROM w GROUP BY 1) SELECT slide_id, phenotype, round(CASE WHEN hi > lo THEN (n - lo) / (hi - lo) ELSE 0.5 END, 6) AS weight FROM w JOIN e USING (slide_id)")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cytoloom.operators import interaction, statistics, tissue
+from cytoloom.operators import annotations, interaction, statistics, tissue
 
 
 @pytest.mark.parametrize("rows", [3, 100_000])
@@ -70,6 +70,17 @@ def test_ring_areas_of_many_cells_equal_those_of_each(monkeypatch):
         assert tissue.inside_counts(centres, shapes, offsets).tolist() == one and max(one) > 0
 
 
+def test_footprint_runs_cover_the_same_pixels(spark):
+    r = random.Random(5)
+    rows = [(r.choice("ab"), x, y, x + r.randint(-1, 9), y + r.randint(-1, 6)) for x, y in ((r.randint(0, 30), r.randint(0, 30)) for _ in range(60))]
+    df = spark.createDataFrame(rows, "image string, x0 long, y0 long, x1 long, y1 long")
+    runs = annotations.footprint_runs(df, "image").collect()
+    pixels = [(x.image, p, x.py) for x in runs for p in range(x.start, x.stop)]
+    assert len(pixels) == len(set(pixels)) and set(pixels) == {(x.image, x.px, x.py) for x in annotations.footprint(df, "image").collect()}
+    ends = {(x.image, x.py, x.stop) for x in runs}
+    assert not any((x.image, x.py, x.start) in ends for x in runs)  # runs that touch are one
+
+
 def test_entry_without_what_text_operators_need():
     code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], timeout=120).returncode == 0
