@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,36 @@ def footprint_runs(rectangles: DataFrame, image: str) -> DataFrame:
     return opened.groupBy(image, "py", "run").agg(F.min("x0").alias("start"), F.max("x1").alias("stop")).drop("run")
 
 
-def raw_weights(windows: DataFrame, pixels: DataFrame, objects: DataFrame, image: str, radius: float, size: float) -> DataFrame:
-    """Of each ROI: valid_area (inset by the radius), int_area, n_objects and covered pixels inside that inset; zeros if it is too small."""
+def covered(windows: DataFrame, cover: DataFrame, image: str, size: float) -> DataFrame:
+    """(image, roi_id, footprint): pixels of each window [min, max) that ``cover`` holds: runs (image, py, start, stop) or pixels (image, px, py).
+
+    Runs are cut at columns of buckets as wide as a window and meet, row of
+    pixels by row of pixels, the windows that reach into the bucket.
+    """
+    runs = cover.select(F.col(image).alias("image"), "py", F.col("px").alias("start"), (F.col("px") + 1).alias("stop")) if "px" in cover.columns else cover.select(F.col(image).alias("image"), "py", "start", "stop")
+    wide = max(1, math.ceil(size))
+    b = lambda c: F.floor(F.col(c) / wide)
+    pieces = runs.withColumn("bx", F.explode(F.sequence(b("start"), F.floor((F.col("stop") - 1) / wide))))
+    pieces = pieces.withColumns({"start": F.greatest("start", F.col("bx") * wide), "stop": F.least("stop", (F.col("bx") + 1) * wide)})
+    w = windows.select(F.col(image).alias("image"), "roi_id", *[F.ceil(f"roi_{a}_{e}").alias(f"{a}_{e}") for a in "xy" for e in ("min", "max")]).distinct().where("x_max > x_min AND y_max > y_min")
+    strips = w.withColumn("bx", F.explode(F.sequence(b("x_min"), F.floor((F.col("x_max") - 1) / wide)))).withColumn("py", F.explode(F.sequence(F.col("y_min"), F.col("y_max") - 1)))
+    shared = F.least("stop", "x_max") - F.greatest("start", "x_min")
+    found = strips.join(pieces, ["image", "bx", "py"]).where(shared > 0)
+    return found.groupBy(F.col("image").alias(image), "roi_id").agg(F.sum(shared).alias("footprint"))
+
+
+def raw_weights(windows: DataFrame, cover: DataFrame, objects: DataFrame, image: str, radius: float, size: float) -> DataFrame:
+    """Of each ROI: valid_area (inset by the radius), int_area, n_objects and covered pixels inside that inset; zeros if it is too small.
+
+    ``cover`` is a footprint, as pixels or as runs of them.
+    """
     w = windows.select(image, "roi_id", "roi_x_min", "roi_x_max", "roi_y_min", "roi_y_max").distinct()
     inset = w.withColumns({"roi_x_min": F.col("roi_x_min") + radius, "roi_x_max": F.col("roi_x_max") - radius, "roi_y_min": F.col("roi_y_min") + radius, "roi_y_max": F.col("roi_y_max") - radius})
     wide, high = F.col("roi_x_max") - F.col("roi_x_min"), F.col("roi_y_max") - F.col("roi_y_min")
     ok = (wide > 0) & (high > 0)
     area = inset.select(image, "roi_id", F.when(ok, wide * high).otherwise(0.0).alias("valid_area"), F.when(ok, F.floor(wide) * F.floor(high)).otherwise(0).alias("int_area"))
     n = objects_in_windows(objects, inset.where(ok), image, size)
-    spots = pixels.select(image, F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
-    covered = objects_in_windows(spots, inset.where(ok), image, size).withColumnRenamed("n_objects", "footprint")
-    return area.join(n, [image, "roi_id"], "left").join(covered, [image, "roi_id"], "left").na.fill(0, ["n_objects", "footprint"])
+    return area.join(n, [image, "roi_id"], "left").join(covered(inset.where(ok), cover, image, size), [image, "roi_id"], "left").na.fill(0, ["n_objects", "footprint"])
 
 
 def standardise_weights(df: DataFrame, weight: str, by: list[str], log: bool = False) -> DataFrame:

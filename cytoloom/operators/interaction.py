@@ -12,29 +12,41 @@ from ..session import written
 from . import spatial, statistics
 
 
-def observed(cells: DataFrame, radius: float, roi: list[str], species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
-    """For each (roi, center, neighbor): k neighbours in [0, radius) of n_valid edge-valid centers, the centers themselves taken off once."""
-    keyed = cells.withColumn("__roi", F.struct(*roi))
-    centers = spatial.valid_centers(keyed, radius, roi).select("__roi", cell_id, "x", "y", species)
-    valid = centers.groupBy("__roi", F.col(species).alias("center")).agg(F.count(F.lit(1)).alias("n_valid"))
-    pairs = spatial.band_pairs(centers, keyed.select("__roi", "x", "y", species), radius, "__roi", keep=[species], keep_neighbor=[species])
+def by_roi(cells: DataFrame, roi: list[str], species: str, cell_id: str) -> DataFrame:
+    """``__roi``, id, place and species of each cell, written: centers, neighbours, counts and bounds all read it."""
+    return written(cells.select(F.struct(*roi).alias("__roi"), F.col(cell_id).alias("__id"), "x", "y", F.col(species).alias("__species")))
+
+
+def tallies(keyed: DataFrame, radius: float) -> DataFrame:
+    """Of a table of ``by_roi``: (__roi, center, neighbor, n_valid, n_neighbor, k)."""
+    roi = ["__roi"]
+    centers = spatial.valid_centers(keyed, radius, roi)
+    valid = centers.groupBy("__roi", F.col("__species").alias("center")).agg(F.count(F.lit(1)).alias("n_valid"))
+    pairs = spatial.band_pairs(centers, keyed, radius, "__roi", keep=["__species"], keep_neighbor=["__species"])
     pairs = pairs.where(F.col("d2") < radius * radius)
-    k = pairs.groupBy("__roi", F.col("c_" + species).alias("center"), F.col("n_" + species).alias("neighbor")).agg(F.count(F.lit(1)).alias("k"))
-    there = keyed.groupBy("__roi", F.col(species).alias("neighbor")).agg(F.count(F.lit(1)).alias("n_neighbor"))
+    k = pairs.groupBy("__roi", F.col("c___species").alias("center"), F.col("n___species").alias("neighbor")).agg(F.count(F.lit(1)).alias("k"))
+    there = keyed.groupBy("__roi", F.col("__species").alias("neighbor")).agg(F.count(F.lit(1)).alias("n_neighbor"))
     out = valid.join(there, "__roi").join(k, ["__roi", "center", "neighbor"], "left")  # species by species of an ROI
     own = F.col("center") == F.col("neighbor")
-    out = out.withColumn("k", F.coalesce("k", F.lit(0)) - F.when(own, F.col("n_valid")).otherwise(0))
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n_valid", "n_neighbor", F.col("k").cast("bigint").alias("k"))
+    return out.withColumn("k", (F.coalesce("k", F.lit(0)) - F.when(own, F.col("n_valid")).otherwise(0)).cast("bigint"))
+
+
+def observed(cells: DataFrame, radius: float, roi: list[str], species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
+    """For each (roi, center, neighbor): k neighbours in [0, radius) of n_valid edge-valid centers, the centers themselves taken off once."""
+    out = tallies(by_roi(cells, roi, species, cell_id), radius)
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n_valid", "n_neighbor", "k")
 
 
 def poisson_test(cells: DataFrame, radius: float, roi: list[str], spacing: float = 1.0, species: str = "phenotype", cell_id: str = "cell_id", floor: float = -25.0, min_centers: int = 1) -> DataFrame:
     """Observed counts against a Poisson of the ROI's density: mean, log10 of P(X <= k) (left) and P(X >= k) (right), floored."""
-    seen = observed(cells, radius, roi, species, cell_id).where(F.col("n_valid") >= min_centers)
-    areas = spatial.bounds(cells, roi).select(*roi, spatial.effective_area(F.col("width"), F.col("height"), spacing).alias("area"))
+    keyed = by_roi(cells, roi, species, cell_id)
+    seen = tallies(keyed, radius).where(F.col("n_valid") >= min_centers)
+    areas = spatial.bounds(keyed, ["__roi"]).select("__roi", spatial.effective_area(F.col("width"), F.col("height"), spacing).alias("area"))
     possible = F.col("n_neighbor") - F.when(F.col("center") == F.col("neighbor"), 1).otherwise(0)
-    out = seen.join(areas, roi).withColumn("mean", F.col("n_valid") * possible / F.col("area") * spatial.slice_area(0.0, radius, spacing))
+    out = seen.join(areas, "__roi").withColumn("mean", F.col("n_valid") * possible / F.col("area") * spatial.slice_area(0.0, radius, spacing))
     left, right = numeric.poisson_left(F.col("k"), F.col("mean")), numeric.poisson_right(F.col("k"), F.col("mean"))
-    return out.withColumns({"log_p_left": numeric.floored_log10(left, floor), "log_p_right": numeric.floored_log10(right, floor)}).drop("area")
+    out = out.withColumns({"log_p_left": numeric.floored_log10(left, floor), "log_p_right": numeric.floored_log10(right, floor)})
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], *[c for c in out.columns if c not in ("__roi", "area")])
 
 
 def slide_average(pvals: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:

@@ -11,12 +11,11 @@ once and mirrors it after it is filtered or counted.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoints
+from ..session import written
 
 CLOSED_LEFT, CLOSED_RIGHT = "[)", "(]"
 
@@ -117,29 +116,69 @@ def radius_graph(cells: DataFrame, radius: float, cell_id: str = "cell_id", imag
     return edges if loops else edges.where("src <> dst")
 
 
-def nearest(cells: DataFrame, k: int, radius: float, cell_id: str = "cell_id", image: str = "slide_id", growth: float = 2.0) -> DataFrame:
-    """The k nearest others of each cell in its image (image, src, dst, distance, rank), ties by id.
+#: How much finer than the radius a pyramid begins, in halvings; buckets an axis has at most.
+FINER, MOST = 4, 1 << 40
 
-    A cell with k partners within ``radius``, or all there are, is done; the
-    rest are searched with a radius ``growth`` times larger. What a round
-    finds is checkpointed, so no round is done twice, and the search ends with
-    the last cell.
+
+def nearest(cells: DataFrame, k: int, radius: float, cell_id: str = "cell_id", image: str = "slide_id", of: DataFrame | None = None) -> DataFrame:
+    """The k nearest others of each cell in its image (image, src, dst, distance, rank), ties by id; all others where there are fewer.
+
+    A pyramid of buckets whose sides double, from a sixteenth of ``radius`` on,
+    is counted once. The smallest bucket about a cell that holds more than k
+    cells is looked at first: the k-th nearest in it bounds how far the cell
+    has to be searched, in buckets as wide as that, so that cells in dense and
+    in sparse places meet about as few others. Cells whose bucket lacks k
+    others, as few cells or ids that repeat can make it, meet their whole
+    image. Rows that share an id are ranked as one cell, each with its own
+    pairs. ``of`` keeps to some rows of ``cells``. Coordinates that are not
+    finite find and are found by none.
     """
-    checkpoints(cells.sparkSession)
-    slim = cells.select(image, cell_id, "x", "y").where("abs(x) < 1e15 AND abs(y) < 1e15")  # neither null nor NaN
-    there = slim.groupBy(image).agg((F.count_distinct(cell_id) - 1).alias("others"))
-    left, parts = slim.join(there.where("others > 0"), image), []
-    while True:
-        pairs = band_pairs(left, slim, radius, image, keep=[cell_id, "others"], keep_neighbor=[cell_id]).where(F.col("c_" + cell_id) != F.col("n_" + cell_id))
-        cell = Window.partitionBy(image, "c_" + cell_id)
-        found = pairs.withColumn("rank", F.row_number().over(cell.orderBy("d2", "n_" + cell_id))).where(F.col("rank") <= k)
-        found = found.withColumn("__full", F.count(F.lit(1)).over(cell) >= F.least(F.lit(k), F.col("c_others"))).where("__full")
-        found = found.select(image, F.col("c_" + cell_id).alias("src"), F.col("n_" + cell_id).alias("dst"), F.sqrt("d2").alias("distance"), "rank").checkpoint()
-        parts.append(found)
-        left = left.join(found.select(image, F.col("src").alias(cell_id)).distinct(), [image, cell_id], "left_anti").checkpoint()
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        radius *= growth
+    finite = " AND ".join(f"abs({c}) < double('infinity')" for c in "xy")  # neither null nor NaN
+    slim = cells.select(image, cell_id, "x", "y").where(finite)
+    far = slim.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
+    side = max(float(radius) / 2**FINER, 4.0 * far / MOST)
+    top = max(1, math.ceil(math.log2(max(1.0, 2.0 * far / side))))  # two buckets an axis hold all
+    above = lambda c, n: F.expr(f"shiftright({c}, {n})")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
+
+    slim = written(placed(slim).select(F.col(image).alias("image"), F.col(cell_id).alias("id"), "x", "y", "gx", "gy"))
+    finest = slim.groupBy("image", "gx", "gy").agg(F.count(F.lit(1)).alias("n"))
+    every = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumns({"hx": above("gx", "level"), "hy": above("gy", "level")})
+    full = every.groupBy("image", "level", "hx", "hy").agg(F.sum("n").alias("held")).where(F.col("held") > k).drop("held")
+    reach = every.join(full, ["image", "level", "hx", "hy"]).groupBy("image", "gx", "gy").agg(F.min("level").alias("level"))
+    asked = slim if of is None else placed(of.select(F.col(image).alias("image"), F.col(cell_id).alias("id"), "x", "y").where(finite))
+    asked = written(asked.join(reach, ["image", "gx", "gy"], "left").fillna(top, ["level"]))
+
+    def meet(left: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs, with d2, of ``left`` (image, level, hx, hy, ...) and the cells in its buckets at the levels of ``rows``."""
+        levels = [r[0] for r in rows.select("level").distinct().collect()] or [top]  # as many as the pyramid has at most
+        right = slim.select("image", F.col("id").alias("dst"), F.col("x").alias("nx"), F.col("y").alias("ny"), "gx", "gy", F.explode(F.array(*[F.lit(n) for n in levels])).alias("level"))
+        right = right.select("image", "dst", "nx", "ny", "level", above("gx", "level").alias("hx"), above("gy", "level").alias("hy"))
+        dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
+        return left.join(right, ["image", "level", "hx", "hy"]).where("id <> dst").withColumn("d2", dx * dx + dy * dy)
+
+    rank = F.row_number().over(Window.partitionBy("image", "id").orderBy("d2", "dst"))
+    some = asked.where(F.col("level") < top)
+    own = meet(some.withColumns({"hx": above("gx", "level"), "hy": above("gy", "level")}), some).withColumn("rank", rank).where(F.col("rank") == k)
+    finer = F.greatest(F.lit(0), F.ceil(F.log2(F.sqrt("d2") / side))).cast("int")  # log2 of 0 is null
+    tight = written(own.select("image", "id", "x", "y", "gx", "gy", F.coalesce(finer, F.lit(0)).alias("level"), F.col("d2").alias("bound")))
+    rest = asked.where(F.col("level") >= top)
+    if tight.count() < some.count():
+        known = tight.select("image", "id", F.col("level").alias("finer"), "bound")
+        rest = rest.unionByName(some.join(known, ["image", "id"], "left_anti"))
+        tight = some.join(known, ["image", "id"]).withColumn("level", F.col("finer")).drop("finer")
+    todo = tight.unionByName(rest.withColumns({"level": F.lit(top), "bound": F.lit(float("inf"))}))
+
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])
+    wide = F.lit(side) * F.pow(F.lit(2.0), F.col("level"))
+    left = todo.withColumn("o", F.explode(around)).withColumns({"hx": above("gx", "level") + F.col("o.i"), "hy": above("gy", "level") + F.col("o.j"), "wide": wide})
+    gap = lambda c, h: F.greatest(F.lit(0.0), F.col(h) * F.col("wide") - F.col(c), F.col(c) - (F.col(h) + 1) * F.col("wide"))
+    touched = gap("x", "hx") * gap("x", "hx") + gap("y", "hy") * gap("y", "hy") <= F.col("bound") * (1 + 1e-9)
+    left = left.where(touched).select("image", "id", "x", "y", "level", "hx", "hy", "bound")
+    found = meet(left, todo).where(F.col("d2") <= F.col("bound")).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select(F.col("image").alias(image), F.col("id").alias("src"), "dst", F.sqrt("d2").alias("distance"), "rank")
 
 
 def bounds(cells: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+from . import spatial
+
 #: Points near a hull's corner that make it part of the tissue, and nearest points of each corner that an outline is fitted to.
 COMPANY, NEAREST = 5, 50
 
@@ -31,19 +34,6 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array([*chain(order), *chain(order[::-1])] or [int(order[0])])
 
 
-def outline(points: np.ndarray, reach: float) -> np.ndarray:
-    """Indices of points along the border: hull corners with little company within ``reach`` are stripped until all have some."""
-    kept = np.arange(len(points))
-    while len(kept) > 3:
-        corner = hull(points[kept])
-        d2 = ((points[kept][:, None, :] - points[kept][corner][None, :, :]) ** 2).sum(axis=2)
-        lone = (d2 < reach * reach).sum(axis=0) < COMPANY
-        if not lone.any():
-            return kept[np.unique(np.argsort(d2, axis=0, kind="stable")[:NEAREST])]
-        kept = np.delete(kept, corner[lone])
-    return kept
-
-
 def simplex(f, start: np.ndarray, rounds: int = 1500, tolerance: float = 1e-7) -> np.ndarray:
     """Least point of a function by the downhill simplex method."""
     x = np.vstack([start, *[start + np.eye(len(start))[k] * (0.05 * start[k] or 0.00025) for k in range(len(start))]])
@@ -97,10 +87,9 @@ def inside_counts(centres: np.ndarray, ellipses: np.ndarray, offsets: np.ndarray
     return out
 
 
-def fit_ellipse(points: np.ndarray, reach: float) -> np.ndarray:
-    """Ellipse of least mean absolute deviation of the ellipse function from 1 along the outline."""
-    border = points[outline(points, reach)]
-    size = np.maximum(points.max(axis=0), 1.0)
+def fit_border(border: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Ellipse of least mean absolute deviation of the ellipse function from 1 along a border; ``most``: the image's largest x and y."""
+    size = np.maximum(most, 1.0)
     start = np.r_[size / 2, np.log(size), 0.0]
     best = simplex(lambda p: np.abs(inside(border, np.r_[p[:2], np.exp(p[2:4]), p[4]]) - 1).mean(), start)
     return np.r_[best[:2], np.exp(best[2:4]), best[4]]
@@ -119,23 +108,105 @@ def ring_offsets(radii: list[float]) -> list[np.ndarray]:
     return out
 
 
+def edges_of(corner: np.ndarray) -> list[list[float]]:
+    """Start and direction of each side of a hull."""
+    return np.hstack([corner, np.roll(corner, -1, axis=0) - corner]).tolist()
+
+
+def merged_hulls(points: DataFrame, image: str) -> DataFrame:
+    """(image, edges): the convex hull of each image's points, from hulls of what each task has met, as sides (x, y, dx, dy)."""
+    kind = dict(points.dtypes)[image]
+
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, rows in batch.groupby(image, sort=False):
+                p = rows[["x", "y"]].to_numpy(float)
+                p = np.vstack([held[key], p]) if key in held else p
+                held[key] = p[hull(p)]
+        for key, p in held.items():
+            yield pd.DataFrame({image: [key] * len(p), "x": p[:, 0], "y": p[:, 1]})
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[["x", "y"]].drop_duplicates().to_numpy(float)
+        return pd.DataFrame({image: [key[0]], "edges": [edges_of(p[hull(p)])]})
+
+    corners = points.select(image, "x", "y").mapInPandas(partial, f"`{image}` {kind}, x double, y double")
+    return corners.groupBy(image).applyInPandas(merge, f"`{image}` {kind}, edges array<array<double>>")
+
+
+def strip(points: np.ndarray, company: np.ndarray, total: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of candidates, those stripped and the hull corners (all that is left, where three or fewer are) when every corner has company."""
+    company, kept = company.copy(), np.arange(len(points))
+    while total > 3:
+        corner = kept[hull(points[kept])]
+        lone = corner[company[corner] < COMPANY]
+        if not len(lone):
+            return np.setdiff1d(np.arange(len(points)), kept), corner
+        for i in lone:
+            company -= ((points - points[i]) ** 2).sum(axis=1) < reach * reach
+        kept, total = np.setdiff1d(kept, lone), total - len(lone)
+    return np.setdiff1d(np.arange(len(points)), kept), kept
+
+
+def outlines(cells: DataFrame, reach: float, image: str = "slide_id") -> DataFrame:
+    """(image, x, y, n, most_x, most_y): the points along each image's border, with what the image holds; of images of five points or more.
+
+    Points of a square that fits into ``reach`` and holds five are never
+    stripped, nor is anything inside their hull. So hulls of such points are
+    merged over tasks, and only points outside are candidates, of which there
+    are at most four a square. Their company is counted by a distance join,
+    one task an image strips candidates alone, and what lies nearest to the
+    corners that are left is found by ``spatial.nearest``.
+    """
+    finite = " AND ".join(f"abs({c}) < double('infinity')" for c in "xy")
+    side = reach / math.sqrt(2) * (1 - 1e-9)
+    points = cells.select(image, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(finite).distinct()
+    points = written(points.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)}))
+    sizes = points.groupBy(image).agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("most_x"), F.max("y").alias("most_y")).where(F.col("n") >= COMPANY)
+    dense = points.groupBy(image, "gx", "gy").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= COMPANY).drop("m")
+    hulls = merged_hulls(points.join(dense, [image, "gx", "gy"]), image)
+    slack = 1e-9 * F.greatest(F.abs("x"), F.abs("y"), F.lit(1.0))
+    left_of = lambda e: e[2] * (F.col("y") - e[1]) - e[3] * (F.col("x") - e[0]) > slack * (F.abs(e[2]) + F.abs(e[3]))
+    outside = points.join(sizes.select(image, "n"), image).join(hulls, image, "left").where(F.col("edges").isNull() | ~F.forall("edges", left_of))
+    candidates = written(outside.select(image, "x", "y", "n"))
+    near = spatial.band_pairs(candidates, points, reach, image, keep=["n"], keep_neighbor=[]).where(F.col("d2") < reach * reach)
+    counted = near.groupBy(image, F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("c_n").alias("n")).agg(F.count(F.lit(1)).alias("company"))
+
+    def peel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[["x", "y"]].to_numpy(float)
+        gone, corner = strip(p, rows["company"].to_numpy(np.int64), int(rows["n"].iloc[0]), reach)
+        at = np.r_[gone, corner].astype(int)
+        return pd.DataFrame({image: [key[0]] * len(at), "x": p[at, 0], "y": p[at, 1], "corner": np.r_[np.zeros(len(gone), bool), np.ones(len(corner), bool)]})
+
+    kind = dict(points.dtypes)[image]
+    peeled = written(counted.groupBy(image).applyInPandas(peel, f"`{image}` {kind}, x double, y double, corner boolean"))
+    place = F.struct("x", "y")
+    kept = points.join(sizes.select(image), image).join(peeled.where("NOT corner"), [image, "x", "y"], "left_anti").select(image, "x", "y", place.alias("place"))
+    corners = peeled.where("corner").select(image, "x", "y", place.alias("place"))
+    along = spatial.nearest(kept, NEAREST - 1, reach, "place", image, of=corners).select(image, "dst.x", "dst.y")
+    return along.unionByName(corners.drop("place")).distinct().join(sizes, image)
+
+
 def ellipses(cells: DataFrame, reach: float = 100.0, image: str = "slide_id") -> DataFrame:
-    """Outline ellipse of each image: cx, cy, a, b, turn; null for images of fewer than five cells."""
+    """Outline ellipse of each image: cx, cy, a, b, turn; null for images of fewer than five distinct points, or where no corner has company.
+
+    The fit sees the border's points alone: at most fifty a corner of the hull.
+    """
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points = rows[["x", "y"]].dropna().drop_duplicates().to_numpy(float)
-        found = fit_ellipse(points, reach) if len(points) >= COMPANY else np.full(5, np.nan)
+        found = fit_border(rows.sort_values(["x", "y"])[["x", "y"]].to_numpy(float), rows[["most_x", "most_y"]].to_numpy(float)[0])
         return pd.DataFrame([[*key, *found]], columns=[image, "cx", "cy", "a", "b", "turn"])
 
     kind = dict(cells.dtypes)[image]
-    return cells.select(image, "x", "y").groupBy(image).applyInPandas(fit, f"`{image}` {kind}, cx double, cy double, a double, b double, turn double")
+    found = outlines(cells, reach, image).groupBy(image).applyInPandas(fit, f"`{image}` {kind}, cx double, cy double, a double, b double, turn double")
+    return cells.select(image).distinct().join(found, image, "left")
 
 
 def ring_shares(cells: DataFrame, radii: list[float], reach: float = 100.0, scale: float = 1.0, image: str = "slide_id", cell_id: str = "cell_id") -> DataFrame:
     """(image, cell_id, areas, ratios): lattice points of each ring inside the image's ellipse, and their share of the ring.
 
-    ``scale`` below 1 counts on a coarser lattice. The fit sees an image whole;
-    the counting does not, and is spread over all tasks.
+    ``scale`` below 1 counts on a coarser lattice.
     """
     found = ellipses(cells, reach, image)
     rows = cells.select(image, cell_id, "x", "y").join(found, image)
