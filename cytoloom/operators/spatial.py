@@ -289,6 +289,24 @@ def lattice_areas(radii: list[float]) -> list[int]:
     return out
 
 
+def lattice_area(radius: Column) -> Column:
+    """``lattice_areas`` of a column of radii, 0 for radius 0: the lattice points of each row of the disc are counted in closed form."""
+    limit = F.pow(radius + 1, F.lit(2.0))
+    reach = F.floor(radius + 1)
+    row = lambda i: F.when(i * i < limit, 2 * F.floor(F.sqrt(F.ceil(limit - i * i) - 1)) + 1).otherwise(0)
+    return F.when(radius > 0, F.aggregate(F.sequence(-reach, reach), F.lit(0).cast("bigint"), lambda total, i: total + row(i))).otherwise(0)
+
+
+def ring_densities(cells: DataFrame, width: float, image: str = "slide_id") -> DataFrame:
+    """Cells of each radial ring of an image over the ring's area in lattice points: image, ring, n, pixels, density.
+
+    Areas are computed for the few rings that occur, behind the aggregate over cells.
+    """
+    rings = radial_rings(cells, width, image).groupBy(image, "ring").agg(F.count(F.lit(1)).alias("n"))
+    rings = rings.withColumn("pixels", lattice_area(F.col("ring")) - lattice_area(F.col("ring") - width))
+    return rings.withColumn("density", F.col("n") / F.col("pixels"))
+
+
 def ring_areas(radii: list[float]) -> list[float]:
     """Areas between consecutive radii."""
     return [math.pi * (b * b - a * a) for a, b in zip(radii, radii[1:])]

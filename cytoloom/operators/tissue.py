@@ -225,6 +225,22 @@ def ring_shares(cells: DataFrame, radii: list[float], reach: float = 100.0, scal
     return rows.mapInPandas(count, f"`{image}` {kinds[image]}, `{cell_id}` {kinds[cell_id]}, areas array<double>, ratios array<double>")
 
 
+def synthetic_like(cells: DataFrame, spacing: float, seed: int = 0, image: str = "slide_id", cell_id: str = "cell_id") -> DataFrame:
+    """A uniform image beside each given one, of the same extent and number of cells, some two thirds of them A: image, cell_id, x, y, Phenotype A, Phenotype B.
+
+    Each cell's place and kind are drawn from a digest of seed, image and its
+    id, so nothing is numbered or gathered and a lost task draws the same
+    again; cells that share an id fall together. Places lie ``spacing`` apart.
+    """
+    extent = spatial.bounds(cells, [image]).select(F.col(image), *[F.floor((F.col(f"{a}_max") - F.col(f"{a}_min")) / spacing).alias(f"__{a}") for a in "xy"], "x_min", "y_min")
+    rows = cells.select(image, cell_id).join(extent, image)
+    name = lambda k: F.concat_ws("|", F.lit(str(seed)), F.lit(k), F.col(image).cast("string"), F.col(cell_id).cast("string"))
+    share = lambda k: F.conv(F.substring(F.md5(name(k).cast("binary")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    is_a = share("kind") < 2 / 3
+    place = {a: F.col(f"{a}_min") + F.floor(share(a) * (F.col(f"__{a}") + 1)) * spacing for a in "xy"}
+    return rows.select(image, cell_id, place["x"].alias("x"), place["y"].alias("y"), F.when(is_a, "A+").otherwise("A-").alias("Phenotype A"), F.when(is_a, "B-").otherwise("B+").alias("Phenotype B"))
+
+
 def synthetic_rois(spark: SparkSession, densities: list[float], cells: int, spacing: float, doubling: int = 0, seed: int = 0) -> DataFrame:
     """Uniform ROIs of given densities with two thirds of their cells A: tag, x, y, Phenotype A, Phenotype B.
 

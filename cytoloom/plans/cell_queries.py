@@ -352,9 +352,10 @@ def percent_positive(spark, sf):
     return _rounded(radial.dense_percent(e, "well", "t", "ring", F.col("value") > 50), "percent")
 
 
-@query(f"WITH {CELLS} SELECT slide_id, 'RF' AS label FROM cells WHERE phenotype = 'RF' GROUP BY 1")
+@query("SELECT o_custkey AS image, min(c_mktsegment) AS label FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = 1")
 def unique_image_label(spark, sf):
-    return summaries.unique_label(cells(spark, sf).where("phenotype = 'RF'"), "slide_id", "phenotype").withColumnRenamed("phenotype", "label")
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return summaries.unique_label(rows.select(F.col("o_custkey").alias("image"), F.col("c_mktsegment").alias("label")), "image", "label")
 
 
 @query(f"""WITH {CELLS}, e AS (SELECT slide_id, phenotype, count(*) AS n FROM cells GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY n DESC, phenotype) AS k, sum(n) OVER (PARTITION BY slide_id) AS total FROM e)

@@ -106,10 +106,10 @@ def whole_image_rois(spark, sf):
     return spatial.whole_image_rois(cells(spark, sf)).select("slide_id", "roi_id")
 
 
-@query(f"WITH {ROIS}, one AS (SELECT roi_id FROM rois WHERE line = 1 AND phenotype = 'AF' AND quantity > 45 GROUP BY 1 HAVING count(DISTINCT (x, y)) = 1) SELECT roi_id, count(*) AS n FROM rois WHERE line = 1 AND phenotype = 'AF' AND quantity > 45 AND roi_id NOT IN (SELECT roi_id FROM one) GROUP BY 1")
+@query(f"WITH {ROIS} SELECT roi_id, phenotype, quantity, count(*) AS n FROM rois GROUP BY 1, 2, 3 HAVING count(DISTINCT (x, y)) > 1")
 def single_coord_roi_drop(spark, sf):
-    few = _rois(spark, sf).where("line = 1 AND phenotype = 'AF' AND quantity > 45")
-    return spatial.drop_single_point_rois(few, ["roi_id"]).groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = ["roi_id", "phenotype", "quantity"]
+    return spatial.drop_single_point_rois(_rois(spark, sf), parts).groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
 
 
 CENTERS = """, b AS (SELECT roi_id, min(x) AS bx0, max(x) AS bx1, min(y) AS by0, max(y) AS by1 FROM rois GROUP BY 1),
@@ -239,10 +239,13 @@ def chamber_rings(spark, sf):
     return spatial.chamber_rings(cells(spark, sf), 500.0, 480.0, 100.0)
 
 
-@query("SELECT * FROM (VALUES (25.0::DOUBLE, 2109::BIGINT), (50.0, 8161), (100.0, 32005), (150.0, 71609), (200.0, 126905)) t(radius, pixels)")
+@query(f"""WITH {CELLS}, m AS (SELECT slide_id, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM cells GROUP BY 1),
+    r AS (SELECT slide_id, greatest(1, ceil(sqrt(pow(x - mx, 2) + pow(y - my, 2)) / 50)) * 50.0::DOUBLE AS ring, count(*) AS n FROM cells JOIN m USING (slide_id) GROUP BY 1, 2),
+    d AS (SELECT DISTINCT CAST(ring AS BIGINT) AS r FROM r UNION SELECT CAST(ring AS BIGINT) - 50 FROM r),
+    a AS (SELECT r, CASE WHEN r = 0 THEN 0 ELSE list_sum(list_transform(range(-r, r + 1), lambda i: 2 * floor(sqrt((r + 1) * (r + 1) - i * i - 1)) + 1)) END AS disc FROM d)
+    SELECT slide_id, ring, n, CAST(o.disc - i.disc AS BIGINT) AS pixels, round(n / (o.disc - i.disc), 9) AS density FROM r JOIN a o ON o.r = ring JOIN a i ON i.r = ring - 50""")
 def lattice_areas(spark, sf):
-    radii = [25.0, 50.0, 100.0, 150.0, 200.0]
-    return spark.createDataFrame(list(zip(radii, spatial.lattice_areas(radii))), "radius double, pixels long")
+    return _rounded(spatial.ring_densities(cells(spark, sf), 50.0), "density", digits=9)
 
 
 @query(f"WITH {CELLS}, a AS (SELECT DISTINCT slide_id, 'x' AS axis, x AS v FROM cells UNION SELECT DISTINCT slide_id, 'y', y FROM cells), g AS (SELECT slide_id, v - lag(v) OVER (PARTITION BY slide_id, axis ORDER BY v) AS gap FROM a) SELECT slide_id, round(min(gap), 8) AS min_spacing FROM g WHERE gap > 1e-8 GROUP BY 1")
@@ -388,10 +391,13 @@ def asymmetric_entries(spark, sf):
     return interaction.is_symmetric(m, "a", "b", "n")
 
 
-@query("SELECT z, round(p, 9) AS p FROM (VALUES (-6.0::DOUBLE, 9.865876450376946e-10), (-1.96, 0.024997895148220435), (0.0, 0.5), (1.0, 0.8413447460685429), (3.5, 0.9997673709209645)) t(z, p)")
+@query(f"""WITH {CELLS}, m AS (SELECT phenotype, avg(price) AS m, stddev_samp(price) AS s FROM cells GROUP BY 1), z AS (SELECT cell_id, (price - m) / s AS z FROM cells JOIN m USING (phenotype))
+    SELECT cell_id, round(z, 6) AS z, round(0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: pow(z, 2 * k + 1) * exp(k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))), 6) AS p FROM z""")
 def normal_cdf(spark, sf):
-    z = spark.createDataFrame([(-6.0,), (-1.96,), (0.0,), (1.0,), (3.5,)], "z double")
-    return z.select("z", F.round(numeric.normal_cdf(F.col("z")), 9).alias("p"))
+    c = cells(spark, sf)
+    moments = c.groupBy("phenotype").agg(F.avg("price").alias("m"), F.stddev_samp("price").alias("s"))
+    z = c.join(moments, "phenotype").withColumn("z", (F.col("price") - F.col("m")) / F.col("s"))
+    return _rounded(z.select("cell_id", "z", numeric.normal_cdf(F.col("z")).alias("p")), "z", "p")
 
 
 @query()
@@ -404,6 +410,12 @@ def tissue_ring_shares(spark, sf):
     return tissue.ring_shares(cells(spark, sf).select("slide_id", "cell_id", "x", "y"), [25.0, 50.0], 100.0, 0.2)
 
 
-@query()
+def _share(k: str) -> str:
+    return f"('0x' || substr(md5('7|{k}|' || slide_id || '|' || cell_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {CELLS}, e AS (SELECT slide_id, min(x) AS x0, min(y) AS y0, floor((max(x) - min(x)) / 0.5) AS nx, floor((max(y) - min(y)) / 0.5) AS ny FROM cells GROUP BY 1),
+    s AS (SELECT slide_id, cell_id, {_share('x')} AS sx, {_share('y')} AS sy, {_share('kind')} < 2.0::DOUBLE / 3 AS a FROM cells)
+    SELECT slide_id, cell_id, x0 + floor(sx * (nx + 1)) * 0.5 AS x, y0 + floor(sy * (ny + 1)) * 0.5 AS y, CASE WHEN a THEN 'A+' ELSE 'A-' END AS "Phenotype A", CASE WHEN a THEN 'B-' ELSE 'B+' END AS "Phenotype B" FROM s JOIN e USING (slide_id)""")
 def synthetic_rois(spark, sf):
-    return tissue.synthetic_rois(spark, [0.001, 0.01], 300, 0.5)
+    return tissue.synthetic_like(cells(spark, sf), 0.5, 7)

@@ -44,6 +44,17 @@ class Settings:
         if self.phenotyping_method == "Custom" and not self.phenotype_identification_file:
             raise ValueError("phenotype_identification_file: needed for Custom")
 
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """From a YAML file of nested sections; null sections and an empty file leave the defaults."""
+        import yaml  # only needed here
+
+        with open(path, encoding="utf-8-sig") as file:
+            sections = yaml.safe_load(file) or {}
+        if not isinstance(sections, dict) or not all(isinstance(v, dict | None) for v in sections.values()):
+            raise ValueError(f"{path}: sections of settings are expected")
+        return cls.from_sections(sections)
+
     @classmethod
     def from_sections(cls, sections: dict) -> Settings:
         """From nested sections, ``phenotyping: {method: ...}`` and the like; unknown settings raise ValueError."""
