@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
 from .sampling import draw, smallest
+from .shared import scratch
 
 ORDER = 4
 #: Labelled rows a language that a model is fitted on.
@@ -194,13 +195,14 @@ def held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> KneserNey:
     """A model fitted on at most ``rows`` rows a language that are not held out; a quarter as many more calibrate it.
 
-    At most ``sampling.CLASSES`` languages, those with the most rows, are learned, from texts of at most
-    ``sampling.LONGEST`` characters. Without any such row the model knows no language.
+    Every language is learned; where there are more than ``sampling.ROWS`` has room for, each from fewer rows.
+    Without any such row the model knows no language.
     """
     known = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     known = known.select(F.col(f"`{lang_col}`").alias("class"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("string").alias("key"))
-    drawn, _ = draw(known, rows + rows // 4, F.col("key"))
-    found = smallest(drawn, rows + rows // 4)
+    with scratch():
+        drawn, _, most = draw(known, rows + rows // 4, F.col("key"))
+        found = smallest(drawn, most)
     fit, rest = {}, {}
     for k, (text, lang) in enumerate(found):
         (rest if k % 5 == 4 else fit).setdefault(lang, []).append(text)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .arrowmap import map_lists
 from .sampling import draw, smallest
+from .shared import Stored, beside, scratch
 
 #: Labelled rows a class that voters and classifier are fitted on.
 ROWS = 1_500
@@ -262,11 +263,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A classifier fitted on at most ``rows`` labelled rows a class that are not held out."""
     known = labels.where(F.col(f"`{label_col}`").isin(0, 1) & ~held_out(id_col))
     known = known.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("class"))
-    drawn, there = draw(known, rows, F.col("__id").cast("string"))
-    # at most about 4 x rows distinct ids, whatever the input: small enough to broadcast, so that no text is shuffled
-    drawn = F.broadcast(drawn.select("__id", "class", "h").distinct())
     texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = smallest(texts.join(drawn, F.col("__doc") == F.col("__id")), rows)
+    with scratch():
+        drawn, counts, most = draw(known, rows, F.col("__id").cast("string"))
+        there = {r["class"]: r["count"] for r in counts.collect()}  # of two classes
+        drawn = beside(Stored(drawn.select("__id", "class", "h").distinct(), "labelled").df)  # small, so that no text is shuffled
+        found = smallest(texts.join(drawn, F.col("__doc") == F.col("__id")), most)
     return Toxicity(found, there)
 
 
