@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import array_sum, map_lists
+from .arrowmap import map_lists
 from .components import components
 from .shared import Stored, beside, result, scratch, without
 from .simhash import BUDGET, bucket_edges, majority, shingle_digests, signed
@@ -164,21 +164,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def heavy_shingles(rows: DataFrame) -> DataFrame | None:
-    """h, n: shingles that more than ``LARGE`` prefixes hold, if any may. Only those in cells of so many are counted one by one."""
+    """h, n: shingles that more than ``LARGE`` prefixes hold, if any may. Only those in cells of so many are counted one by one.
 
-    def make():
-        def step(heads):
-            found = np.concatenate([np.zeros(0, np.int64), *(np.array(h, np.int64) for h in heads)])
-            return np.bincount(found & (CELLS - 1), minlength=CELLS)
-
-        return step
-
-    full = np.flatnonzero(array_sum(rows.select("head"), make, CELLS) > LARGE)
-    if not len(full):
-        return None
-    cells = rows.sparkSession.createDataFrame([(int(c),) for c in full], "cell long")
+    Cells are counted where the prefixes are and added by a shuffle; no count reaches the driver.
+    """
     held = rows.select(F.explode("head").alias("h")).withColumn("in_cell", F.col("h").bitwiseAND(F.lit(CELLS - 1)))
-    counted = held.join(beside(cells), F.col("in_cell") == F.col("cell"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    full = held.groupBy(F.col("in_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("cell")
+    full = Stored(full, "cells").df
+    if full.isEmpty():
+        return None
+    counted = held.join(beside(full), F.col("in_cell") == F.col("cell"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return Stored(counted.where(F.col("n") > LARGE), "heavy").df
 
 
@@ -198,17 +193,18 @@ def drawn_pairs(rows: DataFrame, heavy: DataFrame, draw: int) -> DataFrame:
     return both.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b"))
 
 
-def prefix_runs(rows: DataFrame) -> DataFrame:
+def prefix_runs(rows: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """run, node, least: the nodes, of two classes or more, whose prefixes share a shingle, and the smallest of them; equal runs count once.
 
     ``rows``: node, class, head; those of one node count once, but are better
     not repeated. Shingles of very many texts are dealt into parts, every two
-    of which are a run, before any task loads them.
+    of which are a run, before any task loads them; ``heavy`` has them where
+    they are known.
     """
     wanted = rows.agg(F.sum(F.size("head"))).first()[0] or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, wanted // ROWS)
     keyed = rows.select("node", "class", F.explode("head").alias("h")).withColumn("sub", F.lit(0).cast("long"))
-    heavy = heavy_shingles(rows)
+    heavy = heavy_shingles(rows) if heavy is None else heavy
     if heavy is not None:
         deals = classes_in(rows, heavy).select(F.col("h").alias("heavy"), F.when(F.col("several"), F.ceil(2 * F.col("n") / LARGE)).otherwise(0).alias("deals"))
         keyed = keyed.join(beside(Stored(deals, "deals").df), F.col("h") == F.col("heavy"), "left")
@@ -377,14 +373,14 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, similarity: float, w
         return nodes.join(beside(classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
 
     known = classed(edges)
-    heavy = heavy_shingles(nodes)
+    heavy = all_heavy = heavy_shingles(nodes)
     for draw in range(DRAWS if heavy is not None else 0):
         heavy = Stored(classes_in(known, heavy).where("several").select("h", "n"), "heavy").df
         if heavy.isEmpty():
             break
         edges = Stored(edges.union(verified(drawn_pairs(known, heavy, draw), docs, rows, similarity, words, shared)), "near").df
         known = classed(edges)
-    runs = Stored(prefix_runs(known), "runs").df
+    runs = Stored(prefix_runs(known, all_heavy), "runs").df
     for forest in FORESTS:
         pairs = run_pairs(runs, known.select("node", "class", "size", "sketch"), similarity, forest)
         new = Stored(verified(pairs, docs, rows, similarity, words, shared), "links").df
