@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +26,24 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, small)
 
 
+def release() -> None:
+    """Gives back to the system what this process no longer needs; it lives on beside others and serves other tasks."""
+    gc.collect()  # caches and what fills them refer to each other
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end nothing that it held stays with the process."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def map_lists(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """``make()`` runs once a task and returns a function from the lists of ``df``'s columns
     to a tuple of equally long lists or arrays, the columns of ``schema``."""
@@ -36,9 +57,8 @@ def map_lists(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: s
             for at in range(0, batch.num_rows, AT_ONCE):
                 columns = step(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
-        pa.default_memory_pool().release_unused()  # the process serves other tasks
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(giving_back(run), out)
 
 
 def array_sum(df: DataFrame, make: Callable[[], Callable[..., np.ndarray]], width: int) -> np.ndarray:
@@ -66,5 +86,5 @@ def array_sum(df: DataFrame, make: Callable[[], Callable[..., np.ndarray]], widt
         yield one(total)
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.mapInArrow(first, "v binary").repartition(max(1, int(tasks**0.5))).mapInArrow(then, "v binary").collect()
+    found = df.mapInArrow(giving_back(first), "v binary").repartition(max(1, int(tasks**0.5))).mapInArrow(then, "v binary").collect()
     return sum((np.frombuffer(r.v) for r in found), np.zeros(width))

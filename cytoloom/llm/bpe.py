@@ -5,12 +5,13 @@ pre-tokenisation, special tokens, merges and ids. A short word is a list of
 symbols with a list of the ranks of neighbouring pairs beside it; the smallest
 rank is found by scanning, its boundary deleted and the two neighbouring ranks
 looked up again. Words beyond ``LONG`` symbols use a heap over the same ranks,
-as scanning would be quadratic. Words repeat, so each process keeps the ids of
-recent ones.
+as scanning would be quadratic. Words repeat, so each task keeps the ids of
+recent ones while it runs.
 """
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -29,7 +30,7 @@ from .arrowmap import map_lists
 
 #: Symbols from which a heap replaces the scan.
 LONG = 96
-#: Bytes of space-delimited chunks and their ids in a generation of a process's cache (a third as many of words, which only
+#: Bytes of space-delimited chunks and their ids in a generation of a task's cache (a third as many of words, which only
 #: chunks that are not kept ask for), what an entry takes beside them, and characters beyond which none is kept.
 KEPT, ENTRY, LONGEST = 48 << 20, 200, 256
 NONE = 1 << 60
@@ -112,9 +113,7 @@ class RankBpe:
         pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)
         self.split = regex.compile(pattern, regex.V1).findall
         self.lowers = spec["normalizer"] is not None
-        self.words = Words(self.encode_word, KEPT // 3)
-        lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
-        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk), KEPT)
+        self.start_caches()
         self.pieces: list[bytes] = [b""] * len(self.after)
         for token, i in self.vocab.items():
             word = token.removesuffix(self.suffix) if self.suffix else token
@@ -123,6 +122,11 @@ class RankBpe:
             self.pieces[i] = token.encode()
         self.decimal = np.array([f"{i},".encode() for i in range(len(self.pieces))])  # of one width, filled with zero bytes
 
+    def start_caches(self) -> None:
+        self.words = Words(self.encode_word, KEPT // 3)
+        lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
+        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk), KEPT)
+
     def normalise(self, text: str) -> str:
         """NFC and lower case, character by character, for vocabularies that have it; their split drops white space."""
         if not self.lowers:
@@ -216,11 +220,18 @@ class RankBpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> RankBpe:
-    """The encoder of a vocabulary file, once in each process."""
+def read(path: str) -> RankBpe:
+    """The encoder of a vocabulary file, once in each process; nothing is encoded with it itself."""
     return RankBpe(path)
 
 
+def load(path: str) -> RankBpe:
+    """The encoder of a vocabulary file with caches of its own, which go with it: tasks that follow in the process may be another operator's."""
+    encoder = copy.copy(read(path))
+    encoder.start_caches()
+    return encoder
+
+
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row.
 

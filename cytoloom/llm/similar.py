@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowmap import map_lists
+from .arrowmap import giving_back, map_lists
 from .components import components
 from .shared import Stored, beside, result, scratch, without
 from .simhash import BUDGET, bucket_edges, majority, shingle_digests, signed
@@ -237,7 +237,7 @@ def prefix_runs(rows: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
         for at in range(0, len(columns[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["run", "node", "least"])
 
-    return keyed.mapInArrow(run, "run long, node long, least long").distinct()
+    return keyed.mapInArrow(giving_back(run), "run long, node long, least long").distinct()
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -305,7 +305,7 @@ def run_pairs(runs: DataFrame, nodes: DataFrame, similarity: float, forest: int)
         found = np.array(sorted(found), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(giving_back(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, similarity: float, words: int, shared: DataFrame | None = None) -> DataFrame:
