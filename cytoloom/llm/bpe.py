@@ -6,7 +6,8 @@ symbols with a list of the ranks of neighbouring pairs beside it; the smallest
 rank is found by scanning, its boundary deleted and the two neighbouring ranks
 looked up again. Words beyond ``LONG`` symbols use a heap over the same ranks,
 as scanning would be quadratic. Words repeat, so each task keeps the ids of
-recent ones while it runs.
+recent ones while it runs. Many words that are new come with a batch of texts;
+they are the rows of arrays, and each step merges one pair in every row.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import json
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -33,6 +35,9 @@ LONG = 96
 #: Bytes of space-delimited chunks and their ids in a generation of a task's cache (a third as many of words, which only
 #: chunks that are not kept ask for), what an entry takes beside them, and characters beyond which none is kept.
 KEPT, ENTRY, LONGEST = 48 << 20, 200, 256
+#: Characters of texts whose new words are encoded together, how few words are still encoded one by one, and the most bytes
+#: of the words in each of the arrays.
+TOGETHER, FEW, WIDTHS = 1 << 20, 1_000, (8, 10, 12, 16, 32)
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
@@ -61,6 +66,40 @@ def tangled(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text[-1:] == " " or any(c in text for c in OTHER_SPACE)
 
 
+class Pairs:
+    """What ``after`` holds, for arrays of pairs: a table by hashes, a pair that finds its place taken goes to the next one."""
+
+    def __init__(self, after: list[dict[int, int]]):
+        keys = np.array([a << BITS | b for a, by in enumerate(after) for b in by], np.int64)
+        found = np.array([v for by in after for v in by.values()], np.int64)
+        self.bits = (4 * len(keys) + 1).bit_length()
+        self.keys, self.found = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        place = self.place(keys)
+        while len(keys):
+            free = self.keys[place] < 0
+            self.keys[place[free]], self.found[place[free]] = keys[free], found[free]  # of several the last one
+            out = self.keys[place] != keys
+            keys, found, place = keys[out], found[out], self.next(place[out])
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def next(self, place: np.ndarray) -> np.ndarray:
+        return place + 1 & (1 << self.bits) - 1
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged symbol of each pair, NONE where they do not merge."""
+        keys = left << BITS | right
+        place = self.place(keys)
+        there = self.keys[place]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            place[other] = self.next(place[other])
+            there = self.keys[place[other]]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return self.found[place]
+
+
 class Words(dict):
     """Ids of words as little-endian bytes, made when first asked for.
 
@@ -80,12 +119,21 @@ class Words(dict):
         if ids is None:
             ids = self.encode(word)
         if self.size > self.kept:
-            self.old, self.size = dict(self), 0
-            self.clear()
+            self.turn()
         self[word] = ids
         self.size += len(word) + len(ids) + ENTRY
         return ids
 
+    def turn(self) -> None:
+        self.old, self.size = dict(self), 0
+        self.clear()
+
+    def keep(self, ids: dict[str, bytes]) -> None:
+        if self.size > self.kept:
+            self.turn()
+        self.update(ids)
+        self.size += sum(map(len, ids)) + sum(map(len, ids.values())) + ENTRY * len(ids)
+
 
 class RankBpe:
     def __init__(self, path: str):
@@ -109,6 +157,8 @@ class RankBpe:
             if self.after[a] is none:
                 self.after[a] = {}
             self.after[a][self.vocab[right]] = rank << BITS | self.vocab[left + right]
+        self.pairs = Pairs(self.after)
+        self.first_of, self.last_of = np.array(self.first, np.int64), np.array(self.last, np.int64)
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL)
         self.split = regex.compile(pattern, regex.V1).findall
@@ -124,8 +174,8 @@ class RankBpe:
 
     def start_caches(self) -> None:
         self.words = Words(self.encode_word, KEPT // 3)
-        lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
-        self.chunks = Words(lambda chunk: self.pieces_of(lead + chunk), KEPT)
+        self.lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
+        self.chunks = Words(lambda chunk: self.pieces_of(self.lead + chunk), KEPT)
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, character by character, for vocabularies that have it; their split drops white space."""
@@ -178,24 +228,127 @@ class RankBpe:
                     heapq.heappush(queue, (rank, x, parts[x], parts[y]))
         return [p for p, live in zip(parts, alive) if live]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """``encode_word`` of each."""
+        if len(words) < FEW:
+            return list(map(self.encode_word, words))
+        out, data = [b""] * len(words), [w.encode() for w in words]
+        sizes = np.array(list(map(len, data)))
+        order = np.argsort(sizes, kind="stable")
+        start = 0
+        for width in WIDTHS:
+            rows = order[start : (end := int(np.searchsorted(sizes, width, "right", order)))]
+            start = end
+            if len(rows):
+                ids, lengths = self.merge_rows(b"".join([data[i] for i in rows.tolist()]), sizes[rows])
+                ends = (4 * np.cumsum(lengths)).tolist()
+                for i, a, b in zip(rows.tolist(), [0, *ends], ends):
+                    out[i] = ids[a:b]
+        for i in order[start:].tolist():
+            out[i] = self.encode_word(words[i])
+        return out
+
+    def merge_rows(self, data: bytes, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Packed ids of words one after another, and how many each has; ``scan`` with a row of arrays for each word.
+
+        A step merges the least pair of every row and deletes its right symbol; rows without a pair left leave the arrays.
+        """
+        n, width, values = len(lengths), int(lengths.max()), np.frombuffer(data, np.uint8)
+        inside = np.arange(width) < lengths[:, None]
+        parts, ranks = np.zeros((n, width), np.int64), np.full((n, width), NONE, np.int64)
+        parts[inside] = self.first_of[values]
+        parts[np.arange(n), lengths - 1] = self.last_of[values[np.cumsum(lengths) - 1]]
+        ranks[:, :-1][inside[:, 1:]] = self.pairs.of(parts[:, :-1][inside[:, 1:]], parts[:, 1:][inside[:, 1:]])
+        merged, left, live = parts.copy(), lengths.copy(), np.arange(n)
+        while len(live):
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(live)), at]
+            going = least < NONE
+            if not going.all():
+                merged[live[~going], : parts.shape[1]] = parts[~going]
+                parts, ranks, live, at, least = parts[going], ranks[going], live[going], at[going], least[going]
+            if not len(live):
+                break
+            row, symbol = np.arange(len(live)), least & MASK
+            left[live] -= 1
+            kept = np.arange(parts.shape[1]) != at[:, None] + 1
+            parts, ranks = parts[kept].reshape(len(row), -1), ranks[kept].reshape(len(row), -1)
+            parts[row, at] = symbol
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, parts.shape[1] - 1)
+            ranks[row, before] = self.pairs.of(parts[row, before], symbol)
+            # the pair to the right comes last: where there is none to the left it takes that one's place
+            ranks[row, at] = np.where(at + 1 < left[live], self.pairs.of(symbol, parts[row, after]), NONE)
+        return merged[np.arange(width) < left[:, None]].astype("<u4").tobytes(), left
+
     def pieces_of(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
-    def plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens, chunk by chunk where that is the same."""
-        text = self.normalise(text)
+    def chunked(self, text: str) -> tuple[str, list[str]]:
+        """A normalised text as a part to be split and chunks, which have no part in each other's splits."""
         if self.suffix:
-            if any(c in text for c in SEPARATORS):
-                return self.pieces_of(text)
-            return b"".join(map(self.chunks.__getitem__, text.split()))
+            return (text, []) if any(c in text for c in SEPARATORS) else ("", text.split())
         if tangled(text):
-            return self.pieces_of(text)
+            return text, []
         first, *chunks = text.split(" ")
+        return first, chunks
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens, chunk by chunk where that is the same."""
+        first, chunks = self.chunked(self.normalise(text))
         return self.pieces_of(first) + b"".join(map(self.chunks.__getitem__, chunks))
 
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the young generation, the words of new ones encoded together; they are kept."""
+        learned = {c: ids for c in chunks if (ids := self.chunks.old.get(c)) is not None}
+        new = chunks.difference(learned)
+        letters = {c for c in new if c.isalpha()}  # these alone are one word, and what follows them is another
+        ended = [c for c in new if c not in letters and c[:-1].isalpha()]
+        stems = {c[:-1] for c in ended} - letters
+        known = {c: ids for c in stems if (ids := self.chunks.get(c)) is not None}
+        letters |= stems.difference(known)
+        split = {c: self.split(self.lead + c) for c in new.difference(letters, ended)}
+        words = list({self.lead + c for c in letters}.union({c[-1] for c in ended}, *split.values()))
+        ids = dict(zip(words, self.encode_words(words)))
+        known |= {c: ids[self.lead + c] for c in letters}
+        learned |= {c: known[c] for c in letters} | {c: known[c[:-1]] + ids[c[-1]] for c in ended}
+        learned |= {c: b"".join([ids[w] for w in its]) for c, its in split.items()}
+        self.chunks.keep({c: i for c, i in learned.items() if len(c) <= LONGEST})
+        return learned
+
+    def packed_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``packed`` of each text, in order; what is new in a group of texts is learned first."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.packed_group(group)
+                group, size = [], 0
+        yield from self.packed_group(group)
+
+    def packed_group(self, texts: list[str]) -> Iterator[bytes]:
+        parts = [None if self.has_special(text) else self.chunked(self.normalise(text)) for text in texts]
+        chunks = list(chain.from_iterable(part[1] for part in parts if part))
+        found = list(map(self.chunks.get, chunks))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        learned = self.learn({chunks[at] for at in missing})
+        for at in missing:
+            found[at] = learned[chunks[at]]
+        end = 0
+        for text, part in zip(texts, parts):
+            if part:
+                start, end = end, end + len(part[1])
+                yield self.pieces_of(part[0]) + b"".join(found[start:end])
+            else:
+                yield self.packed(text)
+
+    def has_special(self, text: str) -> bool:
+        return any(token in text for token in self.special)
+
     def packed(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit numbers; strings of special tokens become those, nothing is added."""
-        if not any(token in text for token in self.special):
+        if not self.has_special(text):
             return self.plain(text)
         out, start = [], 0
         for m in self.special_at.finditer(text):

@@ -116,8 +116,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_
 
         def step(ids_of, texts):
             out = [], [], [], [], []
-            for doc, text in zip(ids_of, texts):
-                ids = encoder.packed(text or "") + end
+            for doc, ids in zip(ids_of, encoder.packed_all([text or "" for text in texts])):
+                ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     for column, value in zip(out, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part))):
