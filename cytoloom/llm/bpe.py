@@ -24,6 +24,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ LONG = 96
 KEPT, ENTRY, LONGEST = 48 << 20, 200, 256
 #: Characters of texts whose new words are encoded together, how few words are still encoded one by one, and the most bytes
 #: of the words in each of the arrays.
-TOGETHER, FEW, WIDTHS = 1 << 20, 1_000, (8, 10, 12, 16, 32)
+TOGETHER, FEW, WIDTHS = 1 << 22, 1_000, (8, 10, 12, 16, 32)
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
@@ -283,19 +285,22 @@ class RankBpe:
     def pieces_of(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
-    def chunked(self, text: str) -> tuple[str, list[str]]:
-        """A normalised text as a part to be split and chunks, which have no part in each other's splits."""
-        if self.suffix:
-            return (text, []) if any(c in text for c in SEPARATORS) else ("", text.split())
-        if tangled(text):
-            return text, []
-        first, *chunks = text.split(" ")
-        return first, chunks
+    def chunked(self, text: str) -> tuple[str, str | None]:
+        """A normalised text as a part to be split and, if not None, chunks after single spaces, which have no part in each other's splits."""
+        if not self.suffix:
+            first, space, chunks = (text, "", "") if tangled(text) else text.partition(" ")
+            return first, chunks if space else None
+        if any(c in text for c in SEPARATORS):
+            return text, None
+        for c in ["\n", *OTHER_SPACE]:
+            if c in text:
+                text = text.replace(c, " ")
+        return "", text
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens, chunk by chunk where that is the same."""
         first, chunks = self.chunked(self.normalise(text))
-        return self.pieces_of(first) + b"".join(map(self.chunks.__getitem__, chunks))
+        return self.pieces_of(first) + b"".join(map(self.chunks.__getitem__, [] if chunks is None else chunks.split(" ")))
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the young generation, the words of new ones encoded together; they are kept."""
@@ -329,19 +334,28 @@ class RankBpe:
 
     def packed_group(self, texts: list[str]) -> Iterator[bytes]:
         parts = [None if self.has_special(text) else self.chunked(self.normalise(text)) for text in texts]
-        chunks = list(chain.from_iterable(part[1] for part in parts if part))
-        found = list(map(self.chunks.get, chunks))
-        missing = [at for at, ids in enumerate(found) if ids is None]
-        learned = self.learn({chunks[at] for at in missing})
-        for at in missing:
-            found[at] = learned[chunks[at]]
-        end = 0
+        ids = iter(self.ids_of_chunks([part[1] for part in parts if part and part[1] is not None]))
         for text, part in zip(texts, parts):
-            if part:
-                start, end = end, end + len(part[1])
-                yield self.pieces_of(part[0]) + b"".join(found[start:end])
-            else:
+            if part is None:
                 yield self.packed(text)
+            else:
+                yield self.pieces_of(part[0]) + (b"" if part[1] is None else next(ids))
+
+    def ids_of_chunks(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text of chunks with single spaces between; different chunks are looked up once and their ids gathered."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.chunks.get, chunks))
+        learned = self.learn({c for c, ids in zip(chunks, found) if ids is None})
+        found = [learned[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        sizes, at = np.array(list(map(len, found)), np.int64) // 4, coded.indices.to_numpy()
+        starts, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield ids[a:b].tobytes()
 
     def has_special(self, text: str) -> bool:
         return any(token in text for token in self.special)
