@@ -37,9 +37,9 @@ LONG = 96
 #: Bytes of space-delimited chunks and their ids in a generation of a task's cache (a third as many of words, which only
 #: chunks that are not kept ask for), what an entry takes beside them, and characters beyond which none is kept.
 KEPT, ENTRY, LONGEST = 48 << 20, 200, 256
-#: Characters of texts whose new words are encoded together, how few words are still encoded one by one, and the most bytes
-#: of the words in each of the arrays.
-TOGETHER, FEW, WIDTHS = 1 << 22, 1_000, (8, 10, 12, 16, 32)
+#: Characters of texts whose new words are encoded together (the arrays for that are the most that a task holds beside its
+#: cache), how few words are still encoded one by one, and the most bytes of the words in each of the arrays.
+TOGETHER, FEW, WIDTHS = 1 << 20, 1_000, (8, 10, 12, 16, 32)
 NONE = 1 << 60
 #: Bits of a symbol's id beside its merge's rank.
 BITS = 24
