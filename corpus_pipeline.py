@@ -10,6 +10,10 @@ from cytoloom.llm.queries import vocabulary
 from cytoloom.llm.shared import Stored, scratch
 
 
+#: Bytes of words that a packing task keeps in each of two generations, half of the operator's own: the heaps of the stages before stand beside it.
+WORDS_KEPT = 24 << 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -35,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 2048, kept=WORDS_KEPT)
 
 
 STAGES = [

@@ -174,10 +174,11 @@ class RankBpe:
             self.pieces[i] = token.encode()
         self.decimal = np.array([f"{i},".encode() for i in range(len(self.pieces))])  # of one width, filled with zero bytes
 
-    def start_caches(self) -> None:
-        self.words = Words(self.encode_word, KEPT // 3)
+    def start_caches(self, kept: int | None = None) -> None:
+        kept = KEPT if kept is None else kept
+        self.words = Words(self.encode_word, kept // 3)
         self.lead = "" if self.suffix else " "  # a vocabulary with word ends drops white space
-        self.chunks = Words(lambda chunk: self.pieces_of(self.lead + chunk), KEPT)
+        self.chunks = Words(lambda chunk: self.pieces_of(self.lead + chunk), kept)
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, character by character, for vocabularies that have it; their split drops white space."""
@@ -392,10 +393,13 @@ def read(path: str) -> RankBpe:
     return RankBpe(path)
 
 
-def load(path: str) -> RankBpe:
-    """The encoder of a vocabulary file with caches of its own, which go with it: tasks that follow in the process may be another operator's."""
+def load(path: str, kept: int | None = None) -> RankBpe:
+    """The encoder of a vocabulary file with caches of its own, which go with it: tasks that follow in the process may be another operator's.
+
+    ``kept``: bytes of a generation of its caches, else ``KEPT``; ids are the same with any.
+    """
     encoder = copy.copy(read(path))
-    encoder.start_caches()
+    encoder.start_caches(kept)
     return encoder
 
 
