@@ -24,9 +24,9 @@ def densities(counts: DataFrame, radii: list[float] = RADII, lattice: bool = Tru
     return counts.withColumn("density", F.col("n") / each[F.col("ring")])
 
 
-def proportions(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds proportion: a phenotype's share of all neighbours in the ring; null where there is none."""
-    return counts.withColumn("proportion", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*keys, "ring"))))
+def proportions(counts: DataFrame, keys: list[str], total: str | None = None) -> DataFrame:
+    """Adds proportion: a phenotype's share of all neighbours in the ring, which the column ``total`` has if it is given; null where there is none."""
+    return counts.withColumn("proportion", F.try_divide(F.col("n"), F.col(total) if total else F.sum("n").over(Window.partitionBy(*keys, "ring"))))
 
 
 def area_filter(cells: DataFrame, ratios: str, threshold: float) -> DataFrame:

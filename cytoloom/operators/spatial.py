@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import whole
 
 CLOSED_LEFT, CLOSED_RIGHT = "[)", "(]"
 
@@ -62,14 +63,28 @@ def band_pairs(
 
 
 def ring_counts(
-    cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, cell_id: str = "cell_id", image: str = "slide_id", phenotype: str = "phenotype", exclude_self: bool = False, center: str | None = None
+    cells: DataFrame, radii: list[float], closed: str = CLOSED_RIGHT, cell_id: str = "cell_id", image: str = "slide_id", phenotype: str = "phenotype", exclude_self: bool = False, center: str | None = None, total: str | None = None
 ) -> DataFrame:
     """(image, cell_id, neighbor phenotype, ring, n) with n > 0: neighbours of each cell by phenotype and ring.
 
     ``(]`` leaves out distance 0, the cell itself and coincident ones; ``[)``
     counts them, less the cell itself if ``exclude_self``. ``center`` names a
-    column for the cell's own phenotype.
+    column for the cell's own phenotype, ``total`` one for a ring's neighbours
+    of all phenotypes. Images that fit a task are counted in it, so that only
+    cells are moved; others by a join.
     """
+    rows, large = whole.split(cells.select(image, cell_id, "x", "y", phenotype).where(F.col(f"`{image}`").isNotNull()), [image])
+    kinds = dict(rows.dtypes)
+    schema = f"`{image}` {kinds[image]}, `{cell_id}` {kinds[cell_id]}, {f'`{center}` {kinds[phenotype]}, ' if center else ''}neighbor {kinds[phenotype]}, ring int, n bigint{f', `{total}` bigint' if total else ''}"
+    found = whole.ring_counts(rows, radii, closed == CLOSED_LEFT, exclude_self, image, cell_id, phenotype, center, total, schema)
+    if large is None:
+        return found
+    joined = joined_ring_counts(large, radii, closed, cell_id, image, phenotype, exclude_self, center)
+    return found.unionByName(joined.withColumn(total, F.sum("n").over(Window.partitionBy(image, cell_id, "ring"))) if total else joined)
+
+
+def joined_ring_counts(cells: DataFrame, radii: list[float], closed: str, cell_id: str, image: str, phenotype: str, exclude_self: bool, center: str | None) -> DataFrame:
+    """``ring_counts`` by a join, for images that no task has to hold."""
     slim = cells.select(image, cell_id, "x", "y", phenotype, F.col(phenotype).alias("own"))
     if center:  # of rows that share an id the least; known before cells meet, so that pairs are only hashed
         least = slim.groupBy(image, cell_id).agg(F.min("own").alias("own"))

@@ -202,7 +202,7 @@ def ring_density(spark, sf):
 
 @query(f"WITH {PAIRS}, c AS (SELECT slide_id, c AS cell_id, np AS neighbor, CAST({RINGS} AS INT) AS ring, count(*) AS n FROM pairs WHERE {RINGS} IS NOT NULL GROUP BY ALL) SELECT slide_id, cell_id, neighbor, ring, round(n / sum(n) OVER (PARTITION BY slide_id, cell_id, ring), 6) AS proportion FROM c")
 def ring_proportion(spark, sf):
-    return _rounded(profiles.proportions(spatial.ring_counts(cells(spark, sf), RADII), ["slide_id", "cell_id"]).drop("n"), "proportion")
+    return _rounded(profiles.proportions(spatial.ring_counts(cells(spark, sf), RADII, total="all"), ["slide_id", "cell_id"], "all").drop("n", "all"), "proportion")
 
 
 PROFILE = f"""{PAIRS}, d AS (SELECT slide_id, c AS cell_id, min(cp) AS cluster, np AS neighbor, CAST({RINGS} AS INT) AS ring, count(*) / CASE {RINGS} WHEN 0 THEN 2109.0 WHEN 1 THEN 6052.0 ELSE 23844.0 END AS density FROM pairs WHERE {RINGS} IS NOT NULL GROUP BY slide_id, c, np, {RINGS}),

@@ -5,13 +5,14 @@ import os
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from compare import assert_same  # noqa: E402
-from cytoloom.operators import clustering  # noqa: E402
+from cytoloom.operators import clustering, profiles, spatial, whole  # noqa: E402
 from cytoloom.plans import cell_queries  # noqa: E402, F401
 from cytoloom.plans.registry import QUERIES, SQL  # noqa: E402
 
@@ -55,3 +56,46 @@ def test_approximate_neighbours_equal_those_of_joined_buckets(spark):
     found = clustering.approximate_neighbors(df, "id", "v", 3, 4.0, tables=2)
     assert "BroadcastNestedLoop" not in found._jdf.queryExecution().toString()
     assert {(x.src, x.dst, round(x.distance, 9)) for x in found.collect()} == want
+
+
+def odd_cells(spark, seed=5):
+    """Images of unlike density with repeated ids and places, nulls and places that are no numbers."""
+    r = np.random.default_rng(seed)
+    rows = [("abc"[k % 3], k // 2 * 2 if k % 17 == 0 else k, float(x), float(y), "PQR"[k % 3] if k % 11 else None) for k, (x, y) in enumerate(np.vstack([r.integers(0, 40, (150, 2)), r.normal(-60, 3, (150, 2)), r.uniform(-500, 500, (60, 2))]))]
+    rows += [("a", 1, 0.0, 0.0, "Q"), (None, 2, 0.0, 0.0, "P"), ("b", 900, None, 1.0, "P"), ("b", 901, float("nan"), 1.0, "P"), ("d", 903, 1.0, 1.0, "P"), ("a", None, 3.0, 3.0, "P"), ("a", None, 3.0, 4.0, "R")]
+    return spark.createDataFrame(rows, "slide_id string, cell_id long, x double, y double, phenotype string")
+
+
+def all_rows(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=repr)
+
+
+@pytest.mark.parametrize("closed, alone, center", [("(]", False, "own"), ("[)", True, None), ("[)", False, None)])
+def test_ring_counts_of_whole_images_equal_the_join(spark, monkeypatch, closed, alone, center):
+    df = odd_cells(spark)
+    df = df.where("cell_id IS NOT NULL") if center else df  # the join knows no phenotype of cells without an id
+    found = spatial.ring_counts(df, [0.0, 5.0, 20.0, 60.0], closed, exclude_self=alone, center=center)
+    joined = spatial.joined_ring_counts(df, [0.0, 5.0, 20.0, 60.0], closed, "cell_id", "slide_id", "phenotype", alone, center)
+    assert all_rows(found) == all_rows(joined)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # cells are moved, no pairs or counts
+    monkeypatch.setattr(whole, "WHOLE", 100)
+    assert all_rows(spatial.ring_counts(df, [0.0, 5.0, 20.0, 60.0], closed, exclude_self=alone, center=center)) == all_rows(joined)
+
+
+def test_totals_of_rings(spark, monkeypatch):
+    for size in (whole.WHOLE, 100):
+        monkeypatch.setattr(whole, "WHOLE", size)
+        counts = spatial.ring_counts(odd_cells(spark), [0.0, 5.0, 20.0], total="all").where("cell_id IS NOT NULL")
+        a, b = (all_rows(profiles.proportions(counts, ["slide_id", "cell_id"], t)) for t in ("all", None))
+        assert a == b and len(a) > 100
+
+
+def test_groups_are_gathered_whole(monkeypatch):
+    monkeypatch.setattr(whole, "GATHERED", 5)
+    for sizes in ([1, 1, 12, 3, 1, 9], [4] * 6, [30], [1] * 13):
+        image = np.repeat(np.arange(len(sizes)), sizes)
+        for step in (1, 3, 7, 100):
+            batches = [pa.RecordBatch.from_pydict({"g": image[a : a + step]}) for a in range(0, len(image), step)]
+            tables = [t.column("g").to_numpy() for t in whole.gathered(iter(batches), ["g"])]
+            assert np.concatenate(tables).tolist() == image.tolist() and all(a[-1] < b[0] for a, b in zip(tables, tables[1:]))
