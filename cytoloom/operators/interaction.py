@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..session import written
-from . import spatial, statistics
+from . import spatial, statistics, whole
 
 
 def by_roi(cells: DataFrame, roi: list[str], species: str, cell_id: str) -> DataFrame:
@@ -31,22 +31,35 @@ def tallies(keyed: DataFrame, radius: float) -> DataFrame:
     return out.withColumn("k", (F.coalesce("k", F.lit(0)) - F.when(own, F.col("n_valid")).otherwise(0)).cast("bigint"))
 
 
+def tallied(cells: DataFrame, radius: float, roi: list[str], species: str, cell_id: str) -> DataFrame:
+    """roi..., center, neighbor, n_valid, n_neighbor, k, width and height of each ROI's extent: ROIs that fit a task are counted in it, others by a join."""
+    rows = cells.select(*roi, F.col(cell_id).alias("id"), "x", "y", F.col(species).alias("species"))
+    rows, large = whole.split(rows, roi)
+    out = whole.roi_counts(rows, roi, radius, by_number=False)
+    own = F.col("center") == F.col("neighbor")
+    out = out.withColumn("k", (F.col("k") - F.when(own, F.col("n_valid")).otherwise(0)).cast("bigint"))
+    if large is None:
+        return out
+    keyed = by_roi(large, roi, "species", "id")
+    extent = spatial.bounds(keyed, ["__roi"]).select("__roi", "width", "height")
+    more = tallies(keyed, radius).join(extent, "__roi").withColumns({c: F.col(f"__roi.{c}") for c in roi})
+    return out.unionByName(more.drop("__roi"))
+
+
 def observed(cells: DataFrame, radius: float, roi: list[str], species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
     """For each (roi, center, neighbor): k neighbours in [0, radius) of n_valid edge-valid centers, the centers themselves taken off once."""
-    out = tallies(by_roi(cells, roi, species, cell_id), radius)
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n_valid", "n_neighbor", "k")
+    return tallied(cells, radius, roi, species, cell_id).select(*roi, "center", "neighbor", "n_valid", "n_neighbor", "k")
 
 
 def poisson_test(cells: DataFrame, radius: float, roi: list[str], spacing: float = 1.0, species: str = "phenotype", cell_id: str = "cell_id", floor: float = -25.0, min_centers: int = 1) -> DataFrame:
     """Observed counts against a Poisson of the ROI's density: mean, log10 of P(X <= k) (left) and P(X >= k) (right), floored."""
-    keyed = by_roi(cells, roi, species, cell_id)
-    seen = tallies(keyed, radius).where(F.col("n_valid") >= min_centers)
-    areas = spatial.bounds(keyed, ["__roi"]).select("__roi", spatial.effective_area(F.col("width"), F.col("height"), spacing).alias("area"))
+    seen = tallied(cells, radius, roi, species, cell_id).where(F.col("n_valid") >= min_centers)
+    area = spatial.effective_area(F.col("width"), F.col("height"), spacing)
     possible = F.col("n_neighbor") - F.when(F.col("center") == F.col("neighbor"), 1).otherwise(0)
-    out = seen.join(areas, "__roi").withColumn("mean", F.col("n_valid") * possible / F.col("area") * spatial.slice_area(0.0, radius, spacing))
+    out = seen.withColumn("mean", F.col("n_valid") * possible / area * spatial.slice_area(0.0, radius, spacing))
     left, right = numeric.poisson_left(F.col("k"), F.col("mean")), numeric.poisson_right(F.col("k"), F.col("mean"))
     out = out.withColumns({"log_p_left": numeric.floored_log10(left, floor), "log_p_right": numeric.floored_log10(right, floor)})
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], *[c for c in out.columns if c not in ("__roi", "area")])
+    return out.select(*roi, "center", "neighbor", "n_valid", "n_neighbor", "k", "mean", "log_p_left", "log_p_right")
 
 
 def slide_average(pvals: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -64,8 +77,8 @@ def max_centers(pvals: DataFrame, roi: list[str]) -> DataFrame:
     return pvals.groupBy(*roi).agg(F.max("n_valid").alias("max_valid_centers"))
 
 
-def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float = 1.0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
-    """Distribution of neighbour counts against the Poisson one: for each (roi, center, neighbor, n) the centers seen and expected, z, and binomial tails."""
+def joined_number_counts(cells: DataFrame, radius: float, roi: list[str], species: str, cell_id: str) -> DataFrame:
+    """``whole.roi_counts`` by number of ROIs that no task has to hold, by joins."""
     keyed = cells.withColumn("__roi", F.struct(*roi))
     centers = spatial.valid_centers(keyed, radius, roi).select("__roi", cell_id, "x", "y", species)
     pairs = spatial.band_pairs(centers, keyed.select("__roi", cell_id, "x", "y", species), radius, "__roi", keep=[cell_id, species], keep_neighbor=[cell_id, species])
@@ -77,9 +90,23 @@ def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float =
     some = seen.groupBy("__roi", "center", "neighbor").agg(F.sum("centers").alias("some"))
     zero = valid.join(there, "__roi").join(some, ["__roi", "center", "neighbor"], "left").select("__roi", "center", "neighbor", F.lit(0).cast("bigint").alias("n"), (F.col("n_valid") - F.coalesce("some", F.lit(0))).alias("centers"))
     out = seen.unionByName(zero).join(valid, ["__roi", "center"]).join(there, ["__roi", "neighbor"])
-    area = spatial.bounds(keyed, roi).select(F.struct(*roi).alias("__roi"), spatial.effective_area(F.col("width"), F.col("height"), spacing).alias("area"))
+    out = out.join(spatial.bounds(keyed, roi).select(F.struct(*roi).alias("__roi"), "width", "height"), "__roi")
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n_valid", "n_neighbor", "width", "height", "n", "centers")
+
+
+def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float = 1.0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
+    """Distribution of neighbour counts against the Poisson one: for each (roi, center, neighbor, n) the centers seen and expected, z, and binomial tails.
+
+    ROIs that fit a task are counted in it, others by joins.
+    """
+    rows = cells.select(*roi, F.col(cell_id).alias("id"), "x", "y", F.col(species).alias("species")).na.drop(subset=roi)
+    rows, large = whole.split(rows, roi)
+    out = whole.roi_counts(rows, roi, radius, by_number=True)
+    if large is not None:
+        out = out.unionByName(joined_number_counts(large, radius, roi, "species", "id"))
+    area = spatial.effective_area(F.col("width"), F.col("height"), spacing)
     possible = F.col("n_neighbor") - F.when(F.col("center") == F.col("neighbor"), 1).otherwise(0)
-    out = out.join(area, "__roi").withColumn("mean", possible / F.col("area") * spatial.slice_area(0.0, radius, spacing))
+    out = out.withColumn("mean", possible / area * spatial.slice_area(0.0, radius, spacing))
     p = F.when(F.col("mean") > 0, F.exp(F.col("n") * F.log("mean") - F.col("mean") - numeric.log_factorial(F.col("n")))).otherwise((F.col("n") == 0).cast("double"))
     out = out.withColumn("pmf", p).withColumn("expected", F.col("pmf") * F.col("n_valid"))
     out = out.withColumn("z", F.try_divide(F.col("centers") - F.col("expected"), F.sqrt(F.col("expected") * (1 - F.col("pmf")))))
@@ -89,7 +116,7 @@ def count_pmf(cells: DataFrame, radius: float, roi: list[str], spacing: float =
         return pd.DataFrame(dict(zip(("left", "right"), numeric.binomial_tails(k.to_numpy(np.int64), n.to_numpy(np.int64), p.to_numpy(float)))))
 
     out = out.withColumn("t", tails("centers", "n_valid", "pmf"))
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "n", "n_valid", "centers", "expected", "z", F.col("t.left").alias("p_left"), F.col("t.right").alias("p_right"))
+    return out.select(*roi, "center", "neighbor", "n", "n_valid", "centers", "expected", "z", F.col("t.left").alias("p_left"), F.col("t.right").alias("p_right"))
 
 
 def pmf_average(pmf: DataFrame, by: list[str]) -> DataFrame:

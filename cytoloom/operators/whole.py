@@ -247,3 +247,82 @@ def ring_counts(rows: DataFrame, radii: list[float], closed_left: bool, exclude_
         yield out
 
     return by_group(rows, [image], work, schema)
+
+
+def roi_counts(rows: DataFrame, roi: list[str], radius: float, by_number: bool) -> DataFrame:
+    """Of ROIs that fit a task, for each (roi, center, neighbor): n_valid, n_neighbor, width, height and, with ``by_number``, how many centers (``centers``) have n neighbours, themselves left out, else all neighbours k.
+
+    ``rows``: roi..., id, x, y, species. Centers lie ``radius`` inside their
+    ROI's extent, neighbours nearer than that. Counts of centers are of
+    different ids, n_valid of rows; a center's own row is in k.
+    """
+    kinds = dict(rows.dtypes)
+    counted = "n bigint, centers bigint" if by_number else "k bigint"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in roi) + f", center {kinds['species']}, neighbor {kinds['species']}, n_valid bigint, n_neighbor bigint, width double, height double, {counted}"
+
+    def work(table: pa.Table, group: np.ndarray):
+        x, y = floats(table, "x", "y")
+        kind, names = codes(table.column("species"))
+        number, _ = codes(table.column("id"))
+        known = [~table.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("x", "y")]
+        groups, s = int(group[-1]) + 1, len(names) + 1
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        x0, y0 = (np.fmin.reduceat(np.where(ok, v, np.inf), first) for ok, v in zip(known, (x, y)))
+        x1, y1 = (np.maximum.reduceat(np.where(ok, v, -np.inf), first) for ok, v in zip(known, (x, y)))  # NaN is above all numbers
+        right, top = (np.where(np.isnan(v), np.inf, v)[group] for v in (x1, y1))
+        with np.errstate(invalid="ignore"):
+            valid = (x >= x0[group] + radius) & (x < right - radius) & (y >= y0[group] + radius) & (y < top - radius)
+        there = np.bincount(group * s + kind + 1, minlength=groups * s).reshape(groups, s)
+        centered = np.bincount(group[valid] * s + kind[valid] + 1, minlength=groups * s).reshape(groups, s)
+        fine = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        p = Places(group[fine], x[fine], y[fine], radius)
+        at = fine[p.order]
+        ok_, kind_, number_ = valid[at], kind[at] + 1, number[at]
+        # species of center and neighbor, and where they are counted by number the center's id too
+        _, cell = np.unique((group * s + kind + 1) * (number.max() + 2) + number + 1, return_inverse=True)
+        own = cell[at] if by_number else p.group * s + kind_
+        tally = Tally((int(cell.max()) + 1 if by_number else groups * s) * s)
+        if not by_number:
+            tally.add((own * s + kind_)[ok_])
+        for i, j in p.pairs():
+            dx, dy = p.x[i] - p.x[j], p.y[i] - p.y[j]
+            near = (dx * dx + dy * dy < radius * radius) & (ok_[i] | ok_[j])
+            if by_number:
+                near &= (number_[i] != number_[j]) & (number_[i] >= 0) & (number_[j] >= 0)
+            i, j = i[near], j[near]
+            tally.add((own[i] * s + kind_[j])[ok_[i]])
+            tally.add((own[j] * s + kind_[i])[ok_[j]])
+        key, n = tally.found()
+        of, other = key // s, key % s
+        if by_number:
+            whose = np.zeros(int(cell.max()) + 1, np.int64)
+            whose[cell] = group * s + kind + 1
+            of = whose[of]
+        pair = of * s + other
+        a, b = np.flatnonzero(centered), np.flatnonzero(there)  # by group and species
+        found = list(ranges(np.searchsorted(b // s, a // s, "left"), np.searchsorted(b // s, a // s, "right")))
+        every = np.concatenate([a[i] * s + b[j] % s for i, j in found]) if found else np.zeros(0, np.int64)
+        if by_number:  # species that are not known have no expectation
+            every = every[(every // s % s > 0) & (every % s > 0)]
+        if by_number:
+            most = int(n.max()) + 1 if len(n) else 1
+            seen, centers = summed([pair * most + n])
+            pair, n = seen // most, seen % most
+            keep = np.isin(pair, every)
+            pair, n, centers = pair[keep], n[keep], centers[keep]
+            some = np.bincount(np.searchsorted(every, pair), centers, len(every)).astype(np.int64)
+            pair, n = np.r_[pair, every], np.r_[n, np.zeros(len(every), np.int64)]
+            centers = np.r_[centers, centered.ravel()[every // s] - some]
+        else:
+            k = np.zeros(len(every), np.int64)
+            hit = np.isin(pair, every) & (pair // s % s > 0) & (pair % s > 0)  # what is not known equals nothing
+            k[np.searchsorted(every, pair[hit])] = n[hit]
+            pair = every
+        g, a, b = pair // s // s, pair // s % s, pair % s
+        with np.errstate(invalid="ignore"):
+            width, height = x1 - x0, y1 - y0
+        out = {c: table.column(c).take(pa.array(first[g])) for c in roi}
+        out |= {"center": taken(names, a - 1), "neighbor": taken(names, b - 1), "n_valid": centered[g, a].astype(np.int64), "n_neighbor": there[g, b].astype(np.int64), "width": width[g], "height": height[g]}
+        yield out | ({"n": n, "centers": centers} if by_number else {"k": k})
+
+    return by_group(rows, roi, work, schema)

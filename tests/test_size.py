@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from compare import assert_same  # noqa: E402
-from cytoloom.operators import clustering, profiles, spatial, whole  # noqa: E402
+from cytoloom.operators import clustering, interaction, profiles, spatial, whole  # noqa: E402
 from cytoloom.plans import cell_queries  # noqa: E402, F401
 from cytoloom.plans.registry import QUERIES, SQL  # noqa: E402
 
@@ -99,3 +99,18 @@ def test_groups_are_gathered_whole(monkeypatch):
             batches = [pa.RecordBatch.from_pydict({"g": image[a : a + step]}) for a in range(0, len(image), step)]
             tables = [t.column("g").to_numpy() for t in whole.gathered(iter(batches), ["g"])]
             assert np.concatenate(tables).tolist() == image.tolist() and all(a[-1] < b[0] for a, b in zip(tables, tables[1:]))
+
+
+def test_counts_of_whole_rois_equal_the_join(spark, monkeypatch):
+    df = odd_cells(spark).where("x IS NOT NULL AND NOT isnan(x)").withColumn("half", F.when(F.col("cell_id") % 5 > 0, F.col("cell_id") % 2))
+    roi = ["slide_id", "half"]
+    both = [interaction.observed, interaction.poisson_test, lambda *a: interaction.count_pmf(*a).drop("z", "p_left", "p_right")]
+    digits = lambda df: sorted((tuple(float(f"{v:.9g}") if isinstance(v, float) else v for v in r) for r in all_rows(df)), key=repr)
+    here = [f(df, 9.0, roi) for f in both]
+    plan = here[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    here = [digits(x) for x in here]
+    assert len(here[0]) > 20 and len(here[2]) > 60
+    for size in (50, 0):  # joined above it
+        monkeypatch.setattr(whole, "WHOLE", size)
+        assert here == [digits(f(df, 9.0, roi)) for f in both]
