@@ -126,17 +126,8 @@ def pmf_average(pmf: DataFrame, by: list[str]) -> DataFrame:
     return weighed.groupBy(*by, "center", "neighbor", "n").agg(share("centers").alias("seen"), share("expected").alias("expected"), F.count(F.lit(1)).alias("n_rois"))
 
 
-def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutations: int = 200, seed: int = 0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
-    """Neighbourhood enrichment in each ROI: roi..., center, neighbor, edges, z and normal tail probabilities against shuffled labels, and the edges these make on average.
-
-    A shuffle gives each cell the label of the cell whose rank by one hash its
-    own rank by another hash equals, both of (ROI, shuffle, cell); ranks are
-    within an ROI and a shuffle. So labels are permuted and not drawn, no ROI
-    is gathered, and no plan changes a result. A tally a shuffle is all that
-    is kept of its edges. Null labels keep a place of their own and are not
-    reported. ROIs of one species or of at most two cells are passed over; a
-    cell id counts once an ROI.
-    """
+def joined_shuffled_counts(cells: DataFrame, radius: float, roi: list[str], permutations: int, seed: int, species: str, cell_id: str) -> DataFrame:
+    """``whole.shuffled_counts`` of ROIs that no task has to hold, by joins."""
     keyed = cells.select(F.struct(*roi).alias("__roi"), F.col(cell_id).alias("id"), "x", "y", F.col(species).cast("string").alias("species"))
     keyed = keyed.groupBy("__roi", "id").agg(F.min(F.struct("x", "y", "species")).alias("c")).select("__roi", "id", "c.x", "c.y", "c.species")
     there = keyed.groupBy("__roi").agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("species").alias("kinds")).where("cells > 2 AND kinds > 1")
@@ -161,10 +152,32 @@ def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutatio
     pairs = kinds.select("__roi", F.col("species").alias("center")).join(kinds.select("__roi", F.col("species").alias("neighbor")), "__roi")
     pairs = pairs.join(edges.select("__roi").distinct(), "__roi", "left_semi")  # species by species of an ROI that has edges
     out = pairs.join(stats, ["__roi", "center", "neighbor"], "left").na.fill(0, ["edges"]).na.fill(0.0, ["s", "q"])
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "edges", "s", "q")
+
+
+def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutations: int = 200, seed: int = 0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
+    """Neighbourhood enrichment in each ROI: roi..., center, neighbor, edges, z and normal tail probabilities against shuffled labels, and the edges these make on average.
+
+    A shuffle gives each cell the label of the cell whose rank by one hash its
+    own rank by another hash equals, both of (ROI, shuffle, cell); ranks are
+    within an ROI and a shuffle. So labels are permuted and not drawn, an ROI
+    is gathered only where it fits a task, and no plan changes a result. A tally a shuffle is all that
+    is kept of its edges. Null labels keep a place of their own and are not
+    reported. ROIs of one species or of at most two cells are passed over; a
+    cell id counts once an ROI.
+    """
+    if dict(cells.dtypes)[cell_id] in ("int", "bigint"):
+        rows = cells.select(*roi, F.xxhash64(F.struct(*roi)).alias("hash"), F.col(cell_id).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(species).cast("string").alias("species"))
+        rows, large = whole.split(rows, roi)
+        out = whole.shuffled_counts(rows, roi, radius, permutations, seed)
+        if large is not None:
+            out = out.unionByName(joined_shuffled_counts(large, radius, roi, permutations, seed, "species", "id"))
+    else:
+        out = joined_shuffled_counts(cells, radius, roi, permutations, seed, species, cell_id)
     mean = F.col("s") / permutations
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / permutations - mean * mean))
     out = out.withColumn("z", F.when(spread > 1e-9, (F.col("edges") - mean) / spread).otherwise(float("nan")))
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "edges", "z", numeric.normal_cdf(F.col("z")).alias("p_left"), numeric.normal_cdf(-F.col("z")).alias("p_right"), mean.alias("expected"))
+    return out.select(*roi, "center", "neighbor", "edges", "z", numeric.normal_cdf(F.col("z")).alias("p_left"), numeric.normal_cdf(-F.col("z")).alias("p_right"), mean.alias("expected"))
 
 
 def bootstrap_counts(counts: DataFrame, by: list[str], value: str, resamples: int, row: list[str], seed: int = 0) -> DataFrame:
