@@ -146,8 +146,20 @@ def nearest(cells: DataFrame, k: int, radius: float, cell_id: str = "cell_id", i
     others, as few cells or ids that repeat can make it, meet their whole
     image. Rows that share an id are ranked as one cell, each with its own
     pairs. ``of`` keeps to some rows of ``cells``. Coordinates that are not
-    finite find and are found by none.
+    finite find and are found by none. Images that fit a task are searched in
+    it, unless ``of`` is given or ids are structs.
     """
+    if of is None and not dict(cells.dtypes)[cell_id].startswith("struct"):
+        known = cells.select(image, F.col(cell_id).alias("id"), "x", "y").where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xy")).na.drop(subset=[image, "id"])
+        rows, large = whole.split(known, [image])
+        kinds = dict(rows.dtypes)
+        found = whole.nearest(rows, k, image, f"`{image}` {kinds[image]}, src {kinds['id']}, dst {kinds['id']}, distance double, rank int")
+        return found if large is None else found.unionByName(met_by_level(large, k, radius, "id", image))
+    return met_by_level(cells, k, radius, cell_id, image, of)
+
+
+def met_by_level(cells: DataFrame, k: int, radius: float, cell_id: str, image: str, of: DataFrame | None = None) -> DataFrame:
+    """``nearest`` by joins, for images that no task has to hold."""
     finite = " AND ".join(f"abs({c}) < double('infinity')" for c in "xy")  # neither null nor NaN
     slim = cells.select(image, cell_id, "x", "y").where(finite)
     far = slim.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0

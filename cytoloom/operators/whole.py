@@ -8,10 +8,12 @@ rows are told apart first and left to the joins of the callers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +136,7 @@ class Places:
             out[ok] = other[ok]
         return out
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers of pairs of a group, each once in one order and none with itself, that hold all within the radius."""
         own = np.arange(len(self.key))
         for offset in (0, 1, 2):
@@ -145,7 +147,7 @@ class Places:
                 high = np.where(strip < 0, low, np.searchsorted(self.key, mid + 2, "right"))
             else:
                 low, high = own + 1, np.searchsorted(self.key, self.key + 2, "right")
-            for i, j in ranges(low, high):
+            for i, j in ranges(low, high, most):
                 yield i, j
 
     def around(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -326,3 +328,178 @@ def roi_counts(rows: DataFrame, roi: list[str], radius: float, by_number: bool)
         yield out | ({"n": n, "centers": centers} if by_number else {"k": k})
 
     return by_group(rows, roi, work, schema)
+
+
+def nearest(rows: DataFrame, k: int, image: str, schema: str) -> DataFrame:
+    """``spatial.nearest`` of images that fit a task: rows image, id, x, y; none of them null, places finite.
+
+    Circles begin where few others are in them even at an image's densest
+    place and double for cells that lack k others, until they hold the image.
+    """
+
+    def work(table: pa.Table, group: np.ndarray):
+        x, y = floats(table, "x", "y")
+        number, ids = codes(table.column("id"))
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        number = rank[number]  # in the order of the ids
+        _, cell = np.unique(group * (len(ids) + 1) + number, return_inverse=True)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[first, len(group)])
+        wide, high = (np.maximum.reduceat(v, first) - np.minimum.reduceat(v, first) for v in (x, y))
+        across = np.hypot(wide, high) * (1 + 1e-9)
+        radius = np.maximum(np.sqrt((k + 3) * wide * high / (math.pi * size)), np.maximum(wide, high) * (k + 3) / (2 * size))
+        radius = np.where(radius > 0, radius, 1.0)
+        for _ in range(24):
+            p = Places(group, x, y, radius)
+            new = np.flatnonzero(np.r_[True, (p.key[1:] != p.key[:-1])])
+            full = np.zeros(len(size), np.int64)
+            np.maximum.at(full, p.group[new], np.diff(np.r_[new, len(group)]))
+            crowded = full > 8 * (k + 4)
+            if not crowded.any():
+                break
+            radius = np.where(crowded, radius / 2, radius)
+        todo = np.ones(len(group), bool)
+        found: list[tuple] = []
+        while todo.any():
+            taken_ = todo | np.isin(group, np.unique(group[todo]))
+            at = np.flatnonzero(taken_)
+            p = Places(group[at], x[at], y[at], radius)
+            place = at[p.order]
+            of, d_, to, held = [], [], [], 0
+            for i, j in p.around(np.flatnonzero(todo[place])):
+                dx, dy = p.x[i] - p.x[j], p.y[i] - p.y[j]
+                d2 = dx * dx + dy * dy
+                i_, j_ = place[i], place[j]
+                near = (d2 <= (radius * radius)[p.group[i]]) & (number[i_] != number[j_])
+                of.append(cell[i_[near]])
+                d_.append(d2[near])
+                to.append(j_[near])
+                held += len(of[-1])
+                if held > 1 << 22:
+                    of, d_, to = ([v] for v in least(k, *map(np.concatenate, (of, d_, to)), number))
+                    held = len(of[0])
+            empty = [np.zeros(0, np.int64)]
+            of, d_, to = least(k, np.concatenate(of or empty), np.concatenate(d_ or [np.zeros(0)]), np.concatenate(to or empty), number)
+            enough = np.bincount(of, minlength=cell.max() + 1) >= k
+            done = todo & (enough[cell] | (radius >= across)[group])
+            ends = np.zeros(cell.max() + 1, bool)
+            ends[cell[done]] = True
+            found.append(tuple(v[ends[of]] for v in (of, d_, to)))
+            todo &= ~done
+            radius = radius * 2
+        of, d_, to = (np.concatenate(v) for v in zip(*found))
+        whose = np.zeros(cell.max() + 1, np.int64)
+        whose[cell] = np.arange(len(cell))
+        order = np.argsort(of, kind="stable")
+        of, d_, to = of[order], d_[order], to[order]
+        nth = np.arange(len(of)) - np.searchsorted(of, of, "left") + 1
+        src = pa.array(whose[of])
+        yield {image: table.column(image).take(src), "src": table.column("id").take(src), "dst": table.column("id").take(pa.array(to)), "distance": np.sqrt(d_), "rank": nth.astype(np.int32)}
+
+    return by_group(rows, [image], work, schema)
+
+
+def least(k: int, of: np.ndarray, d2: np.ndarray, to: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least pairs of each cell in order, ties by the neighbour's number."""
+    order = np.lexsort((number[to], d2, of))
+    of, d2, to = of[order], d2[order], to[order]
+    some = np.arange(len(of)) - np.searchsorted(of, of, "left") < k
+    return of[some], d2[some], to[some]
+
+
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def turned(v: np.ndarray, n: int) -> np.ndarray:
+    return (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+
+
+def hashed(v: np.ndarray | int, seed: np.ndarray, bits: int) -> np.ndarray:
+    """Spark's xxhash64 of an integer of 32 or 64 bits, from hashes so far."""
+    v = np.asarray(v).astype(np.int64).astype(np.uint64)
+    if bits == 32:
+        h = seed + P5 + np.uint64(4)
+        h = turned(h ^ ((v & np.uint64(0xFFFFFFFF)) * P1), 23) * P2 + P3
+    else:
+        h = seed + P5 + np.uint64(8)
+        h = turned(h ^ (turned(v * P2, 31) * P1), 27) * P1 + P4
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
+def shuffled_counts(rows: DataFrame, roi: list[str], radius: float, permutations: int, seed: int) -> DataFrame:
+    """roi..., center, neighbor, edges, s, q: edges by species, and the sum and sum of squares of those of shuffled labels, of ROIs that fit a task.
+
+    rows: roi..., hash (of the ROI), id (int or bigint), x, y, species (string).
+    Labels are permuted as ``interaction.permutation_test`` says, by the same
+    hashes as its join does.
+    """
+    kinds = dict(rows.dtypes)
+    bits = 64 if kinds["id"] == "bigint" else 32
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in roi) + ", center string, neighbor string, edges bigint, s double, q double"
+
+    def work(table: pa.Table, group: np.ndarray):
+        ids = table.column("id")
+        known = ~ids.is_null().to_numpy(zero_copy_only=False)
+        number = ids.fill_null(0).to_numpy().astype(np.int64)
+        x, y = floats(table, "x", "y")
+        low = [np.where(table.column(c).is_null().to_numpy(zero_copy_only=False), -np.inf, v) for c, v in (("x", x), ("y", y))]
+        kind, names = codes(table.column("species"))
+        rank = np.zeros(len(names) + 1, np.int64)
+        rank[pc.array_sort_indices(names).to_numpy()] = np.arange(1, len(names) + 1)
+        rank[-1] = 0  # null first
+        order = np.lexsort((rank[kind], low[1], low[0], number, known, group))
+        g, n, ok = group[order], number[order], known[order]
+        order = order[np.r_[True, (g[1:] != g[:-1]) | (n[1:] != n[:-1]) | (ok[1:] != ok[:-1])]]  # a row an id
+        s, groups = len(names) + 1, int(group[-1]) + 1
+        there = np.bincount(group[order] * s + kind[order] + 1, minlength=groups * s).reshape(groups, s) > 0
+        usable = (np.bincount(group[order], minlength=groups) > 2) & (there[:, 1:].sum(axis=1) > 1)
+        order = order[usable[group[order]]]
+        if not len(order):
+            return
+        g, label, number, known, x, y = group[order], (kind + 1)[order], number[order], known[order], x[order], y[order]
+        start = table.column("hash").to_numpy().astype(np.int64).astype(np.uint64)[order]
+        labels = np.empty((permutations + 1, len(order)), np.int32)
+        labels[0] = label
+        for t in range(1, permutations + 1):
+            h = hashed(t, start, 32)
+            h = hashed(seed, np.where(known, hashed(number, h, bits), h), 32)
+            giving, taking = (ordered(g, hashed(k, h, 32).astype(np.int64), known, number) for k in (0, 1))
+            labels[t][taking] = label[giving]
+        fine = np.flatnonzero(known & np.isfinite(x) & np.isfinite(y))
+        p = Places(g[fine], x[fine], y[fine], radius)
+        at = fine[p.order]
+        tally, edged = Tally((permutations + 1) * groups * s * s), np.zeros(groups, bool)
+        turn = np.arange(permutations + 1)[:, None] * groups
+        for i, j in p.pairs(1 << 15):
+            dx, dy = p.x[i] - p.x[j], p.y[i] - p.y[j]
+            near = dx * dx + dy * dy <= radius * radius
+            i, j = at[i[near]], at[j[near]]
+            edged[g[i]] = True
+            a, b, base = labels[:, i].astype(np.int64), labels[:, j].astype(np.int64), (turn + g[i]) * (s * s)
+            tally.add((base + a * s + b).ravel())
+            tally.add((base + b * s + a).ravel())
+        key, n = tally.found()
+        t, pair = key // (groups * s * s), key % (groups * s * s)
+        kinds_ = np.flatnonzero(there.ravel() & np.repeat(usable & edged, s) & (np.arange(groups * s) % s > 0))
+        met = list(ranges(np.searchsorted(kinds_ // s, kinds_ // s, "left"), np.searchsorted(kinds_ // s, kinds_ // s, "right")))
+        every = np.concatenate([kinds_[a] * s + kinds_[b] % s for a, b in met]) if met else np.zeros(0, np.int64)
+        hit = np.isin(pair, every)
+        where, t, n = np.searchsorted(every, pair[hit]), t[hit], n[hit].astype(float)
+        edges, total, squares = (np.bincount(where[w], v[w], len(every)) for w, v in ((t == 0, n), (t > 0, n), (t > 0, n * n)))
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        out = {c: table.column(c).take(pa.array(first[every // s // s])) for c in roi}
+        yield out | {"center": taken(names, every // s % s - 1), "neighbor": taken(names, every % s - 1), "edges": edges.astype(np.int64), "s": total, "q": squares}
+
+    return by_group(rows, roi, work, schema)
+
+
+def ordered(group: np.ndarray, lot: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Rows by group, which ascends, then lot, then number."""
+    order = np.argsort(lot)
+    small = group - group[0]
+    order = order[np.argsort(small[order].astype(np.int16) if small[-1] < 1 << 15 else small[order], kind="stable")]
+    same = (lot[order][1:] == lot[order][:-1]) & (group[order][1:] == group[order][:-1])
+    return np.lexsort((number, known, lot, group)) if same.any() else order

@@ -114,3 +114,26 @@ def test_counts_of_whole_rois_equal_the_join(spark, monkeypatch):
     for size in (50, 0):  # joined above it
         monkeypatch.setattr(whole, "WHOLE", size)
         assert here == [digits(f(df, 9.0, roi)) for f in both]
+
+
+def test_nearest_of_whole_images_equal_the_join(spark, monkeypatch):
+    df = odd_cells(spark)
+    joined = all_rows(spatial.met_by_level(df, 4, 30.0, "cell_id", "slide_id"))
+    found = spatial.nearest(df, 4, 30.0)
+    assert all_rows(found) == joined and len(joined) > 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    monkeypatch.setattr(whole, "WHOLE", 130)
+    assert all_rows(spatial.nearest(df, 4, 30.0)) == joined
+
+
+def test_shuffles_of_whole_rois_equal_the_join(spark, monkeypatch):
+    df = odd_cells(spark).withColumn("phenotype", F.expr("get(array('P', 'Q', 'R'), int(cell_id % 4))"))
+    names = ["slide_id", "center", "neighbor", "edges", "expected"]
+    here = interaction.permutation_test(df, 9.0, ["slide_id"], 7, 3).select(names)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    for size in (whole.WHOLE, 0):
+        monkeypatch.setattr(whole, "WHOLE", size)
+        rows = all_rows(interaction.permutation_test(df, 9.0, ["slide_id"], 7, 3).select(names))
+        assert rows == all_rows(here) and len(rows) >= 27
