@@ -10,65 +10,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import spatial
+from . import spatial, whole
 
 #: Points near a hull's corner that make it part of the tissue, and nearest points of each corner that an outline is fitted to.
 COMPANY, NEAREST = 5, 50
 
 
+#: Directions whose farthest points span what a hull's interior surely holds.
+TURNS = np.stack([np.cos(np.arange(16) * math.pi / 8), np.sin(np.arange(16) * math.pi / 8)])
+
+
+def outer(points: np.ndarray) -> np.ndarray:
+    """Indices of points that may be corners of the hull: those not well inside the polygon of the farthest in some directions."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        far = points[(points @ TURNS).argmax(axis=0)]
+        side = np.roll(far, -1, axis=0) - far
+        side, far = side[(side != 0).any(axis=1)], far[(side != 0).any(axis=1)]
+        gap = points[:, None, :] - far[None, :, :]
+        slack = 1e-9 * np.abs(points).max() * np.abs(side).sum(axis=1)
+        inside = (side[:, 0] * gap[:, :, 1] - side[:, 1] * gap[:, :, 0] > slack).all(axis=1) & (len(side) > 2)
+    return np.flatnonzero(~inside)
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Indices of the corners of the convex hull, counter-clockwise, by monotone chains."""
-    order = np.lexsort((points[:, 1], points[:, 0]))
+    some = outer(points) if len(points) > 40 else np.arange(len(points))
+    order = some[np.lexsort((points[some, 1], points[some, 0]))]
+    placed = list(zip(order.tolist(), *points[order].T.tolist()))
 
-    def chain(indices) -> list[int]:
-        out: list[int] = []
-        for i in indices:
+    def chain(rows) -> list[int]:
+        out: list[tuple] = []
+        for row in rows:
             while len(out) > 1:
-                (ax, ay), (bx, by) = points[out[-1]] - points[out[-2]], points[i] - points[out[-2]]
-                if ax * by - ay * bx > 0:
+                (_, px, py), (_, qx, qy) = out[-2:]
+                if (qx - px) * (row[2] - py) - (qy - py) * (row[1] - px) > 0:
                     break
                 out.pop()
-            out.append(int(i))
-        return out[:-1]
+            out.append(row)
+        return [r[0] for r in out[:-1]]
+
+    return np.array([*chain(placed), *chain(placed[::-1])] or [int(order[0])])
 
-    return np.array([*chain(order), *chain(order[::-1])] or [int(order[0])])
 
+def simplexes(f, start: np.ndarray, rounds: int = 1500, tolerance: float = 1e-7) -> np.ndarray:
+    """Least points of many functions by the downhill simplex method, all in step; f(which, points) gives a value for each.
 
-def simplex(f, start: np.ndarray, rounds: int = 1500, tolerance: float = 1e-7) -> np.ndarray:
-    """Least point of a function by the downhill simplex method."""
-    x = np.vstack([start, *[start + np.eye(len(start))[k] * (0.05 * start[k] or 0.00025) for k in range(len(start))]])
-    y = np.array([f(p) for p in x])
+    Each goes its own way: what a function's simplex does depends on its
+    values alone.
+    """
+    m, n = start.shape
+    x = np.repeat(start[:, None, :], n + 1, axis=1)
+    k = np.arange(n)
+    x[:, k + 1, k] += np.where(start != 0, 0.05 * start, 0.00025)
+    y = np.stack([f(np.arange(m), x[:, i]) for i in range(n + 1)], axis=1)
+    go = np.arange(m)
     for _ in range(rounds):
-        order = y.argsort(kind="stable")
-        x, y = x[order], y[order]
-        if y[-1] - y[0] < tolerance and np.abs(x - x[0]).max() < tolerance:
+        order = y[go].argsort(axis=1, kind="stable")
+        x[go], y[go] = np.take_along_axis(x[go], order[:, :, None], 1), np.take_along_axis(y[go], order, 1)
+        go = go[~((y[go, -1] - y[go, 0] < tolerance) & (np.abs(x[go] - x[go, :1]).max(axis=(1, 2)) < tolerance))]
+        if not len(go):
             break
-        middle = x[:-1].mean(axis=0)
-
-        def at(t: float, middle=middle, worst=x[-1]) -> tuple[np.ndarray, float]:
-            p = middle + t * (worst - middle)
-            return p, f(p)
-
-        p, v = at(-1.0)
-        if v < y[0]:
-            far = at(-2.0)
-            p, v = far if far[1] < v else (p, v)
-        elif v >= y[-2]:
-            p, v = at(-0.5) if v < y[-1] else at(0.5)
-            if v >= y[-1]:
-                x[1:] = x[0] + 0.5 * (x[1:] - x[0])
-                y[1:] = [f(q) for q in x[1:]]
-                continue
-        x[-1], y[-1] = p, v
-    return x[y.argmin()]
-
-
-def inside(points: np.ndarray, ellipse: np.ndarray) -> np.ndarray:
-    """Ellipse function: 1 on the border, below inside. ellipse: centre x, y, half axes, rotation."""
-    cx, cy, a, b, turn = ellipse
-    dx, dy = points[..., 0] - cx, points[..., 1] - cy
-    c, s = math.cos(turn), math.sin(turn)
-    return ((c * dx + s * dy) / a) ** 2 + ((s * dx - c * dy) / b) ** 2
+        middle, worst = x[go, :-1].mean(axis=1), x[go, -1]
+        at = lambda t, some: middle[some] + t * (worst[some] - middle[some])
+        every = np.arange(len(go))
+        p = at(-1.0, every)
+        v = f(go, p)
+        low, high, last = y[go, 0], y[go, -2], y[go, -1]
+        some = np.flatnonzero(v < low)
+        if len(some):
+            far = at(-2.0, some)
+            w = f(go[some], far)
+            better = w < v[some]
+            p[some[better]], v[some[better]] = far[better], w[better]
+        some = np.flatnonzero(v >= high)
+        if len(some):
+            near = np.where((v[some] < last[some])[:, None], at(-0.5, some), at(0.5, some))
+            p[some], v[some] = near, f(go[some], near)
+        shrink = np.zeros(len(go), bool)
+        shrink[some] = v[some] >= last[some]
+        keep, small = go[~shrink], go[shrink]
+        x[keep, -1], y[keep, -1] = p[~shrink], v[~shrink]
+        if len(small):
+            x[small, 1:] = x[small, :1] + 0.5 * (x[small, 1:] - x[small, :1])
+            for i in range(1, n + 1):
+                y[small, i] = f(small, x[small, i])
+    return x[np.arange(m), y.argmin(axis=1)]
 
 
 #: Lattice points that are tried at once.
@@ -77,7 +103,17 @@ AT_ONCE = 1 << 21
 
 def inside_counts(centres: np.ndarray, ellipses: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the points around each centre lie in its ellipse; many centres at once, each with an ellipse of its own."""
-    out, step = np.zeros(len(centres)), max(1, AT_ONCE // max(1, len(offsets)))
+    out, step = np.full(len(centres), np.nan), max(1, AT_ONCE // max(1, len(offsets)))
+    if len(offsets):  # the root of the ellipse function is a norm: places wholly inside or outside need no count
+        c, s = np.cos(ellipses[:, 4]), np.sin(ellipses[:, 4])
+        dx, dy = centres[:, 0] - ellipses[:, 0], centres[:, 1] - ellipses[:, 1]
+        norm = np.hypot((c * dx + s * dy) / ellipses[:, 2], (s * dx - c * dy) / ellipses[:, 3])
+        reach = np.sqrt((offsets**2).sum(axis=1).max()) / ellipses[:, 2:4].min(axis=1)
+        out[norm + reach < 1 - 1e-9], out[norm - reach > 1 + 1e-9] = len(offsets), 0
+        some = np.flatnonzero(np.isnan(out))
+        if len(some) < len(out):
+            out[some] = inside_counts(centres[some], ellipses[some], offsets) if len(some) else 0
+            return out
     turn = np.stack([np.cos(ellipses[:, 4]), np.sin(ellipses[:, 4])], axis=1)
     for at in range(0, len(centres), step):
         part = slice(at, at + step)
@@ -87,12 +123,33 @@ def inside_counts(centres: np.ndarray, ellipses: np.ndarray, offsets: np.ndarray
     return out
 
 
-def fit_border(border: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Ellipse of least mean absolute deviation of the ellipse function from 1 along a border; ``most``: the image's largest x and y."""
+def fit_borders(borders: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Ellipses of least mean absolute deviation of the ellipse function from 1 along each border; ``most``: the images' largest x and y."""
     size = np.maximum(most, 1.0)
-    start = np.r_[size / 2, np.log(size), 0.0]
-    best = simplex(lambda p: np.abs(inside(border, np.r_[p[:2], np.exp(p[2:4]), p[4]]) - 1).mean(), start)
-    return np.r_[best[:2], np.exp(best[2:4]), best[4]]
+    start = np.hstack([size / 2, np.log(size), np.zeros((len(size), 1))])
+    count = np.array([len(b) for b in borders])
+    first = count.cumsum() - count
+    points = np.concatenate(borders)
+
+    def off(which: np.ndarray, p: np.ndarray) -> np.ndarray:
+        n = count[which]
+        end = n.cumsum()
+        x, y = points[np.arange(end[-1]) + np.repeat(first[which] - end + n, n)].T
+        turn = p[:, 4].tolist()
+        c, s = (np.repeat([f(t) for t in turn], n) for f in (math.cos, math.sin))
+        cx, cy, a, b = np.repeat(np.hstack([p[:, :2], np.exp(p[:, 2:4])]), n, axis=0).T
+        dx, dy = x - cx, y - cy
+        gap = np.abs(((c * dx + s * dy) / a) ** 2 + ((s * dx - c * dy) / b) ** 2 - 1)
+        return np.array([gap[e - m : e].sum() for e, m in zip(end.tolist(), n.tolist())]) / n  # a sum an image: as if it were alone
+
+    best = simplexes(off, start)
+    best[:, 2:4] = np.exp(best[:, 2:4])
+    return best
+
+
+def fit_border(border: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """``fit_borders`` of one."""
+    return fit_borders([border], np.asarray(most, float)[None, :])[0]
 
 
 def ring_offsets(radii: list[float]) -> list[np.ndarray]:
@@ -149,7 +206,63 @@ def strip(points: np.ndarray, company: np.ndarray, total: int, reach: float) ->
     return np.setdiff1d(np.arange(len(points)), kept), kept
 
 
+#: Rows of an image whose outline is found in one task at most.
+OUTLINED = 50_000
+
+
+def along_border(points: np.ndarray, reach: float) -> np.ndarray:
+    """Points along the border of an image seen whole; points: distinct, by x and y."""
+    kept = np.arange(len(points))
+    while len(kept) > 3:
+        corner = hull(points[kept])
+        d2 = ((points[kept[corner]][:, None, :] - points[kept][None, :, :]) ** 2).sum(axis=2)
+        lone = (d2 < reach * reach).sum(axis=1) < COMPANY
+        if not lone.any():
+            if len(kept) <= NEAREST:
+                return points[kept]
+            limit = np.partition(d2, NEAREST - 1, axis=1)[:, NEAREST - 1]
+            row, at = np.nonzero(d2 <= limit[:, None])
+            order = np.lexsort((at, d2[row, at], row))  # ties by place
+            some = np.arange(len(row)) - np.searchsorted(row, row, "left") < NEAREST
+            return points[kept[np.unique(at[order][some])]]
+        kept = np.delete(kept, corner[lone])
+    return points[kept]
+
+
+def borders(table, group: np.ndarray, reach: float):
+    """Number of the first row, points along the border and largest x and y of each group of five distinct points or more that has a border."""
+    x, y = whole.floats(table, "x", "y")
+    order = np.lexsort((y, x, group))
+    g, p = group[order], np.stack([x[order], y[order]], axis=1)
+    new = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]).any(axis=1)]
+    g, p, order = g[new], p[new], order[new]
+    for rows in np.split(np.arange(len(g)), np.flatnonzero(g[1:] != g[:-1]) + 1):
+        if len(rows) >= COMPANY:
+            border = along_border(p[rows], reach)
+            if len(border):
+                yield order[rows[0]], border, p[rows].max(axis=0), len(rows)
+
+
+def finite_points(cells: DataFrame, image: str) -> tuple[DataFrame, DataFrame | None]:
+    """Points of images that a task outlines whole, and of larger ones."""
+    points = cells.select(image, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xy")).na.drop(subset=[image])
+    return whole.split(points, [image], OUTLINED)
+
+
 def outlines(cells: DataFrame, reach: float, image: str = "slide_id") -> DataFrame:
+    """(image, x, y, n, most_x, most_y): the points along each image's border, with what the image holds; of images of five points or more."""
+    points, large = finite_points(cells, image)
+
+    def work(table, group):
+        for row, border, most, n in borders(table, group, reach):
+            yield {image: table.column(image).take(np.full(len(border), row)), "x": border[:, 0], "y": border[:, 1], "n": np.full(len(border), n), "most_x": np.full(len(border), most[0]), "most_y": np.full(len(border), most[1])}
+
+    kind = dict(points.dtypes)[image]
+    found = whole.by_group(points, [image], work, f"`{image}` {kind}, x double, y double, n bigint, most_x double, most_y double")
+    return found if large is None else found.unionByName(merged_outlines(large, reach, image).select(*found.columns))
+
+
+def merged_outlines(cells: DataFrame, reach: float, image: str = "slide_id") -> DataFrame:
     """(image, x, y, n, most_x, most_y): the points along each image's border, with what the image holds; of images of five points or more.
 
     Points of a square that fits into ``reach`` and holds five are never
@@ -191,15 +304,27 @@ def outlines(cells: DataFrame, reach: float, image: str = "slide_id") -> DataFra
 def ellipses(cells: DataFrame, reach: float = 100.0, image: str = "slide_id") -> DataFrame:
     """Outline ellipse of each image: cx, cy, a, b, turn; null for images of fewer than five distinct points, or where no corner has company.
 
-    The fit sees the border's points alone: at most fifty a corner of the hull.
+    The fit sees the border's points alone: at most fifty a corner of the
+    hull. Images that fit a task are outlined and fitted in it, many in step.
     """
+    points, large = finite_points(cells, image)
+    kind = dict(points.dtypes)[image]
+    schema = f"`{image}` {kind}, cx double, cy double, a double, b double, turn double"
+
+    def work(table, group):
+        seen = list(borders(table, group, reach))
+        if seen:
+            rows, along, most, _ = zip(*seen)
+            found = fit_borders(list(along), np.array(most))
+            yield {image: table.column(image).take(np.array(rows))} | {c: found[:, i] for i, c in enumerate(("cx", "cy", "a", "b", "turn"))}
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = fit_border(rows.sort_values(["x", "y"])[["x", "y"]].to_numpy(float), rows[["most_x", "most_y"]].to_numpy(float)[0])
         return pd.DataFrame([[*key, *found]], columns=[image, "cx", "cy", "a", "b", "turn"])
 
-    kind = dict(cells.dtypes)[image]
-    found = outlines(cells, reach, image).groupBy(image).applyInPandas(fit, f"`{image}` {kind}, cx double, cy double, a double, b double, turn double")
+    found = whole.by_group(points, [image], work, schema)
+    if large is not None:
+        found = found.unionByName(merged_outlines(large, reach, image).groupBy(image).applyInPandas(fit, schema))
     return cells.select(image).distinct().join(found, image, "left")
 
 

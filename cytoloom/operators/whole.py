@@ -23,9 +23,9 @@ from ..session import written
 WHOLE, GATHERED, AT_ONCE = 200_000, 20_000, 1 << 19
 
 
-def split(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups of at most ``WHOLE`` rows, and those of larger ones if there are any."""
-    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > WHOLE).select(*by)
+def split(df: DataFrame, by: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``most`` or ``WHOLE`` rows, and those of larger ones if there are any."""
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > (WHOLE if most is None else most)).select(*by)
     if large.isEmpty():
         return df, None
     large = written(large)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from compare import assert_same  # noqa: E402
-from cytoloom.operators import clustering, interaction, profiles, spatial, whole  # noqa: E402
+from cytoloom.operators import clustering, interaction, profiles, spatial, tissue, whole  # noqa: E402
 from cytoloom.plans import cell_queries  # noqa: E402, F401
 from cytoloom.plans.registry import QUERIES, SQL  # noqa: E402
 
@@ -137,3 +137,35 @@ def test_shuffles_of_whole_rois_equal_the_join(spark, monkeypatch):
         monkeypatch.setattr(whole, "WHOLE", size)
         rows = all_rows(interaction.permutation_test(df, 9.0, ["slide_id"], 7, 3).select(names))
         assert rows == all_rows(here) and len(rows) >= 27
+
+
+def test_outlines_of_whole_images_equal_the_merged_ones(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    images = {1: np.vstack([r.normal(0, 40, (400, 2)), r.uniform(-400, 400, (12, 2))]), 2: r.integers(0, 30, (300, 2)).astype(float), 3: r.integers(0, 3, (20, 2)) * 9.0, 4: np.array([[0.0, 0], [900, 0], [0, 900], [900, 900], [5000, 450]])}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, p in images.items() for x, y in p], "slide_id int, x double, y double")
+    want = all_rows(tissue.merged_outlines(df, 25.0).select("slide_id", "x", "y", "n", "most_x", "most_y"))
+    found = tissue.outlines(df, 25.0)
+    assert all_rows(found) == want and len(want) > 100 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    fitted = all_rows(tissue.ellipses(df, 25.0))
+    monkeypatch.setattr(tissue, "OUTLINED", 100)
+    assert all_rows(tissue.ellipses(df, 25.0)) == fitted
+
+
+def test_simplexes_end_at_the_least_points():
+    r = np.random.default_rng(2)
+    aim = r.normal(0, 3, (7, 3))
+    calls = []
+    found = tissue.simplexes(lambda k, p: calls.append(len(k)) or ((p - aim[k]) ** 2).sum(axis=1), np.ones((7, 3)))
+    assert np.abs(found - aim).max() < 1e-3 and sum(calls) > 3 * len(calls)  # in step
+    alone = [tissue.simplexes(lambda k, p, i=i: ((p - aim[i]) ** 2).sum(axis=1), np.ones((1, 3)))[0] for i in range(7)]
+    assert np.array_equal(found, np.array(alone))
+
+
+def test_counts_inside_ellipses_equal_the_lattice():
+    r = np.random.default_rng(3)
+    centres, shape = r.integers(-40, 140, (400, 2)).astype(float), np.tile([50.0, 45.0, 60.0, 25.0, 0.4], (400, 1))
+    for o in tissue.ring_offsets([5.0, 12.0]):
+        dx, dy = (centres[:, k, None] + o[None, :, k] - shape[:, k, None] for k in (0, 1))
+        c, s = math.cos(0.4), math.sin(0.4)
+        want = (((c * dx + s * dy) / 60.0) ** 2 + ((s * dx - c * dy) / 25.0) ** 2 <= 1).sum(axis=1)
+        assert np.array_equal(tissue.inside_counts(centres, shape, o), want) and {0, len(o)} < set(want)
