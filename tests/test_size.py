@@ -169,3 +169,16 @@ def test_counts_inside_ellipses_equal_the_lattice():
         c, s = math.cos(0.4), math.sin(0.4)
         want = (((c * dx + s * dy) / 60.0) ** 2 + ((s * dx - c * dy) / 25.0) ** 2 <= 1).sum(axis=1)
         assert np.array_equal(tissue.inside_counts(centres, shape, o), want) and {0, len(o)} < set(want)
+
+
+def test_elbow_fits_all_starts_in_the_same_passes(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = np.vstack([r.normal(c, 0.3, (80, 2)) for c in ((0, 0), (6, 0), (0, 7), (9, 9))])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in x], ["a", "b"])
+    passes, sums = [], clustering.Passes.sums
+    monkeypatch.setattr(clustering.Passes, "sums", lambda self, models: passes.append(len(models)) or sums(self, models))
+    found = dict(clustering.elbow(df, ["a", "b"], range(1, 5), tries=6))
+    assert passes[0] == 18 and len(passes) < 40
+    near = lambda m: ((x[:, None] - m[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert found[4] == pytest.approx(near(np.array([x[80 * k : 80 * k + 80].mean(axis=0) for k in range(4)])))
+    assert found[1] == pytest.approx(near(x.mean(axis=0)[None])) and found[1] > found[2] > found[3] > found[4]
