@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import onetask
 
 #: Gains of modularity that count.
 LEAST_GAIN = 1e-9
@@ -118,8 +119,16 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
 
     Directed tables are read as undirected; weights of no more than zero count
     as no edge. Nodes without any edge to another are not in the result. An
-    empty table gives an empty result.
+    empty table gives an empty result. A graph that fits a task rises in it.
     """
+    edges = written(edges.select("src", "dst", "w"))
+    if onetask.fits(edges):
+        return written(onetask.in_one_task(edges, lambda src, dst, w: onetask.risen(src, dst, w, resolution, LEAST_GAIN)))
+    return risen(edges, resolution)
+
+
+def risen(edges: DataFrame, resolution: float) -> DataFrame:
+    """``communities`` by rounds over tables."""
     adj = written(adjacency(edges))
     nodes = written(adj.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0)).withColumn("community", F.col("node")))
     labels = nodes.select("node", "community")
