@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from compare import assert_same  # noqa: E402
-from cytoloom.operators import clustering, interaction, profiles, spatial, tissue, whole  # noqa: E402
+from cytoloom.operators import clustering, interaction, modularity, onetask, profiles, spatial, tissue, whole  # noqa: E402
 from cytoloom.plans import cell_queries  # noqa: E402, F401
 from cytoloom.plans.registry import QUERIES, SQL  # noqa: E402
 
@@ -182,3 +182,14 @@ def test_elbow_fits_all_starts_in_the_same_passes(spark, monkeypatch):
     near = lambda m: ((x[:, None] - m[None]) ** 2).sum(axis=2).min(axis=1).sum()
     assert found[4] == pytest.approx(near(np.array([x[80 * k : 80 * k + 80].mean(axis=0) for k in range(4)])))
     assert found[1] == pytest.approx(near(x.mean(axis=0)[None])) and found[1] > found[2] > found[3] > found[4]
+
+
+def test_communities_in_one_task_equal_those_of_tables(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    pairs = [(int(a) - 20, int(b) - 20, float(w)) for a, b, w in zip(r.integers(0, 60, 260), r.integers(0, 60, 260), r.integers(1, 9, 260)) if a // 12 == b // 12 or w == 1]
+    edges = spark.createDataFrame([*pairs, (500, 501, 1.0), (502, 503, -1.0), (504, 504, 1.0)], "src long, dst long, w double")
+    here = [f(edges) for f in (clustering.communities, modularity.communities)]
+    assert [all_rows(x) for x in here] == [all_rows(clustering.propagated(edges, 50)), all_rows(modularity.risen(edges, 1.0))]
+    monkeypatch.setattr(onetask, "EDGES", 3)
+    assert not onetask.fits(edges)
+    assert modularity.communities(edges.limit(0)).count() == clustering.communities(edges.limit(0)).count() == 0
