@@ -147,12 +147,12 @@ def joined_shuffled_counts(cells: DataFrame, radius: float, roi: list[str], perm
     met = edges.join(lists.select("__roi", F.col("id").alias("src"), F.col("l").alias("a")), ["__roi", "src"]).join(lists.select("__roi", F.col("id").alias("dst"), F.col("l").alias("b")), ["__roi", "dst"])
     tally = met.select("__roi", F.posexplode(F.arrays_zip("a", "b")).alias("shuffle", "e")).groupBy("__roi", "shuffle", F.col("e.a").alias("center"), F.col("e.b").alias("neighbor")).agg(F.count(F.lit(1)).alias("n"))
     null, n = F.col("shuffle") > 0, F.col("n").cast("double")
-    stats = tally.where("center IS NOT NULL AND neighbor IS NOT NULL").groupBy("__roi", "center", "neighbor").agg(F.coalesce(F.sum(F.when(~null, F.col("n"))), F.lit(0)).alias("edges"), F.sum(F.when(null, n)).alias("s"), F.sum(F.when(null, n * n)).alias("q"))
+    stats = tally.where("center IS NOT NULL AND neighbor IS NOT NULL").groupBy("__roi", "center", "neighbor").agg(F.coalesce(F.sum(F.when(~null, F.col("n"))), F.lit(0)).alias("edges"), F.sum(F.when(null, n)).alias("__s"), F.sum(F.when(null, n * n)).alias("__q"))
     kinds = keyed.where("species IS NOT NULL").select("__roi", "species").distinct()
     pairs = kinds.select("__roi", F.col("species").alias("center")).join(kinds.select("__roi", F.col("species").alias("neighbor")), "__roi")
     pairs = pairs.join(edges.select("__roi").distinct(), "__roi", "left_semi")  # species by species of an ROI that has edges
-    out = pairs.join(stats, ["__roi", "center", "neighbor"], "left").na.fill(0, ["edges"]).na.fill(0.0, ["s", "q"])
-    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "edges", "s", "q")
+    out = pairs.join(stats, ["__roi", "center", "neighbor"], "left").na.fill(0, ["edges"]).na.fill(0.0, ["__s", "__q"])
+    return out.select(*[F.col(f"__roi.{c}").alias(c) for c in roi], "center", "neighbor", "edges", "__s", "__q")
 
 
 def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutations: int = 200, seed: int = 0, species: str = "phenotype", cell_id: str = "cell_id") -> DataFrame:
@@ -167,15 +167,15 @@ def permutation_test(cells: DataFrame, radius: float, roi: list[str], permutatio
     cell id counts once an ROI.
     """
     if dict(cells.dtypes)[cell_id] in ("int", "bigint"):
-        rows = cells.select(*roi, F.xxhash64(F.struct(*roi)).alias("hash"), F.col(cell_id).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(species).cast("string").alias("species"))
+        rows = cells.select(*roi, F.xxhash64(F.struct(*roi)).alias("__hash"), F.col(cell_id).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(species).cast("string").alias("species"))
         rows, large = whole.split(rows, roi)
         out = whole.shuffled_counts(rows, roi, radius, permutations, seed)
         if large is not None:
             out = out.unionByName(joined_shuffled_counts(large, radius, roi, permutations, seed, "species", "id"))
     else:
         out = joined_shuffled_counts(cells, radius, roi, permutations, seed, species, cell_id)
-    mean = F.col("s") / permutations
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / permutations - mean * mean))
+    mean = F.col("__s") / permutations
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / permutations - mean * mean))
     out = out.withColumn("z", F.when(spread > 1e-9, (F.col("edges") - mean) / spread).otherwise(float("nan")))
     return out.select(*roi, "center", "neighbor", "edges", "z", numeric.normal_cdf(F.col("z")).alias("p_left"), numeric.normal_cdf(-F.col("z")).alias("p_right"), mean.alias("expected"))
 

@@ -430,15 +430,15 @@ def hashed(v: np.ndarray | int, seed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shuffled_counts(rows: DataFrame, roi: list[str], radius: float, permutations: int, seed: int) -> DataFrame:
-    """roi..., center, neighbor, edges, s, q: edges by species, and the sum and sum of squares of those of shuffled labels, of ROIs that fit a task.
+    """roi..., center, neighbor, edges, __s, __q: edges by species, and the sum and sum of squares of those of shuffled labels, of ROIs that fit a task.
 
-    rows: roi..., hash (of the ROI), id (int or bigint), x, y, species (string).
+    rows: roi..., __hash (of the ROI), id (int or bigint), x, y, species (string).
     Labels are permuted as ``interaction.permutation_test`` says, by the same
     hashes as its join does.
     """
     kinds = dict(rows.dtypes)
     bits = 64 if kinds["id"] == "bigint" else 32
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in roi) + ", center string, neighbor string, edges bigint, s double, q double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in roi) + ", center string, neighbor string, edges bigint, __s double, __q double"
 
     def work(table: pa.Table, group: np.ndarray):
         ids = table.column("id")
@@ -460,7 +460,7 @@ def shuffled_counts(rows: DataFrame, roi: list[str], radius: float, permutations
         if not len(order):
             return
         g, label, number, known, x, y = group[order], (kind + 1)[order], number[order], known[order], x[order], y[order]
-        start = table.column("hash").to_numpy().astype(np.int64).astype(np.uint64)[order]
+        start = table.column("__hash").to_numpy().astype(np.int64).astype(np.uint64)[order]
         labels = np.empty((permutations + 1, len(order)), np.int32)
         labels[0] = label
         for t in range(1, permutations + 1):
@@ -491,7 +491,7 @@ def shuffled_counts(rows: DataFrame, roi: list[str], radius: float, permutations
         edges, total, squares = (np.bincount(where[w], v[w], len(every)) for w, v in ((t == 0, n), (t > 0, n), (t > 0, n * n)))
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         out = {c: table.column(c).take(pa.array(first[every // s // s])) for c in roi}
-        yield out | {"center": taken(names, every // s % s - 1), "neighbor": taken(names, every % s - 1), "edges": edges.astype(np.int64), "s": total, "q": squares}
+        yield out | {"center": taken(names, every // s % s - 1), "neighbor": taken(names, every % s - 1), "edges": edges.astype(np.int64), "__s": total, "__q": squares}
 
     return by_group(rows, roi, work, schema)
 
